@@ -30,6 +30,15 @@ def unit_length(c: Column) -> Column:
     return F.shiftright(F.octet_length(F.encode(c, "UTF-16BE")), 1)
 
 
+def longer_than(c: Column, limit: int) -> Column:
+    """Whether a text has more than ``limit`` units.
+
+    The byte length is known without decoding and never below the unit length,
+    so short values skip the conversion.
+    """
+    return (F.octet_length(c) > limit) & (unit_length(c) > limit)
+
+
 def non_empty(c: Column) -> Column:
     """Null for null and for the empty string, else the value."""
     return F.nullif(c, F.lit(""))
@@ -42,7 +51,7 @@ def is_blank(c: Column) -> Column:
 
 def shorten(c: Column, limit: int) -> Column:
     """First ``limit`` characters and an ellipsis when something was cut."""
-    return F.when(unit_length(c) > limit, F.concat(F.substring(c, 1, limit), F.lit("..."))).otherwise(c)
+    return F.when(longer_than(c, limit), F.concat(F.substring(c, 1, limit), F.lit("..."))).otherwise(c)
 
 
 def sanitize_name(c: Column) -> Column:
@@ -71,7 +80,7 @@ def mask_secrets(c: Column, limit: int = 200) -> Column:
     """
     masked = F.regexp_replace(c, rf"(?i)password[{SPACE}]*=[{SPACE}]*'[^']*'", "password='***'")
     masked = F.regexp_replace(masked, rf"(?i)token[{SPACE}]*=[{SPACE}]*'[^']*'", "token='***'")
-    tail = F.when(unit_length(c) > limit, F.lit("...")).otherwise(F.lit(""))
+    tail = F.when(longer_than(c, limit), F.lit("...")).otherwise(F.lit(""))
     return F.concat(F.substring(masked, 1, limit), tail)
 
 

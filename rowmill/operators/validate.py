@@ -88,26 +88,28 @@ def required_errors(spec: EntitySpec, columns: Sequence[str]) -> list[Column]:
     return found
 
 
-def format_errors(spec: EntitySpec, columns: Sequence[str]) -> list[Column]:
+def format_errors(spec: EntitySpec, cleaned: dict[str, Column]) -> list[Column]:
     """Format rule, then length limit, field by field."""
     found = []
     rules = {rule.field: rule for rule in spec.rules}
     for name in spec.fields:
         rule = rules.get(name)
-        if rule is None or name not in columns:
+        if rule is None or name not in cleaned:
             continue
         value = F.col(name)
         filled = ~text.is_blank(value)
-        found.append(F.when(filled & ~rule.check(value), _error(name, value, rule.code, rule.message)))
+        found.append(F.when(filled & ~rule.check(value, cleaned[name]), _error(name, value, rule.code, rule.message)))
         if rule.max_length:
             limit = rule.max_length
             message = f"Field '{name}' exceeds maximum length of {limit}"
             cut = F.concat(F.substring(value, 1, 50), F.lit("..."))
-            found.append(F.when(text.unit_length(value) > limit, _error(name, cut, FIELD_TOO_LONG, message)))
+            found.append(F.when(text.longer_than(value, limit), _error(name, cut, FIELD_TOO_LONG, message)))
     return found
 
 
 def field_warnings(spec: EntitySpec, columns: Sequence[str]) -> list[Column]:
+    """Control characters in fields with a rule. Mapped cells are stripped, so
+    ``text.has_loose_space`` can only hold on raw cells and is not asked here."""
     found = []
     for rule in spec.rules:
         if rule.field not in columns:
@@ -122,22 +124,9 @@ def field_warnings(spec: EntitySpec, columns: Sequence[str]) -> list[Column]:
                 ),
             )
         )
-        found.append(
-            F.when(
-                filled & text.has_loose_space(value),
-                _warning(rule.field, value, "Field contains excessive whitespace", "Trim unnecessary spaces"),
-            )
-        )
     return found
 
 
-def _clean_value(spec: EntitySpec, name: str) -> Column:
-    for rule in spec.rules:
-        if rule.field == name and rule.clean:
-            return rule.clean(F.col(name))
-    return F.col(name)
-
-
 def _shown(value: Column) -> Column:
     """Cleaned value as text; zero and null show as the empty string."""
     as_text = value.cast("string")
@@ -170,16 +159,43 @@ def business_errors(rules: Sequence[BusinessRule], cleaned: dict[str, Column]) -
     ]
 
 
+def _may_be_suspicious(value: Column) -> Column:
+    """Cheap test that holds wherever a security pattern matches, and rarely elsewhere."""
+    lowered = F.lower(value)
+    return (
+        F.substring(value, 1, 1).isin("=", "@", "+", "-")
+        | lowered.contains("<script")
+        | lowered.contains("javascript:")
+        | (lowered.contains("data:") & lowered.contains("base64"))
+    )
+
+
 def security_errors(columns: Sequence[str]) -> list[Column]:
-    """One error per suspicious pattern and text field."""
-    return [
-        F.when(
-            F.col(name).rlike(pattern),
-            _error(name, F.col(name), SUSPICIOUS_CONTENT, f"Security violation: {message}"),
+    """Per text field an array with one error for each suspicious pattern it matches.
+
+    Plain text searches rule out the usual clean cell; the patterns themselves
+    run only on the rest.
+    """
+    known = F.array(
+        *[F.struct(F.lit(p).alias("pattern"), F.lit(m).alias("message")) for p, m in SECURITY_PATTERNS]
+    )
+    none = F.array()
+
+    def found(name: str) -> Column:
+        value = F.col(name)
+        hits = F.transform(
+            F.filter(known, lambda p: F.rlike(value, p["pattern"])),
+            lambda p: F.struct(
+                F.lit(name).alias("field"),
+                value.alias("value"),
+                F.lit(SUSPICIOUS_CONTENT).alias("code"),
+                F.concat(F.lit("Security violation: "), p["message"]).alias("message"),
+                F.lit("error").alias("severity"),
+            ),
         )
-        for name in columns
-        for pattern, message in SECURITY_PATTERNS
-    ]
+        return F.when(_may_be_suspicious(value), hits).otherwise(none)
+
+    return [found(name) for name in columns]
 
 
 def validate(
@@ -205,21 +221,26 @@ def validate(
             {c: text.non_empty(F.col(c)) for c in spec.fields if c not in required}
         )
     cells = [c for c in mapped.columns if c not in keep]
-    cleaned = {name: _clean_value(spec, name) for name in cells}
+    # Cleaned values get columns of their own, so each is computed once per row.
+    prepared = mapped.withColumns(
+        {f"__clean_{r.field}": r.clean(F.col(r.field)) for r in spec.rules if r.clean and r.field in cells}
+    )
+    cleaned = {c: F.col(f"__clean_{c}") if f"__clean_{c}" in prepared.columns else F.col(c) for c in cells}
     rules = spec.business_rules if business_rules is None else business_rules
     problems = [
         *required_errors(spec, cells),
-        *format_errors(spec, cells),
+        *format_errors(spec, cleaned),
         *schema_errors(spec, cleaned),
         *business_errors(rules, cleaned),
-        *security_errors(cells),
     ]
     sample = _error("", F.lit(""), "", "")
-    errors = _collect(problems, sample)
+    errors = F.concat(_collect(problems, sample), *security_errors(cells))
     if max_errors is not None:
         errors = F.slice(errors, 1, max_errors)
     warnings = _collect(field_warnings(spec, cells), _warning("", F.lit(""), "", ""))
-    out = mapped.withColumns({"errors": errors, "warnings": warnings})
+    # In a step of its own: inside the lambdas a name must mean the mapped text,
+    # not the cleaned column that the last select calls the same.
+    out = prepared.withColumns({"errors": errors, "warnings": warnings})
     return out.select(
         *[F.col(c) for c in keep if c in out.columns],
         *[cleaned[c].alias(c) for c in cells],

@@ -53,10 +53,13 @@ def strict_email(c: Column) -> Column:
 
 @dataclass(frozen=True)
 class FieldRule:
-    """Format check of one field, run on present and non-empty text."""
+    """Format check of one field, run on present and non-empty text.
+
+    ``check`` sees the mapped text and the cleaned value. ``clean`` gets the mapped text, which is stripped already.
+    """
 
     field: str
-    check: Callable[[Column], Column]
+    check: Callable[[Column, Column], Column]
     code: str
     message: str
     clean: Callable[[Column], Column] | None = None
@@ -105,10 +108,6 @@ class EntitySpec:
         return df.withColumnsRenamed({old: new for old, new in self.renames.items() if old in df.columns})
 
 
-def _age_in(low: int, high: int) -> Callable[[Column], Column]:
-    return lambda c: F.coalesce(numbers.parse_int(c).between(low, high), F.lit(False))
-
-
 def contacts_spec(age_low: int = 1, age_high: int = 150) -> EntitySpec:
     """Contact entity; the age range is an option because the stored table allows 0 to 120."""
     return EntitySpec(
@@ -135,23 +134,23 @@ def contacts_spec(age_low: int = 1, age_high: int = 150) -> EntitySpec:
         rules=(
             FieldRule(
                 "email",
-                lambda c: c.rlike(EMAIL_SHAPE),
+                lambda raw, c: raw.rlike(EMAIL_SHAPE),
                 INVALID_EMAIL_FORMAT,
                 "Invalid email format",
-                lambda c: text.strip(F.lower(c)),
+                F.lower,
                 255,
             ),
             FieldRule(
                 "name",
-                lambda c: text.unit_length(c).between(1, 255),
+                lambda raw, c: (raw != "") & ~text.longer_than(raw, 255),
                 DATA_TYPE_MISMATCH,
                 "Name must be between 1 and 255 characters",
-                text.strip,
+                None,
                 255,
             ),
             FieldRule(
                 "age",
-                _age_in(age_low, age_high),
+                lambda raw, c: F.coalesce(c.between(age_low, age_high), F.lit(False)),
                 INVALID_AGE_RANGE,
                 f"Age must be a number between {age_low} and {age_high}",
                 numbers.parse_int,
@@ -159,7 +158,7 @@ def contacts_spec(age_low: int = 1, age_high: int = 150) -> EntitySpec:
         ),
         schema_checks=(
             SchemaCheck("name", "Name cannot be empty", lambda raw, c: raw.isNotNull() & (c == "")),
-            SchemaCheck("name", "Name too long", lambda raw, c: text.unit_length(c) > 255),
+            SchemaCheck("name", "Name too long", lambda raw, c: text.longer_than(c, 255)),
             SchemaCheck("email", "Required", lambda raw, c: raw.isNull()),
             SchemaCheck("email", "Invalid email format", lambda raw, c: raw.isNotNull() & ~strict_email(c)),
             SchemaCheck("age", "Expected number, received nan", lambda raw, c: raw.isNotNull() & c.isNull()),
