@@ -43,9 +43,12 @@ STORED_CELLS = {
     "updated_at": "CAST(0 AS BIGINT)",
 }
 
+# Unique number of a lineitem row, made of its order, price and line.
+LINE_NUMBER = "l_orderkey * 1000000000 + CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT) * 10 + l_linenumber"
+
 # lineitem as a change set for customer: repeated and unknown ids, null ages, a third on one id
 CHANGE_CELLS = {
-    "row_number": "l_orderkey * 10000000 + l_partkey * 1000 + l_suppkey * 10 + l_linenumber",
+    "row_number": LINE_NUMBER,
     "id": """'c-' || CAST(CASE WHEN l_returnflag = 'R' THEN 7 ELSE (l_orderkey * 7 + l_linenumber) % 200000 END AS STRING)""",
     "name": "'n' || CAST(l_partkey AS STRING)",
     "age": "CASE WHEN l_linenumber = 1 THEN NULL ELSE CAST(l_quantity AS INT) END",

@@ -7,6 +7,8 @@ because the hash uses all 64 bits and ``bigint`` is signed.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,8 +36,8 @@ def hash64(c: Column, algorithm: str = "sha256") -> Column:
 def range_width(n: Column | int) -> Column:
     """Width of one of ``n`` ranges."""
     if isinstance(n, int):
-        return F.lit(HASH_SPACE // n).cast("decimal(20,0)")
-    space = F.lit(HASH_SPACE).cast("decimal(20,0)")
+        return F.lit(Decimal(HASH_SPACE // n)).cast("decimal(20,0)")
+    space = F.lit(Decimal(HASH_SPACE)).cast("decimal(20,0)")
     return F.floor(space / n.cast("decimal(10,0)")).cast("decimal(20,0)")
 
 
@@ -45,9 +47,10 @@ def _int_div(a: Column, b: Column) -> Column:
 
 
 def chunk_index(key: Column, n: Column | int, algorithm: str = "sha256") -> Column:
-    """Index of the range that holds the key's hash, 0 to ``n - 1``."""
-    last = (F.lit(n) if isinstance(n, int) else n) - 1
-    return F.least(_int_div(hash64(key, algorithm), range_width(n)), last.cast("bigint")).cast("int")
+    """Index of the range that holds the key's hash, 0 to ``n - 1``; null without a key."""
+    last = ((F.lit(n) if isinstance(n, int) else n) - 1).cast("bigint")
+    index = _int_div(hash64(key, algorithm), range_width(n))
+    return F.when(key.isNotNull(), F.least(index, last)).cast("int")
 
 
 def hex16(c: Column) -> Column:
@@ -62,7 +65,7 @@ def range_start(index: Column, n: Column | int) -> Column:
 def range_end(index: Column, n: Column | int) -> Column:
     count = F.lit(n) if isinstance(n, int) else n
     following = ((index + 1).cast("decimal(10,0)") * range_width(n)).cast("decimal(21,0)")
-    end = F.when(index == count - 1, F.lit(HASH_SPACE).cast("decimal(20,0)")).otherwise(
+    end = F.when(index == count - 1, F.lit(Decimal(HASH_SPACE)).cast("decimal(20,0)")).otherwise(
         (following - 1).cast("decimal(20,0)")
     )
     return hex16(end)
