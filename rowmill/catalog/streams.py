@@ -1,0 +1,181 @@
+"""Queries: the streaming forms, run to completion over what is there."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from rowmill.catalog.inputs import (
+    ACTION_CELLS,
+    ACTIONS_SQL,
+    CHANGE_LOG_CELLS,
+    CHANGE_LOG_SQL,
+    CONTACT_CELLS,
+    INCREMENT_CELLS,
+    INCREMENTS_SQL,
+    REQUEST_CELLS,
+    REQUESTS_SQL,
+    STATS_SQL,
+    as_list,
+    stats,
+)
+from rowmill.catalog.registry import query, read
+from rowmill.catalog.validation import CHECKED_SQL
+from rowmill.functions.numbers import epoch_ms
+from rowmill.operators import logs
+from rowmill.session import scratch_dir
+from rowmill.sources import delimited
+from rowmill.spec import ENFORCED_TRANSITIONS
+from rowmill.streaming import counters, ingest, stateful
+
+
+def _arriving(spark, folder, table):
+    # A file source wants a folder or a pattern; this one fits a single file and a folder of files.
+    return ingest.watch_parquet(spark, f"{folder}/{table}.parquet*", read(spark, folder, table).schema)
+
+
+def _watch(spark, folder, table, cells):
+    return _arriving(spark, folder, table).selectExpr(*as_list(cells))
+
+
+def _finish(query):
+    query.awaitTermination()
+
+
+def _appended(spark, stream, purpose):
+    path = scratch_dir(spark, purpose)
+    _finish(counters.append_to(stream, f"{path}/out", f"{path}/checkpoint"))
+    return spark.read.schema(stream.schema).parquet(f"{path}/out")
+
+
+_SPACE = 2**64 - 1
+
+
+@query(
+    "stream_ingest",
+    f"""WITH {CHECKED_SQL}, f AS (SELECT k.*, c.c_nationkey AS nation FROM checked k JOIN customer c ON k.row_number = c.c_custkey + 1),
+    v AS (SELECT *, row_number() OVER (PARTITION BY nation, email, len(errors) = 0 ORDER BY row_number) AS n FROM f)
+    SELECT row_number, len(errors) = 0 AS is_valid,
+      CASE WHEN len(errors) > 0 THEN NULL WHEN n = 1 THEN 'keep' ELSE 'skip' END AS action,
+      CASE WHEN len(errors) = 0 AND n = 1 THEN CAST(least(CAST(CAST(('0x' || substr(sha256(lower(id)), 1, 16)) AS UBIGINT)
+        AS HUGEINT) // CAST({_SPACE // 4} AS HUGEINT), 3) AS INTEGER) END AS chunk_index FROM v""",
+)
+def stream_ingest(spark, folder):
+    path = scratch_dir(spark, "stream-ingest")
+    names = list(CONTACT_CELLS)
+    rows = read(spark, folder, "customer").selectExpr("c_nationkey", *as_list(CONTACT_CELLS))
+    # One upload per nation.
+    arranged = rows.repartition("c_nationkey").sortWithinPartitions("c_nationkey", "row_number")
+    delimited.write_partitioned(arranged, f"{path}/in", "c_nationkey")
+    stream = ingest.watch_delimited(spark, f"{path}/in", names, max_files=10)
+    _finish(ingest.ingest_files(stream, f"{path}/out", f"{path}/checkpoint", chunks=4))
+    return spark.read.parquet(f"{path}/out").select("row_number", "is_valid", "action", "chunk_index")
+
+
+@query("stream_keep_first", "SELECT DISTINCT user_id FROM events")
+def stream_keep_first(spark, folder):
+    events = _arriving(spark, folder, "events")
+    timed = events.select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    kept = ingest.keep_first_stream(timed, "user_id", "ts", "31 days")
+    return _appended(spark, kept.select("user_id"), "stream-dedup")
+
+
+_SUMS = """SELECT action_id, CAST(sum(greatest(successful, 0)) AS BIGINT) AS successful,
+    CAST(sum(greatest(failed, 0)) AS BIGINT) AS failed, CAST(sum(greatest(skipped, 0)) AS BIGINT) AS skipped
+    FROM increments GROUP BY action_id"""
+
+
+def _ledger(spark, folder):
+    path = scratch_dir(spark, "stream-counters")
+    stream = _watch(spark, folder, "lineitem", INCREMENT_CELLS)
+    _finish(counters.collect_increments(stream, f"{path}/ledger", f"{path}/checkpoint"))
+    return f"{path}/ledger"
+
+
+@query("stream_counters", f"WITH {INCREMENTS_SQL} {_SUMS}")
+def stream_counters(spark, folder):
+    return counters.ledger_totals(spark, _ledger(spark, folder))
+
+
+@query(
+    "stream_current_stats",
+    f"""WITH {STATS_SQL}, {INCREMENTS_SQL}, i AS ({_SUMS})
+    SELECT s.action_id, s.successful_records + coalesce(i.successful, 0) AS successful_records FROM stats s
+    LEFT JOIN i ON s.action_id = i.action_id""",
+)
+def stream_current_stats(spark, folder):
+    rows = counters.current_stats(stats(spark, folder), _ledger(spark, folder))
+    return rows.select("action_id", "successful_records")
+
+
+@query(
+    "stream_status",
+    f"""WITH {CHANGE_LOG_SQL}, p AS (SELECT *, lag(status) OVER (PARTITION BY action_id ORDER BY ms, event_id) AS previous_status FROM log)
+    SELECT action_id, event_id, status, previous_status, previous_status IS NULL OR (previous_status || '>' || status) IN
+      ({', '.join(f"'{a}>{b}'" for a, b in ENFORCED_TRANSITIONS)}) AS allowed FROM p""",
+)
+def stream_status(spark, folder):
+    log = _watch(spark, folder, "events", CHANGE_LOG_CELLS).withColumn("ms", epoch_ms(F.col("ts")))
+    out = _appended(spark, stateful.track_status(log), "stream-status")
+    return out.select("action_id", "event_id", "status", "previous_status", "allowed")
+
+
+HOUR = 3_600_000
+
+
+@query(
+    "stream_sliding_limit",
+    f"""WITH {REQUESTS_SQL}, d AS (SELECT DISTINCT account_id, ms FROM requests),
+    c AS (SELECT account_id, ms, count(*) OVER (PARTITION BY account_id ORDER BY ms
+      RANGE BETWEEN {HOUR - 1} PRECEDING AND CURRENT ROW) AS in_window FROM d)
+    SELECT r.account_id, r.event_id, in_window, in_window <= 5 AS allowed FROM requests r JOIN c
+      ON r.account_id = c.account_id AND r.ms = c.ms""",
+)
+def stream_sliding_limit(spark, folder):
+    rows = _watch(spark, folder, "events", REQUEST_CELLS).withColumn("ms", epoch_ms(F.col("ts")))
+    out = _appended(spark, stateful.sliding_limit_stream(rows, 5, HOUR), "stream-sliding")
+    return out.select("account_id", "event_id", "in_window", "allowed")
+
+
+@query(
+    "stream_sessions",
+    f"""WITH {REQUESTS_SQL}, g AS (SELECT *, CASE WHEN ms - lag(ms) OVER w >= {HOUR} THEN 1 ELSE 0 END AS opens FROM requests
+      WINDOW w AS (PARTITION BY account_id ORDER BY ms, event_id)),
+    s AS (SELECT *, sum(opens) OVER (PARTITION BY account_id ORDER BY ms, event_id) AS session FROM g)
+    SELECT account_id, min(ms) AS start_ms, count(*) AS requests FROM s GROUP BY account_id, session
+    HAVING max(ms) + {HOUR - 1} <= (SELECT max(ms) FROM requests) - 600000""",
+)
+def stream_sessions(spark, folder):
+    rows = _watch(spark, folder, "events", REQUEST_CELLS).withColumn("ms", epoch_ms(F.col("ts")))
+    timed = rows.select("account_id", F.timestamp_millis("ms").alias("ts"))
+    out = _appended(spark, stateful.session_counts(timed, gap=f"{HOUR - 1} milliseconds"), "stream-sessions")
+    return out.select("account_id", F.unix_millis("session_start").alias("start_ms"), "requests")
+
+
+@query(
+    "stream_throughput",
+    """WITH w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS w, event_type, count(*) AS events FROM events GROUP BY 1, 2)
+    SELECT epoch_ms(w) AS start_ms, event_type, events FROM w
+    WHERE epoch_ms(w) + 3600000 <= (SELECT epoch_ms(max(ts)) FROM events) - 600000""",
+)
+def stream_throughput(spark, folder):
+    events = _arriving(spark, folder, "events")
+    timed = events.select("event_type", F.timestamp_millis(epoch_ms(F.col("ts"))).alias("ts"))
+    out = _appended(spark, counters.throughput(timed, width="1 hour"), "stream-throughput")
+    return out.select(F.unix_millis("window_start").alias("start_ms"), "event_type", "events")
+
+
+@query("stream_due_actions", f"WITH {ACTIONS_SQL} SELECT id FROM actions WHERE scheduled_at IS NOT NULL")
+def stream_due_actions(spark, folder):
+    rows = _watch(spark, folder, "orders", ACTION_CELLS)
+    return _appended(spark, stateful.due_now(rows).select("id"), "stream-due")
+
+
+@query(
+    "stream_log_labels",
+    """SELECT event_id, 'api' AS job FROM events WHERE event_type = 'view'""",
+)
+def stream_log_labels(spark, folder):
+    name = "'/demo-' || CASE event_type WHEN 'view' THEN 'api-1' WHEN 'click' THEN 'mailer' ELSE 'apix' END"
+    rows = _watch(spark, folder, "events", {"event_id": "event_id", "container": name})
+    labelled = logs.label_logs(rows, "demo", allow=["-api-", "-mailer"])
+    return _appended(spark, labelled.filter("job IS NOT NULL").select("event_id", "job"), "stream-logs")

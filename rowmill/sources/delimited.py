@@ -172,7 +172,7 @@ def read_delimited(
     ragged: bool = True,
     recursive: bool = True,
 ) -> DataFrame:
-    """Rows of text cells with ``file_path`` and, when asked, ``row_number``.
+    """Rows of text cells with ``source_file`` and, when asked, ``row_number``.
 
     An empty cell is the empty string; a cell that a short line does not have is
     null. ``columns`` defaults to the header of the first file, and a file whose
@@ -214,7 +214,7 @@ def read_delimited(
     cells = [cell(i, name) for i, name in enumerate(unique) if not name.startswith("__")]
     rows = raw.select(
         *cells,
-        F.col("_metadata.file_path").alias("file_path"),
+        F.col("_metadata.file_path").alias("source_file"),
         F.col("_metadata.file_block_start").alias("__block"),
         F.monotonically_increasing_id().alias("__seq"),
     )
@@ -261,12 +261,12 @@ def _number(rows: DataFrame, block_bound: int) -> DataFrame:
     block, is ordered. No window ever runs over the rows, and they are shuffled
     only when there are more blocks than a broadcast may hold.
     """
-    blocks = rows.groupBy("file_path", "__block").agg(
+    blocks = rows.groupBy("source_file", "__block").agg(
         F.count(F.lit(1)).alias("__n"), F.min("__seq").alias("__first")
     )
-    in_order = Window.partitionBy(F.lit(0)).orderBy("file_path", "__block")
+    in_order = Window.partitionBy(F.lit(0)).orderBy("source_file", "__block")
     offsets = blocks.select(
-        "file_path",
+        "source_file",
         "__block",
         "__first",
         F.coalesce(F.sum("__n").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(
@@ -275,7 +275,7 @@ def _number(rows: DataFrame, block_bound: int) -> DataFrame:
     )
     if block_bound <= MAX_BROADCAST_BLOCKS:
         offsets = F.broadcast(offsets)
-    joined = rows.join(offsets, ["file_path", "__block"])
+    joined = rows.join(offsets, ["source_file", "__block"])
     number = F.col("__before") + F.col("__seq") - F.col("__first") + 1
     return joined.withColumn("row_number", number.cast("bigint")).drop("__block", "__seq", "__first", "__before")
 
@@ -298,9 +298,17 @@ def _text_writer(df: DataFrame, sep: str = ","):
         .option("quoteAll", True)
         .option("escape", '"')
         .option("emptyValue", "")
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
     )
 
 
+def write_partitioned(df: DataFrame, path: str, by: str, sep: str = ",") -> None:
+    """The same files in one folder per value of a column."""
+    cells = _filled([c for c in df.columns if c != by])
+    _text_writer(df.select(by, *cells), sep).partitionBy(by).csv(path)
+
+
 def write_chunks(
     assigned: DataFrame, path: str, format: str = "csv", key: str = "id", files_per_chunk: int = 1
 ) -> None:
@@ -313,8 +321,7 @@ def write_chunks(
     spread = F.pmod(F.xxhash64(F.col(key)), F.lit(files_per_chunk))
     parted = rows.repartition("chunk_index", spread) if files_per_chunk > 1 else rows.repartition("chunk_index")
     if format == "csv":
-        cells = _filled([c for c in rows.columns if c != "chunk_index"])
-        _text_writer(parted.select("chunk_index", *cells)).partitionBy("chunk_index").csv(path)
+        write_partitioned(parted, path, "chunk_index")
     elif format == "parquet":
         parted.write.mode("errorifexists").partitionBy("chunk_index").parquet(path)
     else:

@@ -1,56 +1,58 @@
 """Stored tables as Parquet snapshots.
 
-Each change of a table is a new snapshot folder; the current one is the highest
-number that has a success marker. A reader keeps its snapshot while a writer
-makes the next one, so nothing is overwritten while it is read, and a failed
-write leaves the table as it was.
+Each change of a table is a new snapshot folder, and one row in the table's
+commit list makes it current. A reader keeps its snapshot while a writer makes
+the next one, so nothing is overwritten while it is read, and a write that
+fails before its commit leaves the table as it was.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 
 from rowmill.operators.paging import where_equal
 
 
-def _folders(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the finished snapshots, from a listing of their markers."""
-    from pyspark.errors import AnalysisException
-    from pyspark.sql import functions as F
-
+def _commit(spark: SparkSession, path: str, number: int | None = None) -> Row | None:
+    """Latest (or given) commit: its number and folder."""
     try:
-        markers = spark.read.format("binaryFile").load(f"{path}/snapshot=*/_SUCCESS")
-        rows = markers.select(
-            F.regexp_extract("path", r"snapshot=([0-9]+)/_SUCCESS", 1).cast("int").alias("n")
-        ).collect()
-    except AnalysisException:
-        return []
-    return sorted(row["n"] for row in rows)
+        commits = spark.read.schema("number int, folder string").parquet(f"{path}/commits")
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+    wanted = commits if number is None else commits.filter(F.col("number") == number)
+    return wanted.orderBy(F.desc("number"), "folder").first()
 
 
 def current_snapshot(spark: SparkSession, path: str) -> int | None:
-    found = _folders(spark, path)
-    return found[-1] if found else None
+    found = _commit(spark, path)
+    return found["number"] if found else None
 
 
 def write_snapshot(df: DataFrame, path: str, sort_by: str | None = None) -> str:
     """Write the next snapshot; rows sorted within files make key filters skip row groups."""
     spark = df.sparkSession
-    following = (current_snapshot(spark, path) or 0) + 1
-    target = f"{path}/snapshot={following}"
+    number = (current_snapshot(spark, path) or 0) + 1
+    folder = f"{path}/data/{number}-{uuid.uuid4().hex}"
     out = df.sortWithinPartitions(sort_by) if sort_by else df
-    out.write.mode("errorifexists").parquet(target)
-    return target
+    out.write.mode("errorifexists").parquet(folder)
+    commit = spark.createDataFrame([(number, folder)], "number int, folder string")
+    commit.coalesce(1).write.mode("append").parquet(f"{path}/commits")
+    return folder
 
 
 def read_table(
     spark: SparkSession, path: str, filters: Mapping[str, Any] | None = None, snapshot: int | None = None
 ) -> DataFrame:
     """Current (or given) snapshot, with equality filters that reach the scan."""
-    number = snapshot if snapshot is not None else current_snapshot(spark, path)
-    if number is None:
+    found = _commit(spark, path, snapshot)
+    if found is None:
         raise FileNotFoundError(f"no finished snapshot under {path}")
-    return where_equal(spark.read.parquet(f"{path}/snapshot={number}"), filters or {})
+    return where_equal(spark.read.parquet(found["folder"]), filters or {})

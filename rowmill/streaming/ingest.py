@@ -30,8 +30,7 @@ def watch_delimited(
     )
     return rows.select(
         *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in columns],
-        F.col("_metadata.file_path").alias("file_path"),
-        F.col("_metadata.file_block_start").alias("block_start"),
+        F.col("_metadata.file_path").alias("source_file"),
     )
 
 
@@ -78,21 +77,21 @@ def ingest_files(
 
     def transform(batch: DataFrame) -> DataFrame:
         numbered = batch.withColumn(order, F.col(order).cast("bigint"))
-        keep = (order, "file_path")
-        checked = validate.validate(numbered.drop("block_start"), spec, keep=keep)
+        keep = (order, "source_file")
+        checked = validate.validate(numbered, spec, keep=keep)
         if dedup_key is None:
             marked = checked.withColumn("action", F.when(F.col("is_valid"), "keep"))
         else:
             key = dedup.normalize_key(F.col(dedup_key))
             firsts = (
                 checked.filter(F.col("is_valid") & key.isNotNull())
-                .groupBy("file_path", key.alias("__key"))
+                .groupBy("source_file", key.alias("__key"))
                 .agg(F.min(order).alias(order))
-                .select("file_path", order, F.lit(True).alias("__first"))
+                .select("source_file", order, F.lit(True).alias("__first"))
             )
             stays = F.coalesce("__first", F.lit(False)) | key.isNull()
             marked = (
-                checked.join(firsts, ["file_path", order], "left")
+                checked.join(firsts, ["source_file", order], "left")
                 .withColumn("action", F.when(F.col("is_valid"), F.when(stays, "keep").otherwise("skip")))
                 .drop("__first")
             )
