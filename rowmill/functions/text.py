@@ -10,19 +10,26 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# For use inside a character class of a pattern.
 SPACE = r"\s\p{Z}\x{FEFF}"
 
-_EDGES = rf"^[{SPACE}]+|[{SPACE}]+\z"
+# The same set as characters.
+SPACE_CHARS = (
+    "\t\n\x0b\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000\ufeff"
+)
+# The ranges in front settle ordinary letters and digits with two comparisons.
+_ONE_SPACE = rf"[\x00-\x20\x80-\uffff&&[{SPACE}]]"
 
 
 def strip(c: Column) -> Column:
     """Remove white space of any kind at both ends."""
-    return F.regexp_replace(c, _EDGES, "")
+    return F.btrim(c, F.lit(SPACE_CHARS))
 
 
 def collapse_space(c: Column) -> Column:
     """Turn every run of white space into one blank."""
-    return F.regexp_replace(c, rf"[{SPACE}]+", " ")
+    return F.regexp_replace(c, f"{_ONE_SPACE}+", " ")
 
 
 def unit_length(c: Column) -> Column:

@@ -28,13 +28,12 @@ def normalize_key(
 ) -> Column:
     """Comparable form of a key; null and the empty string give null (no key)."""
     key = c.cast("string")
-    out = key
-    if trim:
-        out = text.strip(out)
-    if ignore_case:
-        out = F.lower(out)
     if collapse:
-        out = F.lower(text.strip(text.collapse_space(out)))
+        # Covers the other two: only blanks are left to trim after the collapse.
+        out = F.lower(F.trim(text.collapse_space(key)))
+    else:
+        out = text.strip(key) if trim else key
+        out = F.lower(out) if ignore_case else out
     return F.when(~text.is_blank(key), out)
 
 
@@ -102,8 +101,12 @@ def key_counts(
 def surviving_rows(
     df: DataFrame, key: Column, order: str = "row_number", last: bool = False, long_keys: bool = False
 ) -> DataFrame:
-    """Row number of the first (or last) row of every key: one shuffle of folded numbers."""
-    tagged = _with_group(df, key, long_keys).filter(F.col("__key").isNotNull())
+    """Row number of the first (or last) row of every key: one shuffle of folded numbers.
+
+    Rows without a key count as one group here; callers that keep all of them
+    decide so by the key itself.
+    """
+    tagged = _with_group(df, key, long_keys)
     pick = F.max if last else F.min
     return tagged.groupBy("__key").agg(pick(order).alias(order)).select(order)
 

@@ -43,9 +43,11 @@ def annotate(rows: DataFrame, options: BulkUpdateOptions = BulkUpdateOptions(),
         return checked.withColumn("action", F.when(F.col("is_valid"), "keep"))
     if options.strategy not in ("keep_first", "keep_last", "mark_all"):
         raise ValueError("a run marks rows; merge them with dedup.merge_per_key first")
-    key = dedup.normalize_key(F.col(options.dedup_key))
+    # Invalid rows fall into the group without a key instead of being filtered: a
+    # filter would be pushed below the rules and evaluate all of them twice.
+    key = F.when(F.col("is_valid"), dedup.normalize_key(F.col(options.dedup_key)))
     survivors = dedup.surviving_rows(
-        checked.filter("is_valid"), key, options.order, last=options.strategy == "keep_last"
+        checked, key, options.order, last=options.strategy == "keep_last"
     ).withColumn("__survives", F.lit(True))
     repeat = "review" if options.strategy == "mark_all" else "skip"
     stays = F.coalesce("__survives", F.lit(False)) | key.isNull()

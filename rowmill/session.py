@@ -20,6 +20,8 @@ def build_session(app: str = "rowmill", master: str | None = None, **conf: str)
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.ui.enabled": "false",
+        # Recording the call site of every expression doubles the time to build wide rule plans.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
     settings.update({key.replace("__", "."): str(value) for key, value in conf.items()})
     builder = SparkSession.builder.appName(app)
