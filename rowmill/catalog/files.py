@@ -49,7 +49,7 @@ def csv_first_rows(spark, folder):
     return rows.select("row_number", "id")
 
 
-_FILE = "'f' || c_nationkey || '_' || CAST(floor(c_custkey / 500) AS BIGINT)"
+_FILE = "'f' || c_nationkey || '_' || CAST(floor(c_custkey / 5000) AS BIGINT)"
 _HEADER = """CASE c_nationkey % 8 WHEN 0 THEN 'id,email,name' WHEN 1 THEN '"id", "Email" ,NAME' WHEN 2 THEN 'email,name,age'
     WHEN 3 THEN 'id,email,email' WHEN 4 THEN 'id,,name' WHEN 5 THEN 'id,=cmd,name' WHEN 6 THEN 'id,<SCRIPT>,name'
     ELSE 'id,email,' || repeat('n', 1000) END"""

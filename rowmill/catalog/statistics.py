@@ -285,13 +285,13 @@ def worker_means(spark, folder):
       CAST(sum(CASE WHEN result = 'completed' THEN 1 ELSE 0 END) OVER w AS BIGINT) AS jobs_so_far,
       sum(CASE WHEN result = 'completed' THEN ms ELSE 0 END) OVER w AS ms FROM runs
       WINDOW w AS (PARTITION BY worker ORDER BY n))
-    SELECT worker, n, jobs_so_far, CASE WHEN jobs_so_far > 0 THEN round(ms / CAST(jobs_so_far AS DOUBLE), 6) ELSE 0.0 END
+    SELECT worker, n, jobs_so_far, CASE WHEN jobs_so_far > 0 THEN CAST(ms AS DOUBLE) / jobs_so_far ELSE 0.0 END
       AS mean_duration_ms FROM t""",
 )
 def running_means(spark, folder):
     rows = _runs(spark, folder).withColumn("slice", F.floor(F.col("n") / 1_000_000_000_000))
     out = ops.running_means(rows, "worker", "slice", "n")
-    return out.select("worker", "n", "jobs_so_far", F.round("mean_duration_ms", 6).alias("mean_duration_ms"))
+    return out.select("worker", "n", "jobs_so_far", "mean_duration_ms")
 
 
 @query(

@@ -115,8 +115,9 @@ def stream_current_stats(spark, folder):
 )
 def stream_status(spark, folder):
     log = _watch(spark, folder, "events", CHANGE_LOG_CELLS).withColumn("ms", epoch_ms(F.col("ts")))
-    out = _appended(spark, stateful.track_status(log), "stream-status")
-    return out.select("action_id", "event_id", "status", "previous_status", "allowed")
+    path = scratch_dir(spark, "stream-status")
+    _finish(stateful.track_status(log, f"{path}/out", f"{path}/memory", f"{path}/checkpoint"))
+    return spark.read.parquet(f"{path}/out").select("action_id", "event_id", "status", "previous_status", "allowed")
 
 
 HOUR = 3_600_000
@@ -132,8 +133,11 @@ HOUR = 3_600_000
 )
 def stream_sliding_limit(spark, folder):
     rows = _watch(spark, folder, "events", REQUEST_CELLS).withColumn("ms", epoch_ms(F.col("ts")))
-    out = _appended(spark, stateful.sliding_limit_stream(rows, 5, HOUR), "stream-sliding")
-    return out.select("account_id", "event_id", "in_window", "allowed")
+    path = scratch_dir(spark, "stream-sliding")
+    _finish(
+        stateful.sliding_limit_stream(rows, f"{path}/out", f"{path}/memory", f"{path}/checkpoint", 5, HOUR)
+    )
+    return spark.read.parquet(f"{path}/out").select("account_id", "event_id", "in_window", "allowed")
 
 
 @query(

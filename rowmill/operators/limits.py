@@ -69,7 +69,7 @@ def session_limit(
     tie: str = "event_id",
     limit: int = 100,
     window_ms: int = WINDOW_MS,
-    slice_ms: int = 3_600_000,
+    slice_ms: int = 600_000,
 ) -> DataFrame:
     """Counter with an expiry that every request renews.
 

@@ -1,74 +1,119 @@
-"""Per-key state on streams: status changes and request windows.
-
-State is small by construction: one status per action, and at most one window
-of distinct milliseconds per account.
+"""Calculations that remember earlier micro-batches: status changes and request windows.
+
+What has to be remembered (the last status of an action, the entries of an
+account's latest window) is a table. Each micro-batch reads the table its
+predecessor left, runs the batch operator over it together with the new rows,
+and writes output and new table under its own id. A batch that runs again
+overwrites only its own folders. Busy keys are cut into slices by the batch
+operators, so none has to fit into one task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StreamingQuery
 
-from rowmill.operators.limits import LIMIT, WINDOW_MS
+from rowmill.operators.lifecycle import check_transitions
+from rowmill.operators.limits import LIMIT, WINDOW_MS, sliding_counts
 from rowmill.spec import ENFORCED_TRANSITIONS
 
-
-def track_status(changes: DataFrame, transitions: Iterable[tuple[str, str]] = ENFORCED_TRANSITIONS) -> DataFrame:
+Step = Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]
+
+
+def run_with_memory(
+    stream: DataFrame,
+    step: Step,
+    memory_schema: str,
+    out_path: str,
+    memory_path: str,
+    checkpoint: str,
+    available_now: bool = True,
+) -> StreamingQuery:
+    """Run ``step(new rows, remembered) -> (output, to remember)`` on every micro-batch."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        if batch_id == 0:
+            remembered = spark.createDataFrame([], memory_schema)
+        else:
+            remembered = spark.read.schema(memory_schema).parquet(f"{memory_path}/batch_id={batch_id - 1}")
+        output, following = step(batch, remembered)
+        output.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
+        following.write.mode("overwrite").parquet(f"{memory_path}/batch_id={batch_id}")
+
+    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start() if available_now else writer.start()
+
+
+def track_status(
+    changes: DataFrame,
+    out_path: str,
+    memory_path: str,
+    checkpoint: str,
+    transitions: Iterable[tuple[str, str]] = ENFORCED_TRANSITIONS,
+    slice_ms: int = 3_600_000,
+    available_now: bool = True,
+) -> StreamingQuery:
     """Verdict on every status change against the preceding one of its action.
 
     Input ``action_id string, ms bigint, event_id bigint, status string``; the
-    rows of one micro-batch are taken in time order.
+    rows of one micro-batch are taken in time order, after all earlier ones.
     """
-    allowed = frozenset(transitions)
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        previous = state.get[0] if state.exists else None
-        rows = pd.concat(list(frames)).sort_values(["ms", "event_id"])
-        before = rows["status"].shift(1)
-        before.iloc[0] = previous
-        verdict = [old is None or pd.isna(old) or (old, new) in allowed for old, new in zip(before, rows["status"])]
-        state.update((rows["status"].iloc[-1],))
-        yield rows.assign(previous_status=before, allowed=verdict)[
-            ["action_id", "ms", "event_id", "status", "previous_status", "allowed"]
-        ]
-
-    return changes.select("action_id", "ms", "event_id", "status").groupBy("action_id").applyInPandasWithState(
+    allowed = tuple(transitions)
+    columns = ["action_id", "ms", "event_id", "status"]
+
+    def step(batch: DataFrame, remembered: DataFrame) -> tuple[DataFrame, DataFrame]:
+        new = batch.select(*columns).withColumn("slice", F.floor(F.col("ms") / slice_ms).cast("bigint"))
+        # The remembered row of an action forms a slice of its own before all others.
+        first = remembered.withColumn("slice", F.lit(-(2**62)).cast("bigint"))
+        old = F.col("slice") == -(2**62)
+        rows = first.unionByName(new)
+        checked = check_transitions(rows, transitions=allowed).filter(~old)
+        position = F.struct(~old, "ms", "event_id")
+        last = rows.groupBy("action_id").agg(
+            *[F.max_by(c, position).alias(c) for c in ("ms", "event_id", "status")]
+        )
+        return checked.drop("slice"), last
+
+    return run_with_memory(
+        changes,
         step,
-        "action_id string, ms bigint, event_id bigint, status string, previous_status string, allowed boolean",
-        "status string",
-        "append",
-        GroupStateTimeout.NoTimeout,
+        "action_id string, ms bigint, event_id bigint, status string",
+        out_path,
+        memory_path,
+        checkpoint,
+        available_now,
     )
 
 
 def sliding_limit_stream(
-    requests: DataFrame, limit: int = LIMIT, window_ms: int = WINDOW_MS
-) -> DataFrame:
-    """Live form of the sliding window: input ``account_id string, ms bigint, event_id bigint``."""
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(frames)).sort_values(["ms", "event_id"])
-        entries = pd.Index(kept, dtype="int64").union(pd.Index(rows["ms"].unique()))
-        upto = entries.searchsorted(rows["ms"].to_numpy(), side="right")
-        gone = entries.searchsorted(rows["ms"].to_numpy() - window_ms, side="right")
-        counts = upto - gone
-        newest = int(entries[-1])
-        state.update(([int(x) for x in entries[entries > newest - window_ms]],))
-        yield rows.assign(in_window=counts, allowed=counts <= limit)[
-            ["account_id", "ms", "event_id", "in_window", "allowed"]
-        ]
-
-    return requests.select("account_id", "ms", "event_id").groupBy("account_id").applyInPandasWithState(
-        step,
-        "account_id string, ms bigint, event_id bigint, in_window bigint, allowed boolean",
-        "entries array<bigint>",
-        "append",
-        GroupStateTimeout.NoTimeout,
+    requests: DataFrame,
+    out_path: str,
+    memory_path: str,
+    checkpoint: str,
+    limit: int = LIMIT,
+    window_ms: int = WINDOW_MS,
+    available_now: bool = True,
+) -> StreamingQuery:
+    """Live form of the sliding window: input ``account_id string, ms bigint, event_id bigint``.
+
+    At most one window of distinct milliseconds per account is remembered.
+    """
+
+    def step(batch: DataFrame, remembered: DataFrame) -> tuple[DataFrame, DataFrame]:
+        entries = remembered.unionByName(batch.select("account_id", "ms")).distinct()
+        counts = sliding_counts(entries, window_ms=window_ms)
+        rows = batch.select("account_id", "ms", "event_id").join(counts, ["account_id", "ms"], "left")
+        allowed = F.coalesce(F.col("in_window") <= limit, F.lit(False))
+        newest = entries.groupBy("account_id").agg(F.max("ms").alias("newest"))
+        kept = entries.join(newest, "account_id").filter(F.col("ms") > F.col("newest") - window_ms)
+        return rows.withColumn("allowed", allowed), kept.select("account_id", "ms")
+
+    return run_with_memory(
+        requests, step, "account_id string, ms bigint", out_path, memory_path, checkpoint, available_now
     )
 
 

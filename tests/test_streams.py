@@ -25,8 +25,9 @@ def requests(spark):
 def test_sliding_limit(spark, folder):
     df = requests(spark)
     stream = parts(spark, folder, df, "ms")
-    out = stateful.sliding_limit_stream(stream, 9, 60_000)
-    counters.append_to(out, f"{folder}/out", f"{folder}/cp").awaitTermination()
+    stateful.sliding_limit_stream(
+        stream, f"{folder}/out", f"{folder}/memory", f"{folder}/cp", 9, 60_000
+    ).awaitTermination()
     found = {r["event_id"]: (r["in_window"], r["allowed"]) for r in spark.read.parquet(f"{folder}/out").collect()}
     batch = limits.sliding_limit(df, limit=9).collect()
     assert found == {r["event_id"]: (r["in_window"], r["allowed"]) for r in batch}
@@ -37,7 +38,9 @@ def test_status(spark, folder):
     rows = [(f"a{i % 3}", i, i, names[i * i % 5]) for i in range(90)]
     df = spark.createDataFrame(rows, "action_id string, ms long, event_id long, status string")
     stream = parts(spark, folder, df, "ms")
-    counters.append_to(stateful.track_status(stream), f"{folder}/out", f"{folder}/cp").awaitTermination()
+    stateful.track_status(
+        stream, f"{folder}/out", f"{folder}/memory", f"{folder}/cp", slice_ms=10
+    ).awaitTermination()
     found = {r["event_id"]: (r["previous_status"], r["allowed"]) for r in spark.read.parquet(f"{folder}/out").collect()}
     batch = lifecycle.check_transitions(df.withColumn("slice", F.floor(F.col("ms") / 10))).collect()
     assert found == {r["event_id"]: (r["previous_status"], r["allowed"]) for r in batch}
