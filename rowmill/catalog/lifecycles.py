@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rowmill.catalog.inputs import ACTIONS_SQL, CHANGE_LOG_SQL, actions, change_log
 from rowmill.catalog.registry import query, read
-from rowmill.functions.numbers import epoch_ms
+from rowmill.functions.numbers import epoch_ms, floor_div
 from rowmill.operators import lifecycle, logs
 from rowmill.spec import ENFORCED_TRANSITIONS, MODEL_TRANSITIONS
 
@@ -20,7 +20,7 @@ def _pairs(table) -> str:
 
 
 def _checked(spark, folder, table=ENFORCED_TRANSITIONS):
-    rows = change_log(spark, folder).withColumn("slice", F.floor(F.col("ms") / 7_200_000))
+    rows = change_log(spark, folder).withColumn("slice", floor_div(F.col("ms"), 7_200_000))
     return lifecycle.check_transitions(rows, transitions=table)
 
 

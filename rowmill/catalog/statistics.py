@@ -14,6 +14,7 @@ from rowmill.catalog.inputs import (
     stats,
 )
 from rowmill.catalog.registry import query, read
+from rowmill.functions.numbers import floor_div
 from rowmill.operators import stats as ops
 
 
@@ -289,7 +290,7 @@ def worker_means(spark, folder):
       AS mean_duration_ms FROM t""",
 )
 def running_means(spark, folder):
-    rows = _runs(spark, folder).withColumn("slice", F.floor(F.col("n") / 1_000_000_000_000))
+    rows = _runs(spark, folder).withColumn("slice", floor_div(F.col("n"), 1_000_000_000_000))
     out = ops.running_means(rows, "worker", "slice", "n")
     return out.select("worker", "n", "jobs_so_far", "mean_duration_ms")
 

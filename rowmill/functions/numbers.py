@@ -17,6 +17,11 @@ def parse_int(c: Column) -> Column:
     return digits.try_cast("bigint")
 
 
+def floor_div(c: Column, n: int) -> Column:
+    """Whole-number quotient rounded down, exact for every bigint."""
+    return F.call_function("div", c - F.pmod(c, F.lit(n)), F.lit(n)).cast("bigint")
+
+
 def percent(part: Column, total: Column) -> Column:
     """Share in percent with two decimals, half up; 0 for an empty total."""
     ratio = part.cast("double") / F.nullif(total, F.lit(0)).cast("double")
@@ -31,7 +36,7 @@ def ratio(part: Column, total: Column) -> Column:
 
 def epoch_ms(ts: Column) -> Column:
     """Milliseconds since 1970 of a timestamp without zone, free of the session zone."""
-    return F.floor(epoch_us(ts) / F.lit(1000)).cast("bigint")
+    return floor_div(epoch_us(ts), 1000)
 
 
 def epoch_us(ts: Column) -> Column:

@@ -18,12 +18,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rowmill.functions.numbers import floor_div
+
 ROWS_PER_SLICE = 1_000_000
 
 
 def row_slice(row_number: Column, width: int = ROWS_PER_SLICE) -> Column:
     """Slice of a unique row number: holds at most ``width`` rows of any key."""
-    return F.floor(row_number / F.lit(width)).cast("bigint")
+    return floor_div(row_number, width)
 
 
 def _local(keys: Sequence[str], slice_col: str, order_by: Sequence[Column | str]):

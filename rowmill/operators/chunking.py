@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowmill.functions import ring, text
+from rowmill.functions.numbers import floor_div
 
 NAMINGS = ("sequential", "hash_range", "hybrid")
 
@@ -242,4 +243,4 @@ def partition_jobs(metadata: DataFrame, partitions: int = 5) -> DataFrame:
 
 def batch_number(row_number: Column, size: int = 1000) -> Column:
     """Number of the write batch of a row, from 0."""
-    return F.floor((row_number - 1) / F.lit(size)).cast("bigint")
+    return floor_div(row_number - 1, size)

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rowmill.functions.numbers import floor_div
+
 WINDOW_MS = 60_000
 LIMIT = 10_000
 
@@ -25,9 +27,9 @@ def sliding_counts(
     """
     span = window_ms * slice_windows
     entries = requests.select(F.col(account), F.col(ms)).filter(F.col(account).isNotNull()).distinct()
-    own = F.floor(F.col(ms) / F.lit(span)).cast("bigint")
+    own = floor_div(F.col(ms), span)
     # An entry also matters to the next slice when its window reaches into it.
-    reach = F.floor((F.col(ms) + F.lit(window_ms - 1)) / F.lit(span)).cast("bigint")
+    reach = floor_div(F.col(ms) + (window_ms - 1), span)
     copies = entries.withColumn("__home", own).withColumn(
         "__slice", F.explode(F.array_distinct(F.array(own, reach)))
     )
@@ -76,7 +78,7 @@ def session_limit(
     The count starts over after a quiet gap of at least ``window_ms``. Adds
     ``current``, ``allowed``, ``remaining`` and ``reset_ms``.
     """
-    rows = requests.withColumn("__slice", F.floor(F.col(ms) / F.lit(slice_ms)).cast("bigint"))
+    rows = requests.withColumn("__slice", floor_div(F.col(ms), slice_ms))
     local = Window.partitionBy(account, "__slice").orderBy(ms, tie)
     first = rows.withColumns(
         {"__pos": F.row_number().over(local), "__prev": F.lag(ms).over(local)}

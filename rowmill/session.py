@@ -32,6 +32,10 @@ def build_session(app: str = "rowmill", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+# Folder per application, for local sessions without the setting.
+_LOCAL_BASES: dict[str, str] = {}
+
+
 def shared_base(spark: SparkSession) -> str:
     """Folder every executor can reach, as the cluster names it.
 
@@ -44,9 +48,10 @@ def shared_base(spark: SparkSession) -> str:
         return base.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    base = tempfile.mkdtemp(prefix="rowmill-")
-    spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_BASES:
+        _LOCAL_BASES[app] = tempfile.mkdtemp(prefix="rowmill-")
+    return _LOCAL_BASES[app]
 
 
 def scratch_dir(spark: SparkSession, purpose: str) -> str:

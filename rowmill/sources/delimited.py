@@ -232,18 +232,20 @@ MAX_BROADCAST_BLOCKS = 1_000_000
 
 def _block_bound(spark: SparkSession, path: str, recursive: bool) -> int:
     """Upper bound of the number of file blocks, from a listing without contents."""
-    # Splits can be smaller than the setting when a job has cores to spare.
-    size = F.least(
-        F.lit(_to_bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))),
-        F.lit(_to_bytes(spark.conf.get("spark.sql.files.openCostInBytes"))),
-    )
     listing = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", str(recursive).lower())
         .load(path)
-        .agg(F.sum(F.ceil(F.col("length") / size) + 1).alias("blocks"))
+        .agg(F.sum("length").alias("bytes"), F.count(F.lit(1)).alias("files"))
+        .first()
     )
-    return int(listing.first()["blocks"] or 0)
+    total = listing["bytes"] or 0
+    largest = _to_bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    smallest = _to_bytes(spark.conf.get("spark.sql.files.openCostInBytes"))
+    # Small inputs are split further so that every core gets a share.
+    cores = spark.conf.get("spark.sql.files.minPartitionNum", None) or spark.sparkContext.defaultParallelism
+    block = max(1, min(largest, max(smallest, total // int(cores))))
+    return total // block + listing["files"]
 
 
 def _to_bytes(setting: str) -> int:

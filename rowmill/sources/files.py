@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rowmill.functions.numbers import floor_div
+
 # Accepted uploads.
 EXTENSIONS = ("csv", "txt")
 CONTENT_TYPES = ("text/csv", "application/csv", "text/plain")
@@ -130,7 +132,7 @@ def parse_path(path: Column) -> dict[str, Column]:
 
 def estimate_entities(size: Column, bytes_per_row: int = 20) -> Column:
     """Rows of an upload from its size, header excluded."""
-    return F.greatest(F.lit(0), F.floor(size / F.lit(bytes_per_row)) - 1).cast("bigint")
+    return F.greatest(F.lit(0), floor_div(size, bytes_per_row) - 1).cast("bigint")
 
 
 def estimate_rows(size: Column, bytes_per_row: int = 150) -> Column:

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from rowmill.functions.numbers import floor_div
 from rowmill.operators.lifecycle import check_transitions
 from rowmill.operators.limits import LIMIT, WINDOW_MS, sliding_counts
 from rowmill.spec import ENFORCED_TRANSITIONS
@@ -66,7 +67,7 @@ def track_status(
     columns = ["action_id", "ms", "event_id", "status"]
 
     def step(batch: DataFrame, remembered: DataFrame) -> tuple[DataFrame, DataFrame]:
-        new = batch.select(*columns).withColumn("slice", F.floor(F.col("ms") / slice_ms).cast("bigint"))
+        new = batch.select(*columns).withColumn("slice", floor_div(F.col("ms"), slice_ms))
         # The remembered row of an action forms a slice of its own before all others.
         first = remembered.withColumn("slice", F.lit(-(2**62)).cast("bigint"))
         old = F.col("slice") == -(2**62)
