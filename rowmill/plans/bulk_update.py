@@ -30,34 +30,57 @@ class BulkUpdateOptions:
     order: str = "row_number"
 
 
-def annotate(rows: DataFrame, options: BulkUpdateOptions = BulkUpdateOptions(), spec: EntitySpec = CONTACTS) -> DataFrame:
-    """Every row with its errors and duplicate verdict; invalid rows have no verdict.
+def check(rows: DataFrame, options: BulkUpdateOptions = BulkUpdateOptions(), spec: EntitySpec = CONTACTS) -> DataFrame:
+    """Every row with its cleaned values, errors and validity."""
+    return validate.validate(
+        rows, spec, strict=options.strict, empty_optional=options.empty_optional, keep=(options.order,)
+    )
+
+
+def _dedup_key(options: BulkUpdateOptions) -> Column:
+    # Invalid rows fall into the group without a key instead of being filtered: a
+    # filter would be pushed below the rules and evaluate all of them twice.
+    return F.when(F.col("is_valid"), dedup.normalize_key(F.col(options.dedup_key)))
+
+
+def survivors(checked: DataFrame, options: BulkUpdateOptions) -> DataFrame:
+    """Row number of the valid row that stands for each duplicate key."""
+    if options.strategy not in ("keep_first", "keep_last", "mark_all"):
+        raise ValueError("a run marks rows; merge them with dedup.merge_per_key first")
+    return dedup.surviving_rows(
+        checked, _dedup_key(options), options.order, last=options.strategy == "keep_last"
+    )
+
+
+def mark(checked: DataFrame, options: BulkUpdateOptions) -> DataFrame:
+    """Duplicate verdict of every valid row; invalid rows have none.
 
     Only the folded first (or last) row number per key is shuffled by key. The
     rows meet it on the unique row number, so a frequent key skews nothing.
     """
-    checked = validate.validate(
-        rows, spec, strict=options.strict, empty_optional=options.empty_optional, keep=(options.order,)
-    )
     if options.dedup_key is None:
         return checked.withColumn("action", F.when(F.col("is_valid"), "keep"))
-    if options.strategy not in ("keep_first", "keep_last", "mark_all"):
-        raise ValueError("a run marks rows; merge them with dedup.merge_per_key first")
-    # Invalid rows fall into the group without a key instead of being filtered: a
-    # filter would be pushed below the rules and evaluate all of them twice.
-    key = F.when(F.col("is_valid"), dedup.normalize_key(F.col(options.dedup_key)))
-    survivors = dedup.surviving_rows(
-        checked, key, options.order, last=options.strategy == "keep_last"
-    ).withColumn("__survives", F.lit(True))
+    numbers = survivors(checked, options)
     repeat = "review" if options.strategy == "mark_all" else "skip"
-    stays = F.coalesce("__survives", F.lit(False)) | key.isNull()
+    stays = F.coalesce("__survives", F.lit(False)) | _dedup_key(options).isNull()
     return (
-        checked.join(survivors, options.order, "left")
+        checked.join(numbers.withColumn("__survives", F.lit(True)), options.order, "left")
         .withColumn("action", F.when(F.col("is_valid"), F.when(stays, "keep").otherwise(repeat)))
         .drop("__survives")
     )
 
 
+def annotate(rows: DataFrame, options: BulkUpdateOptions = BulkUpdateOptions(), spec: EntitySpec = CONTACTS) -> DataFrame:
+    """Every row with its errors and duplicate verdict."""
+    return mark(check(rows, options, spec), options)
+
+
+def _written(df: DataFrame, purpose: str) -> DataFrame:
+    path = scratch_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def route(annotated: DataFrame, chunks: int, spec: EntitySpec = CONTACTS) -> DataFrame:
     """Chunk index of every valid row that is not skipped; null on the others."""
     options = chunking.ChunkOptions(chunks=chunks, field=spec.key)
@@ -87,16 +110,18 @@ def run(
 ) -> BulkUpdateRun:
     """Validate, deduplicate, route and apply one upload.
 
-    The annotated rows are written once to the shared folder, because outcomes,
-    new state and totals all start from them; a lost executor then re-reads
-    files instead of the whole lineage.
+    The checked rows are written to the shared folder, so the rules run once;
+    the annotated rows are written too, because outcomes, new state and totals
+    all start from them. Later reads take only the columns they need, and a lost
+    executor re-reads files instead of the whole lineage.
     """
-    annotated = annotate(rows, options, spec)
+    checked = check(rows, options, spec)
     if persist:
-        path = scratch_dir(rows.sparkSession, "annotated")
-        annotated.write.parquet(path)
-        annotated = rows.sparkSession.read.parquet(path)
-    valid = annotated.agg(F.count_if(F.col("is_valid"))).first()[0]
+        checked = _written(checked, "checked")
+    annotated = mark(checked, options)
+    if persist and options.dedup_key is not None:
+        annotated = _written(annotated, "annotated")
+    valid = checked.agg(F.count_if(F.col("is_valid"))).first()[0]
     planned = chunking.plan_options(valid, options.target_rows, options.max_chunks)
     routed = route(annotated, planned.chunks, spec)
     kept = routed.filter(F.col("chunk_index").isNotNull()).select(
