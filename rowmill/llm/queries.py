@@ -6,12 +6,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowmill.catalog.registry import read
-from rowmill.llm import grades, line_rules
+from rowmill.llm import grades, line_rules, packing
 from rowmill.llm.registry import ORACLE, QUERIES, query
 
 __all__ = ["ORACLE", "QUERIES"]
 
 
+def vocabulary(name: str) -> str:
+    """Path of a public vocabulary file; the same on every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def grade_of_labels() -> Column:
     """0 bad, 1 readable but toxic, 2 good; null without a quality label."""
     return F.when(F.col("quality") == 0, 0).when(F.col("quality") > 0, F.when(F.col("toxic") > 0, 1).otherwise(2))
@@ -29,3 +36,11 @@ def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents")
     chain = line_rules.train(docs, read(spark, folder, "labels"))
     return line_rules.label_lines(docs, chain).drop("labels")
+
+
+@query("op5_packing")
+def packed(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = packing.pack(read(spark, folder, "documents"), vocabulary("word_bpe_49k.json"))
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "queue"
+    )

@@ -37,3 +37,17 @@ def labelled_sample(labels: DataFrame, id_col: str, *values: str, most: int) ->
         .agg(*[F.min(F.col(c)).alias(c) for c in values])
     )
     return folded.orderBy(F.xxhash64("id"), "id").limit(most)
+
+
+def worker_memo(name: str, make):
+    """A value that one Python worker keeps over its tasks, made on first use.
+
+    Functions travel by value, so their own globals last for one task only.
+    """
+    import sys
+    import types
+
+    kept = sys.modules.setdefault("rowmill_worker_memo", types.ModuleType("rowmill_worker_memo")).__dict__
+    if name not in kept:
+        kept[name] = make()
+    return kept[name]
