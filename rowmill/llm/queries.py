@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowmill.catalog.registry import read
-from rowmill.llm import grades, line_rules, packing
+from rowmill.llm import grades, line_rules, near_copies, packing
 from rowmill.llm.registry import ORACLE, QUERIES, query
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -44,3 +44,8 @@ def packed(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "queue"
     )
+
+
+@query("op10_near_copies")
+def copies_linked(spark: SparkSession, folder: str) -> DataFrame:
+    return near_copies.link_copies(read(spark, folder, "documents"))
