@@ -5,9 +5,10 @@ thresholds cut its score: ``P(grade >= k) = sigmoid(score - threshold[k])``.
 The expected grade is the sum of these tail probabilities, and the tail
 probability of the top grade selects documents.
 
-Features are a text's distinct words and a few words that stand for its shape
-(share of distinct words, of symbols, of capitals, word length), hashed into a
-fixed number of weights. The fit uses a bounded sample of labelled rows; the
+Features are a text's distinct words, the first four bytes of longer ones, and a few
+words that stand for its shape (share of distinct words, of symbols, of capitals, word
+length), hashed into a fixed number of weights. Of the sample's features those count that
+go with the grade by a chi-square test. The fit uses a bounded sample of labelled rows; the
 score covers whole texts of all rows in one pass without a shuffle.
 
 Null and empty texts have shape features only. Without two grades in the sample
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowmill.llm.line_rules import SYMBOLS, UPPER
-from rowmill.llm.words import labelled_sample, select_text
+from rowmill.llm.words import keep_rows, labelled_sample, select_text
 
 EDGES = b".,;:!?\"'()[]"
 
@@ -53,14 +54,34 @@ def shape_words(text: bytes, words: list[bytes], distinct: int) -> list[bytes]:
 
 
 def slot(word: bytes, bits: int) -> int:
-    return zlib.crc32(word if word[:1] == b"\x00" else word.strip(EDGES)) & ((1 << bits) - 1)
+    return zlib.crc32(word if word[:1] in (b"\x00", b"\x01") else word.strip(EDGES)) & ((1 << bits) - 1)
 
 
 def text_words(text: bytes) -> set[bytes]:
-    """Distinct lower-cased words of a text and its shape words."""
+    """Distinct lower-cased words of a text, their beginnings, and its shape words."""
     words = text.lower().split()
     distinct = set(words)
-    return distinct.union(shape_words(text, words, len(distinct)))
+    starts = {b"\x01" + w[:4] for w in distinct if len(w) > 4}
+    return distinct.union(starts, shape_words(text, words, len(distinct)))
+
+
+def telling(slots: list[np.ndarray], grades: np.ndarray, n_grades: int, n_slots: int, least: int = 5) -> np.ndarray:
+    """Which features go with the grade: at some threshold, presence and tail are not independent.
+
+    Large samples ask for a stronger relation, not only a surer one.
+    """
+    n, flat = len(slots), np.concatenate(slots)
+    chi_square = 12 + max(0, n - 4000) / 45
+    owner = np.repeat(np.arange(n), list(map(len, slots)))
+    have = np.bincount(flat, minlength=n_slots).astype(float)
+    found = np.zeros(n_slots, bool)
+    for k in range(1, n_grades):
+        above = grades >= k
+        both = np.bincount(flat[above[owner]], minlength=n_slots)
+        wanted = have * above.mean()
+        spread = have * (1 - have / n) * above.mean() * (1 - above.mean())
+        found |= (both - wanted) ** 2 > chi_square * np.maximum(spread, 1e-12)
+    return found & (have >= least)
 
 
 class Ordinal:
@@ -74,16 +95,15 @@ class Ordinal:
         return [1.0 / (1.0 + math.exp(-max(-500.0, min(500.0, score - t)))) for t in self.thresholds.tolist()]
 
 
-def fit_ordinal(slots: list[np.ndarray], grades: np.ndarray, n_grades: int, bits: int, rounds: int = 12, rate: float = 0.1, penalty: float = 2e-4) -> Ordinal:
+def fit_ordinal(slots: list[np.ndarray], grades: np.ndarray, n_grades: int, bits: int, rounds: int = 24, rate: float = 0.1, penalty: float = 2e-4) -> Ordinal:
     """Stochastic gradient ascent with per-weight steps on the cumulative-link likelihood."""
     weights = np.zeros(1 << bits)
     seen = sorted(set(grades.tolist()))
     if len(seen) < 2:
         only = seen[0] if seen else n_grades - 1
         return Ordinal(weights, np.array([-500.0 if k <= only else 500.0 for k in range(1, n_grades)]), bits)
-    counts = np.bincount(np.concatenate(slots), minlength=1 << bits)
-    frequent = counts >= 3
-    slots = [s[frequent[s]] for s in slots]
+    used = telling(slots, grades, n_grades, 1 << bits)
+    slots = [s[used[s]] for s in slots]
     tail = np.array([(grades >= k).mean() for k in range(1, n_grades)]).clip(1e-3, 1 - 1e-3)
     thresholds = -np.log(tail / (1 - tail))
     past, past_t = np.full(1 << bits, 1e-2), np.full(n_grades - 1, 1e-2)
@@ -136,32 +156,36 @@ def train(
     return fit_ordinal([np.array(r["slots"], int) for r in sample], np.array([r["grade"] for r in sample], int), n_grades, bits)
 
 
-def grade_documents(
-    docs: DataFrame, model: Ordinal, id_col: str = "doc_id", text_col: str = "text", min_tail: float = 0.5, most_words: int = 400_000
-) -> DataFrame:
-    """One row per document: score, expected grade, tail probability of the top grade, verdict.
+class Grader:
+    """Scores texts; remembers the weights of at most ``most_words`` words, others are looked up again."""
 
-    ``most_words`` bounds the words whose weight a Python worker remembers; the
-    weights of other words are looked up again, with the same result.
-    """
+    def __init__(self, model: Ordinal, min_tail: float = 0.5, most_words: int = 400_000):
+        self.model, self.min_tail, self.most_words, self.known = model, min_tail, most_words, None
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, bits = model.weights, model.bits
+    def judge(self, text: bytes) -> tuple[float, float, float, bool]:
+        """Score, expected grade, tail probability of the top grade, verdict."""
+        if self.known is None:
+            weights, bits, most = self.model.weights, self.model.bits, self.most_words
 
-        class Known(dict):
-            def __missing__(self, word: bytes) -> float:
-                weight = float(weights[slot(word, bits)])
-                if len(self) < most_words:
-                    self[word] = weight
-                return weight
+            class Known(dict):
+                def __missing__(self, word: bytes) -> float:
+                    weight = float(weights[slot(word, bits)])
+                    if len(self) < most:
+                        self[word] = weight
+                    return weight
 
-        known = Known()
+            self.known = Known()
+        score = math.fsum(map(self.known.__getitem__, text_words(text)))
+        tails = self.model.tails(score)
+        return score, sum(tails), tails[-1], tails[-1] >= self.min_tail
+
+
+def grade_documents(docs: DataFrame, grader: Grader, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: score, expected grade, tail probability of the top grade, verdict."""
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text in batch.column("text"):
-                score = math.fsum(map(known.__getitem__, text_words(text.as_py())))
-                tails = model.tails(score)
-                out.append((score, sum(tails), tails[-1], tails[-1] >= min_tail))
+            out = [grader.judge(text.as_py()) for text in batch.column("text")]
             columns = list(zip(*out)) if out else [()] * 4
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), *[pa.array(c, k) for c, k in zip(columns, [pa.float64()] * 3 + [pa.bool_()])]],
@@ -172,3 +196,8 @@ def grade_documents(
     kind = rows.schema["id"].dataType.simpleString()
     found = rows.mapInArrow(judge, f"id {kind}, score double, expected_grade double, tail double, kept boolean")
     return found.withColumnRenamed("id", id_col)
+
+
+def keep_graded(docs: DataFrame, grader: Grader, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the classifier keeps, all columns as they are."""
+    return keep_rows(docs, text_col, lambda text: grader.judge(text)[-1])

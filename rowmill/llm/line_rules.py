@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowmill.llm.words import BLANKS, labelled_sample, select_text
+from rowmill.llm.words import BLANKS, keep_rows, labelled_sample, select_text
 
 # The symbols that the base rules count.
 SYMBOLS = b"#*$%&|<>"
@@ -211,40 +211,43 @@ RULE_COLUMNS = (
 )
 
 
-def label_lines(
-    docs: DataFrame,
-    chain: Chain,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    min_share: float = 0.5,
-    min_words: int = 50,
-    max_repeat_percent: int = 50,
-) -> DataFrame:
-    """One row per document: base counts, line labels (``c``/``b`` per line with a word), verdict.
+class Rules:
+    """The trained chain and the limits of the verdict.
 
     ``base_failed``: fewer than ``min_words`` words, or more than
     ``max_repeat_percent`` percent of them in repeated three-word windows.
     ``kept``: the base rules hold and at least ``min_share`` of the words lie in
-    content lines. One pass over the rows, no shuffle.
+    content lines.
+    """
+
+    def __init__(self, chain: Chain, min_share: float = 0.5, min_words: int = 50, max_repeat_percent: int = 50):
+        self.chain, self.min_share, self.min_words, self.max_repeat_percent = chain, min_share, min_words, max_repeat_percent
+
+    def judge(self, text: bytes) -> tuple:
+        """The values of ``RULE_COLUMNS`` for one text."""
+        words = text.split()
+        n = len(words)
+        chars = len(text.translate(None, CONTINUED + BLANKS))
+        symbols = len(text) - len(text.translate(None, SYMBOLS))
+        repeats = repeat_words(words)
+        features, sizes, repeated = text_features(text)
+        labels = self.chain.decode(np.asarray(features, float)) if features else []
+        content = sum(s for s, label in zip(sizes, labels) if label)
+        failed = n < self.min_words or 100 * repeats > self.max_repeat_percent * n
+        share = content / n if n else 0.0
+        shown = "".join("c" if label else "b" for label in labels)
+        return n, chars, symbols, repeated, repeats, failed, content, share, shown, not failed and share >= self.min_share
+
+
+def label_lines(docs: DataFrame, rules: Rules, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: base counts, line labels (``c``/``b`` per line with a word), verdict.
+
+    One pass over the rows, no shuffle.
     """
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for text in batch.column("text"):
-                text = text.as_py()
-                words = text.split()
-                n = len(words)
-                chars = len(text.translate(None, CONTINUED + BLANKS))
-                symbols = len(text) - len(text.translate(None, SYMBOLS))
-                repeats = repeat_words(words)
-                features, sizes, repeated = text_features(text)
-                labels = chain.decode(np.asarray(features, float)) if features else []
-                content = sum(s for s, label in zip(sizes, labels) if label)
-                failed = n < min_words or 100 * repeats > max_repeat_percent * n
-                share = content / n if n else 0.0
-                shown = "".join("c" if label else "b" for label in labels)
-                out.append((n, chars, symbols, repeated, repeats, failed, content, share, shown, not failed and share >= min_share))
+            out = [rules.judge(text.as_py()) for text in batch.column("text")]
             columns = list(zip(*out)) if out else [()] * 10
             kinds = [pa.int64()] * 5 + [pa.bool_(), pa.int64(), pa.float64(), pa.string(), pa.bool_()]
             yield pa.RecordBatch.from_arrays(
@@ -255,3 +258,8 @@ def label_lines(
     rows = select_text(docs, id_col, text_col)
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(judge, f"id {kind}, {RULE_COLUMNS}").withColumnRenamed("id", id_col)
+
+
+def keep_content(docs: DataFrame, rules: Rules, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the rules keep, all columns as they are."""
+    return keep_rows(docs, text_col, lambda text: rules.judge(text)[-1])

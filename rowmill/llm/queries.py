@@ -20,22 +20,23 @@ def vocabulary(name: str) -> str:
 
 
 def grade_of_labels() -> Column:
-    """0 bad, 1 readable but toxic, 2 good; null without a quality label."""
-    return F.when(F.col("quality") == 0, 0).when(F.col("quality") > 0, F.when(F.col("toxic") > 0, 1).otherwise(2))
+    """0 toxic, 1 bad, 2 good; null without a quality label."""
+    good = F.when(F.col("quality") > 0, 2).otherwise(1)
+    return F.when(F.col("quality").isNotNull(), F.when(F.col("toxic") > 0, 0).otherwise(good))
 
 
 @query("op4_quality_classifier")
 def quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents")
     model = grades.train(docs, read(spark, folder, "labels"), grade_of_labels(), 3)
-    return grades.grade_documents(docs, model)
+    return grades.grade_documents(docs, grades.Grader(model))
 
 
 @query("op9_quality_rules")
 def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents")
     chain = line_rules.train(docs, read(spark, folder, "labels"))
-    return line_rules.label_lines(docs, chain).drop("labels")
+    return line_rules.label_lines(docs, line_rules.Rules(chain)).drop("labels")
 
 
 @query("op5_packing")

@@ -7,6 +7,8 @@ has to be decoded. UTF-8 never uses those bytes inside another character.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +41,36 @@ def labelled_sample(labels: DataFrame, id_col: str, *values: str, most: int) ->
     return folded.orderBy(F.xxhash64("id"), "id").limit(most)
 
 
+def keep_rows(docs: DataFrame, text_col: str, verdict: Callable[[bytes], bool]) -> DataFrame:
+    """The rows whose text the verdict keeps, with the columns of ``docs``; one pass, no shuffle."""
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    width = len(docs.columns)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wanted = pa.array([bool(verdict(text.as_py())) for text in batch.column(width)], pa.bool_())
+            yield batch.select(list(range(width))).filter(wanted)
+
+    return docs.select("*", as_bytes(F.col(text_col)).alias("_text_bytes")).mapInArrow(keep, docs.schema)
+
+
+def in_slices(batches, column: str = "text", most_bytes: int = 4_000_000):
+    """The batches in runs of rows whose ``column`` has about ``most_bytes`` bytes at most, one row at least."""
+    import numpy as np
+
+    for batch in batches:
+        sizes = np.cumsum([len(value.as_buffer()) for value in batch.column(column)] if batch.num_rows else [0])
+        start = 0
+        while start < batch.num_rows:
+            before = int(sizes[start - 1]) if start else 0
+            end = max(start + 1, int(np.searchsorted(sizes, before + most_bytes, "right")))
+            yield batch.slice(start, end - start)
+            start = end
+
+
 def worker_memo(name: str, make):
     """A value that one Python worker keeps over its tasks, made on first use.
 
