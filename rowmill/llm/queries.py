@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowmill.catalog.registry import read
-from rowmill.llm import chat, grades, licenses, line_rules, near_copies, packing, url_filter
+from rowmill.llm import chat, grades, licenses, line_rules, near_copies, packing, pieces, url_filter
 from rowmill.llm.registry import ORACLE, QUERIES, query
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -166,3 +166,17 @@ def chats_formatted(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2("loss", 256).alias("loss_sha256"),
         "formatted_chars",
     )
+
+
+@query("op2_piece_segments")
+def segmented(spark: SparkSession, folder: str) -> DataFrame:
+    """The four best segmentations of every text by their costs, and the text decoded from the best."""
+    model = vocabulary("piece_bpe_32k.model")
+    encoded = pieces.encode(read(spark, folder, "documents"), model)
+    facts = encoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "costs", F.size("changes").cast("long").alias("n_changes"), "ids"
+    )
+    decoded = pieces.decode(facts, model)
+    return decoded.select(
+        "doc_id", "n_pieces", "ids_hash", "costs", "n_changes", F.crc32(F.col("text").cast("binary")).alias("decoded_crc32"), F.length("text").cast("long").alias("decoded_chars")
+    )
