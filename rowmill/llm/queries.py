@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowmill.catalog.registry import read
-from rowmill.llm import chat, grades, licenses, line_rules, near_copies, packing, pieces, url_filter
+from rowmill.llm import chat, cover_tree, grades, licenses, line_rules, near_copies, packing, pieces, url_filter
 from rowmill.llm.registry import ORACLE, QUERIES, query
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -180,3 +180,8 @@ def segmented(spark: SparkSession, folder: str) -> DataFrame:
     return decoded.select(
         "doc_id", "n_pieces", "ids_hash", "costs", "n_changes", F.crc32(F.col("text").cast("binary")).alias("decoded_crc32"), F.length("text").cast("long").alias("decoded_chars")
     )
+
+
+@query("op6_near_vectors")
+def vectors_linked(spark: SparkSession, folder: str) -> DataFrame:
+    return cover_tree.link_vectors(read(spark, folder, "embeddings"))
