@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowmill.catalog.registry import read
-from rowmill.llm import chat, cover_tree, grades, licenses, line_rules, near_copies, packing, pieces, url_filter
+from rowmill.llm import chat, cover_tree, grades, licenses, line_rules, near_copies, packing, pieces, pitman_yor, url_filter
 from rowmill.llm.registry import ORACLE, QUERIES, query
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -185,3 +185,9 @@ def segmented(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_near_vectors")
 def vectors_linked(spark: SparkSession, folder: str) -> DataFrame:
     return cover_tree.link_vectors(read(spark, folder, "embeddings"))
+
+
+@query("op8_lm_score")
+def texts_scored(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
+    return pitman_yor.score_texts(read(spark, folder, "documents"), held_out)
