@@ -74,24 +74,24 @@ def chunk_unassigned(spark, folder):
 
 
 _PLAN = """WITH g AS (SELECT l_suppkey, count(*) * 9 AS n FROM lineitem GROUP BY l_suppkey),
-    p AS (SELECT l_suppkey, n, greatest(1, least(100, CAST(ceil(n / 1000.0) AS BIGINT))) AS chunks FROM g)"""
+    p AS (SELECT l_suppkey, n, greatest(1, CAST(ceil(n / 1000.0) AS BIGINT)) AS chunks FROM g)"""
 
 
 @query(
     "chunk_plan",
     f"""{_PLAN} SELECT l_suppkey, CAST(n AS BIGINT) AS row_count, CAST(chunks AS INTEGER) AS chunks,
-      CAST(least(ceil(n / CAST(chunks AS DOUBLE)), 1000) AS BIGINT) AS max_rows,
+      CAST(ceil(n / CAST(chunks AS DOUBLE)) AS BIGINT) AS max_rows,
       CAST(floor(ceil(n / CAST(chunks AS DOUBLE)) * 0.1) AS BIGINT) AS min_rows FROM p""",
 )
 def chunk_plan(spark, folder):
     counts = read(spark, folder, "lineitem").groupBy("l_suppkey").agg((F.count(F.lit(1)) * 9).alias("row_count"))
-    return counts.withColumns(chunking.plan_chunks(F.col("row_count")))
+    return counts.withColumns(chunking.plan_chunks(F.col("row_count"), target=1000))
 
 
 @query(
     "chunk_many_runs",
     f"""WITH g AS (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY l_suppkey),
-    p AS (SELECT l_suppkey, greatest(1, least(100, CAST(ceil(n / 50.0) AS BIGINT))) AS chunks FROM g),
+    p AS (SELECT l_suppkey, greatest(1, CAST(ceil(n / 50.0) AS BIGINT)) AS chunks FROM g),
     i AS (SELECT l.l_suppkey, CAST(least({_h64("CAST(l_orderkey AS VARCHAR) || '-' || l_linenumber")}
        // (CAST({SPACE} AS HUGEINT) // chunks), chunks - 1) AS INTEGER) AS chunk_index
        FROM lineitem l JOIN p ON l.l_suppkey = p.l_suppkey)

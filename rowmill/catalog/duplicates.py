@@ -140,41 +140,41 @@ def normalize_keys(spark, folder):
     )
 
 
-@query(
-    "dup_report",
-    f"""WITH {DOCS_SQL} SELECT min(row_number) AS first_row, max(row_number) AS last_row, count(*) AS occurrences,
-      string_agg(CAST(row_number AS VARCHAR), ',' ORDER BY row_number) AS rows FROM docs WHERE k IS NOT NULL
-      GROUP BY k HAVING count(*) > 1""",
-)
+def _report_sql(cte: str, table: str) -> str:
+    return f"""WITH {cte} SELECT min(row_number) AS first_row, max(row_number) AS last_row, count(*) AS occurrences
+      FROM {table} WHERE k IS NOT NULL GROUP BY k HAVING count(*) > 1"""
+
+
+def _occurrences_sql(cte: str, table: str, tail: str = "") -> str:
+    return f"""WITH {cte}, r AS (SELECT k, min(row_number) AS first_row, count(*) AS n FROM {table} WHERE k IS NOT NULL
+      GROUP BY k HAVING count(*) > 1 {tail})
+    SELECT first_row, row_number, row_number() OVER (PARTITION BY first_row ORDER BY row_number) AS occurrence
+    FROM {table} t JOIN r ON t.k = r.k"""
+
+
+@query("dup_report", _report_sql(DOCS_SQL, "docs"))
 def dup_report(spark, folder):
-    report = dedup.duplicate_report(documents(spark, folder), _text_key(), long_keys=True, slice_rows=256)
-    return report.withColumn("rows", F.array_join(F.col("rows").cast("array<string>"), ","))
+    return dedup.duplicate_report(documents(spark, folder), _text_key(), long_keys=True)
 
 
-@query(
-    "dup_report_contacts",
-    f"""WITH {KEYED_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY row_number) AS n
-      FROM keyed WHERE k IS NOT NULL)
-    SELECT min(row_number) AS first_row, max(row_number) AS last_row, count(*) AS occurrences,
-      string_agg(CAST(row_number AS VARCHAR), ',' ORDER BY row_number) FILTER (n <= 100) AS rows FROM r
-      GROUP BY k HAVING count(*) > 1""",
-)
+@query("dup_occurrences", _occurrences_sql(DOCS_SQL, "docs"))
+def dup_occurrences(spark, folder):
+    return dedup.duplicate_occurrences(documents(spark, folder), _text_key(), long_keys=True, slice_rows=256)
+
+
+@query("dup_report_contacts", _report_sql(KEYED_SQL, "keyed"))
 def dup_report_contacts(spark, folder):
-    report = dedup.duplicate_report(contacts(spark, folder), _email_key(), slice_rows=256)
-    return report.withColumn("rows", F.array_join(F.col("rows").cast("array<string>"), ","))
+    return dedup.duplicate_report(contacts(spark, folder), _email_key())
 
 
-@query(
-    "dup_samples",
-    f"""WITH {DOCS_SQL} SELECT min(row_number) AS first_row, count(*) AS occurrences,
-      string_agg(CAST(row_number AS VARCHAR), ',' ORDER BY row_number) AS rows FROM docs WHERE k IS NOT NULL
-      GROUP BY k HAVING count(*) > 1 ORDER BY occurrences DESC, first_row LIMIT 10""",
-)
+@query("dup_occurrences_contacts", _occurrences_sql(KEYED_SQL, "keyed"))
+def dup_occurrences_contacts(spark, folder):
+    return dedup.duplicate_occurrences(contacts(spark, folder), _email_key(), slice_rows=256)
+
+
+@query("dup_samples", _occurrences_sql(DOCS_SQL, "docs", "ORDER BY n DESC, first_row LIMIT 10"))
 def dup_samples(spark, folder):
-    report = dedup.duplicate_report(documents(spark, folder), _text_key(), top=10, long_keys=True)
-    return report.select(
-        "first_row", "occurrences", F.array_join(F.col("rows").cast("array<string>"), ",").alias("rows")
-    )
+    return dedup.duplicate_occurrences(documents(spark, folder), _text_key(), top=10, long_keys=True)
 
 
 def _totals_sql(cte: str, table: str) -> str:

@@ -268,8 +268,7 @@ def synthetic_actions(spark, folder):
 
 @query(
     "update_file",
-    """SELECT c_custkey, substr(md5(CAST(c_custkey AS VARCHAR) || '|update'), 1, 10) AS c_name FROM customer
-    ORDER BY c_custkey LIMIT 10000""",
+    """SELECT c_custkey, substr(md5(CAST(c_custkey AS VARCHAR) || '|update'), 1, 10) AS c_name FROM customer""",
 )
 def update_file(spark, folder):
     rows = seeds.update_file(read(spark, folder, "customer"), "c_name", "c_custkey", order="c_custkey")

@@ -17,7 +17,7 @@ FLOW_SQL = f"""{CHECKED_SQL},
     marked AS (SELECT row_number, id, email, name, CAST(age AS INTEGER) AS age, segment, len(errors) = 0 AS ok,
       row_number() OVER (PARTITION BY email, len(errors) = 0 ORDER BY row_number) AS n FROM checked),
     kept AS (SELECT * FROM marked WHERE ok AND n = 1),
-    size AS (SELECT greatest(1, least(100, CAST(ceil(count(*) / 1000.0) AS BIGINT))) AS chunks FROM marked WHERE ok),
+    size AS (SELECT greatest(1, CAST(ceil(count(*) / 1000.0) AS BIGINT)) AS chunks FROM marked WHERE ok),
     routed AS (SELECT m.*, CASE WHEN ok AND n = 1 THEN CAST(least(CAST(CAST(('0x' || substr(sha256(lower(id)), 1, 16)) AS UBIGINT)
       AS HUGEINT) // (CAST({_SPACE} AS HUGEINT) // chunks), chunks - 1) AS INTEGER) END AS chunk_index FROM marked m, size),
     target AS (SELECT * FROM (SELECT 'c-' || c_custkey AS id, c_name AS name, CAST(18 + c_custkey % 60 AS INTEGER) AS age,
@@ -32,9 +32,9 @@ def _target(spark, folder):
     return merge.lookup(stored(spark, folder).select("id", "name", "age", "updated_at"), known, "id", False)
 
 
-def _run(spark, folder, persist=True):
+def _run(spark, folder):
     return bulk_update.run(
-        contacts(spark, folder), _target(spark, folder), now=F.lit(NOW).cast("bigint"), persist=persist
+        contacts(spark, folder), _target(spark, folder), now=F.lit(NOW).cast("bigint")
     )
 
 
@@ -74,7 +74,7 @@ def flow_new_state(spark, folder):
     FROM kept""",
 )
 def flow_outcomes(spark, folder):
-    return _run(spark, folder, persist=False).outcomes.select("row_number", "id", "outcome")
+    return _run(spark, folder).outcomes.select("row_number", "id", "outcome")
 
 
 @query(
@@ -84,5 +84,5 @@ def flow_outcomes(spark, folder):
       count(DISTINCT chunk_index) AS chunks_created FROM routed GROUP BY segment""",
 )
 def run_result(spark, folder):
-    routed = _run(spark, folder, persist=False).annotated
+    routed = _run(spark, folder).annotated
     return stats.run_result(routed, ["segment"])

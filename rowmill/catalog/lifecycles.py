@@ -74,10 +74,9 @@ _NOW_MS = 1_706_400_000_000
     f"""WITH j AS (SELECT CASE WHEN user_id % 3 = 0 THEN 'q-busy' ELSE 'q-' || (user_id % 10) END AS queue, event_id AS job_id,
       CASE WHEN event_type = 'error' THEN 'failed' WHEN event_type = 'view' THEN 'active' ELSE 'completed' END AS state,
       CAST(floor(epoch_us(ts) / 1000) AS BIGINT) AS finished_ms FROM events),
-    o AS (SELECT *, CASE state WHEN 'completed' THEN 200 ELSE 100 END AS cap FROM j WHERE
+    o AS (SELECT * FROM j WHERE
       (state = 'completed' AND {_NOW_MS} - finished_ms > 3600000) OR (state = 'failed' AND {_NOW_MS} - finished_ms > 21600000))
-    SELECT queue, state, job_id FROM o
-    QUALIFY row_number() OVER (PARTITION BY queue, state ORDER BY finished_ms, job_id) <= cap""",
+    SELECT queue, state, job_id FROM o""",
 )
 def expired_jobs(spark, folder):
     rows = read(spark, folder, "events").select(

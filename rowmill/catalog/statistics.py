@@ -60,14 +60,14 @@ def rejected_updates(spark, folder):
     return ops.rejected_updates(table, changes).select("action_id")
 
 
-_SUMS = """SELECT action_id, CAST(sum(greatest(successful, 0)) AS BIGINT) AS successful,
-    CAST(sum(greatest(failed, 0)) AS BIGINT) AS failed, CAST(sum(greatest(skipped, 0)) AS BIGINT) AS skipped
-    FROM increments GROUP BY action_id"""
+SUMS_SQL = """SELECT action_id, CAST(sum(successful) AS BIGINT) AS successful, CAST(sum(failed) AS BIGINT) AS failed,
+    CAST(sum(skipped) AS BIGINT) AS skipped FROM increments
+    WHERE NOT (successful < 0 OR failed < 0 OR skipped < 0) GROUP BY action_id"""
 
 
 @query(
     "increment_counters",
-    f"""WITH {STATS_SQL}, {INCREMENTS_SQL}, i AS ({_SUMS})
+    f"""WITH {STATS_SQL}, {INCREMENTS_SQL}, i AS ({SUMS_SQL})
     SELECT s.action_id, s.total_records, s.successful_records + coalesce(i.successful, 0) AS successful_records,
       s.failed_records + coalesce(i.failed, 0) AS failed_records, s.skipped_records + coalesce(i.skipped, 0) AS skipped_records
     FROM stats s LEFT JOIN i ON s.action_id = i.action_id""",
@@ -76,7 +76,7 @@ def increment_counters(spark, folder):
     return ops.apply_increments(stats(spark, folder), increments(spark, folder))
 
 
-@query("increment_sums", f"WITH {INCREMENTS_SQL} {_SUMS}")
+@query("increment_sums", f"WITH {INCREMENTS_SQL} {SUMS_SQL}")
 def increment_sums(spark, folder):
     return ops.sum_increments(increments(spark, folder))
 

@@ -19,6 +19,7 @@ from rowmill.catalog.inputs import (
     stats,
 )
 from rowmill.catalog.registry import query, read
+from rowmill.catalog.statistics import SUMS_SQL
 from rowmill.catalog.validation import CHECKED_SQL
 from rowmill.functions.numbers import epoch_ms
 from rowmill.operators import logs
@@ -79,11 +80,6 @@ def stream_keep_first(spark, folder):
     return _appended(spark, kept.select("user_id"), "stream-dedup")
 
 
-_SUMS = """SELECT action_id, CAST(sum(greatest(successful, 0)) AS BIGINT) AS successful,
-    CAST(sum(greatest(failed, 0)) AS BIGINT) AS failed, CAST(sum(greatest(skipped, 0)) AS BIGINT) AS skipped
-    FROM increments GROUP BY action_id"""
-
-
 def _ledger(spark, folder):
     path = scratch_dir(spark, "stream-counters")
     stream = _watch(spark, folder, "lineitem", INCREMENT_CELLS)
@@ -91,14 +87,14 @@ def _ledger(spark, folder):
     return f"{path}/ledger"
 
 
-@query("stream_counters", f"WITH {INCREMENTS_SQL} {_SUMS}")
+@query("stream_counters", f"WITH {INCREMENTS_SQL} {SUMS_SQL}")
 def stream_counters(spark, folder):
     return counters.ledger_totals(spark, _ledger(spark, folder))
 
 
 @query(
     "stream_current_stats",
-    f"""WITH {STATS_SQL}, {INCREMENTS_SQL}, i AS ({_SUMS})
+    f"""WITH {STATS_SQL}, {INCREMENTS_SQL}, i AS ({SUMS_SQL})
     SELECT s.action_id, s.successful_records + coalesce(i.successful, 0) AS successful_records FROM stats s
     LEFT JOIN i ON s.action_id = i.action_id""",
 )

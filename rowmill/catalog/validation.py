@@ -241,8 +241,9 @@ def _scan_sql(column: str, table: str, key: str) -> str:
 
 
 def _findings(column):
-    found = [F.when(F.col(column).rlike(p), F.lit(m)) for p, m in SECURITY_PATTERNS]
-    return F.array_join(F.array_compact(F.array(*found)), ";").alias("findings")
+    errors = validate.security_errors([column])[0]
+    messages = F.transform(errors, lambda e: F.replace(e["message"], F.lit("Security violation: "), F.lit("")))
+    return F.array_join(messages, ";").alias("findings")
 
 
 @query("security_scan_documents", _scan_sql("text", "documents", "doc_id"))
@@ -258,11 +259,12 @@ def security_scan_pages(spark, folder):
 @query(
     "text_warnings",
     f"""SELECT doc_id, regexp_matches(text, '[\\x00-\\x1F\\x7F-\\x{{9F}}]') AS has_control,
-      length({_strip("'   ' || substr(text, 1, 12) || '   '")}) < length('   ' || substr(text, 1, 12) || '   ') * 0.8
-        AS has_loose_space FROM documents""",
+      length({_strip("padded")}) < length(padded) * 0.8 AS has_loose_space
+    FROM (SELECT doc_id, text, CASE WHEN doc_id % 3 = 0 THEN repeat(' ', n_chars) || text ELSE text END AS padded FROM documents)""",
 )
 def text_warnings(spark, folder):
-    padded = F.concat(F.lit("   "), F.substring("text", 1, 12), F.lit("   "))
+    wide = F.concat(F.repeat(F.lit(" "), F.col("n_chars").cast("int")), "text")
+    padded = F.when(F.col("doc_id") % 3 == 0, wide).otherwise(F.col("text"))
     return read(spark, folder, "documents").select(
         "doc_id",
         text.has_control_chars(F.col("text")).alias("has_control"),

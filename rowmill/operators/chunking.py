@@ -15,55 +15,43 @@ NAMINGS = ("sequential", "hash_range", "hybrid")
 
 @dataclass(frozen=True)
 class ChunkOptions:
-    """Checked chunking arguments; the chunk size is capped at 1000 rows."""
+    """Checked chunking arguments. The number of chunks has no ceiling; see ``plan_options``."""
 
     chunks: int
-    max_rows: int = 1000
-    min_rows: int = 100
     field: str = "id"
     algorithm: str = "sha256"
     naming: str = "sequential"
 
     def __post_init__(self) -> None:
         problems = []
-        if self.max_rows < 1:
-            problems.append("max_rows must be at least 1")
-        if self.max_rows > 10_000:
-            problems.append("max_rows must not exceed 10000")
         if self.chunks < 1:
             problems.append("chunks must be at least 1")
-        if self.chunks > 1000:
-            problems.append("chunks must not exceed 1000")
         if not self.field.strip():
             problems.append("field is required")
         if self.naming not in NAMINGS:
             problems.append(f"naming must be one of {', '.join(NAMINGS)}")
         if problems:
             raise ValueError("Invalid chunking options: " + "; ".join(problems))
-        object.__setattr__(self, "max_rows", min(self.max_rows, 1000))
         object.__setattr__(self, "field", self.field.strip())
 
 
-def plan_chunks(rows: Column, target: int = 1000, max_chunks: int = 100) -> dict[str, Column]:
-    """Chunk count, size and minimum size for a row count, as columns.
+def plan_chunks(rows: Column, target: int) -> dict[str, Column]:
+    """Chunk count for about ``target`` rows each, size and minimum size for a row count, as columns.
 
     An empty input still gets one chunk of size one.
     """
-    wanted = F.ceil(rows / F.lit(target))
-    chunks = F.greatest(F.lit(1), F.least(F.lit(max_chunks), wanted)).cast("int")
+    chunks = F.greatest(F.lit(1), F.ceil(rows / F.lit(target))).cast("int")
     size = F.ceil(rows / chunks)
     return {
         "chunks": chunks,
-        "max_rows": F.greatest(F.lit(1), F.least(size, F.lit(1000))).cast("bigint"),
+        "max_rows": F.greatest(F.lit(1), size).cast("bigint"),
         "min_rows": F.floor(size * F.lit(0.1)).cast("bigint"),
     }
 
 
-def plan_options(rows: int, target: int = 1000, max_chunks: int = 100, **options) -> ChunkOptions:
+def plan_options(rows: int, target: int, **options) -> ChunkOptions:
     """The same choice for one known row count."""
-    chunks = max(1, min(max_chunks, -(-rows // target)))
-    size = -(-rows // chunks)
-    return ChunkOptions(chunks=chunks, max_rows=max(1, min(size, 1000)), min_rows=int(size * 0.1), **options)
+    return ChunkOptions(chunks=max(1, -(-rows // target)), **options)
 
 
 def hash_key(c: Column) -> Column:

@@ -211,33 +211,38 @@ def deduplicate(
 
 
 def duplicate_report(
+    df: DataFrame, key: Column, order: str = "row_number", top: int | None = None, long_keys: bool = False
+) -> DataFrame:
+    """Keys that occur more than once: first and last row and number of occurrences.
+
+    ``top`` keeps the most frequent keys only; ties go to the key seen first.
+    """
+    repeated = key_counts(df, key, order, long_keys).filter(F.col("occurrences") > 1)
+    if top is not None:
+        repeated = repeated.orderBy(F.desc("occurrences"), "first_row").limit(top)
+    return repeated.select("first_row", "last_row", "occurrences")
+
+
+def duplicate_occurrences(
     df: DataFrame,
     key: Column,
     order: str = "row_number",
-    max_rows: int = 100,
     top: int | None = None,
     long_keys: bool = False,
     slice_rows: int = ROWS_PER_SLICE,
 ) -> DataFrame:
-    """Keys that occur more than once, with counts, first and last row and listed rows.
+    """Every occurrence of the reported keys as a row: ``first_row`` of the key, row number, running number.
 
-    At most ``max_rows`` occurrences are listed per key (that is the report's
-    format); the counts are over all of them. Only those rows are collected.
+    Rows meet the repeated keys before they are numbered, so unique rows are
+    neither windowed nor sorted. The keys are unique on their side of the join.
     """
     repeated = key_counts(df, key, order, long_keys).filter(F.col("occurrences") > 1)
     if top is not None:
-        # Ties go to the key seen first.
         repeated = repeated.orderBy(F.desc("occurrences"), "first_row").limit(top)
-    numbered = number_duplicates(df, key, order, long_keys, slice_rows)
-    listed = (
-        numbered.filter((F.col("duplicate_count") <= max_rows) & F.col("first_occurrence").isNotNull())
-        .groupBy(F.col("first_occurrence").alias("first_row"))
-        .agg(F.sort_array(F.collect_list(order)).alias("rows"))
-    )
-    # The first row number identifies the key, so texts never go through the join.
-    return repeated.drop("__key").join(listed, "first_row", "left").select(
-        "first_row", "last_row", "occurrences", "rows"
-    )
+    tagged = _with_group(df.select(order, *[c for c in df.columns if c != order]), key, long_keys)
+    rows = tagged.select(order, "__key").join(repeated.select("__key", "first_row"), "__key")
+    numbered = number_duplicates(rows.select(order, "first_row"), F.col("first_row"), order, False, slice_rows)
+    return numbered.select("first_row", order, F.col("duplicate_count").alias("occurrence"))
 
 
 def dedup_totals(

@@ -149,33 +149,39 @@ def due_actions(actions: DataFrame, now: Column) -> DataFrame:
     )
 
 
-# State, age in milliseconds, rows per queue and run.
-CLEANUP_RULES = (("completed", 3_600_000, 200), ("failed", 21_600_000, 100))
+# State, age in milliseconds; and the rows that one clean-up run takes per queue.
+CLEANUP_RULES = (("completed", 3_600_000), ("failed", 21_600_000))
+CLEANUP_BATCHES = {"completed": 200, "failed": 100}
 
 
 def expired_jobs(
     jobs: DataFrame,
     now_ms: int,
     queue: str = "queue",
-    rules: Sequence[tuple[str, int, int]] = CLEANUP_RULES,
+    rules: Sequence[tuple[str, int]] = CLEANUP_RULES,
+    batches: dict[str, int] | None = None,
 ) -> DataFrame:
-    """Old finished jobs one clean-up run removes, oldest first within the cap.
+    """All finished jobs that are older than their state's rule allows.
 
-    The cap is the rule's own batch size. Spark's grouped limit keeps at most
-    that many rows per task before the shuffle.
+    With ``batches`` (state to rows) only the oldest jobs of each queue that one
+    clean-up run takes, such as ``CLEANUP_BATCHES``; Spark's grouped limit then keeps at
+    most that many rows per task before the shuffle.
     """
     state = F.col("state")
     age = F.lit(now_ms) - F.col("finished_ms")
     is_old = F.lit(False)
-    cap = F.lit(0)
-    for name, max_age, rows in rules:
+    for name, max_age in rules:
         is_old = is_old | ((state == name) & (age > max_age))
+    expired = jobs.filter(is_old)
+    if batches is None:
+        return expired
+    cap = F.lit(0)
+    for name, rows in batches.items():
         cap = F.when(state == name, F.lit(rows)).otherwise(cap)
-    largest = max(rows for _, _, rows in rules)
-    ranked = jobs.filter(is_old).withColumn(
+    ranked = expired.withColumn(
         "__rank", F.row_number().over(Window.partitionBy(queue, "state").orderBy("finished_ms", "job_id"))
     )
-    return ranked.filter(F.col("__rank") <= largest).filter(F.col("__rank") <= cap).drop("__rank")
+    return ranked.filter(F.col("__rank") <= max(batches.values())).filter(F.col("__rank") <= cap).drop("__rank")
 
 
 def event_throughput(events: DataFrame, ts: str = "ts", width: str = "1 minute") -> DataFrame:

@@ -78,12 +78,15 @@ def increment_errors(increments: DataFrame) -> DataFrame:
 
 
 def sum_increments(increments: DataFrame) -> DataFrame:
-    """Positive increments summed per action."""
-    return increments.groupBy("action_id").agg(
-        *[
-            F.coalesce(F.sum(F.when(F.col(c) > 0, F.col(c))), F.lit(0)).alias(c)
-            for c in ("successful", "failed", "skipped")
-        ]
+    """Increments summed per action.
+
+    A row with a negative counter is rejected whole (see ``increment_errors``), so
+    none of its counters is added.
+    """
+    names = ("successful", "failed", "skipped")
+    accepted = ~F.coalesce(F.least(*[F.coalesce(c, F.lit(0)) for c in names]) < 0, F.lit(False))
+    return increments.filter(accepted).groupBy("action_id").agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names]
     )
 
 

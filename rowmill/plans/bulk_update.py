@@ -26,7 +26,6 @@ class BulkUpdateOptions:
     dedup_key: str | None = "email"
     strategy: str = "keep_first"
     target_rows: int = 1000
-    max_chunks: int = 100
     order: str = "row_number"
 
 
@@ -75,10 +74,10 @@ def annotate(rows: DataFrame, options: BulkUpdateOptions = BulkUpdateOptions(),
     return mark(check(rows, options, spec), options)
 
 
-def _written(df: DataFrame, purpose: str) -> DataFrame:
+def _written(df: DataFrame, purpose: str) -> tuple[DataFrame, str]:
     path = scratch_dir(df.sparkSession, purpose)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def route(annotated: DataFrame, chunks: int, spec: EntitySpec = CONTACTS) -> DataFrame:
@@ -98,6 +97,14 @@ class BulkUpdateRun:
     outcomes: DataFrame
     new_state: DataFrame
     result: DataFrame
+    folders: tuple[str, ...] = ()
+
+    def close(self) -> None:
+        """Remove the written tables; the lazy results cannot be read after that."""
+        spark = self.annotated.sparkSession
+        for folder in self.folders:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def run(
@@ -106,23 +113,23 @@ def run(
     options: BulkUpdateOptions = BulkUpdateOptions(),
     spec: EntitySpec = CONTACTS,
     now: Column | None = None,
-    persist: bool = True,
 ) -> BulkUpdateRun:
     """Validate, deduplicate, route and apply one upload.
 
-    The checked rows are written to the shared folder, so the rules run once;
-    the annotated rows are written too, because outcomes, new state and totals
-    all start from them. Later reads take only the columns they need, and a lost
-    executor re-reads files instead of the whole lineage.
+    The checked rows are written to the shared folder once, so the rules run
+    once; of the duplicate verdicts only the row number and the action are
+    written. Later reads take only the columns they need, and a lost executor
+    re-reads files instead of the whole lineage. ``BulkUpdateRun.close`` removes both.
     """
-    checked = check(rows, options, spec)
-    if persist:
-        checked = _written(checked, "checked")
+    checked, wide = _written(check(rows, options, spec), "checked")
+    folders = [wide]
     annotated = mark(checked, options)
-    if persist and options.dedup_key is not None:
-        annotated = _written(annotated, "annotated")
+    if options.dedup_key is not None:
+        verdicts, narrow = _written(annotated.select(options.order, "action"), "verdicts")
+        folders.append(narrow)
+        annotated = checked.join(verdicts, options.order)
     valid = checked.agg(F.count_if(F.col("is_valid"))).first()[0]
-    planned = chunking.plan_options(valid, options.target_rows, options.max_chunks)
+    planned = chunking.plan_options(valid, options.target_rows)
     routed = route(annotated, planned.chunks, spec)
     kept = routed.filter(F.col("chunk_index").isNotNull()).select(
         options.order, *[c for c in ("id", "email", "name", "age") if c in routed.columns], "chunk_index"
@@ -131,7 +138,7 @@ def run(
     outcomes = merge.update_outcomes(records, target, spec, options.order)
     accepted = validate.check_records(records, spec).filter(F.col("problem").isNull())
     new_state = merge.bulk_update(target, accepted, spec.key, ("name", "age"), options.order, now)
-    return BulkUpdateRun(routed, outcomes, new_state, stats.run_result(routed))
+    return BulkUpdateRun(routed, outcomes, new_state, stats.run_result(routed), tuple(folders))
 
 
 def statistics(run_: BulkUpdateRun, action: str) -> DataFrame:

@@ -220,48 +220,20 @@ def read_delimited(
     )
     if not numbered and max_rows is None:
         return rows.drop("__block", "__seq")
-    numbered_rows = _number(rows, _block_bound(spark, path, recursive))
+    numbered_rows = _number(rows)
     if max_rows is not None:
         numbered_rows = numbered_rows.filter(F.col("row_number") <= max_rows)
     return numbered_rows
 
 
-# One offset row takes about 200 bytes, so this bounds the broadcast to 200 MB.
-MAX_BROADCAST_BLOCKS = 1_000_000
-
-
-def _block_bound(spark: SparkSession, path: str, recursive: bool) -> int:
-    """Upper bound of the number of file blocks, from a listing without contents."""
-    listing = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", str(recursive).lower())
-        .load(path)
-        .agg(F.sum("length").alias("bytes"), F.count(F.lit(1)).alias("files"))
-        .first()
-    )
-    total = listing["bytes"] or 0
-    largest = _to_bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
-    smallest = _to_bytes(spark.conf.get("spark.sql.files.openCostInBytes"))
-    # Small inputs are split further so that every core gets a share.
-    cores = spark.conf.get("spark.sql.files.minPartitionNum", None) or spark.sparkContext.defaultParallelism
-    block = max(1, min(largest, max(smallest, total // int(cores))))
-    return total // block + listing["files"]
-
-
-def _to_bytes(setting: str) -> int:
-    units = {"b": 1, "k": 2**10, "m": 2**20, "g": 2**30, "t": 2**40}
-    value = setting.strip().lower().removesuffix("b") or "0"
-    return int(value[:-1]) * units[value[-1]] if value[-1] in units else int(value)
-
-
-def _number(rows: DataFrame, block_bound: int) -> DataFrame:
+def _number(rows: DataFrame) -> DataFrame:
     """Dense row number over all files, in path, block and line order.
 
     The rows of one file block are consecutive in their task, so a row's place
     in the block is its task sequence minus the block's first. Block sizes come
     from a counting pass that reads no cells; only that table, with one row per
-    block, is ordered. No window ever runs over the rows, and they are shuffled
-    only when there are more blocks than a broadcast may hold.
+    block (about 800,000 for 100 TB), is ordered, in one task. No window ever runs
+    over the rows; Spark picks the join with the block table by its measured size.
     """
     blocks = rows.groupBy("source_file", "__block").agg(
         F.count(F.lit(1)).alias("__n"), F.min("__seq").alias("__first")
@@ -275,8 +247,6 @@ def _number(rows: DataFrame, block_bound: int) -> DataFrame:
             "__before"
         ),
     )
-    if block_bound <= MAX_BROADCAST_BLOCKS:
-        offsets = F.broadcast(offsets)
     joined = rows.join(offsets, ["source_file", "__block"])
     number = F.col("__before") + F.col("__seq") - F.col("__first") + 1
     return joined.withColumn("row_number", number.cast("bigint")).drop("__block", "__seq", "__first", "__before")

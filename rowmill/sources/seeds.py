@@ -147,8 +147,9 @@ def synthetic_stats(actions: DataFrame) -> DataFrame:
 
 
 def update_file(
-    rows: DataFrame, column: str = "name", key: str = "id", n: int = 10_000, order: str = "row_number", seed: str = "update"
+    rows: DataFrame, column: str = "name", key: str = "id", n: int | None = None, order: str = "row_number", seed: str = "update"
 ) -> DataFrame:
-    """First ``n`` rows with one column replaced by ten letters and digits from a hash."""
+    """All rows, or the first ``n``, with one column replaced by ten letters and digits from a hash."""
     fresh = F.substring(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(seed))), 1, 10)
-    return rows.orderBy(order).limit(n).withColumn(column, fresh)
+    picked = rows if n is None else rows.orderBy(order).limit(n)
+    return picked.withColumn(column, fresh)

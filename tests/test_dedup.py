@@ -96,11 +96,14 @@ def test_histogram_buckets(spark):
     assert (row["total_rows"], row["unique_rows"], row["duplicate_rows"], row["duplicate_keys"]) == (21, 9, 12, 4)
 
 
-def test_report_lists_at_most_the_asked_rows_but_counts_all(spark):
+def test_report_lists_every_occurrence(spark):
     df, rows = uploaded(spark)
-    report = dedup.duplicate_report(df, dedup.normalize_key(F.col("email")), max_rows=4, slice_rows=11)
+    key = dedup.normalize_key(F.col("email"))
+    report = dedup.duplicate_report(df, key)
     hot = report.filter("first_row = 3").first()
-    assert hot["occurrences"] == 200 and hot["rows"] == [3, 6, 9, 12] and hot["last_row"] == 600
+    assert hot["occurrences"] == 200 and hot["last_row"] == 600
+    listed = dedup.duplicate_occurrences(df, key, slice_rows=11).filter("first_row = 3").orderBy("occurrence").collect()
+    assert [(r["row_number"], r["occurrence"]) for r in listed] == [(3 * k, k) for k in range(1, 201)]
     counts = {}
     for _, k, _ in rows:
         if normal(k) is not None:

@@ -81,7 +81,8 @@ def test_transitions(spark):
 def test_cleanup_takes_the_oldest_up_to_the_cap(spark):
     rows = [("q", "completed", i, i) for i in range(500)]
     df = spark.createDataFrame(rows, "queue string, state string, finished_ms long, job_id long")
-    gone = lifecycle.expired_jobs(df, 10_000_000)
+    assert lifecycle.expired_jobs(df, 10_000_000).count() == 500
+    gone = lifecycle.expired_jobs(df, 10_000_000, batches=lifecycle.CLEANUP_BATCHES)
     assert {r["job_id"] for r in gone.collect()} == set(range(200))
     assert "WindowGroupLimit" in gone._jdf.queryExecution().executedPlan().toString()
     assert lifecycle.expired_jobs(df, 3_600_000 + 100).count() == 100

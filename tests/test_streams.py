@@ -79,3 +79,9 @@ def test_keep_first_across_batches(spark, folder):
     counters.append_to(kept, f"{folder}/out", f"{folder}/cp").awaitTermination()
     assert {r["k"] for r in spark.read.parquet(f"{folder}/out").collect()} == {f"k{i}" for i in range(5)}
     assert spark.read.parquet(f"{folder}/out").count() == 5
+
+
+def test_rejected_increments_add_nothing(spark):
+    df = spark.createDataFrame([("a", 5, -2, 0), ("a", 1, 2, 3), ("b", 0, 0, -1)], "action_id string, successful int, failed int, skipped int")
+    assert [tuple(r) for r in stats.sum_increments(df).collect()] == [("a", 1, 2, 3)]
+    assert stats.increment_errors(df).count() == 2
