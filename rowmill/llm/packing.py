@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowmill.llm.token_ids import WordIds
-from rowmill.llm.words import select_text, worker_memo
+from rowmill.llm.words import in_slices, select_text, worker_memo
 from rowmill.session import scratch_dir
 
 POOL_SHARE = 1024
@@ -146,7 +146,7 @@ def pack(
         encoder = worker_memo(f"word ids {vocabulary}", lambda: WordIds(vocabulary))
         narrow = encoder.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16
         part, dealt = TaskContext.get().partitionId(), {}
-        for batch in batches:
+        for batch in in_slices(batches):
             ids, ends = encoder.encode(batch.column("text").to_pylist(), end_id)
             stored = ids.astype("<u2" if narrow else "<u4")
             starts = np.concatenate([[0], ends[:-1]])
@@ -209,7 +209,7 @@ def pack(
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
         names = ["start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
-        for batch in batches:
+        for batch in in_slices(batches, "ids"):
             source, out = [], []
             columns = (batch.column(c).to_pylist() for c in ("lane", "first", "n", "width", "ids"))
             for i, (queue, first, n, width, ids) in enumerate(zip(*columns)):
