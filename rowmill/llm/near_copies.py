@@ -18,7 +18,7 @@ are dealt anew and the pair is met there: nothing is lost. Frequent shingles
 come from a sample of documents and change the cost only, never the result.
 
 Pairs are verified as stars: members of a signature against one pivot, then, for
-signatures whose members are not yet in one component, against other pivots, and in
+signatures whose members are not yet in one component, against a second one, and in
 the end every pair of different components that shares a signature. A parity
 sketch (one bit per hash bucket) bounds the number of different elements from below and
 drops pairs that cannot be similar; the rest are compared on their exact shingles.
@@ -43,11 +43,13 @@ from pyspark.sql import functions as F
 from rowmill.llm.components import connected_components
 from rowmill.llm.shingles import WIDTH, WordPrints, exact_shingles, mix, shingle_sets
 from rowmill.llm.stored import Scratch
-from rowmill.llm.words import select_text, worker_memo
+from rowmill.llm.words import in_slices, select_text, worker_memo
 
 SEEDS = 3
-BAND = 1.6
+BAND = 1.25
+SPARE = 0.08
 SALTS = 64
+LARGE = 50_000
 BLOCK = 1024
 
 
@@ -85,16 +87,15 @@ def signatures(shingles: np.ndarray, threshold: Threshold, frequent: np.ndarray)
         rare = frequent[at] != shingles
     for band, high in threshold.bands(len(shingles)):
         k = int(threshold.most_different(2 * high))
-        spare = 0 if k == 0 else 2 + (12 * (k + 1) + 99) // 100
+        spare = 0 if k == 0 else 2 + math.ceil(SPARE * (k + 1))
         n = k + 1 + spare
         for seed in range(SEEDS):
             salt = np.uint64((band * SEEDS + seed) * 2 + 1)
-            with np.errstate(over="ignore"):
-                spread = mix(shingles + salt * np.uint64(0xD6E8FEB86659FD93))
-                part = (spread % np.uint64(n)).astype(np.int64)
-                content, again = np.zeros(n, np.uint64), mix(spread + salt)
-                np.add.at(content, part, again)
-                named = mix(content + mix(np.arange(n, dtype=np.uint64) + (salt << np.uint64(40))))
+            spread = mix(shingles + np.array([salt]) * np.uint64(0xD6E8FEB86659FD93))
+            part = (spread % np.uint64(n)).astype(np.int64)
+            content, again = np.zeros(n, np.uint64), mix(spread + salt)
+            np.add.at(content, part, again)
+            named = mix(content + mix(np.arange(n, dtype=np.uint64) + (salt << np.uint64(40))))
             solid = np.bincount(part[rare], minlength=n) > 0
             strong.append(named[solid])
             if n - solid.sum() <= spare:
@@ -106,8 +107,8 @@ def signatures(shingles: np.ndarray, threshold: Threshold, frequent: np.ndarray)
 
 
 def parity_sketch(shingles: np.ndarray) -> bytes:
-    """One bit per hash bucket, the parity of its elements; as many buckets as elements, a power of two."""
-    bits = 1 << max(6, (len(shingles) - 1).bit_length()) if len(shingles) else 64
+    """One bit per hash bucket, the parity of its elements; about as many buckets as elements, a power of two."""
+    bits = 1 << max(6, (len(shingles) * 7 // 10).bit_length())
     counts = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
 
@@ -127,12 +128,39 @@ def different_at_least(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(fold(x, size) ^ fold(y, size)).sum())
 
 
+SIGNATURE_BYTES = 6
+
+
+def pack_signatures(sigs: np.ndarray) -> bytes:
+    """The low bytes of signatures. Signatures that agree in them count as one, which only adds pairs to look at."""
+    return np.ascontiguousarray(sigs.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SIGNATURE_BYTES]).tobytes()
+
+
+def unpack_signatures(packed: bytes) -> np.ndarray:
+    low = np.frombuffer(packed, np.uint8).reshape(-1, SIGNATURE_BYTES)
+    return np.pad(low, ((0, 0), (0, 8 - SIGNATURE_BYTES))).view("<u8").ravel()
+
+
+def pack_ids(ids: np.ndarray) -> bytes:
+    """Ids as the first and the steps, four bytes each where they fit."""
+    steps = np.diff(ids)
+    if len(steps) and np.abs(steps).max() < 1 << 31:
+        return ids[:1].astype("<i8").tobytes() + steps.astype("<i4").tobytes()
+    return ids.astype("<i8").tobytes()
+
+
+def unpack_ids(packed: bytes, n: int) -> np.ndarray:
+    if len(packed) == 8 * n:
+        return np.frombuffer(packed, "<i8")
+    return np.cumsum(np.concatenate([np.frombuffer(packed[:8], "<i8"), np.frombuffer(packed[8:], "<i4").astype(np.int64)]))
+
+
 def fingerprints(rows: DataFrame) -> DataFrame:
     """``id``, ``n`` (set size), ``digest`` of the set and ``sketch``, one row per document."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prints = worker_memo("word prints", WordPrints)
-        for batch in batches:
+        for batch in in_slices(batches):
             sets = shingle_sets(batch.column("text").to_pylist(), prints)
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
@@ -153,7 +181,7 @@ def frequent_shingles(rows: DataFrame, every: int = 64, share: float = 0.001, le
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prints = worker_memo("word prints", WordPrints)
-        for batch in batches:
+        for batch in in_slices(batches):
             sets = shingle_sets(batch.column("text").to_pylist(), prints)
             if sets:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["shingle"])
@@ -166,15 +194,16 @@ def frequent_shingles(rows: DataFrame, every: int = 64, share: float = 0.001, le
 
 
 def shared_signatures(rows: DataFrame, threshold: Threshold, frequent: np.ndarray, buckets: int) -> DataFrame:
-    """``sig``, ``id``, ``pivot``: members of signatures that at least two documents have.
+    """``ids``, ``weak`` and ``sig``: the sets of documents that have a signature in common, each set once.
 
-    The pivot is the smallest member, of weak signatures the smallest of a salted share of the
-    members. Signatures travel packed by bucket; equal sets in one task travel once.
+    Similar documents share many signatures, so most sets occur often and are kept once. Sets of weak
+    signatures, and sets over ``LARGE``, come in salted parts that keep their signature ``sig``; a part
+    may have one member. Signatures travel packed by bucket; equal texts in one task travel once.
     """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prints, seen = worker_memo("word prints", WordPrints), set()
-        for batch in batches:
+        for batch in in_slices(batches):
             sets = shingle_sets(batch.column("text").to_pylist(), prints)
             sigs, ids, buckets_of, soft = [], [], [], []
             for i, s in zip(batch.column("id").to_pylist(), sets):
@@ -199,15 +228,15 @@ def shared_signatures(rows: DataFrame, threshold: Threshold, frequent: np.ndarra
             sig, id_, bucket, is_weak = sig[order], id_[order], bucket[order], is_weak[order]
             used, starts = np.unique(bucket, return_index=True)
             ends = [*starts[1:], len(bucket)]
-            cut = lambda values: [values[a:b].tobytes() for a, b in zip(starts, ends)]
+            cut = lambda pack, values: [pack(values[a:b]) for a, b in zip(starts, ends)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(used, pa.int64()), pa.array(cut(sig), pa.binary()), pa.array(cut(id_), pa.binary()), pa.array(cut(is_weak), pa.binary())],
+                [pa.array(used, pa.int64()), pa.array(cut(pack_signatures, sig), pa.binary()), pa.array(cut(pack_ids, id_), pa.binary()), pa.array(cut(np.ndarray.tobytes, is_weak), pa.binary())],
                 ["bucket", "sigs", "ids", "weak"],
             )
 
     def meet(packed: pd.DataFrame) -> pd.DataFrame:
-        sig = np.frombuffer(b"".join(packed["sigs"]), np.uint64)
-        id_ = np.frombuffer(b"".join(packed["ids"]), np.int64)
+        sig = np.concatenate(list(map(unpack_signatures, packed["sigs"])))
+        id_ = np.concatenate([unpack_ids(i, len(w)) for i, w in zip(packed["ids"], packed["weak"])])
         weak = np.frombuffer(b"".join(packed["weak"]), bool)
         order = np.lexsort((np.where(weak, id_ % SALTS, 0), sig)) if weak.any() else np.argsort(sig, kind="stable")
         sig, id_, weak = sig[order], id_[order], weak[order]
@@ -215,14 +244,25 @@ def shared_signatures(rows: DataFrame, threshold: Threshold, frequent: np.ndarra
         first = np.ones(len(sig), bool)
         first[1:] = (sig[1:] != sig[:-1]) | (salt[1:] != salt[:-1])
         starts = np.flatnonzero(first)
-        sizes = np.diff([*starts, len(sig)])
-        pivots = np.repeat(np.minimum.reduceat(id_, starts), sizes)
-        tops = np.repeat(np.maximum.reduceat(id_, starts), sizes)
-        keep = (pivots != tops) | weak
-        return pd.DataFrame({"sig": sig[keep].view(np.int64), "id": id_[keep], "pivot": pivots[keep], "weak": weak[keep]})
+        ends = np.append(starts[1:], len(sig))
+        used = np.flatnonzero((ends - starts > 1) | weak[starts])
+        found: dict[bytes, None] = {}
+        parts = []
+        for a, b in zip(starts[used].tolist(), ends[used].tolist()):
+            ids = np.unique(id_[a:b])
+            if weak[a]:
+                parts.append((sig[a], ids))
+            elif len(ids) > LARGE:
+                parts += [(sig[a], ids[k : k + LARGE]) for k in range(0, len(ids), LARGE)]
+            elif len(ids) > 1:
+                found[ids.tobytes()] = None
+        rows = [(np.frombuffer(ids, np.int64), False, None) for ids in found]
+        rows += [(ids, True, int(np.int64(np.uint64(s).view(np.int64)))) for s, ids in parts]
+        out = pd.DataFrame(rows, columns=["ids", "weak", "sig"])
+        return out.astype({"weak": bool, "sig": "Int64"})
 
     packed = rows.mapInArrow(sign, "bucket long, sigs binary, ids binary, weak binary")
-    return packed.groupBy("bucket").applyInPandas(meet, "sig long, id long, pivot long, weak boolean")
+    return packed.groupBy("bucket").applyInPandas(meet, "ids array<long>, weak boolean, sig long").distinct()
 
 
 def verified(pairs: DataFrame, rows: DataFrame, threshold: Threshold) -> DataFrame:
@@ -266,42 +306,65 @@ def possible(pairs: DataFrame, prints: DataFrame, threshold: Threshold) -> DataF
     )
 
 
-def open_pairs(members: DataFrame, threshold: Threshold) -> DataFrame:
-    """Possible pairs of different components in one signature, compared block by block."""
+def open_pairs(members: DataFrame, prints: DataFrame, threshold: Threshold) -> DataFrame:
+    """Possible pairs of different components in one signature, compared block by block.
+
+    Sketches join the members last, so they are shuffled once.
+    """
     counts = members.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     dealt = members.join(counts, "sig").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
 
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("id", kind="stable")
-        low = group.iloc[0]["low"] == group.iloc[0]["high"]
-        sides = [group, group] if low else [part for _, part in group.groupby("own")]
+    def compare(sides: list[list[tuple]], alone: bool) -> list[tuple[int, int]]:
+        width = min(len(row[3]) for side in sides for row in side) // 8
+        ids, components, sizes = ([np.array([row[c] for row in side], np.int64) for side in sides] for c in range(3))
+        sketches = [np.concatenate([fold(np.frombuffer(row[3], np.uint64)[None], width) for row in side]) for side in sides]
         found = []
-        if len(sides) == 2:
-            words = min(map(len, group["sketch"])) // 8
-            left, right = (
-                (g["id"].to_numpy(), g["component"].to_numpy(), g["n"].to_numpy(), np.concatenate([fold(np.frombuffer(s, np.uint64)[None], words) for s in g["sketch"]]))
-                for g in sides
-            )
-            for i in range(len(left[0])):
-                limit = (threshold.den - threshold.num) * (left[2][i] + right[2]) // (threshold.den + threshold.num)
-                fits = (right[1] != left[1][i]) & (np.abs(right[2] - left[2][i]) <= limit)
-                if low:
-                    fits[: i + 1] = False
-                at = np.flatnonzero(fits)
-                if len(at):
-                    distance = np.bitwise_count(right[3][at] ^ left[3][i]).sum(axis=1)
-                    found += [(left[0][i], j) for j in right[0][at[distance <= limit[at]]]]
-        pairs = np.array(found, np.int64).reshape(-1, 2)
-        return pd.DataFrame({"a": pairs.max(axis=1), "b": pairs.min(axis=1)})
+        for i, (own, component, size) in enumerate(zip(ids[0].tolist(), components[0], sizes[0])):
+            limit = (threshold.den - threshold.num) * (size + sizes[-1]) // (threshold.den + threshold.num)
+            fits = (components[-1] != component) & (np.abs(sizes[-1] - size) <= limit)
+            if alone:
+                fits[: i + 1] = False
+            at = np.flatnonzero(fits)
+            if len(at):
+                distance = np.bitwise_count(sketches[-1][at] ^ sketches[0][i]).sum(axis=1)
+                found += [(max(own, j), min(own, j)) for j in ids[-1][at[distance <= limit[at]]].tolist()]
+        return found
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted, so a block pair ends where the next begins; it has at most about two blocks of rows."""
+
+        def paired(rows: list[tuple], low: int, high: int) -> list[tuple[int, int]]:
+            if low == high:
+                return compare([rows], True)
+            sides = [[r for r in rows if r[4] == side] for side in (low, high)]
+            return compare(sides, False) if all(sides) else []
+
+        key, rows, found = None, [], []
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("sig", "low", "high", "id", "component", "n", "sketch", "own")]
+            for sig, low, high, *row in zip(*columns):
+                if (sig, low, high) != key:
+                    if len(rows) > 1:
+                        found += paired(rows, *key[1:])
+                    key, rows = (sig, low, high), []
+                    if len(found) > 10_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*set(found))], ["a", "b"])
+                        found = []
+                rows.append(tuple(row))
+        if len(rows) > 1:
+            found += paired(rows, *key[1:])
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*set(found))], ["a", "b"])
 
     columns = ["sig", "low", "high", "own", "id", "component", "n", "sketch"]
-    return dealt.select(columns).groupBy("sig", "low", "high").applyInPandas(compare, "a long, b long").distinct()
+    blocks = dealt.drop("blocks", "other").join(prints.select("id", "n", "sketch"), "id").select(columns).repartition("sig", "low", "high").sortWithinPartitions("sig", "low", "high")
+    return blocks.mapInArrow(walk, "a long, b long").distinct()
 
 
 def link_copies(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 80, den: int = 100, star_rounds: int = 2
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 80, den: int = 100
 ) -> DataFrame:
     """One row per document: id, ``n_shingles`` (distinct shingles of five words) and ``component_id``."""
     spark = docs.sparkSession
@@ -315,7 +378,11 @@ def link_copies(
         prints.select("id", "n", "digest").join(copies, ["n", "digest"]).where("id != v").select(F.col("id").alias("u"), "v")
     )
     parts = max(8, rows.rdd.getNumPartitions())
-    groups = scratch.store(shared_signatures(rows, threshold, frequent_shingles(rows), 2 * parts))
+    sets = scratch.store(shared_signatures(rows, threshold, frequent_shingles(rows), 2 * parts))
+    # Sets that hash alike count as one set, which only adds pairs to look at.
+    groups = sets.select(
+        F.coalesce("sig", F.xxhash64("ids")).alias("sig"), F.explode("ids").alias("id"), F.array_min("ids").alias("pivot"), "weak"
+    )
 
     weak = groups.where("weak").groupBy("sig", "pivot").agg(F.lit(1).alias("one"))
     tops = weak.groupBy("sig").agg(F.min("pivot").alias("top"))
@@ -323,7 +390,7 @@ def link_copies(
         weak.join(tops, "sig").select(F.col("pivot").alias("a"), F.col("top").alias("b"))
     )
     tested = None
-    for turn in range(star_rounds + 1):
+    for turn in range(3):
         asked = pairs.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         if tested is not None:
             asked = asked.join(tested, ["a", "b"], "left_anti")
@@ -331,17 +398,28 @@ def link_copies(
         edges = scratch.store(edges.union(answers.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))))
         tested = answers.select("a", "b") if tested is None else scratch.store(tested.union(answers.select("a", "b")))
         known = connected_components(edges, scratch)
-        if turn == star_rounds:
+        if turn == 2:
             break
-        placed = groups.select("sig", "id").join(known, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("component"))
-        unsettled = placed.groupBy("sig").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least != most")
-        if turn < star_rounds - 1:
-            # Another pivot: of the members outside the first component, the one with the smallest hash.
+        # What is settled stays settled, so the second turn looks at the rest of the first only.
+        component = F.coalesce("component", "id").alias("component")
+        asked_of = groups.select("sig", "id", "weak") if turn == 0 else members.select("sig", "id", "weak")
+        placed = asked_of.join(known, "id", "left").select("sig", "id", "weak", component)
+        unsettled = placed.groupBy("sig").agg(
+            F.min("component").alias("least"),
+            F.max("component").alias("most"),
+            F.min_by("component", "id").alias("first"),
+            (F.max("weak") | (F.count(F.lit(1)) > 3)).alias("many"),
+        )
+        unsettled = unsettled.where("least != most").drop("least", "most")
+        if turn == 0:
+            # A second pivot: of the members outside the first pivot's component, the one with the smallest hash.
             members = scratch.store(placed.join(unsettled, "sig"))
-            pivots = members.where("component != least").groupBy("sig").agg(F.min_by("id", F.xxhash64("id")).alias("pivot"), F.min_by("component", F.xxhash64("id")).alias("of"))
+            rest = members.where("component != first").groupBy("sig")
+            pivots = rest.agg(F.min_by("id", F.xxhash64("id")).alias("pivot"), F.min_by("component", F.xxhash64("id")).alias("of"))
             pairs = members.join(pivots, "sig").where("component != of").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
         else:
-            open_members = placed.join(unsettled.select("sig"), "sig").join(prints.select("id", "n", "sketch"), "id").distinct()
-            pairs = open_pairs(open_members, threshold)
+            # Two pivots have met every pair of three members; larger signatures are compared in blocks.
+            open_members = placed.join(unsettled.where("many").select("sig"), "sig").select("sig", "id", "component").distinct()
+            pairs = open_pairs(open_members, prints, threshold)
     found = all_prints.select("id", F.col("n").alias("n_shingles")).join(known, "id", "left")
     return found.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))

@@ -27,26 +27,34 @@ class WordPrints(dict):
 
 def mix(values: np.ndarray) -> np.ndarray:
     """A well-spread 64-bit hash of each value."""
-    with np.errstate(over="ignore"):
-        values = (values ^ (values >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        values = (values ^ (values >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return values ^ (values >> np.uint64(31))
+    values = (values ^ (values >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    values = (values ^ (values >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return values ^ (values >> np.uint64(31))
 
 
 def shingle_sets(texts: list[bytes], prints: WordPrints, width: int = WIDTH) -> list[np.ndarray]:
     """Sorted distinct shingles of each text; a text with fewer words than ``width`` is one shingle."""
     split = [t.lower().split() for t in texts]
     words = np.fromiter(map(prints.__getitem__, chain.from_iterable(split)), np.uint64)
+    factors = [int(f) | 1 for f in mix(np.arange(1, width + 1, dtype=np.uint64) * STEP)]
+
+    def joined(own: np.ndarray, size: int) -> np.ndarray:
+        """A value for each run of ``size`` words; every place in the run has a factor of its own."""
+        n = len(own) - size + 1
+        value = np.full(n, size, np.uint64)
+        for k in range(size):
+            value += own[k : k + n] * np.uint64(factors[k])
+        return mix(value)
+
+    everywhere = joined(words, width) if len(words) >= width else words[:0]
     out, at = [], 0
     for n in map(len, split):
-        own = words[at : at + n]
+        if n >= width:
+            found = np.sort(everywhere[at : at + n - width + 1])
+            out.append(found[np.concatenate([[True], found[1:] != found[:-1]])])
+        else:
+            out.append(joined(words[at : at + n], n) if n else words[:0])
         at += n
-        size = min(n, width)
-        value = np.full(max(0, n - size + 1) if n else 0, size, np.uint64)
-        with np.errstate(over="ignore"):
-            for k in range(size if n else 0):
-                value = mix(value * STEP + own[k : k + len(value)])
-        out.append(np.unique(value))
     return out
 
 

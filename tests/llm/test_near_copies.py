@@ -49,6 +49,14 @@ def test_similar_sets_share_a_signature(size, changed, seed, common):
         assert a & b
 
 
+@given(st.lists(st.integers(-(2**62), 2**62), min_size=1, max_size=6))
+def test_packed_ids(ids):
+    for own in (np.array(ids), np.sort(np.array(ids) % 1000)):
+        assert (near_copies.unpack_ids(near_copies.pack_ids(own), len(own)) == own).all()
+    sigs = np.array(ids).astype(np.uint64)
+    assert (near_copies.unpack_signatures(near_copies.pack_signatures(sigs)) == sigs % np.uint64(2**48)).all()
+
+
 def test_shingles():
     texts = [b"", b" \n", b"One two", b"a b c d e", b"a b c d e f A B c D e", "é x a b c".encode()]
     sets = shingle_sets(texts, WordPrints())
