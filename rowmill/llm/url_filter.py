@@ -8,8 +8,8 @@ those of the next shorter one by Witten-Bell smoothing, down to equal chances. T
 log-likelihood difference per character decides the other URLs. Its threshold is the
 score that best separates rule-decided URLs kept out of training (balanced accuracy over score bins).
 
-The finished model is one number for each of the 32^4 runs of four classes, about
-a million rows whatever the input; it is the only broadcast side. Everything is
+The finished model is one number for each run of four classes that the URLs have, 32^4 rows
+at most whatever the input; it is the only broadcast side. Everything is
 DataFrame code.
 
 A null URL or one without ``://`` has an empty host and path. Without accepted
@@ -65,8 +65,8 @@ def runs_of(host: Column, path: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.length(padded) - ORDER), run)
 
 
-def log_ratios(counts: DataFrame) -> DataFrame:
-    """``code``, ``ratio`` for every run, from ``code``, ``good``, ``bad`` counts of those seen."""
+def log_ratios(counts: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """``code``, ``ratio`` of the ``wanted`` runs (all without it), from ``code``, ``good``, ``bad`` counts of those seen."""
     lower = None
     for k in range(1, ORDER + 1):
         cells = counts.groupBy((F.col("code") % SIZE**k).alias("code")).agg(*[F.sum(c).alias(c) for c in ("good", "bad")])
@@ -75,6 +75,8 @@ def log_ratios(counts: DataFrame) -> DataFrame:
             *[F.sum((F.col(c) > 0).cast("long")).alias(f"{c}_kinds") for c in ("good", "bad")],
         )
         grid = counts.sparkSession.range(SIZE**k).select(F.col("id").alias("code"))
+        if k == ORDER and wanted is not None:
+            grid = wanted.select(F.col("code").cast("long").alias("code")).distinct()
         grid = grid.withColumns({"context": F.floor(F.col("code") / SIZE), "shorter": F.col("code") % SIZE ** (k - 1)})
         grid = grid.join(cells, "code", "left").join(contexts, "context", "left").fillna(0)
         if lower is None:
@@ -109,12 +111,13 @@ def filter_urls(
     # Equal URLs are counted before their runs are listed.
     seen = training.groupBy("host", "path").agg(good.alias("good"), bad.alias("bad"))
     runs = seen.select("good", "bad", F.explode(runs_of(F.col("host"), F.col("path"))).alias("code"))
-    ratios = log_ratios(runs.groupBy("code").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")))
+    counts = runs.groupBy("code").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
 
     asked = judged.where(F.col("decided").isNull() | held_out)
     urls = asked.groupBy("host", "path").agg(good.alias("good"), bad.alias("bad"))
     listed = urls.select("host", "path", "good", "bad", F.explode(runs_of(F.col("host"), F.col("path"))).alias("code"))
-    # 32^4 rows of two numbers at most, whatever the input.
+    # Runs that the asked URLs have: 32^4 rows of two numbers at most, whatever the input.
+    ratios = log_ratios(counts, listed.select("code"))
     scores = (
         listed.join(F.broadcast(ratios), "code")
         .groupBy("host", "path", "good", "bad")
