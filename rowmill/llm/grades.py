@@ -98,10 +98,12 @@ class Ordinal:
 def fit_ordinal(slots: list[np.ndarray], grades: np.ndarray, n_grades: int, bits: int, rounds: int = 24, rate: float = 0.1, penalty: float = 2e-4) -> Ordinal:
     """Stochastic gradient ascent with per-weight steps on the cumulative-link likelihood."""
     weights = np.zeros(1 << bits)
-    seen = sorted(set(grades.tolist()))
-    if len(seen) < 2:
-        only = seen[0] if seen else n_grades - 1
-        return Ordinal(weights, np.array([-500.0 if k <= only else 500.0 for k in range(1, n_grades)]), bits)
+    seen = sorted(set(grades.tolist())) or [n_grades - 1]
+    if len(seen) < n_grades:
+        # A grade without rows has no threshold of its own: it shares that of the next grade with rows.
+        fitted = fit_ordinal(slots, np.searchsorted(seen, grades), len(seen), bits, rounds, rate, penalty) if len(seen) > 1 else Ordinal(weights, np.zeros(0), bits)
+        bounds = [-500.0, *fitted.thresholds.tolist(), 500.0]
+        return Ordinal(fitted.weights, np.array([bounds[np.searchsorted(seen, k)] for k in range(1, n_grades)]), bits)
     used = telling(slots, grades, n_grades, 1 << bits)
     slots = [s[used[s]] for s in slots]
     tail = np.array([(grades >= k).mean() for k in range(1, n_grades)]).clip(1e-3, 1 - 1e-3)

@@ -22,6 +22,16 @@ def test_thresholds_are_ordered_and_fit():
     assert np.mean(np.array(found) == truth) > 0.95
 
 
+def test_a_grade_without_rows():
+    rng = np.random.default_rng(2)
+    truth = rng.integers(0, 2, 400) * 2
+    slots = [np.unique([g, *rng.integers(5, 40, 4)]) for g in truth]
+    model = fit_ordinal(slots, truth, 3, bits=6)
+    assert model.thresholds[0] == model.thresholds[1]
+    kept = [Grader(model).model.tails(model.weights[s].sum())[-1] >= 0.5 for s in slots]
+    assert np.mean(np.array(kept) == (truth == 2)) > 0.95
+
+
 def test_one_grade():
     for seen, expected in (([], 2.0), ([0, 0], 0.0), ([1, 1], 1.0)):
         model = fit_ordinal([np.array([1])] * len(seen), np.array(seen, int), 3, bits=4)
