@@ -40,6 +40,22 @@ def csv_roundtrip(spark, folder):
     return rows.select("row_number", "id", "name", "age")
 
 
+@query(
+    "csv_mixed_headers",
+    """SELECT 'c' || c_custkey AS id, c_name AS name,
+      CASE WHEN c_custkey % 3 < 2 THEN CAST(c_nationkey AS VARCHAR) END AS age FROM customer""",
+)
+def csv_mixed_headers(spark, folder):
+    """Files with the same columns in another order and spelling, and files without one of them."""
+    path = scratch_dir(spark, "csv-mixed")
+    cells = ["'c' || c_custkey AS id", "c_name AS name", "CAST(c_nationkey AS STRING) AS age"]
+    rows = read(spark, folder, "customer")
+    for k, names in enumerate((["id", "name", "age"], ["age", "NAME", "id"], ["Name", "id"])):
+        part = rows.filter(F.col("c_custkey") % 3 == k).selectExpr(*cells)
+        delimited.write_delimited(part.select(*[F.col(n).alias(n) for n in names]), f"{path}/{k}", files=2)
+    return delimited.read_delimited(spark, path, numbered=False).select("id", "name", "age")
+
+
 @query(
     "csv_first_rows",
     "SELECT c_custkey + 1 AS row_number, 'c' || c_custkey AS id FROM customer ORDER BY c_custkey LIMIT 100",

@@ -47,13 +47,13 @@ def lines_with_position(spark: SparkSession, path: str, recursive: bool = True)
     )
 
 
-def header_lines(spark: SparkSession, path: str) -> DataFrame:
+def header_lines(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
     """First line of every file.
 
     Only the first block of a file counts, and the grouped minimum is folded per
     task, so nothing but headers is shuffled.
     """
-    lines = lines_with_position(spark, path)
+    lines = lines_with_position(spark, path, recursive)
     return lines.filter(F.col("block_start") == 0).groupBy("file_path").agg(
         F.min_by("line", "seq").alias("header")
     )
@@ -175,13 +175,72 @@ def read_delimited(
     """Rows of text cells with ``source_file`` and, when asked, ``row_number``.
 
     An empty cell is the empty string; a cell that a short line does not have is
-    null. ``columns`` defaults to the header of the first file, and a file whose
-    header differs fails the read. Of a repeated name the last column is kept.
+    null. Every file is read by its own header, and files meet by column name, so
+    their columns may stand in any order; a column that a file does not have is null.
+    With ``columns`` all files are taken to have these, in this order. Of a
+    repeated name the last column is kept.
     ``ragged=False`` skips the handling of short lines and reads them as empty
     cells. ``multi_line`` allows line ends inside quotes and makes files
     unsplittable.
     """
-    names = list(columns) if columns is not None else scan_names(spark, path, sep, recursive)
+    how = {"sep": sep, "quote": quote, "escape": escape, "encoding": encoding, "multi_line": multi_line}
+    how |= {"max_cell": max_cell, "ragged": ragged, "recursive": recursive}
+    if columns is not None:
+        rows = _read_cells(spark, path, list(columns), **how)
+    else:
+        layouts = header_layouts(spark, path, sep, recursive)
+        if not layouts:
+            raise ValueError(f"no header found under {path}")
+        rows = None
+        for names, files in layouts:
+            part = _read_cells(spark, path if len(layouts) < 2 else files, names, **how)
+            rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
+        if len(layouts) > 1:
+            kept = [c for c in rows.columns if c not in ("source_file", "__block", "__seq")]
+            rows = rows.select(*kept, "source_file", "__block", "__seq")
+    if not numbered and max_rows is None:
+        return rows.drop("__block", "__seq")
+    numbered_rows = _number(rows)
+    if max_rows is not None:
+        numbered_rows = numbered_rows.filter(F.col("row_number") <= max_rows)
+    return numbered_rows
+
+
+def header_layouts(
+    spark: SparkSession, path: str, sep: str = ",", recursive: bool = True
+) -> list[tuple[list[str], list[str]]]:
+    """The distinct headers of all files: normalised column names, and the files that have them.
+
+    One row per file comes to the driver, as in a file listing.
+    """
+    headers = header_lines(spark, path, recursive).filter(F.col("header").isNotNull())
+    found = (
+        headers.groupBy("header")
+        .agg(F.min("file_path").alias("first"), F.sort_array(F.collect_list("file_path")).alias("files"))
+        .withColumn("names", F.transform(header_names(F.col("header"), sep), lambda x: text.strip(F.lower(x))))
+        .orderBy("first")
+        .collect()
+    )
+    layouts: dict[tuple[str, ...], list[str]] = {}
+    for row in found:
+        layouts.setdefault(tuple(row["names"]), []).extend(row["files"])
+    return [(list(names), files) for names, files in layouts.items()]
+
+
+def _read_cells(
+    spark: SparkSession,
+    path: str | list[str],
+    names: list[str],
+    sep: str,
+    quote: str,
+    escape: str,
+    encoding: str,
+    multi_line: bool,
+    max_cell: int,
+    ragged: bool,
+    recursive: bool,
+) -> DataFrame:
+    """Cells of files with one header, their file, block and sequence."""
     last = {name: i for i, name in enumerate(names)}
     unique = [name if last[name] == i else f"__{i}_{name}" for i, name in enumerate(names)]
     fields = [T.StructField(name, T.StringType()) for name in unique]
@@ -212,18 +271,12 @@ def read_delimited(
         return F.when(has, F.coalesce(F.col(name), F.lit(""))).alias(name)
 
     cells = [cell(i, name) for i, name in enumerate(unique) if not name.startswith("__")]
-    rows = raw.select(
+    return raw.select(
         *cells,
         F.col("_metadata.file_path").alias("source_file"),
         F.col("_metadata.file_block_start").alias("__block"),
         F.monotonically_increasing_id().alias("__seq"),
     )
-    if not numbered and max_rows is None:
-        return rows.drop("__block", "__seq")
-    numbered_rows = _number(rows)
-    if max_rows is not None:
-        numbered_rows = numbered_rows.filter(F.col("row_number") <= max_rows)
-    return numbered_rows
 
 
 def _number(rows: DataFrame) -> DataFrame:

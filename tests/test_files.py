@@ -33,14 +33,11 @@ def test_row_numbers_over_many_splits(spark, folder):
         assert rows.rdd.getNumPartitions() > 10
         bad = rows.filter(F.col("row_number") != F.col("id").cast("bigint") + 1).count()
         assert (rows.count(), bad) == (30_000, 0)
-        monkey = delimited.MAX_BROADCAST_BLOCKS
-        delimited.MAX_BROADCAST_BLOCKS = 0
-        try:
-            shuffled = delimited.read_delimited(spark, folder)
-            assert shuffled.filter(F.col("row_number") != F.col("id").cast("bigint") + 1).count() == 0
-        finally:
-            delimited.MAX_BROADCAST_BLOCKS = monkey
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        shuffled = delimited.read_delimited(spark, folder)
+        assert shuffled.filter(F.col("row_number") != F.col("id").cast("bigint") + 1).count() == 0
     finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
         spark.conf.unset("spark.sql.files.openCostInBytes")
 
@@ -148,3 +145,13 @@ def test_seed_load_casts(spark):
     assert sorted(tuple(r) for r in seeds.load_contacts(rows).collect()) == [("1", "b", "e", 12), ("2", "c", "e", None)]
     made = seeds.synthetic_stats(seeds.synthetic_actions(spark.range(500))).collect()
     assert all(0 <= r["successful_records"] <= r["total_records"] <= 5000 for r in made)
+
+
+def test_files_meet_by_column_name(spark, folder):
+    put(folder, "a.csv", "id,email,name\n1,a@x.io,Ann\n")
+    put(folder, "b.csv", "id,name,email\n9,Zed,z@x.io\n")
+    put(folder, "c.csv", "NAME, Id\nKim,5\n")
+    rows = delimited.read_delimited(spark, folder).orderBy("row_number").collect()
+    assert [(r["row_number"], r["id"], r["email"], r["name"]) for r in rows] == [
+        (1, "1", "a@x.io", "Ann"), (2, "9", "z@x.io", "Zed"), (3, "5", None, "Kim"),
+    ]
