@@ -1,6 +1,6 @@
 """License scans: canonical digests of entire texts, hash-joined to those of known licences.
 
-The canonical form drops copyright lines, lower-cases A-Z, turns typographic
+The canonical form drops copyright lines, lower-cases, turns typographic
 quotes and dashes, ASCII punctuation and white space into single blanks, and writes
 equivalent words in one way. Two texts with equal forms are one licence whatever their
 layout and holder. The digest is SHA-256 of the form; the known side has one row per digest.
@@ -36,9 +36,9 @@ EQUIVALENT = [
 ]
 # Typographic marks that count as punctuation.
 MARKS = "‘’‚“”„«»–—―…•©®™ "
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 COPYRIGHT_LINES = r"(?m)^[^a-z0-9\n]*(\(c\)|©|copyright([^a-z\n]+\(c\)|[^a-z\n]+©|[^a-z\n]*[0-9]{4})|all rights reserved)[^\n]*$"
-BLANKS = r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+"
+BLANKS = r"[\x00-\x2f\x3a-\x60\x7b-\x7f" + MARKS + "]+"
+WORD = r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f" + MARKS + "]+"
 
 # Notices of one line and short licences, by their common names.
 PERMISSION = (
@@ -85,14 +85,13 @@ KNOWN = [
 
 def canonical(text: Column) -> Column:
     """The form in which equal licences are equal texts."""
-    text = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
-    text = F.regexp_replace(text, COPYRIGHT_LINES, "")
-    text = F.regexp_replace(F.translate(text, MARKS, " " * len(MARKS)), BLANKS, "  ")
+    text = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT_LINES, "")
+    text = F.regexp_replace(text, BLANKS, "  ")
     # Every word has two blanks on either side, so neighbours are replaced alike.
     text = F.concat(F.lit("  "), text, F.lit("  "))
     for old, new in EQUIVALENT:
         text = F.replace(text, F.lit(f" {old.replace(' ', '  ')} "), F.lit(f" {new.replace(' ', '  ')} "))
-    return F.trim(F.regexp_replace(text, " +", " "))
+    return F.trim(F.replace(text, F.lit("  "), F.lit(" ")))
 
 
 def digest(text: Column) -> Column:
@@ -100,20 +99,32 @@ def digest(text: Column) -> Column:
 
 
 def known_digests(known: DataFrame, name_col: str = "license", text_col: str = "text") -> DataFrame:
-    """``digest`` and ``license``, one row per digest; of several names the first in order."""
-    rows = known.select(digest(F.col(text_col)).alias("digest"), F.col(name_col).alias("license"))
-    return rows.where(F.col("digest") != digest(F.lit(""))).groupBy("digest").agg(F.min("license").alias("license"))
+    """``digest``, ``license`` and the ``first`` word of the form, one row per digest; of several names the first in order."""
+    rows = known.select(canonical(F.col(text_col)).alias("form"), F.col(name_col).alias("license")).where("form != ''")
+    rows = rows.select(F.sha2("form", 256).alias("digest"), "license", F.split("form", " ")[0].alias("first"))
+    return rows.groupBy("digest", "first").agg(F.min("license").alias("license"))
+
+
+def first_word(text: Column) -> Column:
+    """The first word of a text, spelled as in the canonical form."""
+    return canonical(F.regexp_extract(text, WORD, 0))
 
 
 def scan(texts: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per text: id, ``digest`` and ``license`` (null if unknown). ``known`` is from ``known_digests``."""
     rows = texts.select(F.col(id_col), digest(F.col(text_col).cast("string")).alias("digest"))
-    return rows.join(known, "digest", "left").select(id_col, "digest", "license")
+    return rows.join(known.select("digest", "license"), "digest", "left").select(id_col, "digest", "license")
 
 
 def scan_lines(texts: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Lines that are a known licence or notice as a whole: id, ``line`` (from 1) and ``license``."""
     lines = F.split(F.col(text_col).cast("string"), "\n", -1)
     rows = texts.select(F.col(id_col), F.posexplode(lines).alias("line", "content"))
+    # A line can only be known if its first word is; two words that are written as one have the first of the two.
+    firsts = known.select("first")
+    for old, new in EQUIVALENT:
+        if " " in old and old.split()[0] != new.split()[0]:
+            firsts = firsts.union(known.where(F.col("first") == new.split()[0]).select(F.lit(old.split()[0])))
+    rows = rows.withColumn("first", first_word(F.col("content"))).join(firsts.distinct(), "first", "left_semi")
     rows = rows.select(id_col, (F.col("line") + 1).cast("long").alias("line"), digest(F.col("content")).alias("digest"))
-    return rows.join(known, "digest").select(id_col, "line", "license")
+    return rows.join(known.select("digest", "license"), "digest").select(id_col, "line", "license")

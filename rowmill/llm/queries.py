@@ -31,9 +31,9 @@ def _sql_text(text: str) -> str:
 
 def _sql_digest(text: str) -> str:
     """The canonical digest of an SQL text, step by step as in ``licenses``."""
-    form = f"translate(coalesce({text}, ''), '{licenses.UPPER}', '{licenses.LOWER}')"
+    form = f"lower(coalesce({text}, ''))"
     form = f"regexp_replace({form}, {_sql_text(licenses.COPYRIGHT_LINES)}, '', 'g')"
-    form = f"regexp_replace(translate({form}, {_sql_text(licenses.MARKS)}, repeat(' ', {len(licenses.MARKS)})), {_sql_text(licenses.BLANKS)}, '  ', 'g')"
+    form = f"regexp_replace({form}, {_sql_text(licenses.BLANKS)}, '  ', 'g')"
     form = f"'  ' || {form} || '  '"
     for old, new in licenses.EQUIVALENT:
         form = f"replace({form}, ' {old.replace(' ', '  ')} ', ' {new.replace(' ', '  ')} ')"

@@ -27,6 +27,9 @@ def test_scan(spark):
     assert all(r.license == cases[r.doc_id][1] for r in found)
     assert licenses.scan(docs.limit(0), known).collect() == []
     lines = spark.createDataFrame([(1, "text\nReleased under the MIT License.\n\nLicensed under CC-BY 4.0"), (2, None)], "doc_id long, text string")
+    more = licenses.known_digests(spark.createDataFrame([("X", "Sublicense it, per cent"), ("Y", "é ok")], "license string, text string"))
+    odd = spark.createDataFrame([(1, "  // Sub-Licence it: percent!\n“É ok”\n(é) OK")], "doc_id long, text string")
+    assert sorted(map(tuple, licenses.scan_lines(odd, more).collect())) == [(1, 1, "X"), (1, 2, "Y"), (1, 3, "Y")]
     assert sorted(map(tuple, licenses.scan_lines(lines, known).collect())) == [(1, 2, "MIT"), (1, 4, "CC-BY-4.0")]
 
 
