@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -32,26 +31,14 @@ def build_session(app: str = "rowmill", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-# Folder per application, for local sessions without the setting.
-_LOCAL_BASES: dict[str, str] = {}
-
-
 def shared_base(spark: SparkSession) -> str:
-    """Folder every executor can reach, as the cluster names it.
-
-    Only a local session without the setting gets a folder of its own.
-    """
+    """Folder every executor can reach, as the session names it in ``spark.checkpoint.dir``."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(
         "spark.checkpoint.dir", None
     )
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not base:
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL_BASES:
-        _LOCAL_BASES[app] = tempfile.mkdtemp(prefix="rowmill-")
-    return _LOCAL_BASES[app]
+    return base.rstrip("/")
 
 
 def scratch_dir(spark: SparkSession, purpose: str) -> str:

@@ -13,6 +13,7 @@ def spark():
         spark__sql__shuffle__partitions="4",
         spark__driver__memory="8g",
         spark__ui__showConsoleProgress="false",
+        spark__checkpoint__dir=tempfile.mkdtemp(prefix="rowmill-shared-"),
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

@@ -25,12 +25,13 @@ def test_the_cluster_names_the_folder():
     assert session.shared_base(Session("yarn", "hdfs:///shared/")) == "hdfs:///shared"
 
 
-def test_a_cluster_without_a_folder_is_refused():
+@pytest.mark.parametrize("master", ["yarn", "local[2]"])
+def test_a_session_without_a_folder_is_refused(master):
     with pytest.raises(RuntimeError):
-        session.shared_base(Session("yarn"))
+        session.shared_base(Session(master))
 
 
-def test_a_local_session_keeps_one_folder_of_its_own():
-    one = session.shared_base(Session("local[2]"))
-    assert one == session.shared_base(Session("local[2]"))
-    assert session.scratch_dir(Session("local[2]"), "x").startswith(one)
+def test_scratch_paths_are_fresh():
+    one = Session("local[2]", "/shared")
+    paths = {session.scratch_dir(one, "x") for _ in range(3)}
+    assert len(paths) == 3 and all(p.startswith("/shared/") for p in paths)
