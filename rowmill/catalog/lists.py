@@ -67,6 +67,17 @@ def search_contacts(spark, folder):
     return rows.select("id", "name", "email")
 
 
+@query(
+    "search_contacts_page",
+    f"""WITH {STORED_SQL} SELECT id, name, nation FROM stored WHERE name ILIKE '%omer#00000%' OR email ILIKE '%omer#00000%'
+      ORDER BY nation DESC, id LIMIT 10 OFFSET 10""",
+)
+def search_contacts_page(spark, folder):
+    """Search, newest first, second page; the nation stands for the time of creation."""
+    found = paging.search_contacts(stored(spark, folder), search="OMER#00000")
+    return paging.page(found, paging.newest_first("id", "nation"), number=2).select("id", "name", "nation")
+
+
 @query("search_email", f"WITH {STORED_SQL} SELECT id, name FROM stored WHERE email = 'user77@example.com'")
 def search_email(spark, folder):
     return paging.search_contacts(stored(spark, folder), email="User77@Example.COM").select("id", "name")

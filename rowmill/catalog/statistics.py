@@ -155,7 +155,8 @@ def count_by_status(spark, folder):
     SELECT CASE WHEN grouping(status) = 0 THEN 'status' WHEN grouping(entity_type) = 0 THEN 'entity_type'
         WHEN grouping(action_type) = 0 THEN 'action_type' ELSE 'all' END AS dimension,
       coalesce(status, entity_type, action_type, 'all') AS value, count(*) AS actions, round(avg(s), 6) AS mean_seconds,
-      count(*) FILTER (status = 'completed') AS completed
+      count(*) FILTER (status = 'completed') AS completed,
+      floor(CAST(count(*) FILTER (status = 'completed') * 10000 AS DOUBLE) / count(*) + 0.5) / 100 AS success_rate
     FROM t GROUP BY GROUPING SETS ((), (status), (entity_type), (action_type))""",
 )
 def action_overview(spark, folder):

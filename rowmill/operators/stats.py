@@ -202,6 +202,7 @@ def action_overview(actions: DataFrame) -> DataFrame:
         "actions",
         "mean_seconds",
         "completed",
+        (F.floor(F.col("completed") * 10_000 / F.col("actions") + 0.5) / 100).alias("success_rate"),
     )
 
 
