@@ -41,11 +41,32 @@ from rowmill.llm.words import as_bytes, in_slices, worker_memo
 CONTEXTS = 257
 START = 256
 END = np.uint64(1)
-BLOCK_TOKENS = 1_500_000
+BLOCK_TOKENS = 500_000
 SWEEPS, KEPT = 6, 3
 THETA = 1.0
 
 
+def pack(values: np.ndarray, kind: str) -> bytes:
+    """Numbers by byte place, all lowest bytes first: the places that are mostly zero compress to nothing."""
+    values = np.ascontiguousarray(values, kind)
+    return values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+
+
+def unpack(packed: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(packed, np.uint8).reshape(size, -1).T.copy().view(kind).ravel()
+
+
+def pack_words(words: np.ndarray) -> tuple[bytes, bytes]:
+    """Sorted fingerprints as steps between the distinct ones, and how often each occurs."""
+    first = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]]))
+    return pack(np.diff(words[first], prepend=np.uint64(0)), "<u8"), pack(np.diff(np.append(first, len(words))), "<u2")
+
+
+def unpack_words(steps: bytes, repeats: bytes) -> np.ndarray:
+    return np.repeat(np.cumsum(unpack(steps, "<u8"), dtype=np.uint64), unpack(repeats, "<u2"))
+
+
 def seat(customers: np.ndarray, weight: np.ndarray, discount: float, rng) -> np.ndarray:
     """Tables of dishes with these customers; ``weight`` is what a new table has against the seated ones."""
     tables = (customers > 0).astype(np.int64)
@@ -152,7 +173,7 @@ def block_of(texts: list[bytes], train: np.ndarray, buckets: int):
     return sizes, cell, bucket[order], words[order], contexts[order], counts
 
 
-BLOCK_SCHEMA = "block long, kind int, ids binary, train binary, sizes binary, cells binary, contexts binary, bucket long, words binary, asked binary, counts binary"
+BLOCK_SCHEMA = "block long, kind int, ids binary, train binary, sizes binary, cells binary, contexts binary, bucket long, words binary, repeats binary, asked binary, counts binary"
 
 
 def read_blocks(rows: DataFrame, buckets: int) -> DataFrame:
@@ -169,17 +190,18 @@ def read_blocks(rows: DataFrame, buckets: int) -> DataFrame:
             rows = [
                 {
                     "block": block, "kind": 0, "ids": "\n".join("" if i is None else i for i in ids).encode(),
-                    "train": np.array(train, bool).tobytes(), "sizes": sizes.tobytes(), "cells": cell.astype("<u4").tobytes(), "contexts": contexts.astype("<u2").tobytes(),
+                    "train": np.array(train, bool).tobytes(), "sizes": sizes.tobytes(), "cells": pack(cell, "<u4"), "contexts": pack(contexts, "<u2"),
                 }
             ]
             for b, x, y in zip(used.tolist(), starts.tolist(), [*starts[1:].tolist(), len(bucket)]):
+                steps, repeats = pack_words(words[x:y])
                 rows.append(
-                    {"block": block, "kind": 1, "bucket": b, "words": words[x:y].tobytes(), "asked": contexts[x:y].astype("<u2").tobytes(), "counts": counts[x:y].astype("<u4").tobytes()}
+                    {"block": block, "kind": 1, "bucket": b, "words": steps, "repeats": repeats, "asked": pack(contexts[x:y], "<u2"), "counts": pack(counts[x:y], "<u4")}
                 )
             return pa.RecordBatch.from_pylist(rows, schema)
 
         schema = pa.schema(
-            [("block", pa.int64()), ("kind", pa.int32()), *[(c, pa.binary()) for c in ("ids", "train", "sizes", "cells", "contexts")], ("bucket", pa.int64()), *[(c, pa.binary()) for c in ("words", "asked", "counts")]]
+            [("block", pa.int64()), ("kind", pa.int32()), *[(c, pa.binary()) for c in ("ids", "train", "sizes", "cells", "contexts")], ("bucket", pa.int64()), *[(c, pa.binary()) for c in ("words", "repeats", "asked", "counts")]]
         )
         for batch in in_slices(batches):
             ids += batch.column("id").to_pylist()
@@ -198,7 +220,8 @@ def read_blocks(rows: DataFrame, buckets: int) -> DataFrame:
 def answer(asked: pd.DataFrame, buckets: int) -> pd.DataFrame:
     """Samples the seating of one bucket's words; per block, what it needs to know of its cells, and the bucket's totals."""
     asked = asked.sort_values("block")
-    parts = [(np.frombuffer(w, np.uint64), np.frombuffer(c, "<u2"), np.frombuffer(k, "<u4")) for w, c, k in zip(asked["words"], asked["asked"], asked["counts"])]
+    columns = (asked[c] for c in ("words", "repeats", "asked", "counts"))
+    parts = [(unpack_words(w, r), unpack(c, "<u2"), unpack(k, "<u4")) for w, r, c, k in zip(*columns)]
     words, contexts, counts = (np.concatenate([p[k] for p in parts]) for k in range(3))
     order = np.lexsort((contexts, words))
     w, c = words[order], contexts[order]
@@ -217,14 +240,13 @@ def answer(asked: pd.DataFrame, buckets: int) -> pd.DataFrame:
     facts = np.stack(
         [customers, *[s[0] for s in samples], of_word[word], *[s[2][word] for s in samples], *[s[1][word] for s in samples]]
     ).astype("<i8")
-    facts = facts.astype("<i4") if facts.max() < 1 << 31 else facts
     out, at = [], 0
     for block, p in zip(asked["block"], parts):
         own = facts[:, cell_of[at : at + len(p[0])]]
         at += len(p[0])
-        out.append((block, seed, own.dtype.itemsize, np.ascontiguousarray(own).tobytes(), None))
-    out.append((-1, seed, 8, b"", bucket_totals(context, customers, samples).tolist()))
-    return pd.DataFrame(out, columns=["block", "bucket", "width", "facts", "totals"])
+        out.append((block, seed, pack(own.ravel(), "<i8"), None))
+    out.append((-1, seed, b"", bucket_totals(context, customers, samples).tolist()))
+    return pd.DataFrame(out, columns=["block", "bucket", "facts", "totals"])
 
 
 def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -233,12 +255,12 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     scratch = Scratch(docs.sparkSession, "pitman-yor")
     rows = docs.select(F.col(id_col).alias("id"), as_bytes(F.col(text_col)).alias("text"), (~F.coalesce(held_out, F.lit(False))).alias("train"))
     kind = rows.schema["id"].dataType.simpleString()
-    buckets = max(8, 2 * rows.rdd.getNumPartitions())
+    buckets = max(16, 4 * rows.rdd.getNumPartitions())
     blocks = scratch.store(read_blocks(rows.withColumn("id", F.col("id").cast("string")), buckets))
-    asked = blocks.where("kind = 1").select("block", "bucket", "words", "asked", "counts")
+    asked = blocks.where("kind = 1").select("block", "bucket", "words", "repeats", "asked", "counts")
     answers = scratch.store(
         asked.groupBy("bucket").applyInPandas(
-            lambda group: answer(group, buckets), "block long, bucket long, width int, facts binary, totals array<long>"
+            lambda group: answer(group, buckets), "block long, bucket long, facts binary, totals array<long>"
         )
     )
     # A fixed number of totals, summed over the buckets.
@@ -251,13 +273,13 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                contexts = np.frombuffer(row["contexts"], "<u2").astype(np.int64)
+                contexts = unpack(row["contexts"], "<u2").astype(np.int64)
                 parts = sorted(row["parts"], key=lambda p: p["bucket"])
-                facts = np.concatenate([np.frombuffer(p["facts"], f"<i{p['width']}").reshape(2 + 3 * KEPT, -1).T for p in parts]).astype(np.int64)
+                facts = np.concatenate([unpack(p["facts"], "<i8").reshape(2 + 3 * KEPT, -1).T for p in parts])
                 log = totals.log_probabilities(contexts, facts[:, : 1 + KEPT], facts[:, 2 + KEPT :])
                 seen = facts[:, 1 + KEPT]
                 base = np.log10((seen + 0.5) / (totals.tokens + 0.5 * (totals.known + 1)))
-                cells, sizes = np.frombuffer(row["cells"], "<u4"), np.frombuffer(row["sizes"], np.int64)
+                cells, sizes = unpack(row["cells"], "<u4"), np.frombuffer(row["sizes"], np.int64)
                 starts = np.cumsum(sizes) - sizes
                 add = lambda values: np.add.reduceat(values[cells], starts)
                 ids = [i or None for i in row["ids"].decode().split("\n")]
@@ -271,7 +293,7 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
                 )
 
     # As many parts as there are buckets at most, each a part of the block's own cells.
-    parts = answers.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("bucket", "width", "facts")).alias("parts"))
+    parts = answers.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("bucket", "facts")).alias("parts"))
     whole = blocks.where("kind = 0").select("block", "ids", "train", "sizes", "cells", "contexts").join(parts, "block")
     scored = whole.mapInArrow(
         score, "id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"

@@ -14,6 +14,13 @@ from rowmill.llm.pitman_yor import CONTEXTS, KEPT, Totals, bucket_totals, sample
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
 
+def test_packing():
+    words = np.sort(np.array([3, 3, 2**63 + 5, 9, 9, 9, 2**64 - 1], np.uint64))
+    assert (pitman_yor.unpack_words(*pitman_yor.pack_words(words)) == words).all()
+    values = np.array([0, 1, 255, 256, 2**40])
+    assert (pitman_yor.unpack(pitman_yor.pack(values, "<i8"), "<i8") == values).all()
+
+
 def test_seating():
     rng = np.random.default_rng(0)
     customers = np.array([0, 1, 2, 5, 300, 5000])
