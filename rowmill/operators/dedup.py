@@ -51,14 +51,16 @@ def _with_group(df: DataFrame, key: Column, long_keys: bool) -> DataFrame:
 def one_per_key(
     df: DataFrame, key: Column, order: str = "row_number", last: bool = False, long_keys: bool = False
 ) -> DataFrame:
-    """First (or last) row of every key, plus all rows without a key."""
+    """First (or last) row of every key, plus all rows without a key.
+
+    Only row numbers are folded by key, in a hash aggregate; the rows meet the
+    winners on the unique row number.
+    """
     tagged = _with_group(df, key, long_keys)
-    pick = F.max_by if last else F.min_by
-    rows = F.struct(*[F.col(c) for c in df.columns])
-    # A row without a key is its own group, so one pass serves both kinds.
-    own = F.when(F.col("__key").isNull(), F.col(order))
-    kept = tagged.groupBy("__key", own.alias("__own")).agg(pick(rows, F.col(order)).alias("r"))
-    return kept.select("r.*")
+    pick = F.max if last else F.min
+    winners = tagged.filter(F.col("__key").isNotNull()).groupBy("__key").agg(pick(order).alias(order))
+    marked = tagged.join(winners.select(order, F.lit(True).alias("__wins")), order, "left")
+    return marked.filter(F.col("__wins") | F.col("__key").isNull()).select(df.columns)
 
 
 def merge_per_key(

@@ -20,15 +20,15 @@ from rowmill.spec import CONFLICT_MODES, CONTACTS, EntitySpec
 
 
 def latest_per_key(changes: DataFrame, key: str, order: str, first: bool = False) -> DataFrame:
-    """Last (or first) row of every key; rows without a key are left out."""
-    pick = F.min_by if first else F.max_by
-    rest = [c for c in changes.columns if c != key]
-    return (
-        changes.filter(F.col(key).isNotNull())
-        .groupBy(key)
-        .agg(pick(F.struct(*rest), F.col(order)).alias("r"))
-        .select(key, "r.*")
-    )
+    """Last (or first) row of every key; rows without a key are left out.
+
+    Only the row numbers are folded by key, in a hash aggregate; the rows meet the
+    winners on key and number, which are unique.
+    """
+    pick = F.min if first else F.max
+    keyed = changes.filter(F.col(key).isNotNull())
+    winners = keyed.groupBy(key).agg(pick(order).alias(order))
+    return keyed.join(winners, [key, order]).select(key, *[c for c in changes.columns if c != key])
 
 
 def _prefixed(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
@@ -179,7 +179,9 @@ def upsert(
     source = incoming.select(key, order, *columns)
     picked = latest_per_key(source, key, order, first=not updating).drop(order)
     fresh = _prefixed(picked, key, columns)
-    keyed = target.withColumn("__old", F.lit(True)).join(fresh, key, "full_outer")
+    # Stored rows without a key cannot meet anything either; they stay out of the join.
+    stored_keyless = target.filter(F.col(key).isNull())
+    keyed = target.filter(F.col(key).isNotNull()).withColumn("__old", F.lit(True)).join(fresh, key, "full_outer")
     old = F.coalesce("__old", F.lit(False))
     hit = F.coalesce("__hit", F.lit(False))
     stamp = F.current_timestamp() if now is None else now
@@ -200,6 +202,7 @@ def upsert(
     state = keyed.select(*out)
     # Rows without a key cannot meet anything; they are all new rows.
     keyless = incoming.filter(F.col(key).isNull())
+    state = state.unionByName(stored_keyless)
     return state.unionByName(_as_new_rows(keyless, target, columns, key, order, stamp, id_column))
 
 
