@@ -384,7 +384,7 @@ def link_copies(
         F.coalesce("sig", F.xxhash64("ids")).alias("sig"), F.explode("ids").alias("id"), F.array_min("ids").alias("pivot"), "weak"
     )
 
-    weak = groups.where("weak").groupBy("sig", "pivot").agg(F.lit(1).alias("one"))
+    weak = sets.where("weak").select("sig", F.array_min("ids").alias("pivot")).distinct()
     tops = weak.groupBy("sig").agg(F.min("pivot").alias("top"))
     pairs = groups.select(F.col("id").alias("a"), F.col("pivot").alias("b")).union(
         weak.join(tops, "sig").select(F.col("pivot").alias("a"), F.col("top").alias("b"))
