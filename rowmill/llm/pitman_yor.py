@@ -41,7 +41,7 @@ from rowmill.llm.words import as_bytes, in_slices, worker_memo
 CONTEXTS = 257
 START = 256
 END = np.uint64(1)
-BLOCK_TOKENS = 500_000
+BLOCK_TOKENS = 250_000
 SWEEPS, KEPT = 6, 3
 THETA = 1.0
 
@@ -148,7 +148,7 @@ def bucket_totals(context, customers, samples) -> np.ndarray:
 
 def block_of(texts: list[bytes], train: np.ndarray, buckets: int):
     """Cells of a block in order of (bucket, word, context) with training counts, and the cell of every token."""
-    prints = worker_memo("word prints", WordPrints)
+    prints = worker_memo("word prints", lambda: WordPrints(150_000))
     split = [t.split() for t in (t.lower() for t in texts)]
     sizes = np.fromiter(map(len, split), np.int64, len(split)) + 1
     n = int(sizes.sum())
