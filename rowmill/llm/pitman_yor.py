@@ -7,11 +7,12 @@ customers in a context sit at tables; each table is a customer of the root.
 
 Seating is sampled by Gibbs sweeps, a dish at a time: its customers leave and are seated
 again one after another, each at an old table by its customers less the discount or at a new
-one by concentration, tables and the parent's probability. Beyond 256 customers they are seated
-in runs of a sixteenth of those who sit. All contexts of a word meet in one bucket, so the parent's
-counts are at hand; totals over words that lie in other buckets are taken from the own ones
-in proportion while sampling. The predictive probability of each kept sample uses the exact totals of
-all buckets, which makes it sum to one, and the score uses the mean over samples.
+one by concentration, tables and the parent's probability. Beyond 256 customers the customer who opens the
+next table is drawn at once, from the same probabilities. Each sweep is a Spark table of cells and one of
+words; the next sweep takes its exact sums per word, per context and over all. What is drawn for a cell
+depends on its word, its context and the sweep only, so scores don't depend on partitions or buckets. The
+predictive probability of each kept sample sums to one, and the score uses the mean over samples.
+``sample_seating`` and ``bucket_totals`` are the same for cells of one task, as an oracle in tests.
 
 Texts are read once, into blocks: each holds the numbers of its distinct (context, word) cells in
 text order. A block asks each bucket once for its cells, packed, and gets their counts back; documents
@@ -25,6 +26,7 @@ training rows all probabilities are one.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from copy import copy
 from itertools import chain
 
 import numpy as np
@@ -34,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowmill.llm.shingles import WordPrints, mix
+from rowmill.llm.shingles import STEP, WordPrints, mix
 from rowmill.llm.stored import Scratch
 from rowmill.llm.words import as_bytes, in_slices, worker_memo
 
@@ -44,6 +46,7 @@ END = np.uint64(1)
 BLOCK_TOKENS = 250_000
 SWEEPS, KEPT = 6, 3
 THETA = 1.0
+ONE_BY_ONE = 256
 
 
 def pack(values: np.ndarray, kind: str) -> bytes:
@@ -67,23 +70,50 @@ def unpack_words(steps: bytes, repeats: bytes) -> np.ndarray:
     return np.repeat(np.cumsum(unpack(steps, "<u8"), dtype=np.uint64), unpack(repeats, "<u2"))
 
 
-def seat(customers: np.ndarray, weight: np.ndarray, discount: float, rng) -> np.ndarray:
-    """Tables of dishes with these customers; ``weight`` is what a new table has against the seated ones."""
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """Stirling's series, exact to the last places for arguments over a hundred."""
+    return (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + 1 / (12 * x) - 1 / (360 * x**3)
+
+
+def uniform(keys: np.ndarray, turn: np.ndarray) -> np.ndarray:
+    """A number in [0, 1) that depends on key and turn only."""
+    return (mix(keys + (turn.astype(np.uint64) + np.uint64(1)) * STEP) >> np.uint64(11)) * 2.0**-53
+
+
+def seat_keyed(customers: np.ndarray, weight: np.ndarray, discount: float, keys: np.ndarray) -> np.ndarray:
+    """Tables of dishes with these customers; ``weight`` is what a new table has against the seated ones.
+    Draws depend on the dish's key only, not on the dishes beside it."""
     tables = (customers > 0).astype(np.int64)
     open_ = np.flatnonzero(customers > 1)
-    seated = 1
-    while len(open_):
-        run = max(1, seated // 16) if seated >= 256 else 1
+    for seated in range(1, ONE_BY_ONE):
+        if not len(open_):
+            return tables
         share = weight[open_] / (weight[open_] + seated - discount * tables[open_])
-        if run == 1:
-            tables[open_] += rng.random(len(open_)) < share
-        else:
-            tables[open_] += rng.binomial(np.minimum(run, customers[open_] - seated), np.minimum(share, 1.0))
-        seated += run
-        open_ = open_[customers[open_] > seated]
+        tables[open_] += uniform(keys[open_], np.full(len(open_), seated)) < share
+        open_ = open_[customers[open_] > seated + 1]
+    # From here on the customer who opens the next table is drawn at once, by the probability that nobody did before.
+    seated = np.full(len(open_), ONE_BY_ONE)
+    while len(open_):
+        old, new = -discount * tables[open_], weight[open_] - discount * tables[open_]
+        start = log_gamma(seated + new) - log_gamma(seated + old)
+        wanted = np.log(np.maximum(uniform(keys[open_], ONE_BY_ONE + tables[open_]), 1e-300))
+        low, high = seated.copy(), customers[open_] + 1
+        while (high - low > 1).any():
+            middle = np.where(high - low > 1, (low + high) // 2, low)
+            nobody = start + log_gamma(middle + old) - log_gamma(middle + new) >= wanted
+            low, high = np.where(nobody, middle, low), np.where(nobody | (middle == low), high, middle)
+        opened = high <= customers[open_]
+        tables[open_[opened]] += 1
+        more = opened & (high < customers[open_])
+        open_, seated = open_[more], high[more]
     return tables
 
 
+def seat(customers: np.ndarray, weight: np.ndarray, discount: float, rng) -> np.ndarray:
+    """``seat_keyed`` with keys from a generator."""
+    return seat_keyed(customers, weight, discount, rng.integers(0, 2**64, len(customers), np.uint64))
+
+
 def estimate_discount(ones: float, twos: float) -> float:
     """The usual estimate from the numbers of things seen once and twice."""
     return min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones else 0.5
@@ -122,14 +152,20 @@ class Totals:
         self.root, v = v[:KEPT], v[KEPT:]
         self.known, ones, twos, root_ones, root_twos = v.tolist()
         self.d1, self.d0 = estimate_discount(ones, twos), estimate_discount(root_ones, root_twos)
-        self.tokens = int(self.customers.sum())
+        self.tokens, self.served = int(self.customers.sum()), self.tables.sum(axis=1).tolist()
+
+    def beside(self, customers: np.ndarray, tables: np.ndarray) -> Totals:
+        """The same sums beside other contexts: their customers, and tables per sample."""
+        other = copy(self)
+        other.customers, other.tables = customers, tables
+        return other
 
     def log_probabilities(self, context: np.ndarray, cell: np.ndarray, word: np.ndarray) -> np.ndarray:
         """log10 of the mean predictive probability. ``cell``: customers and tables per sample;
         ``word`` (per cell): its root customers per sample, then root tables per sample."""
         mean = np.zeros(len(context))
         for s in range(KEPT):
-            served, all_served = word[:, s], int(self.tables[s].sum())
+            served, all_served = word[:, s], self.served[s]
             root = (served - self.d0 * word[:, KEPT + s] + (THETA + self.d0 * int(self.root[s])) / (self.known + 1)) / (THETA + all_served)
             own = cell[:, 0] - self.d1 * cell[:, 1 + s]
             back = THETA + self.d1 * self.tables[s][context]
@@ -163,7 +199,7 @@ def block_of(texts: list[bytes], train: np.ndarray, buckets: int):
     context[ends - sizes] = START
     key = mix(word + mix(context.astype(np.uint64)))
     _, first, cell = np.unique(key, return_index=True, return_inverse=True)
-    words, contexts = word[first], context[first]
+    words, contexts = word[first], context[first].astype(np.uint64)
     bucket = (mix(words) % np.uint64(buckets)).astype(np.int64)
     order = np.lexsort((contexts, words, bucket))
     place = np.empty(len(order), np.int64)
@@ -173,11 +209,22 @@ def block_of(texts: list[bytes], train: np.ndarray, buckets: int):
     return sizes, cell, bucket[order], words[order], contexts[order], counts
 
 
+def contexts_of(contexts: np.ndarray, buckets: int):
+    """Distinct contexts in order of bucket, their buckets, and which of them each cell has."""
+    distinct, which = np.unique(contexts, return_inverse=True)
+    bucket = (mix(distinct) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return distinct[order], bucket[order], place[which]
+
+
 BLOCK_SCHEMA = "block long, kind int, ids binary, train binary, sizes binary, cells binary, contexts binary, bucket long, words binary, repeats binary, asked binary, counts binary"
 
 
 def read_blocks(rows: DataFrame, buckets: int) -> DataFrame:
-    """Kind 0: the documents of a block and the cell of each token; kind 1: its cells of one bucket."""
+    """Kind 0: the documents of a block and the cell of each token; kind 1: its cells of one bucket of words;
+    kind 2: its contexts of one bucket of contexts."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
@@ -186,18 +233,22 @@ def read_blocks(rows: DataFrame, buckets: int) -> DataFrame:
         def emit() -> pa.RecordBatch:
             sizes, cell, bucket, words, contexts, counts = block_of(texts, np.array(train, bool), buckets)
             block = (part << 24) + number
+            distinct, home, which = contexts_of(contexts, buckets)
             used, starts = np.unique(bucket, return_index=True)
             rows = [
                 {
                     "block": block, "kind": 0, "ids": "\n".join("" if i is None else i for i in ids).encode(),
-                    "train": np.array(train, bool).tobytes(), "sizes": sizes.tobytes(), "cells": pack(cell, "<u4"), "contexts": pack(contexts, "<u2"),
+                    "train": np.array(train, bool).tobytes(), "sizes": sizes.tobytes(), "cells": pack(cell, "<u4"), "contexts": pack(which, "<u4"),
                 }
             ]
             for b, x, y in zip(used.tolist(), starts.tolist(), [*starts[1:].tolist(), len(bucket)]):
                 steps, repeats = pack_words(words[x:y])
                 rows.append(
-                    {"block": block, "kind": 1, "bucket": b, "words": steps, "repeats": repeats, "asked": pack(contexts[x:y], "<u2"), "counts": pack(counts[x:y], "<u4")}
+                    {"block": block, "kind": 1, "bucket": b, "words": steps, "repeats": repeats, "asked": pack(contexts[x:y], "<u8"), "counts": pack(counts[x:y], "<u4")}
                 )
+            used, starts = np.unique(home, return_index=True)
+            for b, x, y in zip(used.tolist(), starts.tolist(), [*starts[1:].tolist(), len(home)]):
+                rows.append({"block": block, "kind": 2, "bucket": b, "asked": pack(distinct[x:y], "<u8")})
             return pa.RecordBatch.from_pylist(rows, schema)
 
         schema = pa.schema(
@@ -217,36 +268,133 @@ def read_blocks(rows: DataFrame, buckets: int) -> DataFrame:
     return rows.mapInArrow(read, BLOCK_SCHEMA)
 
 
-def answer(asked: pd.DataFrame, buckets: int) -> pd.DataFrame:
-    """Samples the seating of one bucket's words; per block, what it needs to know of its cells, and the bucket's totals."""
-    asked = asked.sort_values("block")
+def pair_key(word: np.ndarray, context: np.ndarray) -> np.ndarray:
+    return mix(word + mix(context))
+
+
+def prints_of(column: pd.Series) -> np.ndarray:
+    return column.to_numpy(np.int64).view(np.uint64)
+
+
+def fold(asked: pd.DataFrame, buckets: int) -> pd.DataFrame:
+    """The cells of one bucket with training customers, each once."""
     columns = (asked[c] for c in ("words", "repeats", "asked", "counts"))
-    parts = [(unpack_words(w, r), unpack(c, "<u2"), unpack(k, "<u4")) for w, r, c, k in zip(*columns)]
+    parts = [(unpack_words(w, r), unpack(c, "<u8"), unpack(k, "<u4").astype(np.int64)) for w, r, c, k in zip(*columns)]
     words, contexts, counts = (np.concatenate([p[k] for p in parts]) for k in range(3))
-    order = np.lexsort((contexts, words))
-    w, c = words[order], contexts[order]
-    new = np.ones(len(w), bool)
-    new[1:] = (w[1:] != w[:-1]) | (c[1:] != c[:-1])
-    cell_of = np.empty(len(w), np.int64)
-    cell_of[order] = np.cumsum(new) - 1
-    customers = np.bincount(cell_of, counts).astype(np.int64)
-    first = order[new]
-    context = contexts[first].astype(np.int64)
-    _, word = np.unique(words[first], return_inverse=True)
-    n_words = int(word.max()) + 1
-    seed = int(asked["bucket"].iloc[0])
-    samples = sample_seating(context, word, customers, n_words, 1.0 / buckets, seed)
-    of_word = np.bincount(word, customers, n_words).astype(np.int64)
-    facts = np.stack(
-        [customers, *[s[0] for s in samples], of_word[word], *[s[2][word] for s in samples], *[s[1][word] for s in samples]]
-    ).astype("<i8")
-    out, at = [], 0
-    for block, p in zip(asked["block"], parts):
-        own = facts[:, cell_of[at : at + len(p[0])]]
-        at += len(p[0])
-        out.append((block, seed, pack(own.ravel(), "<i8"), None))
-    out.append((-1, seed, b"", bucket_totals(context, customers, samples).tolist()))
-    return pd.DataFrame(out, columns=["block", "bucket", "facts", "totals"])
+    trained = counts > 0
+    words, contexts, counts = words[trained], contexts[trained], counts[trained]
+    _, first, which = np.unique(pair_key(words, contexts), return_index=True, return_inverse=True)
+    words, contexts = words[first], contexts[first]
+    return pd.DataFrame(
+        {
+            "word": words.view(np.int64), "context": contexts.view(np.int64),
+            "bucket": (mix(words) % np.uint64(buckets)).astype(np.int64), "home": (mix(contexts) % np.uint64(buckets)).astype(np.int64),
+            "customers": np.bincount(which, counts, len(first)).astype(np.int64),
+        }
+    )
+
+
+def seated(rows: DataFrame, count: str, discount: float, turn: int, keys: tuple[str, ...], out: str) -> DataFrame:
+    """``rows`` (``count`` customers at ``weight``) with their tables as column ``out`` in place of the weight."""
+    salt = mix(np.full(1, turn, np.uint64) + STEP)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = np.repeat(salt, batch.num_rows)
+            for k in keys:
+                key = mix(key + batch.column(k).to_numpy().view(np.uint64))
+            tables = seat_keyed(batch.column(count).to_numpy(), batch.column("weight").to_numpy(), discount, key)
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(tables)], [*kept, out])
+
+    kept = [c for c in rows.columns if c != "weight"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "weight")
+    return rows.mapInArrow(run, f"{schema}, {out} long")
+
+
+def sample_tables(scratch: Scratch, cells: DataFrame):
+    """``cells`` with tables per kept sample, words with root customers and tables, and the totals.
+
+    Each sweep is a stored table; the next one takes its exact sums per word, per context and over all."""
+    ones = lambda c, n: F.coalesce(F.sum((F.col(c) == n).cast("long")), F.lit(0))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    seen = cells.agg(total("customers"), ones("customers", 1), ones("customers", 2)).first()
+    d1 = estimate_discount(seen[1], seen[2])
+    state = cells.withColumn("tables", F.lit(1).cast("long"))
+    words = scratch.store(state.groupBy("word").agg(F.sum("tables").alias("served")).withColumn("root", F.lit(1).cast("long")))
+    sums, samples = [], []
+
+    def facts():
+        return words.agg(F.count(F.lit(1)), total("served"), total("root"), ones("served", 1), ones("served", 2)).first()
+
+    now = facts()
+    for sweep in range(SWEEPS):
+        known, all_served, all_root, *few = now
+        d0 = estimate_discount(*few)
+        fresh = (THETA + d0 * all_root) / (known + 1)
+        p_root = (F.greatest(F.col("served") - d0 * F.col("root"), F.lit(0.0)) + fresh) / (THETA + all_served)
+        beside = state.groupBy("context").agg(F.sum("tables").alias("beside"))
+        rows = state.join(words.select("word", p_root.alias("p_root")), "word").join(beside, "context")
+        weight = (THETA + d1 * F.col("beside")) * F.col("p_root")
+        kept = [c for c in state.columns if c != "tables"]
+        state = scratch.store(seated(rows.select(*kept, weight.alias("weight")), "customers", d1, 2 * sweep, ("word", "context"), "tables"))
+        served = state.groupBy("word").agg(F.sum("tables").alias("served")).withColumn("weight", F.lit(fresh))
+        words = scratch.store(seated(served, "served", d0, 2 * sweep + 1, ("word",), "root"))
+        now = facts()
+        k = sweep - (SWEEPS - KEPT)
+        if k >= 0:
+            state = state.withColumn(f"tables{k}", F.col("tables"))
+            samples.append(words.withColumnsRenamed({"served": f"served{k}", "root": f"root{k}"}))
+            sums.append(now)
+    whole = cells.groupBy("word").agg(F.sum("customers").alias("seen"))
+    for sample in samples:
+        whole = whole.join(sample, "word")
+    totals = Totals(np.zeros(CONTEXTS * (KEPT + 1) + KEPT + 5, np.int64))
+    totals.known, totals.tokens, totals.d1 = now[0], seen[0], d1
+    totals.served, totals.root = [s[1] for s in sums], [s[2] for s in sums]
+    totals.d0 = estimate_discount(*now[3:])
+    return state.drop("tables"), whole, totals
+
+
+CELL_FACTS = ["customers", *[f"tables{k}" for k in range(KEPT)]]
+WORD_FACTS = ["seen", *[f"served{k}" for k in range(KEPT)], *[f"root{k}" for k in range(KEPT)]]
+
+
+def find(sorted_keys: np.ndarray, asked: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Columns of ``values`` (facts x keys) at the asked keys, zeros where there is none."""
+    out = np.zeros((len(values), len(asked)), np.int64)
+    if len(sorted_keys):
+        at = np.minimum(np.searchsorted(sorted_keys, asked), len(sorted_keys) - 1)
+        hit = sorted_keys[at] == asked
+        out[:, hit] = values[:, at[hit]]
+    return out
+
+
+def answer_cells(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+    """Per block, what it needs to know of its cells in one bucket: facts of the cell, then of the word."""
+    word = prints_of(known["word"])
+    key = pair_key(word, prints_of(known["context"]))
+    order = np.argsort(key)
+    cell_keys, cell_facts = key[order], known[CELL_FACTS].to_numpy(np.int64).T[:, order]
+    words, first = np.unique(word, return_index=True)
+    word_facts = known[WORD_FACTS].to_numpy(np.int64).T[:, first]
+    out = []
+    for block, bucket, w, r, c in zip(*(asked[c] for c in ("block", "bucket", "words", "repeats", "asked"))):
+        own = unpack_words(w, r)
+        facts = np.concatenate([find(cell_keys, pair_key(own, unpack(c, "<u8")), cell_facts), find(words, own, word_facts)])
+        out.append((block, 1, bucket, pack(facts.ravel(), "<i8")))
+    return pd.DataFrame(out, columns=["block", "kind", "bucket", "facts"])
+
+
+def answer_contexts(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+    """Per block, customers and tables of its contexts in one bucket."""
+    context = prints_of(known["context"])
+    order = np.argsort(context)
+    facts = known[CELL_FACTS].to_numpy(np.int64).T[:, order]
+    out = [
+        (block, 2, bucket, pack(find(context[order], unpack(c, "<u8"), facts).ravel(), "<i8"))
+        for block, bucket, c in zip(asked["block"], asked["bucket"], asked["asked"])
+    ]
+    return pd.DataFrame(out, columns=["block", "kind", "bucket", "facts"])
 
 
 def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -255,28 +403,33 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     scratch = Scratch(docs.sparkSession, "pitman-yor")
     rows = docs.select(F.col(id_col).alias("id"), as_bytes(F.col(text_col)).alias("text"), (~F.coalesce(held_out, F.lit(False))).alias("train"))
     kind = rows.schema["id"].dataType.simpleString()
-    buckets = max(16, 4 * rows.rdd.getNumPartitions())
+    # How many buckets there are changes where cells meet, not what is drawn for them.
+    buckets = max(48, 4 * rows.rdd.getNumPartitions())
     blocks = scratch.store(read_blocks(rows.withColumn("id", F.col("id").cast("string")), buckets))
     asked = blocks.where("kind = 1").select("block", "bucket", "words", "repeats", "asked", "counts")
-    answers = scratch.store(
+    cells = scratch.store(
         asked.groupBy("bucket").applyInPandas(
-            lambda group: answer(group, buckets), "block long, bucket long, facts binary, totals array<long>"
+            lambda group: fold(group, buckets), "word long, context long, bucket long, home long, customers long"
         )
     )
-    # A fixed number of totals, summed over the buckets.
-    sums = answers.where("block = -1").select(F.posexplode("totals").alias("k", "v")).groupBy("k").agg(F.sum("v").alias("v"))
-    values = np.zeros(CONTEXTS * (KEPT + 1) + KEPT + 5, np.int64)
-    for r in sums.collect():
-        values[r.k] = r.v
-    totals = Totals(values)
+    state, words, totals = sample_tables(scratch, cells)
+    by_context = state.groupBy("context", "home").agg(*[F.sum(c).alias(c) for c in CELL_FACTS])
+    reply = "block long, kind int, bucket long, facts binary"
+    of_cells = asked.drop("counts").groupBy("bucket").cogroup(state.join(words, "word").groupBy("bucket")).applyInPandas(answer_cells, reply)
+    of_contexts = (
+        blocks.where("kind = 2").select("block", "bucket", "asked").groupBy("bucket")
+        .cogroup(by_context.groupBy("home")).applyInPandas(answer_contexts, reply)
+    )
+    answers = scratch.store(of_cells.union(of_contexts))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                contexts = unpack(row["contexts"], "<u2").astype(np.int64)
-                parts = sorted(row["parts"], key=lambda p: p["bucket"])
-                facts = np.concatenate([unpack(p["facts"], "<i8").reshape(2 + 3 * KEPT, -1).T for p in parts])
-                log = totals.log_probabilities(contexts, facts[:, : 1 + KEPT], facts[:, 2 + KEPT :])
+                contexts = unpack(row["contexts"], "<u4").astype(np.int64)
+                parts = sorted(row["parts"], key=lambda p: (p["kind"], p["bucket"]))
+                facts = np.concatenate([unpack(p["facts"], "<i8").reshape(2 + 3 * KEPT, -1).T for p in parts if p["kind"] == 1])
+                around = np.concatenate([unpack(p["facts"], "<i8").reshape(1 + KEPT, -1) for p in parts if p["kind"] == 2], 1)
+                log = totals.beside(around[0], around[1:]).log_probabilities(contexts, facts[:, : 1 + KEPT], facts[:, 2 + KEPT :])
                 seen = facts[:, 1 + KEPT]
                 base = np.log10((seen + 0.5) / (totals.tokens + 0.5 * (totals.known + 1)))
                 cells, sizes = unpack(row["cells"], "<u4"), np.frombuffer(row["sizes"], np.int64)
@@ -293,7 +446,7 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
                 )
 
     # As many parts as there are buckets at most, each a part of the block's own cells.
-    parts = answers.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("bucket", "facts")).alias("parts"))
+    parts = answers.groupBy("block").agg(F.collect_list(F.struct("kind", "bucket", "facts")).alias("parts"))
     whole = blocks.where("kind = 0").select("block", "ids", "train", "sizes", "cells", "contexts").join(parts, "block")
     scored = whole.mapInArrow(
         score, "id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"

@@ -100,3 +100,29 @@ def test_documents(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
     assert CONTEXTS == 257
     print("held-out log10 per token:", sum(r.score for r in held) / sum(r.n_tokens for r in held), sum(r.base_score for r in held) / sum(r.n_tokens for r in held))
+
+
+def test_draws_depend_on_the_dish_only():
+    rng = np.random.default_rng(4)
+    customers, weight = rng.integers(0, 3000, 500), rng.random(500) * 3
+    keys = rng.integers(0, 2**64, 500, np.uint64)
+    whole = pitman_yor.seat_keyed(customers, weight, 0.6, keys)
+    parts = [pitman_yor.seat_keyed(customers[k::7], weight[k::7], 0.6, keys[k::7]) for k in range(7)]
+    assert all((whole[k::7] == parts[k]).all() for k in range(7))
+
+
+def test_long_queues_are_seated_exactly(monkeypatch):
+    def means(n):
+        return [seat(np.full(4000, n), np.full(4000, w), d, np.random.default_rng(5)).mean() for w, d in ((0.3, 0.1), (20.0, 0.7))]
+
+    drawn = means(1500)
+    monkeypatch.setattr(pitman_yor, "ONE_BY_ONE", 1501)
+    one_by_one = means(1500)
+    assert np.allclose(drawn, one_by_one, rtol=0.02)
+
+
+def test_partitions_do_not_change_scores(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(120).select("doc_id", "text").localCheckpoint()
+    held = F.col("doc_id") % 5 == 1
+    one, many = ({r.doc_id: r.score for r in pitman_yor.score_texts(docs.repartition(n), held).collect()} for n in (1, 30))
+    assert one == many
