@@ -1,7 +1,7 @@
 """LM scoring: a hierarchical Pitman-Yor model of words in context.
 
-A text is its words and one end. The context of a word is the last byte of the word before
-it (or the start of the text): 257 context restaurants that share the root restaurant as
+A text is its words and one end. The context of a word is the word before it (or the start of
+the text): as many context restaurants as there are words, which share the root restaurant as
 parent; the root's base is even over the known words and one unknown word. A word's
 customers in a context sit at tables; each table is a customer of the root.
 
@@ -12,7 +12,7 @@ next table is drawn at once, from the same probabilities. Each sweep is a Spark
 words; the next sweep takes its exact sums per word, per context and over all. What is drawn for a cell
 depends on its word, its context and the sweep only, so scores don't depend on partitions or buckets. The
 predictive probability of each kept sample sums to one, and the score uses the mean over samples.
-``sample_seating`` and ``bucket_totals`` are the same for cells of one task, as an oracle in tests.
+``sample_seating`` and ``bucket_totals`` are the same for cells of one task and ``CONTEXTS`` numbered contexts, as an oracle in tests.
 
 Texts are read once, into blocks: each holds the numbers of its distinct (context, word) cells in
 text order. A block asks each bucket once for its cells, packed, and gets their counts back; documents
@@ -41,7 +41,7 @@ from rowmill.llm.stored import Scratch
 from rowmill.llm.words import as_bytes, in_slices, worker_memo
 
 CONTEXTS = 257
-START = 256
+START = np.uint64(256)
 END = np.uint64(1)
 BLOCK_TOKENS = 250_000
 SWEEPS, KEPT = 6, 3
@@ -182,6 +182,10 @@ def bucket_totals(context, customers, samples) -> np.ndarray:
     return np.concatenate(parts).astype(np.int64)
 
 
+def pair_key(word: np.ndarray, context: np.ndarray) -> np.ndarray:
+    return mix(word + mix(context))
+
+
 def block_of(texts: list[bytes], train: np.ndarray, buckets: int):
     """Cells of a block in order of (bucket, word, context) with training counts, and the cell of every token."""
     prints = worker_memo("word prints", lambda: WordPrints(150_000))
@@ -191,16 +195,15 @@ def block_of(texts: list[bytes], train: np.ndarray, buckets: int):
     ends = np.cumsum(sizes)
     at_word = np.ones(n, bool)
     at_word[ends - 1] = False
-    word, last = np.full(n, END), np.zeros(n, np.int64)
+    word = np.full(n, END)
     word[at_word] = np.fromiter(map(prints.__getitem__, chain.from_iterable(split)), np.uint64, n - len(split))
-    last[at_word] = np.fromiter((w[-1] for w in chain.from_iterable(split)), np.int64, n - len(split))
-    context = np.empty(n, np.int64)
-    context[1:] = last[:-1]
+    context = np.empty(n, np.uint64)
+    context[1:] = word[:-1]
     context[ends - sizes] = START
-    key = mix(word + mix(context.astype(np.uint64)))
+    key = pair_key(word, context)
     _, first, cell = np.unique(key, return_index=True, return_inverse=True)
-    words, contexts = word[first], context[first].astype(np.uint64)
-    bucket = (mix(words) % np.uint64(buckets)).astype(np.int64)
+    words, contexts = word[first], context[first]
+    bucket = (words & np.uint64(buckets - 1)).astype(np.int64)
     order = np.lexsort((contexts, words, bucket))
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
@@ -212,7 +215,7 @@ def block_of(texts: list[bytes], train: np.ndarray, buckets: int):
 def contexts_of(contexts: np.ndarray, buckets: int):
     """Distinct contexts in order of bucket, their buckets, and which of them each cell has."""
     distinct, which = np.unique(contexts, return_inverse=True)
-    bucket = (mix(distinct) % np.uint64(buckets)).astype(np.int64)
+    bucket = (distinct & np.uint64(buckets - 1)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
@@ -268,30 +271,23 @@ def read_blocks(rows: DataFrame, buckets: int) -> DataFrame:
     return rows.mapInArrow(read, BLOCK_SCHEMA)
 
 
-def pair_key(word: np.ndarray, context: np.ndarray) -> np.ndarray:
-    return mix(word + mix(context))
-
-
 def prints_of(column: pd.Series) -> np.ndarray:
     return column.to_numpy(np.int64).view(np.uint64)
 
 
-def fold(asked: pd.DataFrame, buckets: int) -> pd.DataFrame:
+def fold(asked: pd.DataFrame) -> pd.DataFrame:
     """The cells of one bucket with training customers, each once."""
     columns = (asked[c] for c in ("words", "repeats", "asked", "counts"))
     parts = [(unpack_words(w, r), unpack(c, "<u8"), unpack(k, "<u4").astype(np.int64)) for w, r, c, k in zip(*columns)]
     words, contexts, counts = (np.concatenate([p[k] for p in parts]) for k in range(3))
     trained = counts > 0
     words, contexts, counts = words[trained], contexts[trained], counts[trained]
-    _, first, which = np.unique(pair_key(words, contexts), return_index=True, return_inverse=True)
-    words, contexts = words[first], contexts[first]
-    return pd.DataFrame(
-        {
-            "word": words.view(np.int64), "context": contexts.view(np.int64),
-            "bucket": (mix(words) % np.uint64(buckets)).astype(np.int64), "home": (mix(contexts) % np.uint64(buckets)).astype(np.int64),
-            "customers": np.bincount(which, counts, len(first)).astype(np.int64),
-        }
-    )
+    order = np.lexsort((contexts, words))
+    words, contexts = words[order], contexts[order]
+    first = np.ones(len(words), bool)
+    first[1:] = (words[1:] != words[:-1]) | (contexts[1:] != contexts[:-1])
+    customers = np.bincount(np.cumsum(first) - 1, counts[order], first.sum()).astype(np.int64)
+    return pd.DataFrame({"word": words[first].view(np.int64), "context": contexts[first].view(np.int64), "customers": customers})
 
 
 def seated(rows: DataFrame, count: str, discount: float, turn: int, keys: tuple[str, ...], out: str) -> DataFrame:
@@ -319,7 +315,7 @@ def sample_tables(scratch: Scratch, cells: DataFrame):
     total = lambda c: F.coalesce(F.sum(c), F.lit(0))
     seen = cells.agg(total("customers"), ones("customers", 1), ones("customers", 2)).first()
     d1 = estimate_discount(seen[1], seen[2])
-    state = cells.withColumn("tables", F.lit(1).cast("long"))
+    stored, state = cells, cells.withColumn("tables", F.lit(1).cast("long"))
     words = scratch.store(state.groupBy("word").agg(F.sum("tables").alias("served")).withColumn("root", F.lit(1).cast("long")))
     sums, samples = [], []
 
@@ -336,16 +332,20 @@ def sample_tables(scratch: Scratch, cells: DataFrame):
         rows = state.join(words.select("word", p_root.alias("p_root")), "word").join(beside, "context")
         weight = (THETA + d1 * F.col("beside")) * F.col("p_root")
         kept = [c for c in state.columns if c != "tables"]
-        state = scratch.store(seated(rows.select(*kept, weight.alias("weight")), "customers", d1, 2 * sweep, ("word", "context"), "tables"))
+        old_state, old_words = stored, words
+        state = stored = scratch.store(seated(rows.select(*kept, weight.alias("weight")), "customers", d1, 2 * sweep, ("word", "context"), "tables"))
         served = state.groupBy("word").agg(F.sum("tables").alias("served")).withColumn("weight", F.lit(fresh))
         words = scratch.store(seated(served, "served", d0, 2 * sweep + 1, ("word",), "root"))
         now = facts()
+        scratch.drop(old_state)
         k = sweep - (SWEEPS - KEPT)
+        if k <= 0:
+            scratch.drop(old_words)
         if k >= 0:
             state = state.withColumn(f"tables{k}", F.col("tables"))
             samples.append(words.withColumnsRenamed({"served": f"served{k}", "root": f"root{k}"}))
             sums.append(now)
-    whole = cells.groupBy("word").agg(F.sum("customers").alias("seen"))
+    whole = state.groupBy("word").agg(F.sum("customers").alias("seen"))
     for sample in samples:
         whole = whole.join(sample, "word")
     totals = Totals(np.zeros(CONTEXTS * (KEPT + 1) + KEPT + 5, np.int64))
@@ -403,22 +403,21 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     scratch = Scratch(docs.sparkSession, "pitman-yor")
     rows = docs.select(F.col(id_col).alias("id"), as_bytes(F.col(text_col)).alias("text"), (~F.coalesce(held_out, F.lit(False))).alias("train"))
     kind = rows.schema["id"].dataType.simpleString()
-    # How many buckets there are changes where cells meet, not what is drawn for them.
-    buckets = max(48, 4 * rows.rdd.getNumPartitions())
+    # A power of two, so that a fingerprint's last bits are its bucket; it changes where cells meet, not what is drawn for them.
+    buckets = 1 << max(6, (4 * rows.rdd.getNumPartitions() - 1).bit_length())
     blocks = scratch.store(read_blocks(rows.withColumn("id", F.col("id").cast("string")), buckets))
     asked = blocks.where("kind = 1").select("block", "bucket", "words", "repeats", "asked", "counts")
     cells = scratch.store(
-        asked.groupBy("bucket").applyInPandas(
-            lambda group: fold(group, buckets), "word long, context long, bucket long, home long, customers long"
-        )
+        asked.groupBy("bucket").applyInPandas(fold, "word long, context long, customers long")
     )
     state, words, totals = sample_tables(scratch, cells)
-    by_context = state.groupBy("context", "home").agg(*[F.sum(c).alias(c) for c in CELL_FACTS])
+    by_context = state.groupBy("context").agg(*[F.sum(c).alias(c) for c in CELL_FACTS])
+    home = lambda c: F.col(c).bitwiseAND(F.lit(buckets - 1).cast("long"))
     reply = "block long, kind int, bucket long, facts binary"
-    of_cells = asked.drop("counts").groupBy("bucket").cogroup(state.join(words, "word").groupBy("bucket")).applyInPandas(answer_cells, reply)
+    of_cells = asked.drop("counts").groupBy("bucket").cogroup(state.join(words, "word").groupBy(home("word"))).applyInPandas(answer_cells, reply)
     of_contexts = (
         blocks.where("kind = 2").select("block", "bucket", "asked").groupBy("bucket")
-        .cogroup(by_context.groupBy("home")).applyInPandas(answer_contexts, reply)
+        .cogroup(by_context.groupBy(home("context"))).applyInPandas(answer_contexts, reply)
     )
     answers = scratch.store(of_cells.union(of_contexts))
 

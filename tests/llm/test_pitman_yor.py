@@ -126,3 +126,12 @@ def test_partitions_do_not_change_scores(spark):
     held = F.col("doc_id") % 5 == 1
     one, many = ({r.doc_id: r.score for r in pitman_yor.score_texts(docs.repartition(n), held).collect()} for n in (1, 30))
     assert one == many
+
+
+def test_pairs_of_words_count(spark):
+    pairs = ["cats purr", "dogs bark", "vélos roulent", "trés brillent"]
+    texts = [*pairs * 30, *pairs, "cats bark", "dogs purr", "vélos brillent", "trés roulent"]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    rows = pitman_yor.score_texts(docs, F.col("doc_id") >= 120).collect()
+    score = {r.doc_id: r.score for r in rows}
+    assert min(score[k] for k in range(120, 124)) > max(score[k] for k in range(124, 128)) + 1
