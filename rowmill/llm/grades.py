@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from rowmill.llm.line_rules import SYMBOLS, UPPER
 from rowmill.llm.words import keep_rows, labelled_sample, select_text
 
+CHI_SQUARE = 12
 EDGES = b".,;:!?\"'()[]"
 
 
@@ -68,10 +69,9 @@ def text_words(text: bytes) -> set[bytes]:
 def telling(slots: list[np.ndarray], grades: np.ndarray, n_grades: int, n_slots: int, least: int = 5) -> np.ndarray:
     """Which features go with the grade: at some threshold, presence and tail are not independent.
 
-    Large samples ask for a stronger relation, not only a surer one.
+    The bound is the same for samples of any size.
     """
     n, flat = len(slots), np.concatenate(slots)
-    chi_square = 12 + max(0, n - 4000) / 45
     owner = np.repeat(np.arange(n), list(map(len, slots)))
     have = np.bincount(flat, minlength=n_slots).astype(float)
     found = np.zeros(n_slots, bool)
@@ -80,7 +80,7 @@ def telling(slots: list[np.ndarray], grades: np.ndarray, n_grades: int, n_slots:
         both = np.bincount(flat[above[owner]], minlength=n_slots)
         wanted = have * above.mean()
         spread = have * (1 - have / n) * above.mean() * (1 - above.mean())
-        found |= (both - wanted) ** 2 > chi_square * np.maximum(spread, 1e-12)
+        found |= (both - wanted) ** 2 > CHI_SQUARE * np.maximum(spread, 1e-12)
     return found & (have >= least)
 
 

@@ -72,3 +72,21 @@ def test_held_out_documents(spark):
     assert np.mean([r.kept for r in found if r.grade == 0]) < 0.05
     mean = {g: np.mean([r.expected_grade for r in found if r.grade == g]) for g in (0, 1, 2)}
     assert mean[0] < mean[1] < mean[2]
+
+
+def test_rare_toxic_words_count_in_large_samples():
+    rng = np.random.default_rng(6)
+    n, rare = 9000, 40
+    truth = rng.choice(3, n, p=[0.11, 0.3, 0.59])
+    slots = [np.unique(rng.integers(100, 500, 12)) for _ in range(n)]
+    toxic = np.flatnonzero(truth == 0)
+    # Forty words that occur in eight toxic documents each and nowhere else.
+    for k in range(rare):
+        for i in toxic[8 * k : 8 * k + 8]:
+            slots[i] = np.append(slots[i], k)
+    assert grades.telling(slots, truth, 3, 512)[:rare].all()
+    model = fit_ordinal(slots, truth, 3, bits=9)
+    base = [model.weights[s].sum() for s in slots[-2000:]]
+    with_word = [z + model.weights[k % rare] for k, z in enumerate(base)]
+    assert np.mean([model.tails(z)[-1] >= 0.5 for z in base]) > 0.5
+    assert np.mean([model.tails(z)[-1] >= 0.5 for z in with_word]) < 0.1
