@@ -13,8 +13,11 @@ and partitions alike.
 
 Targets default to the sources' own shares of tokens, which hold to the last
 window. With other weights the shares hold until a queue runs dry; the others
-then share by their weights. Sources with less than one token in 1024 cannot be
-dealt to each window; they form one pooled queue, so there are at most 1025 queues.
+then share by their weights. A source whose share is less than one token in 1024 has a
+queue of its own too, but is dealt ``GRAIN`` tokens at a time: its grains lie evenly over the time in
+which its share lets it run dry, and the grains of all such sources, sorted by time, are one
+lane that the windows deal like a queue, with the sum of their shares. What a dry one leaves goes
+to the others of the lane first.
 
 The last window, if not full, is cut into sequences of powers of two.
 
@@ -37,6 +40,9 @@ from rowmill.llm.words import in_slices, select_text, worker_memo
 from rowmill.session import scratch_dir
 
 POOL_SHARE = 1024
+GRAIN = 64
+# The weight of a source that the caller's weights don't name, and the least weight.
+UNASKED, LEAST = 1.0 / POOL_SHARE, 1e-6
 
 
 class Schedule:
@@ -119,6 +125,33 @@ class Schedule:
                 k += 1
 
 
+def grain_offsets(small: DataFrame) -> DataFrame:
+    """``queue``, ``grain`` and its ``offset`` in the lane; ``small`` has ``queue``, tokens ``n`` and ``rate`` per source."""
+    spark = small.sparkSession
+    many = F.ceil(F.col("n") / GRAIN)
+    phase = F.pmod(F.xxhash64("queue"), F.lit(1 << 20)) / (1 << 20)
+    grains = small.withColumn("grain", F.explode(F.sequence(F.lit(0).cast("long"), many - 1))).select(
+        "queue",
+        "grain",
+        F.least(F.lit(GRAIN).cast("long"), F.col("n") - F.col("grain") * GRAIN).alias("size"),
+        ((F.col("grain") + phase) / many * (F.col("n") / F.col("rate"))).alias("time"),
+    )
+    order = ["time", "queue", "grain"]
+    path = scratch_dir(spark, "packing-grains")
+    grains.repartitionByRange(*order).withColumn("part", F.spark_partition_id()).write.parquet(path)
+    stored = spark.read.schema("queue string, grain long, size long, time double, part int").parquet(path)
+    # One sum per partition of the sort.
+    bases, at = [], 0
+    for r in stored.groupBy("part").agg(F.sum("size").alias("size")).orderBy("part").collect():
+        bases.append((r.part, at))
+        at += r.size
+    ahead = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    within = stored.withColumn("within", F.coalesce(F.sum("size").over(ahead), F.lit(0)))
+    return within.join(spark.createDataFrame(bases, "part int, base long"), "part").select(
+        "queue", "grain", (F.col("base") + F.col("within")).alias("offset")
+    )
+
+
 def pack(
     docs: DataFrame,
     vocabulary: str,
@@ -133,8 +166,8 @@ def pack(
     ``doc_tokens``, ``sequence_id``, ``offset`` and ``queue``.
 
     Texts are tokenised once, into a table in the shared scratch folder that also
-    holds each document's place among its task's tokens of the source. Only counts per
-    source and task are shuffled; ids never are.
+    holds each document's place among its task's tokens of the source. It is joined to
+    the places of sources and tasks, and for small sources to their grains.
     """
     spark = docs.sparkSession
     rows = select_text(docs, id_col, text_col, queue_col).select(
@@ -174,49 +207,60 @@ def pack(
     tokens = spark.read.schema(schema).parquet(path)
 
     counts = tokens.groupBy("queue", "slice").agg(F.sum("n").alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    large = F.col("n") * POOL_SHARE >= F.lit(total)
-    # At most POOL_SHARE queues can hold that share of the tokens.
-    queues = {
-        r.queue: r.n for r in counts.groupBy("queue").agg(F.sum("n").alias("n")).where(large).orderBy("queue").collect()
-    }
-    names = [*queues, None] if sum(queues.values()) < total else [*queues]
-    sizes = [queues[q] if q is not None else total - sum(queues.values()) for q in names]
-    if weights is not None:
-        pooled = 1.0 / POOL_SHARE
-        weights_in_order = [weights.get(q, pooled) if q is not None else pooled for q in names]
-    schedule = Schedule(sizes, weights_in_order if weights is not None else None, window)
-
-    number = {q: i for i, q in enumerate(names)}
-    lane = F.coalesce(
-        *[F.when(F.col("queue") == q, F.lit(i)) for q, i in number.items() if q is not None], F.lit(number.get(None, 0))
+    sources = counts.groupBy("queue").agg(F.sum("n").alias("n"))
+    if weights is None:
+        sources = sources.withColumn("rate", F.col("n").cast("double"))
+    else:
+        asked = spark.createDataFrame([(q, max(float(w), LEAST)) for q, w in weights.items()], "queue string, rate double")
+        sources = sources.join(asked, "queue", "left").withColumn("rate", F.coalesce("rate", F.lit(UNASKED)))
+    total, rates = (v or 0 for v in sources.agg(F.sum("n"), F.sum("rate")).first())
+    # At most POOL_SHARE sources can have that share.
+    large = sources.where(F.col("rate") * POOL_SHARE >= F.lit(float(rates))).orderBy("queue").collect()
+    shared, rest = len(large), total - sum(r.n for r in large)
+    sizes, shares = [r.n for r in large], [r.rate for r in large]
+    if rest:
+        sizes, shares = [*sizes, rest], [*shares, max(rates - sum(shares), LEAST)]
+    schedule = Schedule(sizes, shares if weights is not None else None, window)
+
+    lanes = spark.createDataFrame([(r.queue, i) for i, r in enumerate(large)], "queue string, lane int")
+    ahead = Window.partitionBy("queue").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    places = (
+        counts.withColumn("base", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
+        .join(lanes, "queue", "left")
+        .select("queue", "slice", F.coalesce("lane", F.lit(shared)).alias("lane"), "base")
     )
-    slots = counts.select(lane.cast("int").alias("lane"), "slice", "queue", "n")
-    ahead = Window.partitionBy("lane").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    beside = Window.partitionBy("lane", "slice").orderBy("queue").rowsBetween(Window.unboundedPreceding, -1)
-    bases = (
-        slots.groupBy("lane", "slice")
-        .agg(F.sum("n").alias("n"))
-        .select("lane", "slice", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"))
+    first = (F.col("base") + F.col("before")).alias("first")
+    placed = tokens.join(places, ["queue", "slice"]).select(
+        "id", "queue", "lane", first, "n", "width", "ids", F.lit(0).cast("long").alias("begin"), F.col("n").alias("doc_tokens")
     )
-    places = slots.select(
-        "lane", "slice", "queue", F.coalesce(F.sum("n").over(beside), F.lit(0)).alias("beside")
-    ).join(bases, ["lane", "slice"])
-    placed = tokens.join(
-        places.select("queue", "slice", "lane", (F.col("base") + F.col("beside")).alias("base")), ["queue", "slice"]
-    ).select("id", "queue", "lane", (F.col("base") + F.col("before")).alias("first"), "n", "width", "ids")
+    if rest:
+        offsets = grain_offsets(sources.join(lanes, "queue", "left_anti"))
+        end = F.col("first") + F.col("n")
+        split = placed.where(F.col("lane") == shared).withColumn(
+            "grain", F.explode(F.sequence(F.floor(F.col("first") / GRAIN), F.floor((end - 1) / GRAIN)))
+        )
+        low = F.greatest("first", F.col("grain") * GRAIN)
+        size = F.least(end, (F.col("grain") + 1) * GRAIN) - low
+        begin = low - F.col("first")
+        ids = F.substr("ids", (begin * F.col("width") + 1).cast("int"), (size * F.col("width")).cast("int"))
+        small = (
+            split.select("id", "queue", "lane", "grain", (low - F.col("grain") * GRAIN).alias("inside"), size.alias("n"), "width", ids.alias("ids"), begin.alias("begin"), "doc_tokens")
+            .join(offsets, ["queue", "grain"])
+            .withColumn("first", F.col("offset") + F.col("inside"))
+        )
+        placed = placed.where(F.col("lane") < shared).unionByName(small.select(*placed.columns))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
         names = ["start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
         for batch in in_slices(batches, "ids"):
             source, out = [], []
-            columns = (batch.column(c).to_pylist() for c in ("lane", "first", "n", "width", "ids"))
-            for i, (queue, first, n, width, ids) in enumerate(zip(*columns)):
+            columns = (batch.column(c).to_pylist() for c in ("lane", "first", "n", "width", "ids", "begin", "doc_tokens"))
+            for i, (queue, first, n, width, ids, begin, doc_tokens) in enumerate(zip(*columns)):
                 wide = np.frombuffer(ids, f"<u{width}").astype("<u4")
                 for start, length, sequence, offset in schedule.pieces(queue, first, n):
                     source.append(i)
-                    out.append((start, length, wide[start : start + length].tobytes(), n, sequence, offset))
+                    out.append((begin + start, length, wide[start : start + length].tobytes(), doc_tokens, sequence, offset))
             at = pa.array(source, pa.int64())
             columns = list(zip(*out)) if out else [()] * 6
             yield pa.RecordBatch.from_arrays(

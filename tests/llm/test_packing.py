@@ -153,3 +153,35 @@ def test_pack_documents(spark, tokenizer):
     ids = {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 1] for i, t in texts}
     for r in rows:
         assert r.ids_crc32 == zlib.crc32(np.array(ids[r.doc_id][r.start : r.start + r.length], "<u4").tobytes())
+
+
+def halves(rows):
+    """Tokens of every source in the first half of all tokens, and in all."""
+    total = sum(r.length for r in rows)
+    early, whole = Counter(), Counter()
+    for r in rows:
+        whole[r.queue] += r.length
+        early[r.queue] += r.length if r.sequence_id * 2048 + r.offset < total // 2 else 0
+    return early, whole
+
+
+def test_every_small_source_is_spread(spark, tokenizer):
+    # 1,100 sources of equal size, one after the other in the table.
+    texts = [(k, f"source {k % 1100} " + "word " * 500) for k in sorted(range(2200), key=lambda k: k % 1100)]
+    docs = spark.createDataFrame([(k, t, f"s{k % 1100}") for k, t in texts], "doc_id long, text string, source string").coalesce(2)
+    rows = packing.pack(docs, VOCABULARY).collect()
+    check_pieces(rows, texts, tokenizer)
+    early, whole = halves(rows)
+    assert len(whole) == 1100
+    assert all(abs(early[q] - n / 2) <= 2 * packing.GRAIN for q, n in whole.items())
+
+
+def test_weights_of_small_sources_count(spark, tokenizer):
+    texts = [(k, "word " * 300) for k in range(1300)]
+    docs = spark.createDataFrame([(k, t, f"s{k}") for k, t in texts], "doc_id long, text string, source string").coalesce(2)
+    weights = {f"s{k}": 1.0 for k in range(1300)} | {"s1298": 20.0, "s1299": 0.1}
+    rows = packing.pack(docs, VOCABULARY, weights=weights).collect()
+    check_pieces(rows, texts, tokenizer)
+    early, whole = halves(rows)
+    assert early["s1298"] == whole["s1298"] == 301
+    assert early["s1299"] <= 2 * packing.GRAIN
