@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowmill.catalog.registry import read
-from rowmill.llm import chat, cover_tree, grades, licenses, line_rules, near_copies, packing, pieces, pitman_yor, url_filter
+from rowmill.llm import chat, cover_tree, grades, licenses, line_rules, near_copies, packing, pieces, pitman_yor, queries_text, url_filter
 from rowmill.llm.registry import ORACLE, QUERIES, query
 
-__all__ = ["ORACLE", "QUERIES"]
+__all__ = ["ORACLE", "QUERIES", "queries_text"]
 
 
 def vocabulary(name: str) -> str:
