@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowmill.catalog.registry import read
-from rowmill.llm import periodic_runs
+from rowmill.llm import periodic_runs, phrase_index
 from rowmill.llm.registry import query
 
 
@@ -43,3 +43,42 @@ def runs_found(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(listed, 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+LEAKS_SQL = r"""
+WITH letters AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS upper_case, 'abcdefghijklmnopqrstuvwxyz' AS lower_case),
+d AS (
+  SELECT row_number() OVER () AS row, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), upper_case, lower_case),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS words FROM documents, letters),
+b AS (
+  SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), upper_case, lower_case),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS words FROM benchmark, letters),
+windows AS (
+  SELECT DISTINCT item_id, size, array_to_string(words[i : i + size - 1], ' ') AS phrase
+  FROM (SELECT item_id, words, least(len(words), 10) AS size, unnest(range(1, len(words) - least(len(words), 10) + 2)) AS i
+    FROM b WHERE len(words) > 0)),
+sizes AS (SELECT DISTINCT size FROM windows),
+places AS (SELECT row, words, size, unnest(range(1, len(words) - size + 2)) AS i FROM d, sizes WHERE len(words) >= size),
+texts AS (SELECT row, size, i, array_to_string(words[i : i + size - 1], ' ') AS phrase FROM places),
+found AS (SELECT row, size, i, phrase FROM texts WHERE phrase IN (SELECT phrase FROM windows)),
+hit AS (SELECT row, count(DISTINCT word) AS n FROM (SELECT row, unnest(range(i, i + size)) AS word FROM found) GROUP BY row),
+listed AS (
+  SELECT row, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT row, CAST(item_id AS VARCHAR) AS item FROM found JOIN windows USING (phrase)) GROUP BY row)
+SELECT doc_id, len(words) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(l.n, 0) AS n_items,
+  sha256(coalesce(l.items, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit h USING (row) LEFT JOIN listed l USING (row)
+"""
+
+
+@query("op13_benchmark_leaks", LEAKS_SQL)
+def leaks_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = phrase_index.contamination(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
