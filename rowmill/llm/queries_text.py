@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowmill.catalog.registry import read
-from rowmill.llm import periodic_runs, phrase_index
+from rowmill.llm import collocations, periodic_runs, phrase_index
 from rowmill.llm.registry import query
 
 
@@ -82,3 +82,45 @@ def leaks_found(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+PHRASES_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+listed AS (
+  SELECT row_number() OVER () AS piece, lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda x: x <> '') AS words FROM pieces),
+grams AS (
+  SELECT lang, words[i] AS x, words[i + 1] AS y, words[i + 2] AS z
+  FROM (SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM listed)),
+one AS (SELECT lang, x, count(*) AS f FROM grams GROUP BY ALL),
+two AS (SELECT lang, x, y, count(*) AS f FROM grams WHERE y IS NOT NULL GROUP BY ALL),
+three AS (SELECT lang, x, y, z, count(*) AS f FROM grams WHERE z IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+sizes AS (SELECT lang, count(*) AS n FROM grams GROUP BY lang),
+longest AS (
+  SELECT lang, x, y, max(f) AS longer
+  FROM (SELECT lang, x, y, f FROM three UNION ALL SELECT lang, y, z, f FROM three) GROUP BY ALL),
+cuts AS (
+  SELECT c.lang, c.x || ' ' || c.y AS phrase, c.f AS a, 1 AS k, l.f AS l, r.f AS r
+  FROM two c JOIN one l ON l.lang = c.lang AND l.x = c.x JOIN one r ON r.lang = c.lang AND r.x = c.y
+  LEFT JOIN longest o ON o.lang = c.lang AND o.x = c.x AND o.y = c.y
+  WHERE c.f >= 10 AND (o.longer IS NULL OR 100 * o.longer < 50 * c.f)
+  UNION ALL
+  SELECT c.lang, c.x || ' ' || c.y || ' ' || c.z, c.f, 1, l.f, r.f
+  FROM three c JOIN one l ON l.lang = c.lang AND l.x = c.x JOIN two r ON r.lang = c.lang AND r.x = c.y AND r.y = c.z
+  UNION ALL
+  SELECT c.lang, c.x || ' ' || c.y || ' ' || c.z, c.f, 2, l.f, r.f
+  FROM three c JOIN two l ON l.lang = c.lang AND l.x = c.x AND l.y = c.y JOIN one r ON r.lang = c.lang AND r.x = c.z),
+rated AS (
+  SELECT *, ((1000000::HUGEINT * a::HUGEINT * a::HUGEINT) // (l::HUGEINT * r::HUGEINT))::BIGINT AS score FROM cuts),
+kept AS (SELECT * FROM rated QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN sizes USING (lang) WHERE rank <= 2000
+"""
+
+
+@query("op12_collocations", PHRASES_SQL)
+def phrases_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The limit of 2,000 per language is the report's own."""
+    return collocations.mine(read(spark, folder, "documents"))
