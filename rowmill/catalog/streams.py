@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rowmill.catalog.inputs import (
-    ACTION_CELLS,
     ACTIONS_SQL,
-    CHANGE_LOG_CELLS,
     CHANGE_LOG_SQL,
     CONTACT_CELLS,
     INCREMENT_CELLS,
@@ -15,7 +13,10 @@ from rowmill.catalog.inputs import (
     REQUEST_CELLS,
     REQUESTS_SQL,
     STATS_SQL,
+    actions,
     as_list,
+    change_log,
+    requests,
     stats,
 )
 from rowmill.catalog.registry import query, read
@@ -103,6 +104,23 @@ def stream_current_stats(spark, folder):
     return rows.select("action_id", "successful_records")
 
 
+def _replayed(spark, purpose, rows, part, n, start):
+    """Rows written part by part, the stream run over each; every run goes on from the checkpoint of the one before.
+
+    ``start(stream)`` gives the rows to append.
+    """
+    path = scratch_dir(spark, purpose)
+    for k in range(n):
+        rows.filter(part == k).write.mode("append").parquet(f"{path}/in")
+        out = start(ingest.watch_parquet(spark, f"{path}/in", rows.schema, max_files=100_000))
+        _finish(counters.append_to(out, f"{path}/out", f"{path}/checkpoint"))
+    return spark.read.schema(out.schema).parquet(f"{path}/out")
+
+
+def _eight_days():
+    return F.floor((F.dayofmonth("ts") - 1) / 8)
+
+
 @query(
     "stream_status",
     f"""WITH {CHANGE_LOG_SQL}, p AS (SELECT *, lag(status) OVER (PARTITION BY action_id ORDER BY ms, event_id) AS previous_status FROM log)
@@ -110,30 +128,43 @@ def stream_current_stats(spark, folder):
       ({', '.join(f"'{a}>{b}'" for a, b in ENFORCED_TRANSITIONS)}) AS allowed FROM p""",
 )
 def stream_status(spark, folder):
-    log = _watch(spark, folder, "events", CHANGE_LOG_CELLS).withColumn("ms", epoch_ms(F.col("ts")))
-    path = scratch_dir(spark, "stream-status")
-    _finish(stateful.track_status(log, f"{path}/out", f"{path}/memory", f"{path}/checkpoint"))
-    return spark.read.parquet(f"{path}/out").select("action_id", "event_id", "status", "previous_status", "allowed")
+    """The log in four parts by time, one after the other."""
+    log = change_log(spark, folder)
+    out = _replayed(spark, "stream-status", log, _eight_days(), 4, stateful.status_stream)
+    return out.select("action_id", "event_id", "status", "previous_status", "allowed")
 
 
 HOUR = 3_600_000
+DAY = 24 * HOUR
 
 
 @query(
     "stream_sliding_limit",
-    f"""WITH {REQUESTS_SQL}, d AS (SELECT DISTINCT account_id, ms FROM requests),
-    c AS (SELECT account_id, ms, count(*) OVER (PARTITION BY account_id ORDER BY ms
-      RANGE BETWEEN {HOUR - 1} PRECEDING AND CURRENT ROW) AS in_window FROM d)
-    SELECT r.account_id, r.event_id, in_window, in_window <= 5 AS allowed FROM requests r JOIN c
-      ON r.account_id = c.account_id AND r.ms = c.ms""",
+    f"""WITH {REQUESTS_SQL}, r AS (
+      SELECT account_id, event_id, ms, least((day(ts) - 1) // 8 + CASE event_id % 50 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END, 3) AS part FROM requests),
+    clocks AS (SELECT p AS part, coalesce((SELECT max(ms) FROM r WHERE r.part < p) - {2 * DAY}, 0) AS clock FROM range(0, 5) t(p)),
+    held AS (
+      SELECT DISTINCT r.*, s AS slice, s = ms // {DAY} AS own, (s + 1) * {DAY} <= clock AS late
+      FROM (SELECT *, unnest([ms // {DAY}, (ms + {HOUR - 1}) // {DAY}]) AS s FROM r) r JOIN clocks USING (part)),
+    entries AS (SELECT DISTINCT account_id, slice, ms FROM held WHERE NOT late),
+    counted AS (SELECT *, count(*) OVER (PARTITION BY account_id, slice ORDER BY ms RANGE BETWEEN {HOUR - 1} PRECEDING AND CURRENT ROW) AS n FROM entries)
+    SELECT h.account_id, h.event_id, CASE WHEN NOT late THEN n END AS in_window, CASE WHEN NOT late THEN n <= 5 END AS allowed, late
+    FROM held h LEFT JOIN counted c ON c.account_id = h.account_id AND c.slice = h.slice AND c.ms = h.ms
+    WHERE own AND (late OR (h.slice + 1) * {DAY} <= (SELECT max(clock) FROM clocks))""",
 )
 def stream_sliding_limit(spark, folder):
-    rows = _watch(spark, folder, "events", REQUEST_CELLS).withColumn("ms", epoch_ms(F.col("ts")))
-    path = scratch_dir(spark, "stream-sliding")
-    _finish(
-        stateful.sliding_limit_stream(rows, f"{path}/out", f"{path}/memory", f"{path}/checkpoint", 5, HOUR)
+    """Requests in four parts; a fiftieth comes one part late and another two, some too late for a verdict."""
+    rows = requests(spark, folder)
+    late = F.when(F.col("event_id") % 50 == 0, 1).when(F.col("event_id") % 50 == 1, 2).otherwise(0)
+    out = _replayed(
+        spark,
+        "stream-sliding",
+        rows,
+        F.least(_eight_days() + late, F.lit(3)),
+        4,
+        lambda stream: stateful.sliding_limit_stream(stream, limit=5, window_ms=HOUR, slice_windows=24, delay="2 days"),
     )
-    return spark.read.parquet(f"{path}/out").select("account_id", "event_id", "in_window", "allowed")
+    return out.select("account_id", "event_id", "in_window", "allowed", "late")
 
 
 @query(
@@ -164,10 +195,16 @@ def stream_throughput(spark, folder):
     return out.select(F.unix_millis("window_start").alias("start_ms"), "event_type", "events")
 
 
-@query("stream_due_actions", f"WITH {ACTIONS_SQL} SELECT id FROM actions WHERE scheduled_at IS NOT NULL")
+@query(
+    "stream_due_actions",
+    f"""WITH {ACTIONS_SQL} SELECT id, epoch_ms(scheduled_at) AS due_ms FROM actions
+    WHERE scheduled_at <= (SELECT max(created_at) FROM actions)""",
+)
 def stream_due_actions(spark, folder):
-    rows = _watch(spark, folder, "orders", ACTION_CELLS)
-    return _appended(spark, stateful.due_now(rows).select("id"), "stream-due")
+    """Orders in three parts by year. The clock is the order date, so the newest actions stay waiting."""
+    part = F.floor((F.year("created_at") - 1995) / 3)
+    out = _replayed(spark, "stream-due", actions(spark, folder), part, 3, stateful.due_stream)
+    return out.select("id", "due_ms")
 
 
 @query(

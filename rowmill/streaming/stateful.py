@@ -1,120 +1,238 @@
-"""Calculations that remember earlier micro-batches: status changes and request windows.
-
-What has to be remembered (the last status of an action, the entries of an
-account's latest window) is a table. Each micro-batch reads the table its
-predecessor left, runs the batch operator over it together with the new rows,
-and writes output and new table under its own id. A batch that runs again
-overwrites only its own folders. Busy keys are cut into slices by the batch
-operators, so none has to fit into one task.
+"""Calculations that remember earlier micro-batches: due actions, request windows, status changes.
+
+State lies in Spark's own state store, one entry per key, with timers on the
+data clock (the watermark) where something has to happen later. Spark recovers it
+with the stream's checkpoint; only changed keys are written.
+
+The time column is dropped behind the watermark, so Spark does not throw late
+rows away by itself: each processor sees them and says what they are.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable, Iterator
+from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from rowmill.functions.numbers import floor_div
-from rowmill.operators.lifecycle import check_transitions
-from rowmill.operators.limits import LIMIT, WINDOW_MS, sliding_counts
+from rowmill.operators.limits import LIMIT, WINDOW_MS
 from rowmill.spec import ENFORCED_TRANSITIONS
 
-Step = Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]
-
-
-def run_with_memory(
-    stream: DataFrame,
-    step: Step,
-    memory_schema: str,
-    out_path: str,
-    memory_path: str,
-    checkpoint: str,
-    available_now: bool = True,
-) -> StreamingQuery:
-    """Run ``step(new rows, remembered) -> (output, to remember)`` on every micro-batch."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        if batch_id == 0:
-            remembered = spark.createDataFrame([], memory_schema)
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+NO_ACCOUNT_PARTS = 64
+
+
+def use_state_store(spark: SparkSession) -> None:
+    """Timers and typed state need the RocksDB store; set for streams that start from now on."""
+    spark.conf.set(STORE, ROCKSDB)
+
+
+class DueActions(StatefulProcessor):
+    """Holds an action until the data clock passes its time; the latest row of an action counts."""
+
+    def __init__(self, keep_ms: int):
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getValueState("waiting", "due_ms bigint")
+        self.newest = handle.getValueState("newest", "seen_us bigint, forget_ms bigint")
+
+    def _release(self, action_id: Any, due_ms: int, clock_ms: int) -> Row:
+        return Row(id=action_id, due_ms=due_ms, released_ms=clock_ms)
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        clock = timerValues.getCurrentWatermarkInMs()
+        row = max(rows, key=lambda r: (r.seen_us, r.withdrawn, r.due_ms or 0), default=None)
+        if row is None:
+            return
+        if self.newest.exists():
+            seen, forget = self.newest.get()
+            if seen > row.seen_us:
+                return
+            self.handle.deleteTimer(forget)
+        if self.waiting.exists():
+            self.handle.deleteTimer(self.waiting.get()[0])
+            self.waiting.clear()
+        forget = max(row.seen_us // 1000, row.due_ms or 0, clock) + self.keep_ms
+        self.newest.update((row.seen_us, forget))
+        self.handle.registerTimer(forget)
+        if row.withdrawn:
+            return
+        if row.due_ms <= clock:
+            yield self._release(key[0], row.due_ms, clock)
         else:
-            remembered = spark.read.schema(memory_schema).parquet(f"{memory_path}/batch_id={batch_id - 1}")
-        output, following = step(batch, remembered)
-        output.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
-        following.write.mode("overwrite").parquet(f"{memory_path}/batch_id={batch_id}")
-
-    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-    return writer.trigger(availableNow=True).start() if available_now else writer.start()
-
-
-def track_status(
-    changes: DataFrame,
-    out_path: str,
-    memory_path: str,
-    checkpoint: str,
-    transitions: Iterable[tuple[str, str]] = ENFORCED_TRANSITIONS,
-    slice_ms: int = 3_600_000,
-    available_now: bool = True,
-) -> StreamingQuery:
-    """Verdict on every status change against the preceding one of its action.
-
-    Input ``action_id string, ms bigint, event_id bigint, status string``; the
-    rows of one micro-batch are taken in time order, after all earlier ones.
+            self.waiting.update((row.due_ms,))
+            self.handle.registerTimer(row.due_ms)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+        clock = timerValues.getCurrentWatermarkInMs()
+        if self.waiting.exists() and self.waiting.get()[0] <= clock:
+            yield self._release(key[0], self.waiting.get()[0], clock)
+            self.waiting.clear()
+        if self.newest.exists() and self.newest.get()[1] <= clock:
+            self.newest.clear()
+
+
+def due_stream(
+    actions: DataFrame,
+    clock: str = "created_at",
+    action: str = "id",
+    due: str = "scheduled_at",
+    withdrawn: Column | None = None,
+    delay: str = "0 seconds",
+    keep_ms: int = 7 * 86_400_000,
+) -> DataFrame:
+    """``id``, ``due_ms``, ``released_ms`` of every scheduled action once the data clock has passed its time.
+
+    The clock is the greatest value of the ``clock`` column in earlier micro-batches less ``delay``; rows of
+    all actions move it. An action that is due already when its row arrives is released at once. A newer row
+    of the same action takes the place of the one that waits, and one that fits ``withdrawn`` cancels it; older
+    rows that come late change nothing until ``keep_ms`` after the action's time. Rows without an id or a
+    clock value, and rows without a time that withdraw nothing, are left out.
     """
-    allowed = tuple(transitions)
-    columns = ["action_id", "ms", "event_id", "status"]
-
-    def step(batch: DataFrame, remembered: DataFrame) -> tuple[DataFrame, DataFrame]:
-        new = batch.select(*columns).withColumn("slice", floor_div(F.col("ms"), slice_ms))
-        # The remembered row of an action forms a slice of its own before all others.
-        first = remembered.withColumn("slice", F.lit(-(2**62)).cast("bigint"))
-        old = F.col("slice") == -(2**62)
-        rows = first.unionByName(new)
-        checked = check_transitions(rows, transitions=allowed).filter(~old)
-        position = F.struct(~old, "ms", "event_id")
-        last = rows.groupBy("action_id").agg(
-            *[F.max_by(c, position).alias(c) for c in ("ms", "event_id", "status")]
+    use_state_store(actions.sparkSession)
+    micros = F.unix_micros(F.col(clock).cast("timestamp"))
+    # The clock counts whole milliseconds, so a time between two is due at the later one.
+    due_ms = F.ceil(F.unix_micros(F.col(due).cast("timestamp")) / F.lit(1000)).cast("bigint")
+    gone = F.lit(False) if withdrawn is None else F.coalesce(withdrawn, F.lit(False))
+    wanted = F.col("id").isNotNull() & (F.col("due_ms").isNotNull() | F.col("withdrawn"))
+    rows = (
+        actions.select(
+            F.col(clock).cast("timestamp").alias("clock"),
+            F.col(action).alias("id"),
+            due_ms.alias("due_ms"),
+            micros.alias("seen_us"),
+            gone.alias("withdrawn"),
         )
-        return checked.drop("slice"), last
-
-    return run_with_memory(
-        changes,
-        step,
-        "action_id string, ms bigint, event_id bigint, status string",
-        out_path,
-        memory_path,
-        checkpoint,
-        available_now,
+        .withWatermark("clock", delay)
+        # One condition on the time column, so that it is not moved below the watermark: all rows move the clock.
+        .filter(F.when(F.col("clock").isNotNull(), wanted))
+        .drop("clock")
+    )
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.groupBy("id").transformWithState(
+        DueActions(keep_ms), f"id {kind}, due_ms bigint, released_ms bigint", "append", "EventTime"
     )
 
 
+class SlidingLimit(StatefulProcessor):
+    """Requests of one account and time slice, judged when the data clock has passed the slice."""
+
+    def __init__(self, limit: int, window_ms: int, span_ms: int):
+        self.limit, self.window_ms, self.span_ms = limit, window_ms, span_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.requests = handle.getListState("requests", "ms bigint, event_id bigint, own boolean")
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        account, number = key[0], key[1]
+        end = (number + 1) * self.span_ms
+        decided = timerValues.getCurrentWatermarkInMs() >= end
+        kept = []
+        for row in rows:
+            if account is None or decided:
+                if row.own:
+                    late = account is not None
+                    yield Row(account_id=account, ms=row.ms, event_id=row.event_id, in_window=None, allowed=None if late else False, late=late)
+            else:
+                kept.append((row.ms, row.event_id, row.own))
+        if kept:
+            if not self.requests.exists():
+                self.handle.registerTimer(end)
+            self.requests.appendList(kept)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+        from bisect import bisect_left, bisect_right
+
+        rows = list(self.requests.get())
+        self.requests.clear()
+        entries = sorted({row[0] for row in rows})
+        for ms, event_id, own in rows:
+            if own:
+                n = bisect_right(entries, ms) - bisect_left(entries, ms - self.window_ms + 1)
+                yield Row(account_id=key[0], ms=ms, event_id=event_id, in_window=n, allowed=n <= self.limit, late=False)
+
+
 def sliding_limit_stream(
     requests: DataFrame,
-    out_path: str,
-    memory_path: str,
-    checkpoint: str,
+    ts: str = "ts",
     limit: int = LIMIT,
     window_ms: int = WINDOW_MS,
-    available_now: bool = True,
-) -> StreamingQuery:
-    """Live form of the sliding window: input ``account_id string, ms bigint, event_id bigint``.
-
-    At most one window of distinct milliseconds per account is remembered.
+    slice_windows: int = 1,
+    delay: str = "1 minute",
+) -> DataFrame:
+    """Live form of the sliding window: ``account_id``, ``ms``, ``event_id``, ``in_window``, ``allowed``, ``late``.
+
+    Needs ``account_id string, ms bigint, event_id bigint`` and the request's time in ``ts``. Requests are
+    held per account and slice of ``slice_windows`` windows, so a busy account is spread over keys; those of a slice's
+    last window are held by the next one too. Once the clock (greatest time of
+    earlier micro-batches less ``delay``) has passed a slice, its requests get the verdict of
+    ``limits.sliding_limit`` over all that have arrived by then, late ones included. Requests that
+    arrive even later are returned at once with ``late`` and no verdict; they still count in the next
+    slice if that is open. A request without an account is rejected at once.
     """
+    use_state_store(requests.sparkSession)
+    span = window_ms * slice_windows
+    own = floor_div(F.col("ms"), span)
+    reach = floor_div(F.col("ms") + (window_ms - 1), span)
+    rows = (
+        requests.select(F.col(ts).cast("timestamp").alias("clock"), F.col("account_id").cast("string").alias("account_id"), "ms", "event_id")
+        .withWatermark("clock", delay)
+        .drop("clock")
+        .withColumn("home", own)
+        .withColumn("slice", F.explode(F.array_distinct(F.array(own, F.when(F.col("account_id").isNotNull(), reach).otherwise(own)))))
+        .withColumn("own", F.col("slice") == F.col("home"))
+        .withColumn("part", F.when(F.col("account_id").isNull(), F.pmod(F.xxhash64("event_id"), F.lit(NO_ACCOUNT_PARTS))).otherwise(0))
+    )
+    return rows.groupBy("account_id", "slice", "part").transformWithState(
+        SlidingLimit(limit, window_ms, span),
+        "account_id string, ms bigint, event_id bigint, in_window bigint, allowed boolean, late boolean",
+        "append",
+        "EventTime",
+    )
+
+
+class StatusCycle(StatefulProcessor):
+    """The last status of an action; every change is judged against the one before."""
+
+    def __init__(self, allowed: Iterable[tuple[str, str]], keep_ms: int | None):
+        self.allowed, self.keep_ms = frozenset(allowed), keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "status string", self.keep_ms)
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        previous = self.last.get()[0] if self.last.exists() else None
+        for row in sorted(rows, key=lambda r: (r.ms, r.event_id)):
+            fine = previous is None or (previous, row.status) in self.allowed
+            yield Row(action_id=key[0], ms=row.ms, event_id=row.event_id, status=row.status, previous_status=previous, allowed=fine)
+            previous = row.status
+        self.last.update((previous,))
 
-    def step(batch: DataFrame, remembered: DataFrame) -> tuple[DataFrame, DataFrame]:
-        entries = remembered.unionByName(batch.select("account_id", "ms")).distinct()
-        counts = sliding_counts(entries, window_ms=window_ms)
-        rows = batch.select("account_id", "ms", "event_id").join(counts, ["account_id", "ms"], "left")
-        allowed = F.coalesce(F.col("in_window") <= limit, F.lit(False))
-        newest = entries.groupBy("account_id").agg(F.max("ms").alias("newest"))
-        kept = entries.join(newest, "account_id").filter(F.col("ms") > F.col("newest") - window_ms)
-        return rows.withColumn("allowed", allowed), kept.select("account_id", "ms")
-
-    return run_with_memory(
-        requests, step, "account_id string, ms bigint", out_path, memory_path, checkpoint, available_now
+
+def status_stream(
+    changes: DataFrame, transitions: Iterable[tuple[str, str]] = ENFORCED_TRANSITIONS, keep_ms: int | None = None
+) -> DataFrame:
+    """Verdict on every status change against the preceding one of its action.
+
+    Input ``action_id string, ms bigint, event_id bigint, status string``; adds ``previous_status`` and
+    ``allowed``. The rows of one micro-batch are taken in time order, after all earlier ones. With ``keep_ms`` the
+    status of an action that has not changed for so long (by the processing clock) is forgotten. Rows
+    without an action are left out.
+    """
+    use_state_store(changes.sparkSession)
+    rows = changes.select("action_id", "ms", "event_id", "status").filter("action_id IS NOT NULL")
+    return rows.groupBy("action_id").transformWithState(
+        StatusCycle(tuple(transitions), keep_ms),
+        "action_id string, ms bigint, event_id bigint, status string, previous_status string, allowed boolean",
+        "append",
+        "None" if keep_ms is None else "ProcessingTime",
     )
 
 
@@ -131,8 +249,3 @@ def session_counts(requests: DataFrame, ts: str = "ts", gap: str = "59999 millis
         .agg(F.count(F.lit(1)).alias("requests"))
         .select("account_id", F.col("s.start").alias("session_start"), "requests")
     )
-
-
-def due_now(actions: DataFrame) -> DataFrame:
-    """Scheduled actions whose time has come when a micro-batch runs."""
-    return actions.filter(F.col("scheduled_at") <= F.current_timestamp())

@@ -1,6 +1,10 @@
 """Streams over several micro-batches give what the batch operators give."""
 
+from collections import Counter
+from datetime import UTC, datetime
+
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from rowmill.operators import lifecycle, limits, stats
@@ -17,20 +21,114 @@ def parts(spark, folder, df, order, n=3):
     return ingest.watch_parquet(spark, f"{folder}/in", df.schema, max_files=1)
 
 
+def arrive(spark, folder, start, *batches, schema):
+    """Run the stream after every batch of rows; the rows that each run adds, and the last run's progress."""
+    added, before = [], 0
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        out = start(ingest.watch_parquet(spark, f"{folder}/in", spark.createDataFrame([], schema).schema))
+        query = counters.append_to(out, f"{folder}/out", f"{folder}/cp")
+        query.awaitTermination()
+        found = [tuple(r) for r in spark.read.schema(out.schema).parquet(f"{folder}/out").collect()]
+        added.append(found)
+    fresh = [Counter(found) - Counter(added[i - 1] if i else []) for i, found in enumerate(added)]
+    return [sorted(f.elements(), key=repr) for f in fresh], query
+
+
+SECOND = 1000
+DUE = "id string, created_at timestamp, scheduled_at timestamp, cancelled boolean"
+
+
+def at(seconds):
+    return None if seconds is None else datetime.fromtimestamp(seconds, UTC)
+
+
+def test_actions_wait_for_the_clock(spark, folder):
+    def rows(*given):
+        return [(name, at(seen), at(due), cancelled) for name, seen, due, cancelled in given]
+
+    added, _ = arrive(
+        spark,
+        folder,
+        lambda s: stateful.due_stream(s, withdrawn=F.col("cancelled")),
+        rows(("past", 100, 50, None), ("soon", 100, 150, False), ("later", 100, 5000, None), ("never", 100, None, None), (None, 100, 120, None)),
+        # "later" is brought forward, "gone" is cancelled in the next part, "no clock" has no time of its own.
+        rows(("later", 160, 300, None), ("gone", 160, 350, None), ("no clock", None, 170, None)),
+        # An older row of "later" changes nothing; an unscheduled row moves the clock.
+        rows(("gone", 200, None, True), ("later", 90, 400, None), ("tick", 400, None, None)),
+        rows(("due at once", 390, 380, None), ("half", 500, 400.0005, None), ("tick", 600, None, None)),
+        rows(("end", 700, 10_000, None)),
+        schema=DUE,
+    )
+    released = [{(name, due // SECOND) for name, due, _ in run} for run in added]
+    assert released == [{("past", 50)}, {("soon", 150)}, {("later", 300)}, {("due at once", 380), ("half", 400)}, set()]
+    for run in added:
+        assert all(clock >= due for _, due, clock in run)
+
+
+def test_state_of_actions_is_forgotten(spark, folder):
+    _, query = arrive(
+        spark,
+        folder,
+        lambda s: stateful.due_stream(s, keep_ms=10 * SECOND),
+        [(f"a{i}", at(100), at(90 + i), None) for i in range(20)],
+        [("tick", at(200), at(1), None)],
+        [("tick", at(300), None, None)],
+        schema=DUE,
+    )
+    assert query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] == 0
+
+
 def requests(spark):
     rows = [("busy" if i % 3 == 0 else f"a{i % 4}", i * 7001 % 90_000 + i * 900, i) for i in range(200)]
     return spark.createDataFrame(rows, "account_id string, ms long, event_id long")
 
 
-def test_sliding_limit(spark, folder):
+REQUESTS = "account_id string, ms long, event_id long, ts timestamp"
+
+
+def timed(rows):
+    return [(account, ms, event, at(ms / 1000)) for account, ms, event in rows]
+
+
+@pytest.mark.parametrize("windows", [1, 3])
+def test_late_requests_get_the_verdict_of_the_batch(spark, folder, windows):
     df = requests(spark)
-    stream = parts(spark, folder, df, "ms")
-    stateful.sliding_limit_stream(
-        stream, f"{folder}/out", f"{folder}/memory", f"{folder}/cp", 9, 60_000
-    ).awaitTermination()
-    found = {r["event_id"]: (r["in_window"], r["allowed"]) for r in spark.read.parquet(f"{folder}/out").collect()}
-    batch = limits.sliding_limit(df, limit=9).collect()
-    assert found == {r["event_id"]: (r["in_window"], r["allowed"]) for r in batch}
+    rows = sorted((tuple(r) for r in df.collect()), key=lambda r: r[1])
+    # Every fifth request comes up to a minute after its time.
+    order = sorted(rows, key=lambda r: r[1] + (60_000 if r[2] % 5 == 0 else 0))
+    tick = [("tick", 10**6, 10**6), (None, 10**6, 10**6 + 1), (None, 5, 10**6 + 2)]
+    added, _ = arrive(
+        spark,
+        folder,
+        lambda s: stateful.sliding_limit_stream(s, limit=9, window_ms=60_000, slice_windows=windows, delay="2 minutes"),
+        *[timed(order[i : i + 70]) for i in (0, 70, 140)],
+        timed(tick),
+        schema=REQUESTS,
+    )
+    found = {r[2]: r[3:] for run in added for r in run}
+    batch = {r["event_id"]: (r["in_window"], r["allowed"], False) for r in limits.sliding_limit(df, limit=9).collect()}
+    assert found == batch | {10**6 + 1: (None, False, False), 10**6 + 2: (None, False, False)}
+    assert any(not v[1] for v in batch.values())
+    assert windows > 1 or (added[1] and added[2])
+
+
+def test_requests_behind_the_clock_are_reported(spark, folder):
+    added, _ = arrive(
+        spark,
+        folder,
+        lambda s: stateful.sliding_limit_stream(s, limit=2, window_ms=10_000, delay="0 seconds"),
+        timed([("a", 1000, 1), ("a", 25_000, 2)]),
+        # Slice 0 is decided, slice 1 (10 to 20 s) too, slice 2 is open: the late one counts there.
+        timed([("a", 9_000, 3), ("a", 19_500, 4), ("a", 26_000, 5), ("a", 27_000, 6), ("b", 60_000, 7)]),
+        timed([("b", 80_000, 8)]),
+        schema=REQUESTS,
+    )
+    assert added[0] == [("a", 1000, 1, 1, True, False)]
+    late = [r for run in added for r in run if r[5]]
+    assert sorted(late, key=lambda r: r[2]) == [("a", 9_000, 3, None, None, True), ("a", 19_500, 4, None, None, True)]
+    verdicts = {r[2]: r[3:5] for run in added for r in run if not r[5]}
+    assert verdicts == {1: (1, True), 2: (2, True), 5: (3, False), 6: (4, False), 7: (1, True)}
 
 
 def test_status(spark, folder):
@@ -38,14 +136,30 @@ def test_status(spark, folder):
     rows = [(f"a{i % 3}", i, i, names[i * i % 5]) for i in range(90)]
     df = spark.createDataFrame(rows, "action_id string, ms long, event_id long, status string")
     stream = parts(spark, folder, df, "ms")
-    stateful.track_status(
-        stream, f"{folder}/out", f"{folder}/memory", f"{folder}/cp", slice_ms=10
-    ).awaitTermination()
+    counters.append_to(stateful.status_stream(stream), f"{folder}/out", f"{folder}/cp").awaitTermination()
     found = {r["event_id"]: (r["previous_status"], r["allowed"]) for r in spark.read.parquet(f"{folder}/out").collect()}
     batch = lifecycle.check_transitions(df.withColumn("slice", F.floor(F.col("ms") / 10))).collect()
     assert found == {r["event_id"]: (r["previous_status"], r["allowed"]) for r in batch}
 
 
+def test_only_changed_states_are_written(spark, folder):
+    def rows(names, ms):
+        return [(n, ms, ms, "queued") for n in names]
+
+    added, query = arrive(
+        spark,
+        folder,
+        stateful.status_stream,
+        rows([f"a{i}" for i in range(50)], 1),
+        rows(["a1", "a2", "b"], 2),
+        rows(["a1"], 3) + [(None, 3, 9, "queued")],
+        schema="action_id string, ms long, event_id long, status string",
+    )
+    state = [p["stateOperators"][0] for p in query.recentProgress if p["numInputRows"]]
+    assert [s["numRowsUpdated"] for s in state] == [1] and state[0]["numRowsTotal"] == 51
+    assert added[2] == [("a1", 3, 3, "queued", "queued", False)]
+
+
 def test_counters_survive_a_repeated_batch(spark, folder):
     df = spark.createDataFrame([(f"a{i % 4}", i % 3, 0, 1, i) for i in range(60)], "action_id string, successful long, failed long, skipped long, n long")
     stream = parts(spark, folder, df, "n")
