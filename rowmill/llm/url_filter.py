@@ -9,8 +9,8 @@ log-likelihood difference per character decides the other URLs. Its threshold is
 score that best separates rule-decided URLs kept out of training (balanced accuracy over score bins).
 
 The finished model is one number for each run of four classes that the URLs have, 32^4 rows
-at most whatever the input; it is the only broadcast side. Everything is
-DataFrame code.
+at most whatever the input. URLs, counts, model and scores are written once each and read from there;
+Spark picks the joins by their sizes. Everything is DataFrame code, linear in the length of the URLs.
 
 A null URL or one without ``://`` has an empty host and path. Without accepted
 and rejected URLs in both training and calibration rows, undecided URLs are allowed.
@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rowmill.llm.stored import Scratch
+
 # Character classes: letters, digits as one, dot, slash, hyphen, edge of the URL, anything else.
 CLASSES = "abcdefghijklmnopqrstuvwxyz0./-^_"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -51,18 +53,17 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
 
 
 def runs_of(host: Column, path: Column) -> Column:
-    """Codes of all runs of four character classes, the URL padded with edges."""
+    """Codes of all runs of four character classes, the URL padded with edges; one pass over the URL."""
     plain = F.translate(F.translate(F.concat(host, path), UPPER + "123456789", LOWER + "000000000"), "^", "_")
     padded = F.concat(F.lit("^" * (ORDER - 1)), F.regexp_replace(plain, "[^a-z0./-]", "_"), F.lit("^"))
-    classes = F.transform(F.split(padded, ""), lambda c: F.instr(F.lit(CLASSES), c) - 1)
 
-    def run(i: Column) -> Column:
-        code = F.get(classes, i)
-        for k in range(1, ORDER):
-            code = code * SIZE + F.get(classes, i + k)
-        return code
+    def code(run: Column) -> Column:
+        value = F.lit(0).cast("long")
+        for k in range(1, ORDER + 1):
+            value = value * SIZE + F.instr(F.lit(CLASSES), F.substring(run, k, 1)) - 1
+        return value
 
-    return F.transform(F.sequence(F.lit(0), F.length(padded) - ORDER), run)
+    return F.transform(F.regexp_extract_all(padded, F.lit("(?=(.{%d}))" % ORDER), F.lit(1)), code)
 
 
 def log_ratios(counts: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
@@ -76,7 +77,7 @@ def log_ratios(counts: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
         )
         grid = counts.sparkSession.range(SIZE**k).select(F.col("id").alias("code"))
         if k == ORDER and wanted is not None:
-            grid = wanted.select(F.col("code").cast("long").alias("code")).distinct()
+            grid = wanted.select("code")
         grid = grid.withColumns({"context": F.floor(F.col("code") / SIZE), "shorter": F.col("code") % SIZE ** (k - 1)})
         grid = grid.join(cells, "code", "left").join(contexts, "context", "left").fillna(0)
         if lower is None:
@@ -107,22 +108,26 @@ def filter_urls(
 
     held_out = F.substring(F.md5(F.concat("host", "path")), 1, 1).isin("0", "1", "2")
     good, bad = (F.sum((F.col("decided") == v).cast("long")) for v in ("allow", "block"))
-    training = judged.where(F.col("decided").isNotNull() & ~held_out)
-    # Equal URLs are counted before their runs are listed.
-    seen = training.groupBy("host", "path").agg(good.alias("good"), bad.alias("bad"))
-    runs = seen.select("good", "bad", F.explode(runs_of(F.col("host"), F.col("path"))).alias("code"))
-    counts = runs.groupBy("code").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
-
-    asked = judged.where(F.col("decided").isNull() | held_out)
-    urls = asked.groupBy("host", "path").agg(good.alias("good"), bad.alias("bad"))
-    listed = urls.select("host", "path", "good", "bad", F.explode(runs_of(F.col("host"), F.col("path"))).alias("code"))
-    # Runs that the asked URLs have: 32^4 rows of two numbers at most, whatever the input.
-    ratios = log_ratios(counts, listed.select("code"))
-    scores = (
-        listed.join(F.broadcast(ratios), "code")
-        .groupBy("host", "path", "good", "bad")
-        .agg(F.round(F.avg("ratio"), 9).alias("score"))
+    scratch = Scratch(pages.sparkSession, "url-filter")
+    # Equal URLs are counted before their runs are listed. Runs carry a number in place of their URL.
+    kinds = judged.groupBy("host", "path").agg(
+        F.coalesce(good, F.lit(0)).alias("good"),
+        F.coalesce(bad, F.lit(0)).alias("bad"),
+        F.bool_or(F.col("decided").isNull()).alias("undecided"),
     )
+    urls = scratch.store(kinds.select("*", held_out.alias("held"), F.monotonically_increasing_id().alias("number")))
+    # Few bytes of URLs make many runs, so URLs are dealt to all tasks first.
+    tasks = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = urls.repartition(tasks, "number")
+    listed = dealt.select("number", "good", "bad", "undecided", "held", F.explode(runs_of(F.col("host"), F.col("path"))).alias("code"))
+    training = urls.where("good + bad > 0 AND NOT held")
+    seen = listed.where("good + bad > 0 AND NOT held").groupBy("code").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    # The model has 32^4 rows at most, whatever the input.
+    counts = scratch.store(seen)
+    asked = listed.where("undecided OR held").select("number", "code")
+    ratios = scratch.store(log_ratios(counts, scratch.store(asked.select("code").distinct())))
+    rated = asked.join(ratios, "code").groupBy("number").agg(F.round(F.avg("ratio"), 9).alias("score"))
+    scores = scratch.store(rated.join(urls, "number"))
 
     bins = scores.where("good + bad > 0").groupBy(F.floor(F.col("score") * BINS).alias("bin")).agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
     # As many bins as the bounded score has; one small window.
@@ -133,12 +138,12 @@ def filter_urls(
         F.try_divide(F.sum("good").over(over), F.sum("good").over(everything)).alias("kept"),
         F.try_divide(F.sum("bad").over(over), F.sum("bad").over(everything)).alias("let_in"),
     )
-    trained = training.agg(good.alias("good"), bad.alias("bad")).select(((F.col("good") > 0) & (F.col("bad") > 0)).alias("both"))
+    trained = training.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).select(((F.col("good") > 0) & (F.col("bad") > 0)).alias("both"))
     best = shares.agg(F.max_by("bin", F.struct(F.round(F.col("kept") - F.col("let_in"), 9), -F.col("bin"))).alias("bin"), F.count("let_in").alias("n"), F.count("kept").alias("m"))
     least = F.when(F.col("n").cast("boolean") & F.col("m").cast("boolean"), F.col("bin") / F.lit(float(BINS)))
     threshold, both = best.select(least.alias("least")).scalar(), trained.scalar()
 
-    unruled = judged.where("decided IS NULL").join(scores.select("host", "path", "score"), ["host", "path"], "left")
+    unruled = judged.where("decided IS NULL").join(scores.where("undecided").select("host", "path", "score"), ["host", "path"], "left")
     passes = F.when(both, F.coalesce(F.col("score") >= threshold, F.lit(True))).otherwise(True)
     by_method = unruled.select("id", "host", "path", "rule", F.when(passes, "allow").otherwise("block").alias("verdict"), "score")
     by_rule = judged.where("decided IS NOT NULL").select(

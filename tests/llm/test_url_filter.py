@@ -64,3 +64,13 @@ def test_model(spark):
         for c in run:
             code = code * 32 + url_filter.CLASSES.index(c)
         assert math.isclose(ratios[code], math.log(p_good(run)) - math.log(p_bad(run)), abs_tol=1e-9)
+
+
+def test_very_long_urls(spark):
+    """Time grows with the length, not with its square; long URLs are scored like short ones."""
+    long = [(k, "http://" + h + "." + t + "/" + "ab/c9" * 40_000) for k, (h, t) in enumerate((("a", "com"), ("b", "org"), ("c", "net/es"), ("d", "org")))]
+    short = [(100 + k, f"http://{'xy'[k % 2]}{k}.{'com' if k % 2 else 'net/es'}/{k * k}") for k in range(60)]
+    pages = spark.createDataFrame(long + short, "page_id long, url string")
+    found = {r.page_id: r for r in url_filter.filter_urls(pages, RULES).collect()}
+    assert len(found) == 64 and found[0].verdict == "allow" and found[2].verdict == "block"
+    assert found[1].score is not None and found[1].verdict in ("allow", "block")
