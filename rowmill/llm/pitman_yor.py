@@ -25,6 +25,7 @@ training rows all probabilities are one.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from copy import copy
 from itertools import chain
@@ -63,11 +64,11 @@ def unpack(packed: bytes, kind: str) -> np.ndarray:
 def pack_words(words: np.ndarray) -> tuple[bytes, bytes]:
     """Sorted fingerprints as steps between the distinct ones, and how often each occurs."""
     first = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]]))
-    return pack(np.diff(words[first], prepend=np.uint64(0)), "<u8"), pack(np.diff(np.append(first, len(words))), "<u2")
+    return pack(np.diff(words[first], prepend=np.uint64(0)), "<u8"), pack(np.diff(np.append(first, len(words))), "<u4")
 
 
 def unpack_words(steps: bytes, repeats: bytes) -> np.ndarray:
-    return np.repeat(np.cumsum(unpack(steps, "<u8"), dtype=np.uint64), unpack(repeats, "<u2"))
+    return np.repeat(np.cumsum(unpack(steps, "<u8"), dtype=np.uint64), unpack(repeats, "<u4"))
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -240,7 +241,7 @@ def read_blocks(rows: DataFrame, buckets: int) -> DataFrame:
             used, starts = np.unique(bucket, return_index=True)
             rows = [
                 {
-                    "block": block, "kind": 0, "ids": "\n".join("" if i is None else i for i in ids).encode(),
+                    "block": block, "kind": 0, "ids": json.dumps(ids).encode(),
                     "train": np.array(train, bool).tobytes(), "sizes": sizes.tobytes(), "cells": pack(cell, "<u4"), "contexts": pack(which, "<u4"),
                 }
             ]
@@ -434,7 +435,7 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
                 cells, sizes = unpack(row["cells"], "<u4"), np.frombuffer(row["sizes"], np.int64)
                 starts = np.cumsum(sizes) - sizes
                 add = lambda values: np.add.reduceat(values[cells], starts)
-                ids = [i or None for i in row["ids"].decode().split("\n")]
+                ids = json.loads(row["ids"])
                 held = ~np.frombuffer(row["train"], bool)
                 yield pa.RecordBatch.from_arrays(
                     [

@@ -135,3 +135,14 @@ def test_pairs_of_words_count(spark):
     rows = pitman_yor.score_texts(docs, F.col("doc_id") >= 120).collect()
     score = {r.doc_id: r.score for r in rows}
     assert min(score[k] for k in range(120, 124)) > max(score[k] for k in range(124, 128)) + 1
+
+
+def test_a_word_with_very_many_contexts(spark):
+    """More contexts of one word in a block than 16 bits can count: the end after many words, a word after many words."""
+    words = [f"w{i}" for i in range(70_000)]
+    rows = [(str(i), w) for i, w in enumerate(words)] + [("line\nend", " x ".join(words)), (None, "w1 w2"), ("", "w3")]
+    df = spark.createDataFrame(rows, "doc_id string, text string").coalesce(1)
+    found = {r.doc_id: r for r in pitman_yor.score_texts(df, F.col("doc_id") == "5").collect()}
+    assert len(found) == len(rows) and {None, "", "line\nend"} <= set(found)
+    assert found["line\nend"].n_tokens == 140_000 and found["5"].held_out and found["5"].n_known == 2
+    assert all(math.isfinite(r.score) and r.score < 0 for r in found.values())
