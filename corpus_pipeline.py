@@ -8,6 +8,7 @@ Rows of equal id are one document for the join and the verdicts.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rowmill.catalog.registry import read
 from rowmill.llm import grades, line_rules, near_copies, packing
@@ -31,13 +32,18 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_copy_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group, one row of it; rows without an id all stay."""
+    """The document with the smallest id of each group, one row of it; rows without an id all stay.
+
+    Of rows of equal id the one with the least hash of all its values stays, so a task that runs again picks the same.
+    """
     groups = near_copies.link_copies(docs)
     stays = groups.where("doc_id = component_id").groupBy("doc_id").count()
     repeated = stays.where("count > 1").select("doc_id")
     gone = groups.where("doc_id != component_id").select("doc_id").union(repeated)
     single = docs.join(gone, "doc_id", "left_anti")
-    one_each = docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    copies = docs.join(repeated, "doc_id", "left_semi")
+    place = F.struct(F.xxhash64(*docs.columns), "text")
+    one_each = copies.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), place).alias("row")).select("row.*")
     return single.select(docs.columns).union(one_each.select(docs.columns))
 
 

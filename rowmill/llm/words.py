@@ -41,20 +41,31 @@ def labelled_sample(labels: DataFrame, id_col: str, *values: str, most: int) ->
     return folded.orderBy(F.xxhash64("id"), "id").limit(most)
 
 
-def keep_rows(docs: DataFrame, text_col: str, verdict: Callable[[bytes], bool]) -> DataFrame:
-    """The rows whose text the verdict keeps, with the columns of ``docs``; one pass, no shuffle."""
+def keep_rows(docs: DataFrame, text_col: str, verdict: Callable[[bytes], bool], most_bytes: int = 4_000_000) -> DataFrame:
+    """The rows whose text the verdict keeps, with the columns of ``docs``; one pass, no shuffle.
+
+    The text travels once, in its own column, and rows are judged about ``most_bytes`` of text at a time.
+    """
     from collections.abc import Iterator
 
+    import numpy as np
     import pyarrow as pa
+    import pyarrow.compute as pc
 
-    width = len(docs.columns)
+    at = docs.columns.index(text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wanted = pa.array([bool(verdict(text.as_py())) for text in batch.column(width)], pa.bool_())
-            yield batch.select(list(range(width))).filter(wanted)
-
-    return docs.select("*", as_bytes(F.col(text_col)).alias("_text_bytes")).mapInArrow(keep, docs.schema)
+            texts = batch.column(at).cast(pa.string()).cast(pa.binary())
+            upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+            start = 0
+            while start < batch.num_rows:
+                end = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + most_bytes, "right")))
+                wanted = [bool(verdict(text.as_py() or b"")) for text in texts.slice(start, end - start)]
+                yield batch.slice(start, end - start).filter(pa.array(wanted, pa.bool_()))
+                start = end
+
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def in_slices(batches, column: str = "text", most_bytes: int = 4_000_000):
