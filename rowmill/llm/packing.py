@@ -180,7 +180,7 @@ def pack(
         narrow = encoder.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16
         part, dealt = TaskContext.get().partitionId(), {}
         for batch in in_slices(batches):
-            ids, ends = encoder.encode(batch.column("text").to_pylist(), end_id)
+            ids, ends = encoder.encode(batch.column("text"), end_id)
             stored = ids.astype("<u2" if narrow else "<u4")
             starts = np.concatenate([[0], ends[:-1]])
             before = []
