@@ -250,15 +250,54 @@ def snapshot_table(spark, folder):
     return tables.read_table(spark, path, {"p_type": "ECONOMY"}).select("p_partkey", "p_size")
 
 
+_QUOTED = [f"""replace({cell.rsplit(' AS ', 1)[0]}, '"', '""')""" for cell in _CELLS]
+_ROW_BYTES = " + ".join(f"strlen({cell}) + 3" for cell in _QUOTED)
+
+
 @query(
     "scan_counters",
-    f"""WITH {CONTACTS_SQL} SELECT count(*) AS processed_rows, count(*) FILTER (id <> '') AS valid_rows,
-      count(*) FILTER (id = '') AS invalid_rows, CAST(1000 AS BIGINT) AS processed_bytes,
-      count(*) / 4.0::DOUBLE AS rows_per_second, 250.0::DOUBLE AS bytes_per_second FROM contacts""",
+    f"""SELECT count(*) AS processed_rows, count(*) FILTER (c_custkey % 4 <> 0) AS valid_rows,
+      count(*) FILTER (c_custkey % 4 = 0) AS invalid_rows, CAST(0 AS BIGINT) AS empty_rows,
+      CAST(sum({_ROW_BYTES}) + count(DISTINCT c_nationkey) * strlen('"id","name","age"' || chr(10)) AS BIGINT) AS processed_bytes,
+      TRUE AS is_whole, TRUE AS has_rates FROM customer""",
 )
 def scan_counters(spark, folder):
-    rows = contacts(spark, folder).withColumn("is_valid", F.col("id") != "")
-    return progress.scan_counters(rows, 1000, 4.0)
+    """One file per nation; the rates depend on the clock, so only that there are some is compared."""
+    path = scratch_dir(spark, "scan")
+    rows = read(spark, folder, "customer").selectExpr("c_nationkey", "c_custkey", *_CELLS)
+    arranged = rows.repartition("c_nationkey").sortWithinPartitions("c_nationkey", "c_custkey").drop("c_custkey")
+    delimited.write_partitioned(arranged, f"{path}/in", "c_nationkey")
+    found = progress.measured_scan(spark, f"{path}/in", lambda df: df.withColumn("is_valid", F.col("name") != ""), f"{path}/out")
+    return found.select(
+        "processed_rows",
+        "valid_rows",
+        "invalid_rows",
+        "empty_rows",
+        "processed_bytes",
+        (F.col("processed_bytes") == F.col("total_bytes")).alias("is_whole"),
+        ((F.col("rows_per_second") > 0) & (F.col("bytes_per_second") > 0)).alias("has_rates"),
+    )
+
+
+_PLACED_LINE = "'c' || c_custkey || ',\"' || repeat('é', CAST(c_custkey % 5 AS INT)) || '\",日本' || c_nationkey"
+
+
+@query(
+    "csv_places",
+    f"""WITH l AS (SELECT c_nationkey, c_custkey, {_PLACED_LINE} AS line FROM customer)
+    SELECT row_number() OVER (ORDER BY 'n=' || c_nationkey || '/', c_custkey) AS row_number, 'c' || c_custkey AS id, line AS raw_line,
+      CAST(strlen('id,note,place') + 2 + coalesce(sum(strlen(line) + 2) OVER (PARTITION BY c_nationkey ORDER BY c_custkey
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte_offset FROM l""",
+)
+def csv_places(spark, folder):
+    """Files with two-byte line ends and characters of several bytes."""
+    path = scratch_dir(spark, "places")
+    rows = read(spark, folder, "customer").selectExpr("c_nationkey AS n", "c_custkey", f"{_PLACED_LINE} AS line")
+    headers = rows.select("n").distinct().select("n", F.lit(-1).cast("bigint").alias("c_custkey"), F.lit("id,note,place").alias("line"))
+    arranged = rows.select("n", F.col("c_custkey").cast("bigint"), "line").unionByName(headers).repartition("n")
+    arranged = arranged.sortWithinPartitions("n", "c_custkey").select("n", "line")
+    arranged.write.option("lineSep", "\r\n").partitionBy("n").text(path)
+    return delimited.read_delimited(spark, path, places=True).select("row_number", "id", "raw_line", "byte_offset")
 
 
 @query(

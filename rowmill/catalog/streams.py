@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rowmill.catalog.inputs import (
@@ -25,9 +26,9 @@ from rowmill.catalog.validation import CHECKED_SQL
 from rowmill.functions.numbers import epoch_ms
 from rowmill.operators import logs
 from rowmill.session import scratch_dir
-from rowmill.sources import delimited
+from rowmill.sources import delimited, files
 from rowmill.spec import ENFORCED_TRANSITIONS
-from rowmill.streaming import counters, ingest, stateful
+from rowmill.streaming import batch_log, counters, ingest, stateful
 
 
 def _arriving(spark, folder, table):
@@ -73,6 +74,44 @@ def stream_ingest(spark, folder):
     return spark.read.parquet(f"{path}/out").select("row_number", "is_valid", "action", "chunk_index")
 
 
+@query(
+    "ingest_progress_live",
+    """WITH l AS (SELECT c_nationkey % 3 AS batch_id, c_nationkey, strlen('"' || (c_custkey + 1) || '","c-' || c_custkey || '","u' || c_custkey
+        || '@x.io","' || c_name || '"' || chr(10)) AS n FROM customer),
+    b AS (SELECT batch_id, count(*) AS n_rows, sum(n) + count(DISTINCT c_nationkey) * strlen('"row_number","id","email","name"' || chr(10)) AS bytes
+      FROM l GROUP BY 1),
+    r AS (SELECT batch_id, CAST(sum(n_rows) OVER w AS BIGINT) AS processed_rows, CAST(sum(bytes) OVER w AS BIGINT) AS processed_bytes,
+      CAST((SELECT sum(bytes) FROM b) AS BIGINT) AS total_bytes FROM b WINDOW w AS (ORDER BY batch_id))
+    SELECT CAST(row_number() OVER (ORDER BY batch_id) AS INTEGER) AS step, processed_rows, processed_bytes, total_bytes,
+      round(processed_bytes / total_bytes::DOUBLE * 100, 6) AS percentage,
+      CAST(ceil(round(total_bytes / (processed_bytes / processed_rows::DOUBLE), 6)) AS BIGINT) AS estimated_total_rows, TRUE AS is_timed FROM r""",
+)
+def ingest_progress_live(spark, folder):
+    """Uploads of the nations, in three parts one after the other, as the listener of the running ingest reports them."""
+    path = scratch_dir(spark, "ingest-live")
+    names = ["row_number", "id", "email", "name"]
+    cells = ["c_custkey + 1 AS row_number", "'c-' || c_custkey AS id", "'u' || c_custkey || '@x.io' AS email", "c_name AS name"]
+    rows = read(spark, folder, "customer").selectExpr("c_nationkey", *cells)
+    with batch_log.BatchLog(spark, f"{path}/log") as log:
+        for part in range(3):
+            mine = rows.filter(F.col("c_nationkey") % 3 == part).repartition("c_nationkey")
+            delimited.write_partitioned(mine, f"{path}/in/part={part}", "c_nationkey")
+            stream = ingest.watch_delimited(spark, f"{path}/in", names, max_files=100_000)
+            log.wait(ingest.ingest_files(stream, f"{path}/out", f"{path}/checkpoint", chunks=4))
+    report = batch_log.ingest_progress(log.batches(), spark.read.parquet(f"{path}/out"), files.list_files(spark, f"{path}/in"))
+    # As many rows as micro-batches.
+    step = F.row_number().over(Window.partitionBy("run_id").orderBy("batch_id"))
+    return report.select(
+        step.alias("step"),
+        "processed_rows",
+        "processed_bytes",
+        "total_bytes",
+        F.round("percentage", 6).alias("percentage"),
+        "estimated_total_rows",
+        ((F.col("elapsed_ms") > 0) & (F.col("rows_per_second") > 0) & F.col("remaining_ms").isNotNull()).alias("is_timed"),
+    )
+
+
 @query("stream_keep_first", "SELECT DISTINCT user_id FROM events")
 def stream_keep_first(spark, folder):
     events = _arriving(spark, folder, "events")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowmill.functions import text
+from rowmill.sources import lines
 from rowmill.spec import HEADER_PATTERNS
 
 MAX_HEADER = 1000
@@ -38,8 +39,8 @@ def header_names(line: Column, sep: str = ",") -> Column:
 
 def lines_with_position(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
     """Raw lines with their file and a position that grows within the file."""
-    lines = spark.read.option("recursiveFileLookup", str(recursive).lower()).text(path)
-    return lines.select(
+    raw = spark.read.option("recursiveFileLookup", str(recursive).lower()).text(path)
+    return raw.select(
         F.col("value").alias("line"),
         F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_block_start").alias("block_start"),
@@ -53,8 +54,8 @@ def header_lines(spark: SparkSession, path: str, recursive: bool = True) -> Data
     Only the first block of a file counts, and the grouped minimum is folded per
     task, so nothing but headers is shuffled.
     """
-    lines = lines_with_position(spark, path, recursive)
-    return lines.filter(F.col("block_start") == 0).groupBy("file_path").agg(
+    placed = lines_with_position(spark, path, recursive)
+    return placed.filter(F.col("block_start") == 0).groupBy("file_path").agg(
         F.min_by("line", "seq").alias("header")
     )
 
@@ -117,8 +118,8 @@ def check_structure(
 
     All lines are checked, folded per task before the shuffle.
     """
-    lines = lines_with_position(spark, path)
-    counted = lines.withColumn("cells", cell_count(F.col("line"), sep, naive=naive))
+    placed = lines_with_position(spark, path)
+    counted = placed.withColumn("cells", cell_count(F.col("line"), sep, naive=naive))
     headers = header_lines(spark, path) if audited is None else audited.select("file_path", "header")
     expected = headers.select("file_path", F.size(header_names(F.col("header"), sep)).alias("expected"))
     # One row per file and cell count: the join sees no single line.
@@ -143,20 +144,6 @@ def check_structure(
     )
 
 
-def scan_names(spark: SparkSession, path: str, sep: str = ",", recursive: bool = True) -> list[str]:
-    """Normalised column names of the first header found, in scan order."""
-    first = (
-        spark.read.option("recursiveFileLookup", str(recursive).lower())
-        .text(path)
-        .filter(F.col("_metadata.file_block_start") == 0)
-        .select(F.transform(header_names(F.col("value"), sep), lambda x: text.strip(F.lower(x))).alias("names"))
-        .first()
-    )
-    if first is None:
-        raise ValueError(f"no header found under {path}")
-    return list(first["names"])
-
-
 def read_delimited(
     spark: SparkSession,
     path: str,
@@ -171,60 +158,91 @@ def read_delimited(
     numbered: bool = True,
     ragged: bool = True,
     recursive: bool = True,
+    places: bool = False,
+    blocks: DataFrame | None = None,
 ) -> DataFrame:
     """Rows of text cells with ``source_file`` and, when asked, ``row_number``.
 
     An empty cell is the empty string; a cell that a short line does not have is
     null. Every file is read by its own header, and files meet by column name, so
     their columns may stand in any order; a column that a file does not have is null.
-    With ``columns`` all files are taken to have these, in this order. Of a
+    All headers are read in one scan. With ``columns`` all files are taken to have these, in this order. Of a
     repeated name the last column is kept.
     ``ragged=False`` skips the handling of short lines and reads them as empty
     cells. ``multi_line`` allows line ends inside quotes and makes files
-    unsplittable.
+    unsplittable; it, and encodings other than UTF-8, need ``columns``.
+    ``places`` adds ``byte_offset`` of the row in its file and its ``raw_line`` without the line end.
+    ``blocks`` may give the files' ``lines.block_table`` if it is there already.
     """
-    how = {"sep": sep, "quote": quote, "escape": escape, "encoding": encoding, "multi_line": multi_line}
-    how |= {"max_cell": max_cell, "ragged": ragged, "recursive": recursive}
-    if columns is not None:
-        rows = _read_cells(spark, path, list(columns), **how)
+    if columns is None:
+        if multi_line or encoding.upper() != "UTF-8":
+            raise ValueError("line ends inside quotes and other encodings need the columns")
+        rows = _read_by_headers(spark, path, sep, quote, escape, max_cell, ragged, recursive, places, blocks)
+        if not numbered and max_rows is None:
+            return rows.drop("row_number")
     else:
-        layouts = header_layouts(spark, path, sep, recursive)
-        if not layouts:
-            raise ValueError(f"no header found under {path}")
-        rows = None
-        for names, files in layouts:
-            part = _read_cells(spark, path if len(layouts) < 2 else files, names, **how)
-            rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
-        if len(layouts) > 1:
-            kept = [c for c in rows.columns if c not in ("source_file", "__block", "__seq")]
-            rows = rows.select(*kept, "source_file", "__block", "__seq")
-    if not numbered and max_rows is None:
-        return rows.drop("__block", "__seq")
-    numbered_rows = _number(rows)
-    if max_rows is not None:
-        numbered_rows = numbered_rows.filter(F.col("row_number") <= max_rows)
-    return numbered_rows
-
-
-def header_layouts(
-    spark: SparkSession, path: str, sep: str = ",", recursive: bool = True
-) -> list[tuple[list[str], list[str]]]:
-    """The distinct headers of all files: normalised column names, and the files that have them.
-
-    One row per file comes to the driver, as in a file listing.
+        if places:
+            raise ValueError("places are for files that are read by their headers")
+        how = {"sep": sep, "quote": quote, "escape": escape, "encoding": encoding, "multi_line": multi_line}
+        rows = _read_cells(spark, path, list(columns), **how, max_cell=max_cell, ragged=ragged, recursive=recursive)
+        if not numbered and max_rows is None:
+            return rows.drop("__block", "__seq")
+        rows = _number(rows)
+    return rows if max_rows is None else rows.filter(F.col("row_number") <= max_rows)
+
+
+def _names(header: Column, sep: str) -> Column:
+    return F.transform(header_names(lines.without_end(header), sep), lambda x: text.strip(F.lower(x)))
+
+
+def _read_by_headers(
+    spark: SparkSession,
+    path: str,
+    sep: str,
+    quote: str,
+    escape: str,
+    max_cell: int,
+    ragged: bool,
+    recursive: bool,
+    places: bool,
+    blocks: DataFrame | None,
+) -> DataFrame:
+    """Every line parsed into a list of cells, and columns taken from it by the header of the line's file.
+
+    The driver gets the distinct column names, which are the columns of the result.
     """
-    headers = header_lines(spark, path, recursive).filter(F.col("header").isNotNull())
-    found = (
-        headers.groupBy("header")
-        .agg(F.min("file_path").alias("first"), F.sort_array(F.collect_list("file_path")).alias("files"))
-        .withColumn("names", F.transform(header_names(F.col("header"), sep), lambda x: text.strip(F.lower(x))))
-        .orderBy("first")
-        .collect()
+    blocks = lines.block_table(spark, path, recursive) if blocks is None else blocks
+    headers = blocks.where("header IS NOT NULL").groupBy("header").agg(F.min("source_file").alias("first"))
+    named = headers.select("first", F.posexplode(_names(F.col("header"), sep)).alias("position", "name"))
+    firsts = named.groupBy("name").agg(F.min(F.struct("first", "position")).alias("at"), F.max("position").alias("last"))
+    found = firsts.orderBy("at").collect()
+    if not found:
+        raise ValueError(f"no header found under {path}")
+    width = 1 + max(row["last"] for row in found)
+    own = F.reverse(_names(F.col("header"), sep))
+    # Place of each column in the file's lines, of a repeated name the last; null if the file does not have it.
+    spots = [F.nullif(F.array_position(own, row["name"]), F.lit(0).cast("bigint")) for row in found]
+    placed = blocks.withColumn("__places", F.array(*[(F.size(own) - spot).cast("int") for spot in spots])).drop("header")
+    rows = lines.numbered_lines(spark, path, placed, recursive, places)
+
+    options = {"sep": sep, "quote": quote, "escape": escape, "emptyValue": "", "mode": "PERMISSIVE"}
+    options["maxCharsPerColumn"] = str(max_cell)
+    fields = [f"c{i}" for i in range(width)]
+    raw = lines.without_end(F.col("line"))
+    parsed = rows.withColumn("raw_line", raw).withColumn(
+        "__cells", F.from_csv(F.col("raw_line"), ", ".join(f"{c} string" for c in fields), options)
     )
-    layouts: dict[tuple[str, ...], list[str]] = {}
-    for row in found:
-        layouts.setdefault(tuple(row["names"]), []).extend(row["files"])
-    return [(list(names), files) for names, files in layouts.items()]
+    listed = parsed.withColumn("__cells", F.array(*[F.col("__cells")[c] for c in fields]))
+    if ragged:
+        listed = listed.withColumn("__present", cell_count(F.col("raw_line"), sep, quote))
+
+    def cell(i: int, name: str) -> Column:
+        spot = F.get(F.col("__places"), F.lit(i))
+        value = F.coalesce(F.get(F.col("__cells"), spot), F.lit(""))
+        return F.when(F.col("__present") > spot if ragged else spot.isNotNull(), value).alias(name)
+
+    more = ["byte_offset", "raw_line"] if places else []
+    return listed.select(*[cell(i, row["name"]) for i, row in enumerate(found)], "source_file", "row_number", *more)
 
 
 def _read_cells(

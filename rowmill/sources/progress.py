@@ -2,24 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+import time
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from rowmill.sources import delimited, files, lines
+
 
-def scan_counters(validated: DataFrame, bytes_read: int | None = None, seconds: float | None = None) -> DataFrame:
-    """Rows, valid and invalid rows, and rates of a scan in one pass."""
-    out = validated.agg(
+def scan_counters(validated: DataFrame) -> DataFrame:
+    """Rows, valid and invalid rows in one pass."""
+    return validated.agg(
         F.count(F.lit(1)).alias("processed_rows"),
         F.count_if("is_valid").alias("valid_rows"),
         F.count_if(~F.col("is_valid")).alias("invalid_rows"),
     )
-    if bytes_read is not None:
-        out = out.withColumn("processed_bytes", F.lit(bytes_read).cast("bigint"))
-    if seconds:
-        out = out.withColumn("rows_per_second", F.col("processed_rows") / F.lit(float(seconds)))
-        if bytes_read is not None:
-            out = out.withColumn("bytes_per_second", F.col("processed_bytes") / F.lit(float(seconds)))
-    return out
+
+
+def measured_scan(spark: SparkSession, path: str, check: Callable[[DataFrame], DataFrame], out_path: str) -> DataFrame:
+    """Read, check and write delimited files; one row of what that took.
+
+    ``check`` adds ``is_valid``. Row counters ride on the write. ``processed_bytes`` are the sizes of the
+    file blocks that the scan reported, ``total_bytes`` those of the listing, ``empty_rows`` lines without content.
+    """
+    started = time.monotonic()
+    blocks = lines.block_table(spark, path)
+    watched, seen = observe_scan(check(delimited.read_delimited(spark, path, blocks=blocks)))
+    watched.write.mode("errorifexists").parquet(out_path)
+    seconds = F.lit(max(time.monotonic() - started, 1e-9))
+    counted = [F.lit(seen.get[c]).cast("bigint").alias(c) for c in ("processed_rows", "valid_rows", "invalid_rows")]
+    read = blocks.agg(F.sum("__length").alias("processed_bytes"), F.sum("__empty").alias("empty_rows"))
+    listed = files.list_files(spark, path).agg(F.sum("length").alias("total_bytes"))
+    # Two tables of one row.
+    both = read.withColumn("one", F.lit(1)).join(listed.withColumn("one", F.lit(1)), "one")
+    return both.select(
+        *counted,
+        "empty_rows",
+        "processed_bytes",
+        "total_bytes",
+        seconds.alias("seconds"),
+        (F.lit(seen.get["processed_rows"]) / seconds).alias("rows_per_second"),
+        (F.col("processed_bytes") / seconds).alias("bytes_per_second"),
+    )
 
 
 def observe_scan(validated: DataFrame, name: str = "scan") -> tuple[DataFrame, Observation]:

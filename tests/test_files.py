@@ -155,3 +155,85 @@ def test_files_meet_by_column_name(spark, folder):
     assert [(r["row_number"], r["id"], r["email"], r["name"]) for r in rows] == [
         (1, "1", "a@x.io", "Ann"), (2, "9", "z@x.io", "Zed"), (3, "5", None, "Kim"),
     ]
+
+
+def test_two_thousand_headers_in_one_scan(spark, folder):
+    """Every file has its columns in an order of its own, some are missing, one is repeated."""
+    import itertools
+
+    names = ["id", "a", "b", "c", "d", "e", "f"]
+    orders = list(itertools.islice(itertools.permutations(names), 2000))
+    for n, order in enumerate(orders):
+        kept = [c for c in order if c != "b" or n % 2]
+        head = ",".join(c.upper() if n % 3 else f'"{c}"' for c in kept) + (",a" if n % 7 == 0 else "")
+        cells = ",".join(f'"{c}, {n}"' if c != "id" else str(n) for c in kept) + (f",last {n}" if n % 7 == 0 else "")
+        put(folder, f"{n:04d}.csv", head + "\n" + cells + "\n")
+    rows = delimited.read_delimited(spark, folder)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") + plan.count("Relation[") <= 2 and "Union" not in plan
+    found = {r["id"]: r for r in rows.collect()}
+    assert len(found) == 2000
+    for n in range(2000):
+        row = found[str(n)]
+        assert row["row_number"] == n + 1
+        assert row["a"] == (f"last {n}" if n % 7 == 0 else f"a, {n}")
+        assert row["b"] == (f"b, {n}" if n % 2 else None)
+        assert [row[c] for c in "cdef"] == [f"{c}, {n}" for c in "cdef"]
+
+
+def test_offset_and_raw_line_of_every_row(spark, folder):
+    texts = {
+        "a.csv": "id,näme\r\n" + "".join(f'{i},"{"日本é"[: i % 4]}, {i}"\r\n' for i in range(3000)),
+        "b.csv": "\n  \nid;x,name\n\n1,one\n\n\n2,zwö" + "ß" * 100,
+        "c.csv": "﻿id,name\n" + "".join(f"{i},{'x' * (i % 90)}\n" + "\n" * (i % 3) for i in range(2000)),
+        "d.csv": "id,name\n",
+    }
+    for name, content in texts.items():
+        put(folder, name, content)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1000")
+    try:
+        rows = delimited.read_delimited(spark, folder, places=True)
+        found = rows.collect()
+        plain = {r["row_number"]: r["source_file"] for r in delimited.read_delimited(spark, folder).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sorted(r["row_number"] for r in found) == list(range(1, 5003))
+    assert plain == {r["row_number"]: r["source_file"] for r in found}
+    lines_of = {}
+    for r in sorted(found, key=lambda r: r["row_number"]):
+        name = os.path.basename(r["source_file"])
+        with open(os.path.join(folder, name), "rb") as f:
+            f.seek(r["byte_offset"])
+            assert f.readline().rstrip(b"\r\n").decode() == r["raw_line"]
+        lines_of.setdefault(name, []).append(r["raw_line"])
+    for name, content in texts.items():
+        filled = [x.rstrip("\r") for x in content.lstrip("﻿").split("\n") if x.strip()]
+        assert lines_of.get(name, []) == filled[1:]
+
+
+def test_a_scan_set_up_with_other_task_sizes_is_refused(spark, folder):
+    put(folder, "a.csv", "id,v\n" + "".join(f"{i},x\n" for i in range(5000)))
+    rows = delimited.read_delimited(spark, folder)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "100")
+    try:
+        with pytest.raises(Exception, match="sizes of scan tasks have changed"):
+            rows.collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_measured_scan(spark, folder):
+    os.makedirs(f"{folder}/in")
+    put(folder, "in/a.csv", "id,v\n1,é\n\n2,y\n3,\n")
+    put(folder, "in/b.csv", "id,v\n4,z")
+    put(folder, "in/c.csv", "id,v\n")
+    row = progress.measured_scan(spark, f"{folder}/in", lambda df: df.withColumn("is_valid", F.col("v") != ""), f"{folder}/out").first()
+    assert (row["processed_rows"], row["valid_rows"], row["invalid_rows"], row["empty_rows"]) == (4, 3, 1, 1)
+    size = sum(os.path.getsize(f"{folder}/in/{n}.csv") for n in "abc")
+    assert row["processed_bytes"] == row["total_bytes"] == size
+    assert row["rows_per_second"] == pytest.approx(4 / row["seconds"]) and row["bytes_per_second"] == pytest.approx(size / row["seconds"])
+    assert spark.read.parquet(f"{folder}/out").count() == 4

@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from rowmill.operators import lifecycle, limits, stats
-from rowmill.sources import delimited
-from rowmill.streaming import counters, ingest, stateful
+from rowmill.sources import delimited, files
+from rowmill.streaming import batch_log, counters, ingest, stateful
 
 
 def parts(spark, folder, df, order, n=3):
@@ -199,3 +199,20 @@ def test_rejected_increments_add_nothing(spark):
     df = spark.createDataFrame([("a", 5, -2, 0), ("a", 1, 2, 3), ("b", 0, 0, -1)], "action_id string, successful int, failed int, skipped int")
     assert [tuple(r) for r in stats.sum_increments(df).collect()] == [("a", 1, 2, 3)]
     assert stats.increment_errors(df).count() == 2
+
+
+def test_progress_of_a_running_ingest(spark, folder):
+    """One row per micro-batch; the last one has read all listed bytes."""
+    rows = [(n, i, f"id{i}", f"u{n}{i}@x.io", "é" * n, "3") for n in range(4) for i in range(1, 40)]
+    df = spark.createDataFrame(rows, "f int, row_number int, id string, email string, name string, age string")
+    delimited.write_partitioned(df.repartition("f").sortWithinPartitions("row_number"), f"{folder}/in", "f")
+    stream = ingest.watch_delimited(spark, f"{folder}/in", ["row_number", "id", "email", "name", "age"], max_files=1)
+    with batch_log.BatchLog(spark, f"{folder}/log") as log:
+        log.wait(ingest.ingest_files(stream, f"{folder}/out", f"{folder}/cp", chunks=2))
+    listing = files.list_files(spark, f"{folder}/in")
+    report = batch_log.ingest_progress(log.batches(), spark.read.parquet(f"{folder}/out"), listing).orderBy("batch_id").collect()
+    size = sum(r["length"] for r in listing.collect())
+    assert len(report) == 4 and [r["processed_rows"] for r in report] == [39, 78, 117, 156]
+    assert [r["total_bytes"] for r in report] == [size] * 4 and report[-1]["processed_bytes"] == size
+    assert report[-1]["percentage"] == 100 and report[-1]["estimated_total_rows"] == 156 and report[-1]["remaining_ms"] == 0
+    assert all(0 < a["percentage"] < b["percentage"] and a["remaining_ms"] > 0 for a, b in zip(report, report[1:]))
