@@ -49,7 +49,7 @@ def near_copy_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the kept documents in sequences of at most 2048 tokens."""
-    return packing.pack(docs, vocabulary("word_bpe_49k.json"))
+    return packing.pack(docs, vocabulary("word_bpe_49k.json"), word_bytes=60_000_000)
 
 
 STAGES = [

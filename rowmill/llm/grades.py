@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowmill.llm.line_rules import SYMBOLS, UPPER
-from rowmill.llm.words import keep_rows, labelled_sample, select_text
+from rowmill.llm.words import fresh_worker, keep_rows, labelled_sample, select_text
 
 CHI_SQUARE = 12
 EDGES = b".,;:!?\"'()[]"
@@ -146,6 +146,7 @@ def train(
     rows = select_text(docs, id_col, text_col).join(labelled_sample(graded, id_col, "grade", most=most), "id")
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         for batch in batches:
             found = [sorted({slot(w, bits) for w in text_words(t)}) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowmill.llm.words import BLANKS, keep_rows, labelled_sample, select_text
+from rowmill.llm.words import BLANKS, fresh_worker, keep_rows, labelled_sample, select_text
 
 # The symbols that the base rules count.
 SYMBOLS = b"#*$%&|<>"
@@ -173,6 +173,7 @@ def train(
     rows = select_text(docs, id_col, text_col).join(sample.withColumnRenamed(grade_col, "grade"), "id")
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         for batch in batches:
             ids, texts, grades = (batch.column(c).to_pylist() for c in ("id", "text", "grade"))
             flat = [np.asarray(text_features(t)[0][:most_lines], "f4").ravel().tolist() for t in texts]

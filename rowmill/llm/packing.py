@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowmill.llm.token_ids import WordIds
-from rowmill.llm.words import in_slices, select_text, worker_memo
+from rowmill.llm.words import fresh_worker, in_slices, select_text, worker_memo
 from rowmill.session import scratch_dir
 
 POOL_SHARE = 1024
@@ -161,6 +161,7 @@ def pack(
     window: int = 2048,
     end_id: int = 1,
     weights: dict[str, float] | None = None,
+    word_bytes: int = 200_000_000,
 ) -> DataFrame:
     """Pieces of all documents: id, ``start``, ``length``, ``ids`` (unsigned 32-bit little-endian),
     ``doc_tokens``, ``sequence_id``, ``offset`` and ``queue``.
@@ -168,6 +169,7 @@ def pack(
     Texts are tokenised once, into a table in the shared scratch folder that also
     holds each document's place among its task's tokens of the source. It is joined to
     the places of sources and tasks, and for small sources to their grains.
+    ``word_bytes`` bounds what a worker remembers of words it has met.
     """
     spark = docs.sparkSession
     rows = select_text(docs, id_col, text_col, queue_col).select(
@@ -176,7 +178,9 @@ def pack(
     kind = rows.schema["id"].dataType.simpleString()
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_memo(f"word ids {vocabulary}", lambda: WordIds(vocabulary))
+        name = f"word ids {vocabulary} {word_bytes}"
+        fresh_worker(keep=name)
+        encoder = worker_memo(name, lambda: WordIds(vocabulary, word_bytes))
         narrow = encoder.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16
         part, dealt = TaskContext.get().partitionId(), {}
         for batch in in_slices(batches):
@@ -253,6 +257,7 @@ def pack(
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
         names = ["start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
+        fresh_worker()
         for batch in in_slices(batches, "ids"):
             source, out = [], []
             columns = (batch.column(c).to_pylist() for c in ("lane", "first", "n", "width", "ids", "begin", "doc_tokens"))

@@ -55,6 +55,7 @@ def keep_rows(docs: DataFrame, text_col: str, verdict: Callable[[bytes], bool],
     at = docs.columns.index(text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         for batch in batches:
             texts = batch.column(at).cast(pa.string()).cast(pa.binary())
             upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
@@ -82,6 +83,28 @@ def in_slices(batches, column: str = "text", most_bytes: int = 4_000_000):
             start = end
 
 
+def fresh_worker(keep: str | None = None) -> None:
+    """Give back what earlier tasks left in this Python worker: remembered values but for ``keep``, and freed memory.
+
+    Spark keeps idle workers, so a stage that needs memory starts with this.
+    """
+    import ctypes
+    import gc
+    import sys
+
+    import pyarrow as pa
+
+    kept = sys.modules.get("rowmill_worker_memo")
+    for name in [n for n in vars(kept) if not n.startswith("__") and n != keep] if kept else []:
+        delattr(kept, name)
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
 def worker_memo(name: str, make):
     """A value that one Python worker keeps over its tasks, made on first use.
 
