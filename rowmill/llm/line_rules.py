@@ -22,9 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rowmill.llm.shingles import mix
 from rowmill.llm.words import BLANKS, fresh_worker, keep_rows, labelled_sample, select_text
 
 # The symbols that the base rules count.
@@ -34,6 +36,8 @@ LETTERS = UPPER + bytes(range(97, 123)) + bytes(range(128, 256))
 DIGITS = b"0123456789"
 CONTINUED = bytes(range(128, 192))
 N_FEATURES = 14
+# Lines that the chain is trained on in a row.
+RUN = 32
 
 
 def line_features(line: bytes, words: list[bytes], seen: bool) -> list[float]:
@@ -131,7 +135,7 @@ def log_likelihood(chain: Chain, x: np.ndarray, mask: np.ndarray, y: np.ndarray)
     return value, d_weights, d_moves
 
 
-def fit_chain(documents: list[tuple[np.ndarray, int]], steps: int = 32, rounds: int = 60, penalty: float = 1.0) -> Chain:
+def fit_chain(documents: list[tuple[np.ndarray, int]], steps: int = RUN, rounds: int = 60, penalty: float = 1.0) -> Chain:
     """Weights from (line features, grade) pairs; long documents are cut into runs of ``steps`` lines."""
     runs = [(f[i : i + steps], g) for f, g in documents for i in range(0, len(f), steps)]
     grades = {g for _, g in runs}
@@ -156,6 +160,15 @@ def fit_chain(documents: list[tuple[np.ndarray, int]], steps: int = 32, rounds:
     return chain
 
 
+def spread_lines(lines: list, most_lines: int, seed: int) -> list:
+    """The lines, or of a long text runs of lines picked by hash from its whole length; a run has ``RUN`` lines."""
+    runs = -(-len(lines) // RUN)
+    if runs <= most_lines // RUN:
+        return lines
+    order = np.argsort(mix(np.arange(runs, dtype=np.uint64) ^ np.uint64(seed)))[: most_lines // RUN]
+    return [line for k in np.sort(order).tolist() for line in lines[k * RUN : (k + 1) * RUN]]
+
+
 def train(
     docs: DataFrame,
     labels: DataFrame,
@@ -165,7 +178,7 @@ def train(
     most: int = 2000,
     most_lines: int = 256,
 ) -> Chain:
-    """Fit the chain on at most ``most`` labelled documents, ``most_lines`` lines of each.
+    """Fit the chain on at most ``most`` labelled documents, ``most_lines`` lines of each, from its whole length.
 
     Grade 0 is bad, larger grades are good, null grades are left out.
     """
@@ -176,7 +189,8 @@ def train(
         fresh_worker()
         for batch in batches:
             ids, texts, grades = (batch.column(c).to_pylist() for c in ("id", "text", "grade"))
-            flat = [np.asarray(text_features(t)[0][:most_lines], "f4").ravel().tolist() for t in texts]
+            lines = (spread_lines(text_features(t)[0], most_lines, xxhash.xxh64_intdigest(str(i))) for i, t in zip(ids, texts))
+            flat = [np.asarray(own, "f4").ravel().tolist() for own in lines]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array([int(g > 0) for g in grades], pa.int32()), pa.array(flat, pa.list_(pa.float32()))],
                 ["id", "grade", "features"],

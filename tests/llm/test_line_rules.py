@@ -99,3 +99,13 @@ def test_documents(spark):
     bad = [found[r.doc_id] for r in labels if r.quality == 0]
     assert all(f.kept for f in good if not f.base_failed)
     assert sum(f.kept for f in bad) <= 0.05 * len(bad)
+
+
+def test_training_lines_come_from_the_whole_text():
+    lines = list(range(10_000))
+    assert line_rules.spread_lines(lines[:256], 256, 1) == lines[:256]
+    picked = [line_rules.spread_lines(lines, 256, seed) for seed in range(200)]
+    assert all(len(p) <= 256 and p == sorted(p) and len(p) > 220 for p in picked)
+    assert picked[3] == line_rules.spread_lines(lines, 256, 3) != picked[4]
+    seen = {n for p in picked for n in p}
+    assert max(seen) > 9_900 and min(seen) < 100 and len(seen) > 9_000
