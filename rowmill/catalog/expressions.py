@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rowmill.catalog.inputs import ACTIONS_SQL, CONTACTS_SQL, actions, contacts
 from rowmill.catalog.registry import query, read
-from rowmill.functions import numbers, ring, text
+from rowmill.functions import json, numbers, ring, text
 from rowmill.operators import chunking, lifecycle
 from rowmill.sources import files, seeds
 
@@ -273,3 +273,41 @@ def synthetic_actions(spark, folder):
 def update_file(spark, folder):
     rows = seeds.update_file(read(spark, folder, "customer"), "c_name", "c_custkey", order="c_custkey")
     return rows.select("c_custkey", "c_name")
+
+
+_PATCH = """CASE o_orderkey % 6 WHEN 0 THEN '{"onConflict":null,"retry":{"max":' || CAST(o_orderkey % 9 AS STRING) || ',"delays":[[1,2.5],[4]]}}'
+    WHEN 1 THEN '{"deduplicate":false,"retry":{"max":null}}' WHEN 2 THEN '[1]' WHEN 3 THEN '{"retry":{"delays":[[10],[],[0.5,' || CAST(o_orderkey % 7 AS STRING) || ']]}}'
+    ELSE '{"filePath":"x.csv","retry":{"backoff":{"kind":"fixed"}}}' END"""
+_STORED = """CASE o_orderkey % 4 WHEN 0 THEN '{"onConflict":"update","retry":{"max":3,"backoff":{"kind":"exponential","ms":100}}}'
+    WHEN 1 THEN '{"deduplicate":true}' WHEN 2 THEN 'not json' ELSE '{"retry":5,"zone":"a"}' END"""
+
+
+@query(
+    "config_patched",
+    f"""WITH o AS (SELECT o_orderkey, {_STORED} AS stored, {_PATCH} AS patch FROM orders),
+    n AS (SELECT o_orderkey, stored, patch, CASE WHEN json_valid(stored) THEN stored ELSE '{{}}' END AS base,
+      patch <> '[1]' AS is_patch FROM o),
+    m AS (SELECT *, CASE WHEN is_patch THEN CAST(json_merge_patch(base, patch) AS VARCHAR) ELSE stored END AS new FROM n),
+    j AS (SELECT *, CASE WHEN json_valid(new) THEN new ELSE '{{}}' END AS doc FROM m)
+    SELECT o_orderkey, array_to_string(list_sort(json_keys(doc)), ',') AS names,
+      CAST(length(replace(replace(CASE WHEN json_valid(new) THEN CAST(json(doc) AS VARCHAR) ELSE new END, ' ', ''), '.0', '')) AS INTEGER) AS written_chars,
+      coalesce(doc ->> '$.onConflict', 'skip') AS on_conflict, coalesce(CAST(doc ->> '$.deduplicate' AS BOOLEAN), FALSE) AS deduplicate,
+      CASE WHEN json_type(doc, '$.retry') = 'OBJECT' THEN coalesce(CAST(doc ->> '$.retry.max' AS INTEGER), 1) ELSE 1 END AS retries,
+      coalesce(doc ->> '$.retry.backoff.kind', 'none') AS backoff, coalesce(CAST(doc ->> '$.retry.backoff.ms' AS INTEGER), 0) AS backoff_ms,
+      coalesce(list_sum(flatten(CAST(doc -> '$.retry.delays' AS DOUBLE[][]))), 0.0::DOUBLE) AS delay_total FROM j""",
+)
+def config_patched(spark, folder):
+    """Nested settings patched, written back as text and read again."""
+    orders = read(spark, folder, "orders").selectExpr("o_orderkey", f"{_STORED} AS stored", f"{_PATCH} AS patch")
+    new = orders.select("o_orderkey", json.merge_json(F.col("stored"), F.col("patch")).alias("new"))
+    return new.select(
+        "o_orderkey",
+        F.array_join(json.json_keys(F.col("new")), ",").alias("names"),
+        F.length(F.replace(F.replace("new", F.lit(" "), F.lit("")), F.lit(".0"), F.lit(""))).alias("written_chars"),
+        json.get_or(F.col("new"), "$.onConflict", "string", F.lit("skip")).alias("on_conflict"),
+        json.get_or(F.col("new"), "$.deduplicate", "boolean", F.lit(False)).alias("deduplicate"),
+        json.get_or(F.col("new"), "$.retry.max", "int", F.lit(1)).alias("retries"),
+        json.get_or(F.col("new"), "$.retry.backoff.kind", "string", F.lit("none")).alias("backoff"),
+        json.get_or(F.col("new"), "$.retry.backoff.ms", "int", F.lit(0)).alias("backoff_ms"),
+        json.total_of_lists(F.col("new"), "$.retry.delays").alias("delay_total"),
+    )

@@ -238,16 +238,53 @@ def seed_actions(spark, folder):
     )
 
 
+@query(
+    "seed_load",
+    f"""WITH {ACTIONS_SQL}, c AS (SELECT 'contacts' AS name, 'c' || c_nationkey AS id, CAST(max(c_custkey) AS BIGINT) AS value FROM customer GROUP BY 2),
+    a AS (SELECT 'actions' AS name, id, total_entities AS value FROM actions),
+    s AS (SELECT 'stats' AS name, 'a-' || l_orderkey AS id, CAST(count(*) AS BIGINT) AS value FROM lineitem GROUP BY 2)
+    SELECT * FROM c UNION ALL SELECT * FROM a UNION ALL SELECT * FROM s WHERE id IN (SELECT id FROM a)""",
+)
+def seed_load(spark, folder):
+    """The three tables loaded over an earlier load; repeated contacts count by their last row."""
+    path = scratch_dir(spark, "seed-load-query")
+    people = read(spark, folder, "customer").select(
+        F.concat(F.lit("c"), "c_nationkey").alias("id"),
+        F.col("c_custkey").cast("string").alias("name"),
+        F.lit("e").alias("email"),
+        F.lit("x").alias("age"),
+        F.col("c_custkey").alias("row_number"),
+    )
+    text = [F.lit("").alias(c) for c in ("started_at", "completed_at", "error_message", "file_path", "file_size", "scheduled_at")]
+    jobs = actions(spark, folder).select(
+        "id", "account_id", "entity_type", "action_type", "status", F.col("total_entities").cast("string").alias("total_entities"),
+        "configuration", F.lit(1).alias("row_number"), *text,
+    )
+    counted = read(spark, folder, "lineitem").groupBy(F.concat(F.lit("a-"), "l_orderkey").alias("action_id")).agg(
+        F.count(F.lit(1)).cast("string").alias("total_records")
+    )
+    counted = counted.join(jobs.select(F.col("id").alias("action_id")), "action_id", "left_semi")
+    rest = [F.lit("-").alias(c) for c in ("successful_records", "failed_records", "skipped_records")]
+    counters = counted.select("*", *rest, F.lit(1).alias("row_number"))
+    seeds.load_all(spark, people.filter("row_number < 20"), jobs, counters.limit(0), path)
+    loaded = seeds.load_all(spark, people, jobs, counters, path)
+    return (
+        loaded["contacts"].select(F.lit("contacts").alias("name"), "id", F.col("name").cast("bigint").alias("value"))
+        .union(loaded["actions"].select(F.lit("actions"), "id", "total_entities"))
+        .union(loaded["stats"].select(F.lit("stats"), "action_id", "total_records"))
+    )
+
+
 @query(
     "snapshot_table",
     "SELECT p_partkey, p_size + 1 AS p_size FROM part WHERE p_type = 'ECONOMY'",
 )
 def snapshot_table(spark, folder):
     path = scratch_dir(spark, "part")
-    tables.write_snapshot(read(spark, folder, "part"), path, sort_by="p_partkey")
-    changed = tables.read_table(spark, path).withColumn("p_size", F.col("p_size") + 1)
-    tables.write_snapshot(changed, path, sort_by="p_partkey")
-    return tables.read_table(spark, path, {"p_type": "ECONOMY"}).select("p_partkey", "p_size")
+    tables.write_table(read(spark, folder, "part"), f"{path}/first", sort_by="p_partkey")
+    changed = tables.read_table(spark, f"{path}/first").withColumn("p_size", F.col("p_size") + 1)
+    tables.write_table(changed, f"{path}/second", sort_by="p_partkey")
+    return tables.read_table(spark, f"{path}/second", {"p_type": "ECONOMY"}).select("p_partkey", "p_size")
 
 
 _QUOTED = [f"""replace({cell.rsplit(' AS ', 1)[0]}, '"', '""')""" for cell in _CELLS]

@@ -122,6 +122,28 @@ def log_labels(spark, folder):
     return rows.select("event_id", "container_name", "job")
 
 
+@query(
+    "log_meta_labels",
+    """WITH c AS (SELECT event_id, user_id % 9 AS k FROM events),
+    n AS (SELECT event_id, k, CASE k WHEN 0 THEN '/demo-api-1' WHEN 1 THEN '/demo-db-seed-1' WHEN 2 THEN '/x-redis' WHEN 3 THEN '/demo-redis-1'
+      WHEN 4 THEN '/other-db-seed-2' WHEN 5 THEN '/demo-processing-workers-7' WHEN 6 THEN '/x-loki' WHEN 7 THEN '/mailer' ELSE '/other-api-2' END AS name FROM c)
+    SELECT event_id, substr(name, 2) AS container_name, CASE k WHEN 0 THEN 'api' WHEN 1 THEN 'db-seed' WHEN 5 THEN 'processing-workers' END AS job,
+      'img:' || k AS image, 'id' || event_id AS instance, CASE WHEN event_id % 3 = 0 THEN 'stderr' ELSE 'stdout' END AS log_stream
+    FROM n WHERE k NOT IN (3, 4, 7)""",
+)
+def log_meta_labels(spark, folder):
+    """Rows of the containers on the default list, with all labels."""
+    names = ["demo-api-1", "demo-db-seed-1", "x-redis", "demo-redis-1", "other-db-seed-2", "demo-processing-workers-7", "x-loki", "mailer", "other-api-2"]
+    kind = (F.col("user_id") % 9).cast("int")
+    rows = read(spark, folder, "events").select(
+        "event_id",
+        F.concat(F.lit("/"), F.get(F.array(*[F.lit(n) for n in names]), kind)).alias("container"),
+        F.concat(F.lit("img:"), kind).alias("container_image"),
+        F.concat(F.lit("id"), "event_id").alias("container_id"),
+        F.when(F.col("event_id") % 3 == 0, "stderr").otherwise("stdout").alias("stream"),
+    )
+    labelled = logs.label_logs(rows, "demo", allow=logs.default_allow("demo", "x"))
+    return labelled.select("event_id", "container_name", "job", "image", "instance", "log_stream")
 
 
 def _parsed(spark, folder):

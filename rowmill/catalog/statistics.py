@@ -285,15 +285,16 @@ def worker_means(spark, folder):
     "running_means",
     f"""WITH {_RUNS}, t AS (SELECT worker, n,
       CAST(sum(CASE WHEN result = 'completed' THEN 1 ELSE 0 END) OVER w AS BIGINT) AS jobs_so_far,
-      sum(CASE WHEN result = 'completed' THEN ms ELSE 0 END) OVER w AS ms FROM runs
+      sum(CASE WHEN result = 'completed' THEN ms ELSE 0 END) OVER w AS ms,
+      sum(CASE WHEN result = 'completed' AND ms > 0 THEN records / (ms / 1000.0::DOUBLE) ELSE 0 END) OVER w AS speed FROM runs
       WINDOW w AS (PARTITION BY worker ORDER BY n))
     SELECT worker, n, jobs_so_far, CASE WHEN jobs_so_far > 0 THEN CAST(ms AS DOUBLE) / jobs_so_far ELSE 0.0 END
-      AS mean_duration_ms FROM t""",
+      AS mean_duration_ms, CASE WHEN jobs_so_far > 0 THEN round(speed / jobs_so_far, 4) ELSE 0.0 END AS mean_rows_per_second FROM t""",
 )
 def running_means(spark, folder):
     rows = _runs(spark, folder).withColumn("slice", floor_div(F.col("n"), 1_000_000_000_000))
     out = ops.running_means(rows, "worker", "slice", "n")
-    return out.select("worker", "n", "jobs_so_far", "mean_duration_ms")
+    return out.select("worker", "n", "jobs_so_far", "mean_duration_ms", F.round("mean_rows_per_second", 4).alias("mean_rows_per_second"))
 
 
 @query(

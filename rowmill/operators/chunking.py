@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowmill.functions import ring, text
@@ -160,8 +160,7 @@ def chunk_distribution(metadata: DataFrame) -> DataFrame:
 
 def chunk_shares(metadata: DataFrame) -> DataFrame:
     """Share of every chunk in all rows, in percent."""
-    # At most 1000 rows, one per chunk, so a single window group is fine here.
-    total = F.sum("record_count").over(Window.partitionBy(F.lit(0)))
+    total = metadata.select(F.sum("record_count")).scalar()
     return metadata.select(
         "chunk_index",
         "hash_range_start",
@@ -217,18 +216,17 @@ def partition_distribution(metadata: DataFrame, partitions: int = 5) -> DataFram
 
 
 def partition_jobs(metadata: DataFrame, partitions: int = 5) -> DataFrame:
-    """Chunk jobs listed per work partition; a run has at most 1000 chunks."""
-    return (
-        metadata.withColumn("partition_id", chunk_partition(F.col("hash_range_start"), partitions))
-        .groupBy("partition_id")
-        .agg(
-            F.count(F.lit(1)).alias("jobs"),
-            F.sum("record_count").alias("records"),
-            F.sort_array(F.collect_list("chunk_index")).alias("chunk_indexes"),
-        )
+    """One row per chunk job: its work partition, chunk and rows."""
+    return metadata.select(
+        chunk_partition(F.col("hash_range_start"), partitions).alias("partition_id"), "chunk_index", "record_count"
     )
 
 
+def partition_totals(jobs: DataFrame) -> DataFrame:
+    """Jobs and rows per work partition."""
+    return jobs.groupBy("partition_id").agg(F.count(F.lit(1)).alias("jobs"), F.sum("record_count").alias("records"))
+
+
 def batch_number(row_number: Column, size: int = 1000) -> Column:
     """Number of the write batch of a row, from 0."""
     return floor_div(row_number - 1, size)

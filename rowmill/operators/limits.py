@@ -1,7 +1,7 @@
 """Request-rate analysis per account.
 
 Both limiters look back a fixed time, so each account's requests are cut into
-time slices and no account has to fit into one task.
+slices and no account has to fit into one task.
 """
 
 from __future__ import annotations
@@ -72,22 +72,31 @@ def session_limit(
     limit: int = 100,
     window_ms: int = WINDOW_MS,
     slice_ms: int = 600_000,
+    slice_ties: int = 1_000_000,
 ) -> DataFrame:
     """Counter with an expiry that every request renews.
 
     The count starts over after a quiet gap of at least ``window_ms``. Adds
     ``current``, ``allowed``, ``remaining`` and ``reset_ms``.
+
+    Requests are folded to one row per account, millisecond and ``slice_ties`` values of the unique
+    whole number ``tie``. Sessions are found over the milliseconds, ``slice_ms`` of them at a time, and
+    a request adds only its place within its own fold. So no window holds more than
+    ``slice_ties`` requests or ``slice_ms`` milliseconds, however many requests an account has at once.
     """
-    rows = requests.withColumn("__slice", floor_div(F.col(ms), slice_ms))
-    local = Window.partitionBy(account, "__slice").orderBy(ms, tie)
-    first = rows.withColumns(
-        {"__pos": F.row_number().over(local), "__prev": F.lag(ms).over(local)}
-    )
-    gap = F.col(ms) - F.col("__prev") >= window_ms
-    opened = first.withColumn("__open", F.when(gap, F.col("__pos")))
+    rows = requests.withColumn("__part", floor_div(F.col(tie).cast("bigint"), slice_ties))
+    folds = rows.groupBy(account, ms, "__part").agg(F.count(F.lit(1)).alias("__n"))
+    instants = folds.groupBy(account, ms).agg(F.sum("__n").alias("__n"))
+    instants = instants.withColumn("__slice", floor_div(F.col(ms), slice_ms))
+    local = Window.partitionBy(account, "__slice").orderBy(ms)
+    upto = local.rowsBetween(Window.unboundedPreceding, 0)
+    gap = F.col(ms) - F.lag(ms).over(local) >= window_ms
+    # Requests of the slice before this instant, and the running number that opened a session there.
+    first = instants.withColumns({"__inside": F.sum("__n").over(upto) - F.col("__n"), "__gap": gap})
+    opened = first.withColumn("__open", F.when(F.col("__gap"), F.col("__inside") + 1))
     # What a later slice needs to know of an earlier one, one row per account and slice.
     parts = opened.groupBy(account, "__slice").agg(
-        F.count(F.lit(1)).alias("__n"),
+        F.sum("__n").alias("__count"),
         F.min(ms).alias("__from"),
         F.max(ms).alias("__to"),
         F.max("__open").alias("__last_open"),
@@ -96,7 +105,7 @@ def session_limit(
     earlier = by_slice.rowsBetween(Window.unboundedPreceding, -1)
     linked = parts.withColumns(
         {
-            "__before": F.coalesce(F.sum("__n").over(earlier), F.lit(0)),
+            "__before": F.coalesce(F.sum("__count").over(earlier), F.lit(0)),
             "__fresh": F.coalesce(F.col("__from") - F.lag("__to").over(by_slice) >= window_ms, F.lit(True)),
         }
     )
@@ -110,10 +119,20 @@ def session_limit(
         .otherwise(F.max("__opener").over(earlier))
         .alias("__start"),
     )
-    upto = local.rowsBetween(Window.unboundedPreceding, 0)
-    joined = opened.withColumn("__here", F.max("__open").over(upto)).join(carried, [account, "__slice"])
-    start = F.coalesce(F.col("__before") + F.col("__here"), F.col("__start"))
-    current = (F.col("__before") + F.col("__pos") - start + 1).cast("bigint")
+    here = opened.withColumn("__here", F.max("__open").over(upto)).join(carried, [account, "__slice"])
+    numbered = here.select(
+        account,
+        ms,
+        # Requests of the session before this instant.
+        (F.col("__before") + F.col("__inside") + 1 - F.coalesce(F.col("__before") + F.col("__here"), F.col("__start"))).alias("__session"),
+    )
+    # One row per fold; an instant has as many as the ties have slices.
+    ahead = Window.partitionBy(account, ms).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = folds.withColumn("__ahead", F.coalesce(F.sum("__n").over(ahead), F.lit(0))).join(numbered, [account, ms])
+    bases = bases.select(account, ms, "__part", (F.col("__session") + F.col("__ahead")).alias("__base"))
+    place = F.row_number().over(Window.partitionBy(account, ms, "__part").orderBy(tie))
+    joined = rows.withColumn("__place", place).join(bases, [account, ms, "__part"])
+    current = (F.col("__base") + F.col("__place")).cast("bigint")
     return joined.select(
         *[F.col(c) for c in requests.columns],
         current.alias("current"),

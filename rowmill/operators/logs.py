@@ -44,13 +44,32 @@ def allowed_container(container: Column, allow: Sequence[str]) -> Column:
     return container.rlike("|".join(f"(?:{p})" for p in allow))
 
 
+# Services whose containers are numbered, by any project, by this project; the rest has one container each.
+SCALED = ("api", "chunking-workers", "processing-workers")
+ONE_OFF = ("db-seed", "minio-init")
+
+
+def default_allow(project: str, prefix: str, services: Sequence[str] = SERVICES) -> list[str]:
+    """Patterns of the containers whose logs are collected: numbered ones, and ``<prefix>-<service>``."""
+    single = [s for s in services if s not in SCALED + ONE_OFF]
+    return [f".*-{s}-.*" for s in SCALED] + [f"{project}-{s}-.*" for s in ONE_OFF] + [f"{prefix}-{s}" for s in single]
+
+
+# Label and the column it is taken from.
+META_LABELS = {"image": "container_image", "instance": "container_id", "log_stream": "stream"}
+
+
 def label_logs(
     logs: DataFrame, project: str, allow: Sequence[str] | None = None, container: str = "container"
 ) -> DataFrame:
-    """Log rows of known containers with ``container_name`` and ``job`` labels."""
+    """Log rows of allowed containers with the labels ``container_name`` and ``job``.
+
+    ``image``, ``instance`` and ``log_stream`` are added where the rows have the column they come from.
+    """
     name = F.col(container)
     rows = logs if allow is None else logs.filter(allowed_container(name, allow))
-    return rows.withColumns({"container_name": container_name(name), "job": service_label(name, project)})
+    meta = {label: F.col(source) for label, source in META_LABELS.items() if source in logs.columns}
+    return rows.withColumns({"container_name": container_name(name), "job": service_label(name, project), **meta})
 
 
 LOG_SCHEMA = (

@@ -287,16 +287,22 @@ def worker_means(jobs: DataFrame, by: Sequence[str] = ("worker",)) -> DataFrame:
 
 
 def running_means(jobs: DataFrame, key: str, slice_col: str, order: str) -> DataFrame:
-    """Mean duration of the completed jobs so far, at every job of a worker."""
-    done = F.when(F.col("result") == "completed", 1).otherwise(0)
+    """Mean duration and mean rows per second of the completed jobs so far, at every job of a worker."""
+    done = F.col("result") == "completed"
+    speed = F.col("records") / (F.nullif(F.col("duration_ms"), F.lit(0)) / F.lit(1000.0))
     totals = running_totals(
         jobs,
         [key],
         slice_col,
         [F.col(order)],
-        {"jobs_so_far": done, "__ms": F.when(F.col("result") == "completed", F.col("duration_ms")).otherwise(0)},
+        {
+            "jobs_so_far": F.when(done, 1).otherwise(0),
+            "__ms": F.when(done, F.col("duration_ms")).otherwise(0),
+            "__speed": F.coalesce(F.when(done, speed), F.lit(0.0)),
+        },
     )
-    return totals.withColumn("mean_duration_ms", ratio(F.col("__ms"), F.col("jobs_so_far"))).drop("__ms")
+    means = {"mean_duration_ms": ratio(F.col("__ms"), F.col("jobs_so_far")), "mean_rows_per_second": ratio(F.col("__speed"), F.col("jobs_so_far"))}
+    return totals.withColumns(means).drop("__ms", "__speed")
 
 
 def latency_objectives(

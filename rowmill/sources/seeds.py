@@ -6,12 +6,13 @@ same on every run, partitioning and recomputation.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowmill.functions import text
 from rowmill.functions.numbers import parse_int, try_instant
 from rowmill.operators.merge import latest_per_key, stable_id
+from rowmill.session import scratch_dir
 
 EXTRA_COUNTERS = ("batch_size", "retry_count", "max_retries", "priority")
 
@@ -55,6 +56,60 @@ def load_stats(rows: DataFrame, order: str = "row_number") -> DataFrame:
     return latest_per_key(typed, "action_id", order).drop(order)
 
 
+def _broken(contacts: DataFrame, actions: DataFrame, stats: DataFrame) -> DataFrame:
+    """``problem``, ``key`` of rows that must not be loaded."""
+
+    def blank(key: str) -> Column:
+        return F.coalesce(text.strip(F.col(key)), F.lit("")) == ""
+
+    def rows(df: DataFrame, problem: str, key: str) -> DataFrame:
+        return df.select(F.lit(problem).alias("problem"), F.col(key).alias("key"))
+
+    def keyless(df: DataFrame, name: str, key: str) -> DataFrame:
+        return rows(df.filter(blank(key)), f"{name} without {key}", key)
+
+    strays = stats.join(actions.select(F.col("id").alias("action_id")), "action_id", "left_anti")
+    listed = [
+        keyless(contacts, "contact", "id"),
+        keyless(actions, "action", "id"),
+        keyless(stats, "statistics", "action_id"),
+        rows(strays.filter(~blank("action_id")), "statistics of an unknown action", "action_id"),
+    ]
+    return listed[0].union(listed[1]).union(listed[2]).union(listed[3])
+
+
+class SeedError(ValueError):
+    """Seed files that do not fit together; ``problems`` holds all broken rows."""
+
+    def __init__(self, message: str, problems: DataFrame):
+        super().__init__(message)
+        self.problems = problems
+
+
+def load_all(spark: SparkSession, contacts: DataFrame, actions: DataFrame, stats: DataFrame, path: str) -> dict[str, DataFrame]:
+    """Clear and load the three tables under ``path`` from the rows of their files, as one ordered job.
+
+    Everything is typed and written to a folder of its own first, and checked there: every row has a key, and
+    all statistics belong to an action of the same load. Only then the tables are replaced, statistics last and
+    removed first, so no reader finds statistics without their action. A load that fails before that
+    leaves the tables as they were; one that fails later is repeated as a whole, with the same result.
+    """
+    staged = scratch_dir(spark, "seed-load")
+    typed = {"contacts": load_contacts(contacts), "actions": load_actions(actions), "stats": load_stats(stats)}
+    for name, df in typed.items():
+        df.write.parquet(f"{staged}/{name}")
+    kept = {name: spark.read.schema(df.schema).parquet(f"{staged}/{name}") for name, df in typed.items()}
+    problems = _broken(**kept)
+    found = problems.orderBy("problem", "key").first()
+    if found is not None:
+        raise SeedError(f"{found['problem']}: {found['key']}", problems)
+    # Children are cleared before their parents, and loaded after them.
+    kept["stats"].limit(0).write.mode("overwrite").parquet(f"{path}/stats")
+    for name in ("contacts", "actions", "stats"):
+        kept[name].write.mode("overwrite").parquet(f"{path}/{name}")
+    return {name: spark.read.schema(df.schema).parquet(f"{path}/{name}") for name, df in kept.items()}
+
+
 def draw(key: Column, salt: str, low: int | Column, high: int | Column) -> Column:
     """Whole number in ``[low, high]`` from the hash of a key."""
     first = low if isinstance(low, Column) else F.lit(low)

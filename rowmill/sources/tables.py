@@ -1,58 +1,26 @@
-"""Stored tables as Parquet snapshots.
+"""Stored tables as folders of Parquet files.
 
-Each change of a table is a new snapshot folder, and one row in the table's
-commit list makes it current. A reader keeps its snapshot while a writer makes
-the next one, so nothing is overwritten while it is read, and a write that
-fails before its commit leaves the table as it was.
+Every state of a table is written to a path that the caller names and that does not
+exist yet, so nothing is overwritten while it is read and a write that fails leaves the state before it.
+Which state is current, and how writers take turns, is up to the caller or to a table format of Spark.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Mapping
 from typing import Any
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Row, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from rowmill.operators.paging import where_equal
 
 
-def _commit(spark: SparkSession, path: str, number: int | None = None) -> Row | None:
-    """Latest (or given) commit: its number and folder."""
-    try:
-        commits = spark.read.schema("number int, folder string").parquet(f"{path}/commits")
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
-    wanted = commits if number is None else commits.filter(F.col("number") == number)
-    return wanted.orderBy(F.desc("number"), "folder").first()
-
-
-def current_snapshot(spark: SparkSession, path: str) -> int | None:
-    found = _commit(spark, path)
-    return found["number"] if found else None
+def write_table(df: DataFrame, path: str, sort_by: str | None = None) -> None:
+    """Write a new state; rows sorted within files make key filters skip row groups."""
+    out = df.sortWithinPartitions(sort_by) if sort_by else df
+    out.write.mode("errorifexists").parquet(path)
 
 
-def write_snapshot(df: DataFrame, path: str, sort_by: str | None = None) -> str:
-    """Write the next snapshot; rows sorted within files make key filters skip row groups."""
-    spark = df.sparkSession
-    number = (current_snapshot(spark, path) or 0) + 1
-    folder = f"{path}/data/{number}-{uuid.uuid4().hex}"
-    out = df.sortWithinPartitions(sort_by) if sort_by else df
-    out.write.mode("errorifexists").parquet(folder)
-    commit = spark.createDataFrame([(number, folder)], "number int, folder string")
-    commit.coalesce(1).write.mode("append").parquet(f"{path}/commits")
-    return folder
-
-
-def read_table(
-    spark: SparkSession, path: str, filters: Mapping[str, Any] | None = None, snapshot: int | None = None
-) -> DataFrame:
-    """Current (or given) snapshot, with equality filters that reach the scan."""
-    found = _commit(spark, path, snapshot)
-    if found is None:
-        raise FileNotFoundError(f"no finished snapshot under {path}")
-    return where_equal(spark.read.parquet(found["folder"]), filters or {})
+def read_table(spark: SparkSession, path: str, filters: Mapping[str, Any] | None = None) -> DataFrame:
+    """A stored state, with equality filters that reach the scan."""
+    return where_equal(spark.read.parquet(path), filters or {})

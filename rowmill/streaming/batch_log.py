@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from rowmill.sources.progress import progress_report
 
-SCHEMA = "run_id string, batch_id bigint, batch_rows bigint, batch_ms bigint, ended_ms bigint"
+SCHEMA = "run_id string, batch_id bigint, input_rows bigint, batch_ms bigint, ended_ms bigint"
 
 
 class BatchLog(StreamingQueryListener):
@@ -44,7 +44,7 @@ class BatchLog(StreamingQueryListener):
             return
         started = datetime.fromisoformat(report.timestamp.replace("Z", "+00:00"))
         row = (report.numInputRows, report.batchDuration, int(started.timestamp() * 1000) + report.batchDuration)
-        written = self.spark.createDataFrame([row], "batch_rows bigint, batch_ms bigint, ended_ms bigint").coalesce(1)
+        written = self.spark.createDataFrame([row], "input_rows bigint, batch_ms bigint, ended_ms bigint").coalesce(1)
         written.write.mode("overwrite").parquet(f"{self.path}/run_id={report.id}/batch_id={report.batchId}")
 
     def onQueryIdle(self, event) -> None:
@@ -74,16 +74,17 @@ def ingest_progress(batches: DataFrame, output: DataFrame, listing: DataFrame) -
     def plain(path):
         return F.regexp_replace(path, "^file:/+", "/")
 
-    read = output.select("batch_id", plain(F.col("source_file")).alias("path")).distinct()
+    # Spark's own input count counts a row again for every time that the batch is read, so written rows are counted.
+    read = output.groupBy("batch_id", plain(F.col("source_file")).alias("path")).agg(F.count(F.lit(1)).alias("rows"))
     sizes = listing.select(plain(F.col("path")).alias("path"), "length")
-    per_batch = read.join(sizes, "path").groupBy("batch_id").agg(F.sum("length").alias("batch_bytes"))
+    per_batch = read.join(sizes, "path").groupBy("batch_id").agg(F.sum("length").alias("batch_bytes"), F.sum("rows").alias("written"))
     total = listing.agg(F.sum("length").alias("total_bytes")).scalar()
     # A run has as many rows as micro-batches.
     upto = Window.partitionBy("run_id").orderBy("batch_id").rowsBetween(Window.unboundedPreceding, 0)
     running = batches.join(per_batch, "batch_id", "left").select(
         "run_id",
         "batch_id",
-        F.sum("batch_rows").over(upto).alias("processed_rows"),
+        F.sum(F.coalesce("written", F.lit(0))).over(upto).alias("processed_rows"),
         F.sum(F.coalesce("batch_bytes", F.lit(0))).over(upto).alias("processed_bytes"),
         total.alias("total_bytes"),
         F.sum("batch_ms").over(upto).alias("elapsed_ms"),

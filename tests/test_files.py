@@ -111,16 +111,14 @@ def test_paths(spark):
     assert found == paths
 
 
-def test_snapshots_never_overwrite(spark, folder):
-    with pytest.raises(FileNotFoundError):
-        tables.read_table(spark, f"{folder}/t")
-    tables.write_snapshot(spark.range(3), f"{folder}/t")
-    old = tables.read_table(spark, f"{folder}/t")
-    tables.write_snapshot(old.filter("id > 0"), f"{folder}/t", sort_by="id")
-    assert old.count() == 3 and tables.read_table(spark, f"{folder}/t").count() == 2
-    assert tables.read_table(spark, f"{folder}/t", snapshot=1).count() == 3
-    assert tables.current_snapshot(spark, f"{folder}/t") == 2
-    plan = tables.read_table(spark, f"{folder}/t", {"id": 2})._jdf.queryExecution().executedPlan().toString()
+def test_states_of_a_table_never_overwrite(spark, folder):
+    tables.write_table(spark.range(3), f"{folder}/t1")
+    old = tables.read_table(spark, f"{folder}/t1")
+    tables.write_table(old.filter("id > 0"), f"{folder}/t2", sort_by="id")
+    assert old.count() == 3 and tables.read_table(spark, f"{folder}/t2").count() == 2
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        tables.write_table(old, f"{folder}/t2")
+    plan = tables.read_table(spark, f"{folder}/t2", {"id": 2})._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(id), EqualTo(id,2)]" in plan
 
 
@@ -237,3 +235,29 @@ def test_measured_scan(spark, folder):
     assert row["processed_bytes"] == row["total_bytes"] == size
     assert row["rows_per_second"] == pytest.approx(4 / row["seconds"]) and row["bytes_per_second"] == pytest.approx(size / row["seconds"])
     assert spark.read.parquet(f"{folder}/out").count() == 4
+
+
+def seed_rows(spark, stats):
+    contacts = spark.createDataFrame([("c1", "n", "e", "7", 1), ("c1", "m", "e", "0", 2), ("c2", "o", "e", "x", 3)], "id string, name string, email string, age string, row_number long")
+    names = ["id", "account_id", "entity_type", "action_type", "status", "file_path", "total_entities", "file_size", "scheduled_at", "started_at", "completed_at", "configuration", "error_message"]
+    actions = spark.createDataFrame([(f"a{i}", *["x"] * 12, i) for i in range(3)], ", ".join(f"{n} string" for n in names) + ", row_number long")
+    counters = spark.createDataFrame(stats, "action_id string, total_records string, successful_records string, failed_records string, skipped_records string, row_number long")
+    return contacts, actions, counters
+
+
+def test_seed_load_replaces_all_or_nothing(spark, folder):
+    def tables_of():
+        return {n: sorted(tuple(r) for r in spark.read.parquet(f"{folder}/{n}").collect()) for n in ("contacts", "actions", "stats")}
+
+    first = seeds.load_all(spark, *seed_rows(spark, [("a0", "5", "4", "1", "no", 1), ("a0", "6", "", "1", "0", 2), ("a1", "x", "1", "2", "3", 3)]), folder)
+    assert sorted(tuple(r) for r in first["stats"].collect()) == [("a0", 6, 0, 1, 0), ("a1", 0, 1, 2, 3)]
+    before = tables_of()
+    assert len(before["contacts"]) == 2 and len(before["actions"]) == 3
+    with pytest.raises(seeds.SeedError, match="unknown action: a9") as caught:
+        seeds.load_all(spark, *seed_rows(spark, [("a9", "1", "1", "0", "0", 1), (" ", "1", "1", "0", "0", 2)]), folder)
+    assert {tuple(r) for r in caught.value.problems.collect()} == {("statistics of an unknown action", "a9"), ("statistics without action_id", " ")}
+    assert tables_of() == before
+    contacts, actions, counters = seed_rows(spark, [])
+    seeds.load_all(spark, contacts.filter("id = 'c2'"), actions.filter("id = 'a2'"), counters, folder)
+    after = tables_of()
+    assert [len(after[n]) for n in ("contacts", "actions", "stats")] == [1, 1, 0]

@@ -86,3 +86,16 @@ def test_cleanup_takes_the_oldest_up_to_the_cap(spark):
     assert {r["job_id"] for r in gone.collect()} == set(range(200))
     assert "WindowGroupLimit" in gone._jdf.queryExecution().executedPlan().toString()
     assert lifecycle.expired_jobs(df, 3_600_000 + 100).count() == 100
+
+
+def test_sessions_of_one_account_in_one_minute(spark):
+    """All requests of one account within a minute, most of them in one millisecond: no group exceeds its slice."""
+    rows = [("hot", 5 if i % 3 else i * 20 % 60_000, i) for i in range(3000)] + [("hot", 200_000, 3000), ("b", 7, 3001)]
+    df = spark.createDataFrame(rows, "account_id string, ms long, event_id long").repartition(6)
+    limited = limits.session_limit(df, limit=1000, slice_ms=1000, slice_ties=100)
+    found = {r["event_id"]: (r["current"], r["allowed"], r["remaining"]) for r in limited.collect()}
+    order = sorted((r for r in rows if r[0] == "hot" and r[1] < 200_000), key=lambda r: r[1:])
+    expected = {r[2]: (n, n <= 1000, max(0, 1000 - n)) for n, r in enumerate(order, 1)}
+    assert found == expected | {3000: (1, True, 999), 3001: (1, True, 999)}
+    folds = df.groupBy("account_id", "ms", F.floor(F.col("event_id") / 100)).count()
+    assert folds.agg(F.max("count")).first()[0] <= 100
