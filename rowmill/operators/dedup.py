@@ -13,12 +13,15 @@ Rows without a key are never duplicates of anything.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowmill.functions import text
 from rowmill.functions.numbers import percent
 from rowmill.functions.ordered import ROWS_PER_SLICE, row_slice
+from rowmill.session import scratch_dir
 
 STRATEGIES = ("keep_first", "keep_last", "mark_all", "merge_data")
 
@@ -53,14 +56,24 @@ def one_per_key(
 ) -> DataFrame:
     """First (or last) row of every key, plus all rows without a key.
 
-    Only row numbers are folded by key, in a hash aggregate; the rows meet the
-    winners on the unique row number.
+    Row numbers and keys are taken in one scan, written, and folded by key in a hash aggregate. The numbers of
+    the other rows of repeated keys are written too; the rows only lose those, so Spark moves no row if they are
+    few, and rows without a key or with a key of their own need no look at it.
     """
-    tagged = _with_group(df, key, long_keys)
+    spark, path = df.sparkSession, scratch_dir(df.sparkSession, "one-per-key")
     pick = F.max if last else F.min
-    winners = tagged.filter(F.col("__key").isNotNull()).groupBy("__key").agg(pick(order).alias(order))
-    marked = tagged.join(winners.select(order, F.lit(True).alias("__wins")), order, "left")
-    return marked.filter(F.col("__wins") | F.col("__key").isNull()).select(df.columns)
+    taken = _with_group(df, key, long_keys).filter(F.col("__key").isNotNull()).select(order, "__key")
+    taken.write.parquet(f"{path}/keys")
+    keyed = spark.read.schema(taken.schema).parquet(f"{path}/keys")
+    losers = _losing_rows(keyed, order, pick)
+    losers.write.parquet(f"{path}/losers")
+    return df.join(spark.read.schema(losers.schema).parquet(f"{path}/losers"), order, "left_anti").select(df.columns)
+
+
+def _losing_rows(keyed: DataFrame, order: str, pick: Callable[[str], Column]) -> DataFrame:
+    """Numbers of the rows that are not the one of their ``__key`` that ``pick`` takes."""
+    winners = keyed.groupBy("__key").agg(pick(order).alias(order))
+    return keyed.select(order).join(winners.select(order), order, "left_anti")
 
 
 def merge_per_key(

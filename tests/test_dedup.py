@@ -120,6 +120,16 @@ def test_disabled_and_unknown_strategy(spark):
 
 def test_survivors_fold_before_the_shuffle(spark):
     df, _ = uploaded(spark)
-    plan = dedup.one_per_key(df, dedup.normalize_key(F.col("email")))._jdf.queryExecution().executedPlan().toString()
+    keyed = dedup._with_group(df, dedup.normalize_key(F.col("email")), False)
+    plan = dedup._losing_rows(keyed, "row_number", F.min)._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan
     assert "partial_min(" in plan
+
+
+def test_rows_only_lose_the_others_of_their_key(spark):
+    """Few losers: the rows themselves are not moved."""
+    df = spark.createDataFrame([(i, f"k{i % 90}", "x" * 50) for i in range(100)], "row_number long, email string, text string")
+    kept = dedup.one_per_key(df, F.col("email"))
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti" in plan and "Exchange hashpartitioning" not in plan
+    assert sorted(r["row_number"] for r in kept.collect()) == list(range(90))
