@@ -185,3 +185,24 @@ def test_weights_of_small_sources_count(spark, tokenizer):
     early, whole = halves(rows)
     assert early["s1298"] == whole["s1298"] == 301
     assert early["s1299"] <= 2 * packing.GRAIN
+
+
+def test_ids_of_odd_words_equal_the_full_tokeniser():
+    import random
+
+    from tokenizers import Tokenizer
+
+    from rowmill.llm.queries import vocabulary
+    from rowmill.llm.token_ids import WordIds
+
+    path = vocabulary("word_bpe_49k.json")
+    full, quick = Tokenizer.from_file(path), WordIds(path, 20_000)
+    rng = random.Random(1)
+    pieces = ["it's", "It'S", "don't", "a1", "1a", "x,", "X.", "--", "<|endoftext|>", "<|ENDOFTEXT|>", "é", "Été,", "日本", "we'll!", "'s"]
+    pieces += ["a'b", "ﬁ", "ǅ", "x²", "…", "á", "İ", "Ā9", "\x1c", "a\x00b", "$5.00", "http://x.y/z?q=1", " ", "Ⅷ", "I'M", "é's"]
+    texts = ["".join(rng.choice(pieces) + rng.choice(["", " ", "\n", "\t"]) for _ in range(rng.randrange(30))) for _ in range(600)]
+    for at in range(0, len(texts), 7):
+        ids, ends = quick.encode([t.encode() for t in texts[at : at + 7]])
+        starts = [0, *ends.tolist()]
+        for k, text in enumerate(texts[at : at + 7]):
+            assert ids[starts[k] : starts[k + 1]].tolist() == full.encode(text, add_special_tokens=False).ids, text
