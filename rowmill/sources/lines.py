@@ -48,14 +48,20 @@ def block_table(spark: SparkSession, path: str, recursive: bool = True) -> DataF
     ``__first`` is the sequence number of the block's first filled line, ``__head`` marks the block with the header,
     ``__length`` is the block's size and ``__empty`` counts its lines that are no rows.
     """
-    sequence = F.monotonically_increasing_id()
-    lines = scan(spark, path, recursive)
-    filled = lines.filter(is_filled(F.col("line"))).withColumn("__seq", sequence)
-    rows = filled.groupBy(*KEY).agg(
-        F.count(F.lit(1)).alias("__n"), F.min("__seq").alias("__first"), F.min_by("line", "__seq").alias("__line")
+    lines = scan(spark, path, recursive).withColumn("__seq", F.monotonically_increasing_id())
+    filled = is_filled(F.col("line"))
+    blocks = lines.groupBy(*KEY, "__length", "__size").agg(
+        F.count_if(filled).alias("__n"),
+        F.count(F.lit(1)).alias("__all"),
+        F.sum(line_bytes(F.col("line"))).alias("__bytes"),
+        F.min("__seq").alias("__at"),
+        F.min_by("line", F.when(filled, F.col("__seq"))).alias("__line"),
     )
-    sizes = lines.groupBy(*KEY, "__length", "__size").agg(F.sum(line_bytes(F.col("line"))).alias("__bytes"), F.count(F.lit(1)).alias("__all"))
-    return _placed(sizes.join(rows, KEY, "left"), scratch_dir(spark, "blocks"))
+    # The second pass numbers the filled lines of a task only; a task reads its blocks one after the other.
+    task = F.shiftright("__at", 33)
+    earlier = Window.partitionBy(task).orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.shiftleft(task, 33) + F.coalesce(F.sum("__n").over(earlier), F.lit(0))
+    return _placed(blocks.withColumn("__first", first), scratch_dir(spark, "blocks"))
 
 
 def _placed(blocks: DataFrame, path: str) -> DataFrame:
@@ -63,11 +69,11 @@ def _placed(blocks: DataFrame, path: str) -> DataFrame:
     inside = Window.partitionBy("source_file").orderBy("__block")
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("source_file")
-    head = F.col("__n").isNotNull() & (F.coalesce(F.sum("__n").over(before), F.lit(0)) == 0)
+    head = (F.col("__n") > 0) & (F.coalesce(F.sum("__n").over(before), F.lit(0)) == 0)
     blocks = blocks.withColumn("__head", head).withColumns(
         {
             "header": F.max(F.when(F.col("__head"), F.col("__line"))).over(whole),
-            "__rows": F.coalesce("__n", F.lit(0)) - F.col("__head").cast("int"),
+            "__rows": F.col("__n") - F.col("__head").cast("int"),
             # A byte order mark is not part of the first line; the file is longer by it.
             "__mark": F.when((F.sum("__bytes").over(whole) - F.col("__size")).isin(-3, -2), 3).otherwise(0),
             "__bytes_before": F.coalesce(F.sum("__bytes").over(before), F.lit(0)),
@@ -79,7 +85,7 @@ def _placed(blocks: DataFrame, path: str) -> DataFrame:
     out = blocks.join(files, "source_file").select(
         *KEY,
         "__length",
-        (F.col("__all") - F.coalesce("__n", F.lit(0))).alias("__empty"),
+        (F.col("__all") - F.col("__n")).alias("__empty"),
         "__rows",
         "__first",
         "__head",
