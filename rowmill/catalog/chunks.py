@@ -210,8 +210,20 @@ def chunk_partition(spark, folder):
     return chunking.partition_distribution(chunking.chunk_metadata(assigned, options))
 
 
-@query("chunk_jobs", f"WITH {META_SQL} SELECT {_PART} AS partition_id, chunk_index, record_count FROM meta")
+@query(
+    "chunk_jobs",
+    f"""WITH {META_SQL} SELECT {_PART} AS partition_id, count(*) AS jobs, CAST(sum(record_count) AS BIGINT) AS records,
+      string_agg(CAST(chunk_index AS VARCHAR), ',' ORDER BY chunk_index) AS chunk_indexes FROM meta GROUP BY 1""",
+)
 def chunk_jobs(spark, folder):
+    assigned, options = _assigned(spark, folder)
+    jobs = chunking.partition_jobs(chunking.chunk_metadata(assigned, options))
+    listed = chunking.partition_lists(jobs)
+    return listed.withColumn("chunk_indexes", F.array_join(F.col("chunk_indexes").cast("array<string>"), ","))
+
+
+@query("chunk_job_rows", f"WITH {META_SQL} SELECT {_PART} AS partition_id, chunk_index, record_count FROM meta")
+def chunk_job_rows(spark, folder):
     assigned, options = _assigned(spark, folder)
     return chunking.partition_jobs(chunking.chunk_metadata(assigned, options))
 

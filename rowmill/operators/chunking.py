@@ -227,6 +227,15 @@ def partition_totals(jobs: DataFrame) -> DataFrame:
     return jobs.groupBy("partition_id").agg(F.count(F.lit(1)).alias("jobs"), F.sum("record_count").alias("records"))
 
 
+def partition_lists(jobs: DataFrame) -> DataFrame:
+    """Jobs, rows and the chunks in order per work partition; a list is as long as the partition has chunks."""
+    return jobs.groupBy("partition_id").agg(
+        F.count(F.lit(1)).alias("jobs"),
+        F.sum("record_count").alias("records"),
+        F.sort_array(F.collect_list("chunk_index")).alias("chunk_indexes"),
+    )
+
+
 def batch_number(row_number: Column, size: int = 1000) -> Column:
     """Number of the write batch of a row, from 0."""
     return floor_div(row_number - 1, size)

@@ -77,3 +77,16 @@ def test_balance_verdicts(spark):
     assert len(chunking.chunk_balance(chunking.chunk_distribution(skewed)).first()["issues"]) == 2
     empty = chunking.chunk_balance(chunking.chunk_distribution(even.filter("false"))).first()
     assert empty["issues"] == [chunking.ISSUE_EMPTY]
+
+
+def test_jobs_are_listed_whole(spark):
+    from rowmill.catalog import QUERIES
+    from rowmill.catalog.chunks import N
+
+    rows = QUERIES["chunk_jobs"](spark, "/root/testdata/sf0.001").collect()
+    jobs = [(r.partition_id, int(i)) for r in rows for i in r.chunk_indexes.split(",")]
+    assert len(jobs) == sum(r.jobs for r in rows) and {i for _, i in jobs} <= set(range(N))
+    assert all(r.chunk_indexes.split(",") == sorted(r.chunk_indexes.split(","), key=int) for r in rows)
+    single = QUERIES["chunk_job_rows"](spark, "/root/testdata/sf0.001").collect()
+    assert sorted(jobs) == sorted((r.partition_id, r.chunk_index) for r in single)
+    assert sum(r.records for r in rows) == sum(r.record_count for r in single)
