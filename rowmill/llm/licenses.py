@@ -106,8 +106,24 @@ def known_digests(known: DataFrame, name_col: str = "license", text_col: str = "
 
 
 def first_word(text: Column) -> Column:
-    """The first word of a text, spelled as in the canonical form."""
-    return canonical(F.regexp_extract(text, WORD, 0))
+    """The first word of a text in lower case."""
+    return F.regexp_extract(F.lower(text), WORD, 0)
+
+
+def first_spellings(known: DataFrame) -> DataFrame:
+    """``first``: every first word that a text of a known form can have, before its words are written in one way."""
+    turns: dict[str, set[str]] = {}
+    for old, new in EQUIVALENT:
+        turns.setdefault(old.split()[0], set()).add(new.split()[0])
+    own, out = F.col("first"), known.select("first")
+    # Spellings of spellings count too.
+    for old in turns:
+        reached, fresh = {old}, {old}
+        while fresh:
+            fresh = {n for word in fresh for n in turns.get(word, ())} - reached
+            reached |= fresh
+        out = out.union(known.where(own.isin(*sorted(reached - {old}))).select(F.lit(old).alias("first")))
+    return out.distinct()
 
 
 def scan(texts: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -120,11 +136,8 @@ def scan_lines(texts: DataFrame, known: DataFrame, id_col: str = "doc_id", text_
     """Lines that are a known licence or notice as a whole: id, ``line`` (from 1) and ``license``."""
     lines = F.split(F.col(text_col).cast("string"), "\n", -1)
     rows = texts.select(F.col(id_col), F.posexplode(lines).alias("line", "content"))
-    # A line can only be known if its first word is; two words that are written as one have the first of the two.
-    firsts = known.select("first")
-    for old, new in EQUIVALENT:
-        if " " in old and old.split()[0] != new.split()[0]:
-            firsts = firsts.union(known.where(F.col("first") == new.split()[0]).select(F.lit(old.split()[0])))
-    rows = rows.withColumn("first", first_word(F.col("content"))).join(firsts.distinct(), "first", "left_semi")
+    # A line can only be known if its first word is. The known side is small, so lines do not travel.
+    firsts = F.broadcast(first_spellings(known))
+    rows = rows.withColumn("first", first_word(F.col("content"))).join(firsts, "first", "left_semi")
     rows = rows.select(id_col, (F.col("line") + 1).cast("long").alias("line"), digest(F.col("content")).alias("digest"))
     return rows.join(known.select("digest", "license"), "digest").select(id_col, "line", "license")

@@ -36,3 +36,15 @@ def test_scan(spark):
 def test_neighbours_are_replaced_alike(spark):
     text = spark.range(1).select(licenses.canonical(F.lit("Licence licence, sub-licence copyright owner")).alias("t")).first().t
     assert text == "license license sublicense copyright holder"
+
+
+def test_lines_stay_where_they_are(spark):
+    """Only lines whose first word, in any spelling, opens a known form are digested, and none is shuffled for that."""
+    known = licenses.known_digests(spark.createDataFrame([("X", "Sublicense it"), ("Y", "Licensed work"), ("Z", "while true")], "license string, text string"))
+    spelled = {r.first for r in licenses.first_spellings(known).collect()}
+    assert spelled == {"sublicense", "sub", "sublicence", "licensed", "licenced", "while", "whilst"}
+    texts = ["Sub-Licence it", "LICENCED work\nsub it", "\u201cWhilst\u201d true", "sublicense"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = licenses.scan_lines(docs, known)
+    assert sorted(map(tuple, found.collect())) == [(0, 1, "X"), (1, 1, "Y"), (2, 1, "Z")]
+    assert "BroadcastHashJoin [first" in found._jdf.queryExecution().sparkPlan().toString()
