@@ -115,15 +115,18 @@ def first_spellings(known: DataFrame) -> DataFrame:
     turns: dict[str, set[str]] = {}
     for old, new in EQUIVALENT:
         turns.setdefault(old.split()[0], set()).add(new.split()[0])
-    own, out = F.col("first"), known.select("first")
-    # Spellings of spellings count too.
+    spelled: dict[str, list[str]] = {}
     for old in turns:
+        # Spellings of spellings count too.
         reached, fresh = {old}, {old}
         while fresh:
             fresh = {n for word in fresh for n in turns.get(word, ())} - reached
             reached |= fresh
-        out = out.union(known.where(own.isin(*sorted(reached - {old}))).select(F.lit(old).alias("first")))
-    return out.distinct()
+        for new in reached - {old}:
+            spelled.setdefault(new, []).append(old)
+    listed = F.create_map(*[F.lit(v) if isinstance(v, str) else F.array(*map(F.lit, v)) for pair in sorted(spelled.items()) for v in pair])
+    others = F.coalesce(F.try_element_at(listed, F.col("first")), F.array().cast("array<string>"))
+    return known.select(F.explode(F.concat(F.array("first"), others)).alias("first")).distinct()
 
 
 def scan(texts: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
