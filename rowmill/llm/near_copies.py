@@ -17,6 +17,7 @@ agrees in weak partitions only has more than ``m`` of them on both sides, so bot
 are dealt anew and the pair is met there: nothing is lost. Frequent shingles
 come from a sample of documents and change the cost only, never the result.
 
+Only the smallest id of each distinct text takes part in pairs; its copies are linked to it by their equal sets.
 Pairs are verified as stars: members of a signature against one pivot, then, for
 signatures whose members are not yet in one component, against a second one, and in
 the end every pair of different components that shares a signature. A parity
@@ -317,19 +318,28 @@ def open_pairs(members: DataFrame, prints: DataFrame, threshold: Threshold) -> D
     dealt = dealt.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
 
     def compare(sides: list[list[tuple]], alone: bool) -> list[tuple[int, int]]:
-        width = min(len(row[3]) for side in sides for row in side) // 8
         ids, components, sizes = ([np.array([row[c] for row in side], np.int64) for side in sides] for c in range(3))
-        sketches = [np.concatenate([fold(np.frombuffer(row[3], np.uint64)[None], width) for row in side]) for side in sides]
+        sketches = [[np.frombuffer(row[3], np.uint64)[None] for row in side] for side in sides]
+        widths = [np.array([s.shape[1] for s in side]) for side in sketches]
+        # Two sketches are compared at the width of the narrower one, whatever the others of the block have.
+        folded = {}
+        for width in np.unique(np.concatenate(widths)).tolist():
+            folded[width] = [np.zeros((len(side), width), np.uint64) for side in sketches]
+            for whole, side, own in zip(folded[width], sketches, widths):
+                for k in np.flatnonzero(own >= width).tolist():
+                    whole[k] = fold(side[k], width)[0]
         found = []
-        for i, (own, component, size) in enumerate(zip(ids[0].tolist(), components[0], sizes[0])):
+        for i, (own, component, size, width) in enumerate(zip(ids[0].tolist(), components[0], sizes[0], widths[0])):
             limit = (threshold.den - threshold.num) * (size + sizes[-1]) // (threshold.den + threshold.num)
             fits = (components[-1] != component) & (np.abs(sizes[-1] - size) <= limit)
             if alone:
                 fits[: i + 1] = False
             at = np.flatnonzero(fits)
-            if len(at):
-                distance = np.bitwise_count(sketches[-1][at] ^ sketches[0][i]).sum(axis=1)
-                found += [(max(own, j), min(own, j)) for j in ids[-1][at[distance <= limit[at]]].tolist()]
+            shared = np.minimum(widths[-1][at], width)
+            for w in np.unique(shared).tolist():
+                near = at[shared == w]
+                distance = np.bitwise_count(folded[w][-1][near] ^ folded[w][0][i]).sum(axis=1)
+                found += [(max(own, j), min(own, j)) for j in ids[-1][near[distance <= limit[near]]].tolist()]
         return found
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -374,26 +384,36 @@ def link_copies(
     all_prints = scratch.store(fingerprints(every))
     prints = all_prints.where("id IS NOT NULL AND n > 0")
     copies = prints.groupBy("n", "digest").agg(F.min("id").alias("v"))
-    edges = scratch.store(
-        prints.select("id", "n", "digest").join(copies, ["n", "digest"]).where("id != v").select(F.col("id").alias("u"), "v")
-    )
+    placed_at = scratch.store(prints.select("id", "n", "digest").join(copies, ["n", "digest"]).select(F.col("id").alias("u"), "v"))
+    edges = placed_at.where("u != v")
+    # Copies stand behind the smallest id of their text. An id with several texts stands for itself.
+    behind = placed_at.groupBy("u").agg(F.min("v").alias("v"), F.max("v").alias("other"))
+    behind = scratch.store(behind.where("v = other AND u != v").select("u", "v"))
+
+    def represented(df: DataFrame, column: str) -> DataFrame:
+        found = df.join(behind.withColumnsRenamed({"u": column, "v": "front"}), column, "left")
+        return found.withColumn(column, F.coalesce("front", column)).drop("front").select(df.columns)
+
     parts = max(8, rows.rdd.getNumPartitions())
     sets = scratch.store(shared_signatures(rows, threshold, frequent_shingles(rows), 2 * parts))
     # Sets that hash alike count as one set, which only adds pairs to look at.
-    groups = sets.select(
+    members_of = sets.select(
         F.coalesce("sig", F.xxhash64("ids")).alias("sig"), F.explode("ids").alias("id"), F.array_min("ids").alias("pivot"), "weak"
     )
+    groups = scratch.store(represented(members_of.select("sig", "id", "weak"), "id").distinct())
 
     weak = sets.where("weak").select("sig", F.array_min("ids").alias("pivot")).distinct()
     tops = weak.groupBy("sig").agg(F.min("pivot").alias("top"))
-    pairs = groups.select(F.col("id").alias("a"), F.col("pivot").alias("b")).union(
+    pairs = members_of.select(F.col("id").alias("a"), F.col("pivot").alias("b")).union(
         weak.join(tops, "sig").select(F.col("pivot").alias("a"), F.col("top").alias("b"))
     )
+    pairs = represented(represented(pairs.distinct(), "a"), "b")
     tested = None
     for turn in range(3):
         asked = pairs.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         if tested is not None:
-            asked = asked.join(tested, ["a", "b"], "left_anti")
+            # Each pair once before the join; Spark would join the repeated ones first.
+            asked = scratch.store(asked).join(tested, ["a", "b"], "left_anti")
         answers = scratch.store(verified(possible(asked, prints, threshold), rows, threshold))
         edges = scratch.store(edges.union(answers.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))))
         tested = answers.select("a", "b") if tested is None else scratch.store(tested.union(answers.select("a", "b")))
@@ -408,7 +428,7 @@ def link_copies(
             F.min("component").alias("least"),
             F.max("component").alias("most"),
             F.min_by("component", "id").alias("first"),
-            (F.max("weak") | (F.count(F.lit(1)) > 3)).alias("many"),
+            (F.max("weak") | (F.count(F.lit(1)) > 2)).alias("many"),
         )
         unsettled = unsettled.where("least != most").drop("least", "most")
         if turn == 0:
@@ -418,7 +438,7 @@ def link_copies(
             pivots = rest.agg(F.min_by("id", F.xxhash64("id")).alias("pivot"), F.min_by("component", F.xxhash64("id")).alias("of"))
             pairs = members.join(pivots, "sig").where("component != of").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
         else:
-            # Two pivots have met every pair of three members; larger signatures are compared in blocks.
+            # The first pivot has met the only pair of two members; larger signatures are compared in blocks.
             open_members = placed.join(unsettled.where("many").select("sig"), "sig").select("sig", "id", "component").distinct()
             pairs = open_pairs(open_members, prints, threshold)
     found = all_prints.select("id", F.col("n").alias("n_shingles")).join(known, "id", "left")

@@ -95,6 +95,34 @@ def test_all_links(spark, monkeypatch, blocks):
     assert near_copies.link_copies(docs.limit(0)).collect() == []
 
 
+def test_copies_meet_once(spark, monkeypatch):
+    """Groups of equal texts in many tasks ask for one pair per two texts, not for one per two rows."""
+    asked = []
+    possible = near_copies.possible
+    monkeypatch.setattr(near_copies, "possible", lambda pairs, *rest: asked.append(pairs.count()) or possible(pairs, *rest))
+    rng = np.random.default_rng(8)
+    words = [f"w{k}" for k in range(150)]
+    texts = family(rng, words, 6, 0.05)
+    rows = [(k, texts[k % 6]) for k in range(240)] + [(240, "x y z"), (7, texts[3]), (7, "x y z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(24)
+    found = {r.doc_id: r.component_id for r in near_copies.link_copies(docs).collect()}
+    sets = {k: exact_shingles(t.encode()) for k, t in rows[:241]}
+    expected = components(sets)
+    joined = {expected[240], expected[7], expected[3]}
+    assert found == {i: min(joined) if c in joined else c for i, c in expected.items()}
+    # Six texts, and the id with several.
+    assert len(asked) == 3 and max(asked) <= 7 * 6 // 2
+
+
+def test_sketches_of_a_block_keep_their_width(spark):
+    """A short text in a block does not blur the sketches of the long ones."""
+    rng = np.random.default_rng(9)
+    sets = {0: np.arange(3, dtype=np.uint64), **{k: np.unique(rng.integers(0, 2**63, 900, np.uint64)) for k in range(1, 30)}}
+    prints = spark.createDataFrame([(k, len(s), bytearray(parity_sketch(s))) for k, s in sets.items()], "id long, n long, sketch binary")
+    members = spark.createDataFrame([(1, k, k) for k in sets], "sig long, id long, component long")
+    assert near_copies.open_pairs(members, prints, THRESHOLD).count() == 0
+
+
 def test_documents(spark):
     from rowmill.llm.queries import QUERIES
 
