@@ -25,18 +25,22 @@ import heapq
 import itertools
 import math
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowmill.llm.words import as_bytes, in_slices, worker_memo
+from rowmill.llm.words import as_bytes, fresh_worker, in_slices, worker_memo
 
 WORD = re.compile(r" *[^ \n]+| +|\n")
 UNIT = 1_000_000
+SLICE_BYTES = 1_000_000
+SLICE_IDS = 200_000
 
 
 class Lattice:
@@ -60,7 +64,9 @@ class Lattice:
         self.pieces = {vocabulary.id_to_piece(i).replace("▁", " "): i for i in plain}
         if any(re.search("[^ ] ", p) or ("\n" in p and p != "\n") for p in self.pieces):
             raise ValueError("a piece of the vocabulary goes over the start of a word")
-        self.starts = {p[:k] for p in self.pieces for k in range(1, len(p) + 1)}
+        # Every start of a piece; those that are pieces have ids and cost.
+        self.steps = {p[:k]: None for p in self.pieces for k in range(1, len(p))}
+        self.steps.update({p: ((i,), self.costs[i]) for p, i in self.pieces.items()})
         self.spelled = [b""] * size
         for piece, i in self.pieces.items():
             self.spelled[i] = piece.encode()
@@ -75,25 +81,28 @@ class Lattice:
         class Words(dict):
             def __missing__(self, word: str) -> int:
                 ids, cost, extra = outer.best(word)
-                outer.flat += ids
+                outer.flat.extend(ids)
                 outer.ends.append(len(outer.flat))
                 outer.cost.append(cost)
                 outer.extra.append(extra)
                 at = self[word] = len(outer.cost) - 1
                 return at
 
-        self.words, self.flat, self.ends, self.cost, self.extra = Words(), [], [0], [], []
+        self.words, self.flat, self.ends = Words(), array("i"), array("q", [0])
+        self.cost, self.extra = array("q"), array("d")
 
     def edges(self, word: str) -> list[list[tuple[int, tuple[int, ...], int]]]:
         """Per start: (end, ids, cost)."""
-        pieces, starts, costs, n, out = self.pieces, self.starts, self.costs, len(word), []
+        steps, n, out = self.steps, len(word), []
         for i in range(n):
-            own, j = [], i + 1
-            # U+2581 stands for a blank in the vocabulary; in a text it is spelled in bytes.
-            while j <= n and (part := word[i:j]) in starts and word[j - 1] != "▁":
-                if part in pieces:
-                    own.append((j, (pieces[part],), costs[pieces[part]]))
-                j += 1
+            own = []
+            # U+2581 stands for a blank in the vocabulary, so no start has it; in a text it is spelled in bytes.
+            for j in range(i + 1, n + 1):
+                step = steps.get(word[i:j], False)
+                if step:
+                    own.append((j, *step))
+                elif step is False:
+                    break
             if not own or own[0][0] > i + 1:
                 raw = word[i].encode("utf-8", "surrogatepass")
                 own.append((i + 1, tuple(self.byte_ids[b] for b in raw), self.byte_cost * len(raw)))
@@ -104,32 +113,33 @@ class Lattice:
         """Least cost to each position and the edge that it comes by."""
         least, came = [0] + [math.inf] * len(edges), [None] * (len(edges) + 1)
         for i, own in enumerate(edges):
+            before = least[i]
             for j, ids, cost in own:
-                if least[i] + cost < least[j]:
-                    least[j], came[j] = least[i] + cost, (i, ids)
+                if before + cost < least[j]:
+                    least[j], came[j] = before + cost, (i, ids)
         return least, came
 
     def best(self, word: str) -> tuple[list[int], int, float]:
         """Ids and cost of the best path, and how much the second best costs more (infinite if there is none)."""
         edges = self.edges(word)
         least, came = self.forward(edges)
-        n = len(edges)
-        rest = [0] * (n + 1)
-        for i in range(n - 1, -1, -1):
-            rest[i] = min(cost + rest[j] for j, _, cost in edges[i])
-        path, at = [], n
-        on_path = set()
+        at = n = len(edges)
+        path, goes = [], [0] * n
         while at:
             i, ids = came[at]
-            on_path.add((i, at))
+            goes[i] = at
             path.append(ids)
             at = i
-        total, second = least[n], math.inf
-        for i, own in enumerate(edges):
-            for j, _, cost in own:
-                through = least[i] + cost + rest[j]
-                if through < second and (i, j) not in on_path:
-                    second = through
+        total, second, rest = least[n], math.inf, [0] * (n + 1)
+        for i in range(n - 1, -1, -1):
+            low, before, on_path = math.inf, least[i], goes[i]
+            for j, _, cost in edges[i]:
+                after = cost + rest[j]
+                if after < low:
+                    low = after
+                if before + after < second and j != on_path:
+                    second = before + after
+            rest[i] = low
         return [k for ids in reversed(path) for k in ids], total, second - total
 
     def n_best(self, word: str, n: int) -> list[tuple[int, list[int]]]:
@@ -164,8 +174,8 @@ class Lattice:
         split = [self.split(t) for t in texts]
         sizes = np.fromiter(map(len, split), np.int64, len(split))
         at = np.fromiter(map(self.words.__getitem__, itertools.chain.from_iterable(split)), np.int64, int(sizes.sum()))
-        ends, flat = np.array(self.ends), np.array(self.flat, np.int32)
-        cost, extra = np.array(self.cost, np.int64), np.array(self.extra, float)
+        ends, flat = np.frombuffer(self.ends, np.int64), np.frombuffer(self.flat, np.int32) if len(self.flat) else np.zeros(0, np.int32)
+        cost, extra = (np.frombuffer(a, a.typecode) if len(a) else np.zeros(0, a.typecode) for a in (self.cost, self.extra))
         lengths = (ends[1:] - ends[:-1])[at] if len(at) else at
         before = np.concatenate([[0], np.cumsum(lengths)])
         ids = flat[np.repeat(ends[at] - before[:-1], lengths) + np.arange(before[-1])] if len(at) else flat[:0]
@@ -208,8 +218,9 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     fewer), and ``changes``: which runs of the best ids the others replace. One pass, no shuffle."""
 
     def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker(f"pieces {model}")
         lattice = worker_memo(f"pieces {model}", lambda: Lattice(model))
-        for batch in in_slices(batches):
+        for batch in in_slices(batches, most_bytes=SLICE_BYTES):
             texts = [t.decode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
             ids, ends, ranked = lattice.encode(texts, n)
             yield pa.RecordBatch.from_arrays(
@@ -235,12 +246,18 @@ def decode(rows: DataFrame, model: str, ids_col: str = "ids", out_col: str = "te
     schema = picked.drop(ids_col).schema.add(out_col, "string")
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spelled = worker_memo(f"pieces {model}", lambda: Lattice(model)).spelled
+        fresh_worker(f"spelling {model}")
+        spelled = worker_memo(f"spelling {model}", lambda: Lattice(model).spelled)
         for batch in batches:
-            ids = batch.column(len(others))
-            values, ends = ids.values.to_numpy(zero_copy_only=False).tolist(), ids.offsets.to_pylist()
-            texts = [b"".join(map(spelled.__getitem__, values[a:b])) for a, b in zip(ends, ends[1:])]
-            texts = [(t[1:] if t[:1] == b" " else t).decode("utf-8", "replace") for t in texts]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], [*others, out_col])
+            column, start = batch.column(len(others)), 0
+            upto = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))
+            # Ids become Python numbers, many times their size, so only so many at a time.
+            while start < batch.num_rows:
+                end = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + SLICE_IDS, "right")))
+                texts = [b"".join(map(spelled.__getitem__, ids or ())) for ids in column.slice(start, end - start).to_pylist()]
+                texts = [(t[1:] if t[:1] == b" " else t).decode("utf-8", "replace") for t in texts]
+                rows = batch.slice(start, end - start)
+                yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(texts, pa.string())], [*others, out_col])
+                start = end
 
     return picked.mapInArrow(spell, schema)

@@ -72,3 +72,15 @@ def test_documents(spark):
     for r in spark.read.parquet(f"{folder}/documents.parquet").collect():
         assert found[r.doc_id].decoded_crc32 == zlib.crc32(r.text.encode())
         assert found[r.doc_id].costs == sorted(found[r.doc_id].costs)
+
+
+def test_decoding_holds_few_ids_at_a_time(spark, monkeypatch):
+    """Ids of a batch come as many small batches; rows of more ids than a slice has stand alone."""
+    monkeypatch.setattr(pieces, "SLICE_IDS", 40)
+    texts = [None, "the word " * 7, "", "x" * 500, *["a few words"] * 60]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    encoded = pieces.encode(docs, MODEL).select("doc_id", "ids").localCheckpoint()
+    decoded = pieces.decode(encoded, MODEL)
+    assert {r.doc_id: r.text for r in decoded.collect()} == {k: t or "" for k, t in enumerate(texts)}
+    # What is remembered lies in arrays, not in lists of numbers.
+    assert LATTICE.flat.itemsize == 4 and LATTICE.cost.itemsize == LATTICE.extra.itemsize == 8
