@@ -1,8 +1,9 @@
 """Calculations that remember earlier micro-batches: due actions, request windows, status changes.
 
-State lies in Spark's own state store, one entry per key, with timers on the
-data clock (the watermark) where something has to happen later. Spark recovers it
-with the stream's checkpoint; only changed keys are written.
+State lies in Spark's own state store, with timers on the data clock (the watermark)
+where something has to happen later. Spark recovers it with the stream's checkpoint; only
+changed entries are written. Every call of the store and every group costs a round trip between
+Spark and Python, so keys are dealt by hash into buckets that are handled as one group.
 
 The time column is dropped behind the watermark, so Spark does not throw late
 rows away by itself: each processor sees them and says what they are.
@@ -10,9 +11,11 @@ rows away by itself: each processor sees them and says what they are.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterable, Iterator
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -24,6 +27,7 @@ from rowmill.spec import ENFORCED_TRANSITIONS
 STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 NO_ACCOUNT_PARTS = 64
+BUCKETS = 1024
 
 
 def use_state_store(spark: SparkSession) -> None:
@@ -32,50 +36,69 @@ def use_state_store(spark: SparkSession) -> None:
 
 
 class DueActions(StatefulProcessor):
-    """Holds an action until the data clock passes its time; the latest row of an action counts."""
+    """Holds the actions of one bucket until the data clock passes their time; the latest row of an action counts.
+
+    The state is one value: what is known of each action as ``id: (seen_us, due_ms, forget_ms)``, without
+    a ``due_ms`` once it is released or withdrawn, and the one timer of the bucket.
+    """
 
     def __init__(self, keep_ms: int):
         self.keep_ms = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getValueState("waiting", "due_ms bigint")
-        self.newest = handle.getValueState("newest", "seen_us bigint, forget_ms bigint")
+        self.state = handle.getValueState("actions", "timer_ms bigint, known binary")
+
+    def _load(self) -> tuple[int | None, dict]:
+        found = self.state.get()
+        return (None, {}) if found is None else (found[0], pickle.loads(found[1]))
+
+    def _store(self, timer: int | None, known: dict) -> None:
+        """The timer stands at the least time at which something has to happen."""
+        due = min((t if due is None else min(due, t) for _, due, t in known.values()), default=None)
+        if timer is not None and timer != due:
+            self.handle.deleteTimer(timer)
+        if due is None:
+            self.state.clear()
+            return
+        if timer != due:
+            self.handle.registerTimer(due)
+        self.state.update((due, pickle.dumps(known)))
 
-    def _release(self, action_id: Any, due_ms: int, clock_ms: int) -> Row:
-        return Row(id=action_id, due_ms=due_ms, released_ms=clock_ms)
+    def _released(self, pairs: list[tuple[Any, int]], clock: int) -> Iterator[pd.DataFrame]:
+        if pairs:
+            yield pd.DataFrame(pairs, columns=["id", "due_ms"]).assign(released_ms=clock)
 
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         clock = timerValues.getCurrentWatermarkInMs()
-        row = max(rows, key=lambda r: (r.seen_us, r.withdrawn, r.due_ms or 0), default=None)
-        if row is None:
-            return
-        if self.newest.exists():
-            seen, forget = self.newest.get()
-            if seen > row.seen_us:
-                return
-            self.handle.deleteTimer(forget)
-        if self.waiting.exists():
-            self.handle.deleteTimer(self.waiting.get()[0])
-            self.waiting.clear()
-        forget = max(row.seen_us // 1000, row.due_ms or 0, clock) + self.keep_ms
-        self.newest.update((row.seen_us, forget))
-        self.handle.registerTimer(forget)
-        if row.withdrawn:
-            return
-        if row.due_ms <= clock:
-            yield self._release(key[0], row.due_ms, clock)
-        else:
-            self.waiting.update((row.due_ms,))
-            self.handle.registerTimer(row.due_ms)
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+        newest: dict = {}
+        for part in rows:
+            for action, *order in zip(*(part[c].tolist() for c in ("id", "seen_us", "withdrawn", "due_ms"))):
+                if action not in newest or order > newest[action]:
+                    newest[action] = order
+        timer, known = self._load()
+        released = []
+        for action, (seen, withdrawn, due) in newest.items():
+            if action in known and known[action][0] > seen:
+                continue
+            forget = max(seen // 1000, due, clock) + self.keep_ms
+            if not withdrawn and due <= clock:
+                released.append((action, due))
+            known[action] = (seen, None if withdrawn or due <= clock else due, forget)
+        self._store(timer, known)
+        yield from self._released(released, clock)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         clock = timerValues.getCurrentWatermarkInMs()
-        if self.waiting.exists() and self.waiting.get()[0] <= clock:
-            yield self._release(key[0], self.waiting.get()[0], clock)
-            self.waiting.clear()
-        if self.newest.exists() and self.newest.get()[1] <= clock:
-            self.newest.clear()
+        timer, known = self._load()
+        released = [(action, due) for action, (_, due, _) in known.items() if due is not None and due <= clock]
+        known = {
+            action: (seen, None if due is None or due <= clock else due, forget)
+            for action, (seen, due, forget) in known.items()
+            if forget > clock
+        }
+        self._store(timer, known)
+        yield from self._released(released, clock)
 
 
 def due_stream(
@@ -86,6 +109,7 @@ def due_stream(
     withdrawn: Column | None = None,
     delay: str = "0 seconds",
     keep_ms: int = 7 * 86_400_000,
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """``id``, ``due_ms``, ``released_ms`` of every scheduled action once the data clock has passed its time.
 
@@ -93,7 +117,8 @@ def due_stream(
     all actions move it. An action that is due already when its row arrives is released at once. A newer row
     of the same action takes the place of the one that waits, and one that fits ``withdrawn`` cancels it; older
     rows that come late change nothing until ``keep_ms`` after the action's time. Rows without an id or a
-    clock value, and rows without a time that withdraw nothing, are left out.
+    clock value, and rows without a time that withdraw nothing, are left out. Actions are dealt by hash into
+    ``buckets``, which stay the same for a checkpoint; a bucket with new rows is written anew.
     """
     use_state_store(actions.sparkSession)
     micros = F.unix_micros(F.col(clock).cast("timestamp"))
@@ -113,9 +138,12 @@ def due_stream(
         # One condition on the time column, so that it is not moved below the watermark: all rows move the clock.
         .filter(F.when(F.col("clock").isNotNull(), wanted))
         .drop("clock")
+        # Only rows that withdraw have no time; a null would turn the numbers of its batch into doubles.
+        .withColumn("due_ms", F.coalesce("due_ms", F.lit(0)))
+        .withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)))
     )
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.groupBy("id").transformWithState(
+    return rows.groupBy("bucket").transformWithStateInPandas(
         DueActions(keep_ms), f"id {kind}, due_ms bigint, released_ms bigint", "append", "EventTime"
     )
 

@@ -216,3 +216,21 @@ def test_progress_of_a_running_ingest(spark, folder):
     assert [r["total_bytes"] for r in report] == [size] * 4 and report[-1]["processed_bytes"] == size
     assert report[-1]["percentage"] == 100 and report[-1]["estimated_total_rows"] == 156 and report[-1]["remaining_ms"] == 0
     assert all(0 < a["percentage"] < b["percentage"] and a["remaining_ms"] > 0 for a, b in zip(report, report[1:]))
+
+
+def state_rows(query):
+    return query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"]
+
+
+def test_actions_of_a_bucket_are_one_group(spark, folder):
+    """300 waiting actions cost the state store four entries and their timers, not two entries and two timers each."""
+    added, query = arrive(
+        spark,
+        folder,
+        lambda s: stateful.due_stream(s, withdrawn=F.col("cancelled"), buckets=4),
+        [(f"a{i}", at(100), at(1000 + i), None) for i in range(300)],
+        [(f"a{i}", at(101), None, True) for i in range(0, 300, 3)] + [("tick", at(5000), None, None)],
+        schema=DUE,
+    )
+    assert {name for name, _, _ in added[1]} == {f"a{i}" for i in range(300) if i % 3}
+    assert 0 < state_rows(query) <= 12
