@@ -234,3 +234,19 @@ def test_actions_of_a_bucket_are_one_group(spark, folder):
     )
     assert {name for name, _, _ in added[1]} == {f"a{i}" for i in range(300) if i % 3}
     assert 0 < state_rows(query) <= 12
+
+
+def test_requests_of_a_bucket_are_one_group(spark, folder):
+    """A waiting slice has one list entry, its count and a timer per bucket, not several per account; a null event stays null."""
+    rows = [(f"a{i}", 1000 + i, None if i == 7 else 2**60 + i) for i in range(300)]
+    added, query = arrive(
+        spark,
+        folder,
+        lambda s: stateful.sliding_limit_stream(s, limit=2, window_ms=10_000, delay="0 seconds", buckets=4),
+        timed(rows + [("tick", 25_000, 1)]),
+        timed([("tick", 26_000, 2)]),
+        timed([(f"b{i}", 27_000, i) for i in range(300)]),
+        schema=REQUESTS,
+    )
+    assert Counter((a, e, n) for a, _, e, n, _, _ in added[0]) == Counter((a, e, 1) for a, _, e in rows)
+    assert 0 < state_rows(query) <= 40
