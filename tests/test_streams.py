@@ -236,6 +236,43 @@ def test_actions_of_a_bucket_are_one_group(spark, folder):
     assert 0 < state_rows(query) <= 12
 
 
+class FakeState:
+    """Enough of a state handle to drive a processor without a stream."""
+
+    def __init__(self, **values):
+        self.map = values
+
+    def getMapState(self, *_):
+        return self
+
+    def getValue(self, key):
+        return self.map.get(key[0])
+
+    def updateValue(self, key, value):
+        self.map[key[0]] = value
+
+
+def test_busy_action_is_returned_in_parts():
+    """Rows of one action come back as frames of bounded size, nulls as nulls, in time order over all parts of the input."""
+    n = 25_000
+    state = FakeState(busy=("queued",), other=("completed",))
+    cycle = stateful.StatusCycle([("queued", "validating"), ("validating", "queued")], None)
+    cycle.init(state)
+    frame = pd.DataFrame({"action_id": "busy", "status": ["queued", "validating"] * (n // 2), "no_time": False, "ms": range(n), "no_event": False, "event_id": range(n)})
+    odd = pd.DataFrame({"action_id": ["other", "new"], "status": ["queued", None], "no_time": [False, True], "ms": [5, 0], "no_event": [True, False], "event_id": [0, 7]})
+    backwards = [frame.iloc[k : k + 10_000] for k in range(0, n, 10_000)][::-1]
+    out = list(cycle.handleInputRows((0,), iter([*backwards, odd]), None))
+    assert max(map(len, out)) <= 10_000
+    rows = pd.concat(out)
+    busy = rows[rows["action_id"] == "busy"]
+    assert busy["ms"].tolist() == list(range(n)) and busy["allowed"].tolist() == [False] + [True] * (n - 1)
+    assert busy["previous_status"].tolist() == ["queued"] + frame["status"].tolist()[:-1]
+    other, new = (rows[rows["action_id"] == a].iloc[0] for a in ("other", "new"))
+    assert other["event_id"] is pd.NA and other["previous_status"] == "completed" and not other["allowed"]
+    assert new["ms"] is pd.NA and new["status"] is None and new["previous_status"] is None and new["allowed"]
+    assert state.map == {"busy": ("validating",), "other": ("queued",), "new": (None,)}
+
+
 def test_requests_of_a_bucket_are_one_group(spark, folder):
     """A waiting slice has one list entry, its count and a timer per bucket, not several per account; a null event stays null."""
     rows = [(f"a{i}", 1000 + i, None if i == 7 else 2**60 + i) for i in range(300)]
