@@ -22,7 +22,8 @@ Pairs are verified as stars: members of a signature against one pivot, then, for
 signatures whose members are not yet in one component, against a second one, and in
 the end every pair of different components that shares a signature. A parity
 sketch (one bit per hash bucket) bounds the number of different elements from below and
-drops pairs that cannot be similar; the rest are compared on their exact shingles.
+drops pairs that cannot be similar; the rest are compared on their exact shingles. A pair that shares
+many signatures is asked for in the first of them.
 
 Null texts and texts without words have an empty set and no link. Rows with
 equal ids are one vertex and each has its row. Rows without an id link with
@@ -52,6 +53,9 @@ SPARE = 0.08
 SALTS = 64
 LARGE = 50_000
 BLOCK = 1024
+# Buckets a sketch has at most for the sake of a sharper bound, and signatures that a member of a block brings along.
+FINE = 8192
+EARLIER = 32
 
 
 class Threshold:
@@ -108,8 +112,12 @@ def signatures(shingles: np.ndarray, threshold: Threshold, frequent: np.ndarray)
 
 
 def parity_sketch(shingles: np.ndarray) -> bytes:
-    """One bit per hash bucket, the parity of its elements; about as many buckets as elements, a power of two."""
-    bits = 1 << max(6, (len(shingles) * 7 // 10).bit_length())
+    """One bit per hash bucket, the parity of its elements.
+
+    Buckets are a power of two: three to six times the elements up to ``FINE``, about as many as the elements beyond.
+    """
+    coarse, fine = (1 << max(6, n.bit_length()) for n in (len(shingles) * 7 // 10, len(shingles) * 3))
+    bits = max(coarse, min(fine, FINE))
     counts = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
 
@@ -308,16 +316,23 @@ def possible(pairs: DataFrame, prints: DataFrame, threshold: Threshold) -> DataF
 
 
 def open_pairs(members: DataFrame, prints: DataFrame, threshold: Threshold) -> DataFrame:
-    """Possible pairs of different components in one signature, compared block by block.
+    """Possible pairs of different components in one signature, compared block by block."""
+    return block_pairs(members, prints, threshold).distinct()
+
 
-    Sketches join the members last, so they are shuffled once.
+def block_pairs(members: DataFrame, prints: DataFrame, threshold: Threshold) -> DataFrame:
+    """The pairs of ``open_pairs``, from the first signature that both members are known to share.
+
+    Every member brings its first ``EARLIER`` signatures, so the blocks of later ones leave the pair out; where two share
+    none of these, the pair may come more than once. Sketches join the members last, so they are shuffled once.
     """
+    earlier = members.groupBy("id").agg(F.slice(F.array_sort(F.collect_list("sig")), 1, EARLIER).alias("earlier"))
     counts = members.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     dealt = members.join(counts, "sig").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
 
-    def compare(sides: list[list[tuple]], alone: bool) -> list[tuple[int, int]]:
+    def compare(sig: int, sides: list[list[tuple]], alone: bool) -> list[tuple[int, int]]:
         ids, components, sizes = ([np.array([row[c] for row in side], np.int64) for side in sides] for c in range(3))
         sketches = [[np.frombuffer(row[3], np.uint64)[None] for row in side] for side in sides]
         widths = [np.array([s.shape[1] for s in side]) for side in sketches]
@@ -328,6 +343,14 @@ def open_pairs(members: DataFrame, prints: DataFrame, threshold: Threshold) -> D
             for whole, side, own in zip(folded[width], sketches, widths):
                 for k in np.flatnonzero(own >= width).tolist():
                     whole[k] = fold(side[k], width)[0]
+        before: list[dict[int, frozenset]] = [{} for _ in sides]
+
+        def met(side: int, k: int) -> frozenset:
+            if k not in before[side]:
+                known = sides[side][k][5]
+                before[side][k] = frozenset(known[known < sig].tolist())
+            return before[side][k]
+
         found = []
         for i, (own, component, size, width) in enumerate(zip(ids[0].tolist(), components[0], sizes[0], widths[0])):
             limit = (threshold.den - threshold.num) * (size + sizes[-1]) // (threshold.den + threshold.num)
@@ -339,38 +362,46 @@ def open_pairs(members: DataFrame, prints: DataFrame, threshold: Threshold) -> D
             for w in np.unique(shared).tolist():
                 near = at[shared == w]
                 distance = np.bitwise_count(folded[w][-1][near] ^ folded[w][0][i]).sum(axis=1)
-                found += [(max(own, j), min(own, j)) for j in ids[-1][near[distance <= limit[near]]].tolist()]
+                for k in near[distance <= limit[near]].tolist():
+                    if met(0, i).isdisjoint(met(-1, k)):
+                        other = int(ids[-1][k])
+                        found.append((max(own, other), min(own, other)))
         return found
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted, so a block pair ends where the next begins; it has at most about two blocks of rows."""
 
-        def paired(rows: list[tuple], low: int, high: int) -> list[tuple[int, int]]:
+        def paired(rows: list[tuple], sig: int, low: int, high: int) -> list[tuple[int, int]]:
             if low == high:
-                return compare([rows], True)
+                return compare(sig, [rows], True)
             sides = [[r for r in rows if r[4] == side] for side in (low, high)]
-            return compare(sides, False) if all(sides) else []
+            return compare(sig, sides, False) if all(sides) else []
 
         key, rows, found = None, [], []
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("sig", "low", "high", "id", "component", "n", "sketch", "own")]
+            known = batch.column("earlier")
+            ends = known.offsets.to_numpy()
+            values = known.values.to_numpy()
+            columns.append([values[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist())])
             for sig, low, high, *row in zip(*columns):
                 if (sig, low, high) != key:
                     if len(rows) > 1:
-                        found += paired(rows, *key[1:])
+                        found += paired(rows, *key)
                     key, rows = (sig, low, high), []
                     if len(found) > 10_000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*set(found))], ["a", "b"])
                         found = []
                 rows.append(tuple(row))
         if len(rows) > 1:
-            found += paired(rows, *key[1:])
+            found += paired(rows, *key)
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*set(found))], ["a", "b"])
 
-    columns = ["sig", "low", "high", "own", "id", "component", "n", "sketch"]
-    blocks = dealt.drop("blocks", "other").join(prints.select("id", "n", "sketch"), "id").select(columns).repartition("sig", "low", "high").sortWithinPartitions("sig", "low", "high")
-    return blocks.mapInArrow(walk, "a long, b long").distinct()
+    columns = ["sig", "low", "high", "own", "id", "component", "n", "sketch", "earlier"]
+    facts = prints.select("id", "n", "sketch").join(earlier, "id")
+    blocks = dealt.drop("blocks", "other").join(facts, "id").select(columns).repartition("sig", "low", "high").sortWithinPartitions("sig", "low", "high")
+    return blocks.mapInArrow(walk, "a long, b long")
 
 
 def link_copies(

@@ -123,6 +123,33 @@ def test_sketches_of_a_block_keep_their_width(spark):
     assert near_copies.open_pairs(members, prints, THRESHOLD).count() == 0
 
 
+def test_pairs_of_many_signatures_come_once(spark):
+    """Members that meet in many signatures give a pair in the first of them only, in blocks of any size."""
+    rng = np.random.default_rng(11)
+    words = np.unique(rng.integers(0, 2**63, 200, np.uint64))
+    prints = spark.createDataFrame([(k, 200, bytearray(parity_sketch(words))) for k in range(30)], "id long, n long, sketch binary")
+    members = spark.createDataFrame([(sig, k, k) for sig in range(-20, 20) for k in range(30) if k % 15 or sig > 0], "sig long, id long, component long")
+    assert near_copies.block_pairs(members, prints, THRESHOLD).count() == 30 * 29 // 2
+    near_copies_block, near_copies.BLOCK = near_copies.BLOCK, 7
+    try:
+        assert near_copies.block_pairs(members, prints, THRESHOLD).count() == 30 * 29 // 2
+    finally:
+        near_copies.BLOCK = near_copies_block
+
+
+def test_sketches_drop_most_unlinked_pairs():
+    """Pairs of similarity 0.74, which share signatures often, seldom pass the sketches."""
+    passed = 0
+    for seed in range(200):
+        values = np.unique(np.random.default_rng(seed).integers(0, 2**63, 190, np.uint64))
+        rng = np.random.default_rng(seed + 1000)
+        values = rng.permutation(values)
+        a, b = np.sort(values[:165]), np.sort(values[25:])
+        assert not THRESHOLD.linked(140, 330)
+        passed += different_at_least(parity_sketch(a), parity_sketch(b)) <= THRESHOLD.most_different(330)
+    assert passed < 20
+
+
 def test_documents(spark):
     from rowmill.llm.queries import QUERIES
 
