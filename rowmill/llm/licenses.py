@@ -40,6 +40,12 @@ COPYRIGHT_LINES = r"(?m)^[^a-z0-9\n]*(\(c\)|©|copyright([^a-z\n]+\(c\)|[^a-z\n]
 BLANKS = r"[\x00-\x2f\x3a-\x60\x7b-\x7f" + MARKS + "]+"
 WORD = r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f" + MARKS + "]+"
 
+# Finds any of the words that are replaced, as they stand in a form.
+_OLD = sorted(old.replace(" ", "  ") for old, new in EQUIVALENT if old != new)
+ANY_EQUIVALENT = " (?:%s) " % "|".join(
+    f"{letter}(?:{'|'.join(old[1:] for old in _OLD if old[0] == letter)})" for letter in sorted({old[0] for old in _OLD})
+)
+
 # Notices of one line and short licences, by their common names.
 PERMISSION = (
     "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
@@ -89,13 +95,21 @@ def canonical(text: Column) -> Column:
     text = F.regexp_replace(text, BLANKS, "  ")
     # Every word has two blanks on either side, so neighbours are replaced alike.
     text = F.concat(F.lit("  "), text, F.lit("  "))
+    # One search tells whether any word has to be replaced; the lambda keeps the text from being made twice.
+    return F.transform(F.array(text), lambda t: F.trim(F.replace(F.when(F.rlike(t, F.lit(ANY_EQUIVALENT)), in_one_way(t)).otherwise(t), F.lit("  "), F.lit(" "))))[0]
+
+
+def in_one_way(text: Column) -> Column:
+    """Equivalent words written alike, one after the other."""
     for old, new in EQUIVALENT:
-        text = F.replace(text, F.lit(f" {old.replace(' ', '  ')} "), F.lit(f" {new.replace(' ', '  ')} "))
-    return F.trim(F.replace(text, F.lit("  "), F.lit(" ")))
+        if old != new:
+            text = F.replace(text, F.lit(f" {old.replace(' ', '  ')} "), F.lit(f" {new.replace(' ', '  ')} "))
+    return text
 
 
 def digest(text: Column) -> Column:
-    return F.sha2(canonical(text), 256)
+    """Never null, also to Spark, which would test it for null, and so make it, before a join picks the rows."""
+    return F.coalesce(F.sha2(canonical(text), 256), F.lit(""))
 
 
 def known_digests(known: DataFrame, name_col: str = "license", text_col: str = "text") -> DataFrame:
@@ -106,8 +120,8 @@ def known_digests(known: DataFrame, name_col: str = "license", text_col: str = "
 
 
 def first_word(text: Column) -> Column:
-    """The first word of a text in lower case."""
-    return F.regexp_extract(F.lower(text), WORD, 0)
+    """The first word of a text in lower case, empty if there is none."""
+    return F.coalesce(F.regexp_extract(F.lower(text), WORD, 0), F.lit(""))
 
 
 def first_spellings(known: DataFrame) -> DataFrame:

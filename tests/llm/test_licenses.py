@@ -48,3 +48,21 @@ def test_lines_stay_where_they_are(spark):
     found = licenses.scan_lines(docs, known)
     assert sorted(map(tuple, found.collect())) == [(0, 1, "X"), (1, 1, "Y"), (2, 1, "Z")]
     assert "BroadcastHashJoin [first" in found._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_lines_are_digested_once(spark):
+    """No filter makes the form of a line, neither again nor before the first word has picked the lines."""
+    known = licenses.known_digests(spark.createDataFrame([("X", "Sublicense it")], "license string, text string"))
+    docs = spark.createDataFrame([(1, "Sublicense it")], "doc_id long, text string")
+    plan = licenses.scan_lines(docs, known)._jdf.queryExecution().sparkPlan().toString()
+    assert not [line for line in plan.split("\n") if "Filter" in line and "content#" in line and ("sha2(" in line or "regexp_extract(" in line)]
+
+
+def test_every_equivalent_is_found(spark):
+    """The search for words to replace leaves none of them out."""
+    rows = [(f"a {old} z",) for old, new in licenses.EQUIVALENT if old != new]
+    found = spark.createDataFrame(rows, "x string").select("x", licenses.canonical(F.col("x")).alias("form")).collect()
+    turned = {r.x: r.form for r in found}
+    for old, new in licenses.EQUIVALENT:
+        if old != new:
+            assert turned[f"a {old} z"] == f"a {new} z", old
