@@ -55,25 +55,31 @@ class Level:
 
 
 def cover_tree(points: np.ndarray, least: float) -> list[Level]:
-    """Nested levels with halving radii down to ``least``; a centre stays a centre on all lower levels."""
+    """Nested levels with halving radii down to ``least``; a centre stays a centre on all lower levels.
+
+    The distances of all points, at most a block of them, are one product, from which every level picks its nodes;
+    radii are computed from the points.
+    """
     n = len(points)
-    away = np.linalg.norm(points - points[0], axis=1)
+    between = distances(points, points)
+    np.fill_diagonal(between, 0.0)
+    away = between[0]
     levels = [Level(np.zeros(1, int), np.array([away.max()]), np.zeros(1, int), np.zeros(n, int))]
     bound = away.max() / 2
     while bound > least and levels[-1].radius.max() > 0:
-        centre, radius, parent, node_of = [], [], [], np.empty(n, int)
+        centre, parent, node_of = [], [], np.empty(n, int)
         for k, c in enumerate(levels[-1].centre):
             rest = np.flatnonzero(levels[-1].node_of == k) if levels[-1].radius[k] > 0 else np.array([c])
             while len(rest):
-                distance = np.linalg.norm(points[rest] - points[c], axis=1)
-                near = (distance <= bound) | (rest == c)
+                near = (between[c, rest] <= bound) | (rest == c)
                 node_of[rest[near]] = len(centre)
                 centre.append(c)
-                radius.append(float(distance[near].max()))
                 parent.append(k)
                 rest = rest[~near]
                 c = rest[0] if len(rest) else c
-        levels.append(Level(np.array(centre), np.array(radius), np.array(parent), node_of))
+        centre, radius = np.array(centre), np.zeros(len(centre))
+        np.maximum.at(radius, node_of, np.linalg.norm(points - points[centre[node_of]], axis=1))
+        levels.append(Level(centre, radius, np.array(parent), node_of))
         bound /= 2
     return levels
 
@@ -83,11 +89,12 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def dual_links(a: np.ndarray, b: np.ndarray, cosine: float) -> np.ndarray:
-    """Which points of ``a`` and ``b`` (raw vectors) are at or over the cosine."""
+    """Which points of ``a`` and ``b`` (raw vectors) are at or over the cosine; a block against itself has one tree."""
     norm_a, norm_b = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
     unit_a, unit_b = a / norm_a[:, None], b / norm_b[:, None]
     reach = math.sqrt(max(0.0, 2 - 2 * cosine)) + SLACK + 1e-7
-    tree_a, tree_b = cover_tree(unit_a, reach / 4), cover_tree(unit_b, reach / 4)
+    tree_a = cover_tree(unit_a, reach / 4)
+    tree_b = tree_a if a is b else cover_tree(unit_b, reach / 4)
     alive = np.ones((1, 1), bool)
     for step in range(max(len(tree_a), len(tree_b))):
         x, y = tree_a[min(step, len(tree_a) - 1)], tree_b[min(step, len(tree_b) - 1)]
@@ -144,9 +151,14 @@ def _nearest(rows: DataFrame, unit_col: str = "vector") -> DataFrame:
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             child, away = [], []
-            for vector, centres in zip(batch.column("vector").to_pylist(), batch.column("centres").to_pylist()):
-                v = np.array(vector, float)
-                far = np.linalg.norm(np.array(centres, float) - v / np.linalg.norm(v), axis=1)
+            vectors, centres = batch.column("vector"), batch.column("centres")
+            at, upto = vectors.offsets.to_numpy().tolist(), centres.offsets.to_numpy().tolist()
+            values, listed = vectors.values.to_numpy(), centres.values
+            inner, flat = listed.offsets.to_numpy().tolist(), listed.values.to_numpy()
+            for a, b, first, end in zip(at, at[1:], upto, upto[1:]):
+                v = values[a:b]
+                own = flat[inner[first] : inner[end]].reshape(end - first, b - a)
+                far = np.linalg.norm(own - v / np.linalg.norm(v), axis=1)
                 child.append(int(far.argmin()))
                 away.append(float(far.min()))
             yield pa.RecordBatch.from_arrays(

@@ -26,6 +26,17 @@ def test_dual_links(dims, cosine):
         assert (away <= level.radius[level.node_of] + 1e-12).all()
 
 
+def test_a_block_measures_its_points_once(monkeypatch):
+    """A tree needs a number of passes over its points that goes with its levels, not with its centres."""
+    passes = []
+    norm = np.linalg.norm
+    monkeypatch.setattr(np.linalg, "norm", lambda *a, **k: passes.append(1) or norm(*a, **k))
+    points = np.random.default_rng(4).normal(size=(600, 64))
+    points /= np.sqrt((points * points).sum(1))[:, None]
+    levels = cover_tree.cover_tree(points, 0.1)
+    assert len(levels[-1].centre) == 600 and len(passes) <= len(levels)
+
+
 def brute(rows, cosine=0.93):
     good = [(i, np.array(v, float), l) for i, v, l in rows if l is not None and v and None not in v and np.isfinite(v).all() and any(v)]
     root, links = {i: i for i, *_ in rows}, {i: 0 for i, *_ in rows}
