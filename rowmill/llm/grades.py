@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowmill.llm.line_rules import SYMBOLS, UPPER
-from rowmill.llm.words import fresh_worker, keep_rows, labelled_sample, select_text
+from rowmill.llm.words import fresh_worker, in_order, keep_rows, labelled_sample, list_cells, select_text
 
 CHI_SQUARE = 12
 EDGES = b".,;:!?\"'()[]"
@@ -154,9 +154,10 @@ def train(
             )
 
     kind = rows.schema["id"].dataType.simpleString()
-    sample = rows.mapInArrow(featurise, f"id {kind}, grade int, slots array<int>").toArrow().to_pylist()
-    sample.sort(key=lambda r: (r["id"], r["slots"]))
-    return fit_ordinal([np.array(r["slots"], int) for r in sample], np.array([r["grade"] for r in sample], int), n_grades, bits)
+    sample = rows.mapInArrow(featurise, f"id {kind}, grade int, slots array<int>").toArrow()
+    slots, grades = list_cells(sample.column("slots")), sample.column("grade").to_numpy().astype(int)
+    order = in_order(sample.column("id").to_pylist(), slots)
+    return fit_ordinal([slots[i].astype(int) for i in order], grades[order], n_grades, bits)
 
 
 class Grader:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowmill.llm.shingles import mix
-from rowmill.llm.words import BLANKS, fresh_worker, keep_rows, labelled_sample, select_text
+from rowmill.llm.words import BLANKS, fresh_worker, in_order, keep_rows, labelled_sample, list_cells, select_text
 
 # The symbols that the base rules count.
 SYMBOLS = b"#*$%&|<>"
@@ -199,12 +199,10 @@ def train(
     found = rows.select(F.col("id").cast("long").alias("id"), "text", "grade").mapInArrow(
         featurise, "id long, grade int, features array<float>"
     )
-    documents = [
-        (np.asarray(r.features, float).reshape(-1, N_FEATURES), r.grade)
-        for r in sorted(found.collect(), key=lambda r: (r.id, r.features))
-        if r.features
-    ]
-    return fit_chain(documents)
+    sample = found.toArrow()
+    features, grades = list_cells(sample.column("features")), sample.column("grade").to_pylist()
+    order = in_order(sample.column("id").to_pylist(), features)
+    return fit_chain([(features[i].astype(float).reshape(-1, N_FEATURES), grades[i]) for i in order if len(features[i])])
 
 
 def repeat_words(words: list[bytes]) -> int:

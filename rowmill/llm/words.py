@@ -7,11 +7,16 @@ has to be decoded. UTF-8 never uses those bytes inside another character.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
+from typing import TYPE_CHECKING
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+if TYPE_CHECKING:
+    import pyarrow as pa
+
 BLANKS = b" \t\n\r\x0b\x0c"
 
 
@@ -105,6 +110,29 @@ def fresh_worker(keep: str | None = None) -> None:
         pass  # another C library
 
 
+def fresh_driver(spark: SparkSession) -> None:
+    """Give back what earlier steps left in the driver: Python's freed memory, plans, and code made for them."""
+    fresh_worker()
+    spark._jvm.System.gc()
+
+
+def list_cells(column: pa.ChunkedArray) -> list:
+    """Numpy arrays of the cells of a list column, null cells being empty; no value becomes a Python number."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy()
+    ends = np.cumsum(sizes).tolist()
+    flat = pc.list_flatten(column).to_numpy()
+    return [flat[a:b] for a, b in zip([0, *ends], ends)]
+
+
+def in_order(ids: list, cells: list) -> list[int]:
+    """Row numbers by id, rows of equal id by the numbers of their cells."""
+    counts = Counter(ids)
+    return sorted(range(len(ids)), key=lambda i: (ids[i], cells[i].tolist() if counts[ids[i]] > 1 else []))
+
+
 def worker_memo(name: str, make):
     """A value that one Python worker keeps over its tasks, made on first use.
 
