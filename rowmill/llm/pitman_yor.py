@@ -329,16 +329,21 @@ def sample_tables(scratch: Scratch, cells: DataFrame):
         d0 = estimate_discount(*few)
         fresh = (THETA + d0 * all_root) / (known + 1)
         p_root = (F.greatest(F.col("served") - d0 * F.col("root"), F.lit(0.0)) + fresh) / (THETA + all_served)
-        beside = state.groupBy("context").agg(F.sum("tables").alias("beside"))
-        rows = state.join(words.select("word", p_root.alias("p_root")), "word").join(beside, "context")
-        weight = (THETA + d1 * F.col("beside")) * F.col("p_root")
         kept = [c for c in state.columns if c != "tables"]
-        old_state, old_words = stored, words
+        old_words = words
+        # Each join is stored, so the shuffle files and the table of the one are gone before the other; whole numbers
+        # are moved, which pack better than the weight made of them.
+        beside = scratch.store(state.groupBy("context").agg(F.sum("tables").alias("beside")))
+        seen_words = scratch.store(state.select(kept).join(words, "word"))
+        scratch.drop(stored)
+        rows = seen_words.join(beside, "context")
+        weight = (THETA + d1 * F.col("beside")) * p_root
         state = stored = scratch.store(seated(rows.select(*kept, weight.alias("weight")), "customers", d1, 2 * sweep, ("word", "context"), "tables"))
         served = state.groupBy("word").agg(F.sum("tables").alias("served")).withColumn("weight", F.lit(fresh))
         words = scratch.store(seated(served, "served", d0, 2 * sweep + 1, ("word",), "root"))
         now = facts()
-        scratch.drop(old_state)
+        scratch.drop(seen_words)
+        scratch.drop(beside)
         k = sweep - (SWEEPS - KEPT)
         if k <= 0:
             scratch.drop(old_words)

@@ -146,3 +146,19 @@ def test_a_word_with_very_many_contexts(spark):
     assert len(found) == len(rows) and {None, "", "line\nend"} <= set(found)
     assert found["line\nend"].n_tokens == 140_000 and found["5"].held_out and found["5"].n_known == 2
     assert all(math.isfinite(r.score) and r.score < 0 for r in found.values())
+
+
+def test_no_stored_step_moves_the_cells_twice(spark, monkeypatch):
+    """Two joins in one step keep the shuffle files of both, and the old table, until its end."""
+    joins, store = [], pitman_yor.Scratch.store
+
+    def counted(self, df):
+        joins.append(df._jdf.queryExecution().analyzed().toString().count("Join Inner"))
+        return store(self, df)
+
+    monkeypatch.setattr(pitman_yor.Scratch, "store", counted)
+    scratch = pitman_yor.Scratch(spark, "pitman-yor-test")
+    cells = scratch.store(spark.createDataFrame([(w, c, 1 + w * c) for w in range(4) for c in range(3)], "word long, context long, customers long"))
+    state, words, totals = pitman_yor.sample_tables(scratch, cells)
+    assert max(joins) == 1
+    assert (state.count(), words.count(), totals.tokens) == (12, 4, sum(1 + w * c for w in range(4) for c in range(3)))
