@@ -162,3 +162,101 @@ def test_no_stored_step_moves_the_cells_twice(spark, monkeypatch):
     state, words, totals = pitman_yor.sample_tables(scratch, cells)
     assert max(joins) == 1
     assert (state.count(), words.count(), totals.tokens) == (12, 4, sum(1 + w * c for w in range(4) for c in range(3)))
+
+
+def test_keys_and_packed_arrays():
+    values = np.random.default_rng(3).integers(0, 2**64, 1000, np.uint64)
+    assert (pitman_yor.unmix(pitman_yor.mix(values)) == values).all()
+    for some in (values, np.zeros(0, np.uint64), np.zeros(5, np.int64), np.arange(70_000)):
+        assert (pitman_yor.get(pitman_yor.put(some)) == some.astype(np.uint64)).all()
+    assert (pitman_yor.get_sorted(pitman_yor.put_sorted(np.sort(values))) == np.sort(values)).all()
+    keys = np.sort(values)
+    assert all((pitman_yor.whole_keys(pitman_yor.last_bits(keys, 16)[x:y], b, 16) == keys[x:y]).all() for b, x, y in pitman_yor.runs(pitman_yor.first_bits(keys, 16)))
+
+
+def sampled_at_once(word, context, customers):
+    """Every cell in every sweep, in arrays: tables per kept sample, then (served, root, beside) by number and the last sums."""
+    items, place = pitman_yor.distinct(np.concatenate([word, context]))
+    w, c = place[: len(word)], place[len(word) :]
+    add = lambda of, values: np.bincount(of, values, len(items)).astype(np.int64)
+    d1, tables = pitman_yor.estimate_discount((customers == 1).sum(), (customers == 2).sum()), np.ones(len(word), np.int64)
+    served, beside = add(w, tables), add(c, tables)
+    root, samples = (served > 0).astype(np.int64), []
+    for sweep in range(pitman_yor.SWEEPS):
+        d0 = pitman_yor.estimate_discount((served == 1).sum(), (served == 2).sum())
+        fresh = (1 + d0 * root.sum()) / ((served > 0).sum() + 1)
+        p_root = (np.maximum(served - d0 * root, 0) + fresh) / (1 + served.sum())
+        tables = pitman_yor.seat_keyed(customers, (1 + d1 * beside[c]) * p_root[w], d1, pitman_yor.dish_keys(2 * sweep, word, context))
+        served, beside = add(w, tables), add(c, tables)
+        root = pitman_yor.seat_keyed(served, np.full(len(items), fresh), d0, pitman_yor.dish_keys(2 * sweep + 1, items))
+        samples.append((tables, served, root, beside))
+    return items, w, c, d1, samples[-KEPT:]
+
+
+def test_rows_are_sampled_as_at_once(spark):
+    rng = np.random.default_rng(8)
+    pairs = np.unique(rng.integers(0, 2**64, 300, np.uint64)[rng.zipf(1.5, (4000, 2)) % 300], axis=0)
+    word, context = pairs[:, 0].copy(), pairs[:, 1].copy()
+    customers = rng.zipf(1.4, len(word)) % 900 + 1
+    items, w, c, _, samples = sampled_at_once(word, context, customers)
+    signed = lambda values: values.view(np.int64).tolist()
+    rows = spark.createDataFrame([*zip(signed(word), signed(context), customers.tolist())], "word long, context long, customers long")
+    state, words, totals = pitman_yor.sample_tables(pitman_yor.Scratch(spark, "pitman-yor-test"), rows)
+    expected = {(a, b): (n, *t) for a, b, n, *t in zip(signed(word), signed(context), customers.tolist(), *[s[0].tolist() for s in samples])}
+    assert {(r.word, r.context): (r.customers, r.tables0, r.tables1, r.tables2) for r in state.collect()} == expected
+    found = {r.word: r for r in words.collect()}
+    seen = np.bincount(w, customers, len(items)).tolist()
+    assert set(found) == set(signed(items))
+    for k, item in enumerate(signed(items)):
+        r = found[item]
+        assert (r.seen, r.served0, r.root0, r.tables0) == (seen[k], *(samples[0][i][k] for i in (1, 2, 3)))
+        assert (r.served2, r.root2, r.tables2) == tuple(samples[2][i][k] for i in (1, 2, 3))
+    assert (totals.known, totals.tokens, totals.served[1], totals.root[1]) == ((np.array(seen) > 0).sum(), customers.sum(), samples[1][1].sum(), samples[1][2].sum())
+
+
+def test_texts_are_scored_as_at_once(spark, monkeypatch):
+    monkeypatch.setattr(pitman_yor, "BLOCK_TOKENS", 200)
+    rng = np.random.default_rng(9)
+    texts = {k: " ".join(f"w{n}" for n in rng.zipf(1.3, 30) % 500) for k in range(200)}
+    docs = spark.createDataFrame([*texts.items()], "doc_id long, text string").repartition(4)
+    found = {r.doc_id: r for r in pitman_yor.score_texts(docs, F.col("doc_id") % 4 == 1).collect()}
+    prints = pitman_yor.WordPrints()
+    pairs = {k: [*zip([*(prints[x.encode()] for x in t.split()), 1], [256, *(prints[x.encode()] for x in t.split())])] for k, t in texts.items()}
+    counts = Counter(p for k, ps in pairs.items() if k % 4 != 1 for p in ps)
+    word, context = np.array([*counts], np.uint64).T.copy()
+    items, w, c, d1, samples = sampled_at_once(word, context, np.array([*counts.values()]))
+    number, cell = {int(v): k for k, v in enumerate(items)}, {p: k for k, p in enumerate(counts)}
+    around = np.bincount(c, [*counts.values()], len(items))
+    of = lambda values, key, where: int(values[where[key]]) if key in where else 0
+
+    d0 = pitman_yor.estimate_discount((samples[-1][1] == 1).sum(), (samples[-1][1] == 2).sum())  # of the last sample, as in Totals
+
+    def probability(a, b):
+        total = 0
+        for tables, served, root, beside in samples:
+            p = (of(served, a, number) - d0 * of(root, a, number) + (1 + d0 * root.sum()) / ((served > 0).sum() + 1)) / (1 + served.sum())
+            total += (counts[a, b] - d1 * of(tables, (a, b), cell) + (1 + d1 * of(beside, b, number)) * p) / (1 + of(around, b, number))
+        return total / KEPT
+
+    for k, ps in pairs.items():
+        assert math.isclose(found[k].score, sum(math.log10(probability(a, b)) for a, b in ps), rel_tol=1e-9)
+
+
+def test_a_frequent_word_is_dealt_to_all_buckets(spark, monkeypatch):
+    """No stored table has a row per cell, and no bucket holds the cells of a word that stands beside all others."""
+    rows, shares, store = [], [], pitman_yor.Scratch.store
+
+    def measured(self, df):
+        kept = store(self, df)
+        rows.append(kept.count())
+        if ("facts", "array<binary>") in kept.dtypes:
+            size = F.aggregate("facts", F.lit(0), lambda n, x: n + F.octet_length(x))
+            at = kept.where("kind in (0, 1)").groupBy("kind", "at").agg(F.sum(size).alias("size")).groupBy("kind").agg(F.max("size").alias("most"), F.sum("size").alias("all"), F.count(F.lit(1)).alias("n"))
+            shares.extend(r.most * r.n / r["all"] for r in at.collect() if r.n == 16 and r["all"])
+        return kept
+
+    monkeypatch.setattr(pitman_yor.Scratch, "store", measured)
+    docs = spark.createDataFrame([(k, " ".join(f"the w{i}" for i in range(20_000))) for k in range(2)], "doc_id long, text string")
+    found = pitman_yor.score_texts(docs, F.lit(False)).collect()
+    assert [r.n_tokens for r in found] == [40_001] * 2
+    assert max(rows) < 20_000 and shares and max(shares) < 2
